@@ -7,6 +7,8 @@ import importlib
 #: name -> (module, SQL's name in it, None where SQL cannot express the query)
 QUERIES = {
     "op1_decontaminate": ("decontaminate", "OP1_SQL"),
+    "op2_media": ("media", None),
+    "op3_language_id": ("langid", None),
     "op9_mixing": ("mixing", "OP9_SQL"),
 }
 
