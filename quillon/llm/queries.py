@@ -9,6 +9,7 @@ QUERIES = {
     "op1_decontaminate": ("decontaminate", "OP1_SQL"),
     "op2_media": ("media", None),
     "op3_language_id": ("langid", None),
+    "op6_substring_dedup": ("substring", "OP6_SQL"),
     "op9_mixing": ("mixing", "OP9_SQL"),
 }
 
