@@ -62,7 +62,7 @@ class Packed:
         self.order = np.lexsort((keys, parts))
         self.keys, own = keys[self.order], parts[self.order]
         self.parts, self.firsts = np.unique(own, return_index=True)
-        self.lasts = np.append(self.firsts[1:], len(own))
+        self.lasts = np.append(self.firsts[1:], len(own))[: len(self.firsts)]
 
     def blobs(self) -> Iterator[tuple[int, bytes]]:
         for p, a, b in zip(self.parts.tolist(), self.firsts.tolist(), self.lasts.tolist(), strict=True):
