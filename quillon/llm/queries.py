@@ -10,6 +10,7 @@ QUERIES = {
     "op2_media": ("media", None),
     "op3_language_id": ("langid", None),
     "op6_substring_dedup": ("substring", "OP6_SQL"),
+    "op7_suffix_array_dedup": ("suffixes", None),
     "op9_mixing": ("mixing", "OP9_SQL"),
 }
 
