@@ -9,10 +9,13 @@ QUERIES = {
     "op1_decontaminate": ("decontaminate", "OP1_SQL"),
     "op2_media": ("media", None),
     "op3_language_id": ("langid", None),
+    "op4_license_scan": ("licenses", None),
     "op5_minhash_dedup": ("minhash", "OP5_SQL"),
     "op6_substring_dedup": ("substring", "OP6_SQL"),
     "op7_suffix_array_dedup": ("suffixes", None),
+    "op8_pitman_yor": ("pitmanyor", None),
     "op9_mixing": ("mixing", "OP9_SQL"),
+    "op10_quality": ("quality", None),
 }
 
 
