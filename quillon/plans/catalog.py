@@ -28,3 +28,11 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from quillon.plans import features  # noqa: F401
+
+
+load()
