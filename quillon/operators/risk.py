@@ -57,6 +57,13 @@ def iv_table(bins: DataFrame) -> DataFrame:
     return d.groupBy("feature").agg(F.sum("iv").alias("iv"), monotone.alias("monotone"), F.count("*").alias("n_bins")).withColumn("strength", iv_label(F.col("iv"))).orderBy(F.desc("iv"), "feature")
 
 
+def _woe_of(x: Column, bins: Column) -> Column:
+    holds = F.filter(bins, lambda v: (v["lo"] <= x) & (x <= v["hi"]))
+    edge = F.when(x < F.get(bins, F.lit(0))["lo"], F.get(bins, F.lit(0))["woe"]).otherwise(F.element_at(bins, -1)["woe"])
+    found = F.when(F.size(holds) > 0, F.get(holds, F.lit(0))["woe"]).otherwise(edge)
+    return F.when(x.isNull() | F.isnan(x), None).when(F.size(bins) == 0, 0.0).otherwise(found)
+
+
 def apply_woe(df: DataFrame, bins: DataFrame, features: Sequence[str]) -> DataFrame:
     """df with <feature>_woe: the bin that holds the value, the first below all, the last for gaps and above; null for no number."""
     row = F.array_sort(F.collect_list(F.struct("lo", "hi", "woe")))
@@ -64,9 +71,7 @@ def apply_woe(df: DataFrame, bins: DataFrame, features: Sequence[str]) -> DataFr
     out = df.join(F.broadcast(kept.select(*[F.col(f).alias(f"_bins_{f}") for f in features])))
     for f in features:
         x, b = F.col(f).cast("double"), F.col(f"_bins_{f}")
-        hit = F.element_at(F.filter(b, lambda v, x=x: (v["lo"] <= x) & (x <= v["hi"])), 1)["woe"]
-        edge = F.when(x < F.element_at(b, 1)["lo"], F.element_at(b, 1)["woe"]).otherwise(F.element_at(b, -1)["woe"])
-        out = out.withColumn(f"{f}_woe", F.when(x.isNull() | F.isnan(x), None).when(F.size(b) == 0, 0.0).otherwise(F.coalesce(F.when(F.exists(b, lambda v, x=x: (v["lo"] <= x) & (x <= v["hi"])), hit), edge)))
+        out = out.withColumn(f"{f}_woe", _woe_of(x, b))
     return out.drop(*[f"_bins_{f}" for f in features])
 
 

