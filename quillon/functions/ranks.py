@@ -92,12 +92,18 @@ def average_ranks(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return prefix_sum(counts, "x", ["n"], by).withColumn("rank", F.col("cum_n") - (F.col("n") - 1) / 2.0)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of the rows where both are known; null where either does not vary."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation of two columns by group, average ranks for ties; for small tables such as bins."""
     part = lambda c: Window.partitionBy(*by).orderBy(c) if by else Window.partitionBy(F.lit(1)).orderBy(c)
     same = lambda c: Window.partitionBy(*by, c)
     rank = lambda c: F.rank().over(part(c)) + (F.count("*").over(same(c)) - 1) / 2.0
-    return df.withColumn("_rx", rank(x)).withColumn("_ry", rank(y)).groupBy(*by).agg(F.corr("_rx", "_ry").alias("spearman"))
+    return df.withColumn("_rx", rank(x)).withColumn("_ry", rank(y)).groupBy(*by).agg(correlation(F.col("_rx"), F.col("_ry")).alias("spearman"))
 
 
 def kendall_tau(df: DataFrame, x: str, y: str, bits: int = 32) -> DataFrame:

@@ -28,8 +28,8 @@ def temporal_signal(df: DataFrame, key: str = "customer_id", at: str = "as_of")
     """Mean correlation of velocity_5m and velocity_24h over customers with 5 rows, of which 10 are needed; else lag-1 autocorrelation over those with 10."""
     both = df.where(F.col("velocity_5m").isNotNull() & F.col("velocity_24h").isNotNull())
     lag = F.lag("velocity_5m").over(Window.partitionBy(key).orderBy(at))
-    d = both.withColumn("_lag", lag).groupBy(key).agg(F.count("*").alias("n"), F.corr(F.col("velocity_5m").cast("double"), F.col("velocity_24h").cast("double")).alias("c"), F.corr(F.col("velocity_5m").cast("double"), F.col("_lag").cast("double")).alias("a"))
-    clean = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
+    d = both.withColumn("_lag", lag).groupBy(key).agg(F.count("*").alias("n"), r.correlation(F.col("velocity_5m").cast("double"), F.col("velocity_24h").cast("double")).alias("c"), r.correlation(F.col("velocity_5m").cast("double"), F.col("_lag").cast("double")).alias("a"))
+    clean = F.col
     s = d.agg(F.avg(F.when(F.col("n") >= 5, clean("c"))).alias("c"), F.count(F.when(F.col("n") >= 5, clean("c"))).alias("nc"), F.avg(F.when(F.col("n") >= 10, clean("a"))).alias("a"), F.count(F.when(F.col("n") >= 10, clean("a"))).alias("na"))
     v = F.when(F.col("nc") >= 10, F.col("c")).when(F.col("na") >= 10, F.col("a"))
     return _criterion(s, "temporal_signal", v, (v >= LOW) & (v <= HIGH), "mean correlation over customers")
@@ -61,7 +61,7 @@ def segment_means(df: DataFrame, segment: str, columns: Sequence[str]) -> DataFr
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, corr) for each pair, in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    d = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("corr")) for a, b in pairs]).alias("p"))
+    d = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias("corr")) for a, b in pairs]).alias("p"))
     return d.select(F.explode("p").alias("p")).select("p.*")
 
 
