@@ -77,7 +77,7 @@ def packed(low: np.ndarray) -> np.ndarray:
     per = 64 // BITS
     parts = tc.mix(low.copy()) & np.uint64((1 << BITS) - 1)
     shifts = (np.arange(PERMUTATIONS) % per * BITS).astype(np.uint64)
-    return np.bitwise_or.reduce((parts << shifts).reshape(len(low), -1, per), axis=2)
+    return np.bitwise_or.reduce((parts << shifts).reshape(len(low), PERMUTATIONS // per, per), axis=2)
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
