@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 4 << 20
 PART_BYTES = 8 << 20
@@ -54,6 +55,11 @@ def chunked(docs: DataFrame, *, text: str, doc_id: str, chunk_bytes: int = CHUNK
     return rows.withColumn("piece", piece).select(chunk.alias("chunk"), "ident", "body", "doc"), max(1, ceil(total / part_bytes))
 
 
+def result_schema(chunks: DataFrame, more: str) -> T.StructType:
+    """doc as it is in chunks, and further columns."""
+    return T.StructType([chunks.schema["doc"], *T.StructType.fromDDL(more).fields])
+
+
 class Packed:
     """A chunk's distinct keys in the order of (part, key): what is asked, and where answers belong."""
 

@@ -106,7 +106,7 @@ def evidence(docs: DataFrame, weights: np.ndarray, *, text: str) -> DataFrame:
         for batch in batches:
             sums = [np.stack([np.bincount(rows, weights=w[feature, k], minlength=n) for k in range(3)]) for n, rows, feature in _features(batch.column(1))]
             s = np.concatenate(sums, axis=1) if sums else np.zeros((3, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in s)], ["doc", "half0", "half1", "both"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in s.astype(float))], ["doc", "half0", "half1", "both"])
 
     return whole.mapInArrow(run, f"doc {whole.schema['doc'].dataType.simpleString()}, half0 double, half1 double, both double")
 

@@ -103,8 +103,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         edge = np.ones(len(gone), bool)
         edge[1:] = (gone[1:] != gone[:-1]) | (c.owner[1:] != c.owner[:-1])
         firsts = np.flatnonzero(edge)
-        lasts = np.append(firsts[1:], len(gone)) - 1
-        firsts, lasts = firsts[gone[firsts]] if len(gone) else firsts, lasts[gone[firsts]] if len(gone) else lasts
+        lasts = (np.append(firsts[1:], len(gone)) - 1)[: len(firsts)]
+        firsts, lasts = firsts[gone[firsts]], lasts[gone[firsts]]
         spans: list[list] = [[] for _ in range(n)]
         for r, a, b in zip(c.owner[firsts].tolist(), c.starts[firsts].tolist(), c.ends[lasts].tolist(), strict=True):
             spans[r].append({"first": a - int(c.offsets[r]), "last": b - int(c.offsets[r])})
@@ -113,7 +113,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         doc = rows.column("doc").combine_chunks()
         return pa.Table.from_arrays([doc, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())], ["doc", "n_words", "n_removed", "spans", "kept"])
 
-    schema = f"doc {chunks.schema['doc'].dataType.simpleString()}, n_words long, n_removed long, spans array<struct<first:bigint,last:bigint>>, kept string"
+    schema = ex.result_schema(chunks, "n_words long, n_removed long, spans array<struct<first:bigint,last:bigint>>, kept string")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
 
 

@@ -216,7 +216,7 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         kept = [out[a:b] for a, b in zip(left[:-1], left[1:], strict=True)]
         return pa.Table.from_arrays([rows.column("doc").combine_chunks(), pa.array(np.diff(o), pa.int64()), pa.array(np.diff(sums[o]), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc", "n_bytes", "n_removed", "spans", "kept"])
 
-    schema = f"doc {chunks.schema['doc'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<first:bigint,last:bigint>>, kept binary"
+    schema = ex.result_schema(chunks, "n_bytes long, n_removed long, spans array<struct<first:bigint,last:bigint>>, kept binary")
     return by_chunk.cogroup(answers2.unionAll(answers3).groupBy("chunk")).applyInArrow(apply, schema)
 
 
