@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,3 +172,18 @@ def bandit_scores(df: DataFrame, statistics: DataFrame, features: Sequence[str],
         scores.append(F.struct((mean + alpha * F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("score"), F.lit(arm).alias("arm")))
     d = df.withColumn("scores", F.array(*scores))
     return d.withColumn("arm", F.array_max("scores")["arm"])
+
+
+def feature_hash(*columns: str):
+    """16-byte blake2b of the features as %.6g, joined by commas; nulls count as 0. C's %g has no counterpart in Spark, so this is an Arrow UDF."""
+    @F.pandas_udf("string")
+    def digest(parts: pd.DataFrame) -> pd.Series:
+        rows = parts.fillna(0.0).itertuples(index=False)
+        return pd.Series([hashlib.blake2b(",".join(f"{v:.6g}" for v in r).encode(), digest_size=16).hexdigest() for r in rows])
+
+    return digest(F.struct(*[F.col(c).cast("double").alias(c) for c in columns]))
+
+
+def random_policy(key: str, *, share: float = 0.5, seed: int = 42):
+    """1 for about `share` of the keys, always the same ones."""
+    return (e.uniform(key, F.lit("policy"), seed=seed) < share).cast("int")

@@ -17,6 +17,7 @@ from quillon.functions import ranks as r
 from quillon.functions import special
 from quillon.functions.economics import uniform
 from quillon.operators.risk import unpivot
+from quillon.sources.storage import written
 
 #: Direction in which a feature may move the PD; fixed values.
 CONSTRAINTS = {"credit_score": -1, "annual_income": -1, "account_tenure_months": -1, "prev_delinquency_count": 1, "utilization": 1, "avg_utilization_30d": 1, "pct_cash_advance_30d": 1, "paydown_rate_30d": -1}
@@ -185,14 +186,15 @@ def group_split(df: DataFrame, key: str, fraction: float, seed: int = 42) -> tup
 
 def train_per_segment(df: DataFrame, key: str, segment: str, features: Sequence[str], treatment: str, reward: str, truth: str, *, regs: Sequence[float] = (0.0, 0.1), fraction: float = 0.2) -> dict:
     """{segment: (models, reg, tau)}: for each segment the penalty with the best Kendall tau of uplift and truth on held-out customers."""
-    train, test = group_split(df, key, fraction)
+    train, test = (written(d, "split") for d in group_split(df, key, fraction))
     found = {}
     for s in sorted(x[0] for x in df.select(segment).distinct().collect()):
         own, held = train.where(F.col(segment) == s), test.where(F.col(segment) == s)
         best = None
         for reg in regs:
             models = t_learner(own, features, treatment, reward, reg=reg)
-            tau = r.kendall_tau(uplift(models, held, features), "uplift", truth).first()
+            scored = written(uplift(models, held, features).select("uplift", truth), "scored")
+            tau = r.kendall_tau(scored, "uplift", truth).first()
             tau = tau.tau if tau and tau.tau is not None else float("-inf")
             if best is None or tau > best[2]:
                 best = (models, reg, tau)

@@ -91,13 +91,13 @@ def calibration_bins(df: DataFrame, y: str, p: str, by: Sequence[str] = (), n_bi
     return d.groupBy(*by, "bin").agg(n.alias("n"), (F.sum(F.col("x") * F.col("n")) / n).alias("mean_score"), (F.sum("events") / n).alias("event_rate"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("events").alias("observed"), F.sum(F.col("x") * F.col("n")).alias("expected"))
 
 
-def hosmer_lemeshow(bins: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def hosmer_lemeshow(bins: DataFrame, by: Sequence[str] = (), n_bins: int = 10) -> DataFrame:
     """statistic, df and p_value from calibration_bins."""
     o, e, n = F.col("observed"), F.col("expected"), F.col("n")
     part = F.pow(o - e, 2) / F.greatest(e, F.lit(FLOOR)) + F.pow((n - o) - (n - e), 2) / F.greatest(n - e, F.lit(FLOOR))
     d = bins.groupBy(*by).agg(F.sum(part).alias("statistic"), F.greatest(F.count("*") - 2, F.lit(1)).cast("int").alias("df"))
     p = F.lit(None).cast("double")
-    for k in range(1, 31):
+    for k in range(1, max(n_bins - 1, 2)):
         p = F.when(F.col("df") == k, chi2_sf(F.col("statistic"), k)).otherwise(p)
     return d.withColumn("p_value", p)
 
@@ -107,7 +107,7 @@ def calibration_summary(df: DataFrame, y: str, p: str, by: Sequence[str] = (), n
     bins = calibration_bins(df, y, p, by, n_bins)
     ece = bins.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("event_rate"))) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
     whole = df.groupBy(*by).agg(F.avg(F.pow(F.col(y) - F.col(p), 2)).alias("brier"), F.avg(p).alias("mean_score"), F.avg(y).alias("event_rate"))
-    out = r.joined_by(r.joined_by(whole, ece, by), hosmer_lemeshow(bins, by), by)
+    out = r.joined_by(r.joined_by(whole, ece, by), hosmer_lemeshow(bins, by, n_bins), by)
     return out.where(F.col("n") >= n_bins)
 
 

@@ -337,3 +337,36 @@ def segment_separability(spark, sf_dir):
 def customer_split(spark, sf_dir):
     rest, held = models.group_split(a.transactions(spark, sf_dir), "customer_id", 0.2)
     return rest.select("event_id", "customer_id", F.lit(False).alias("held_out")).unionByName(held.select("event_id", "customer_id", F.lit(True).alias("held_out")))
+
+
+@register("feature_vector_hash")
+def feature_vector_hash(spark, sf_dir):
+    d = a.accounts(spark, sf_dir)
+    return d.select("account_id", decide.feature_hash("utilization", "credit_score", "annual_income").alias("feature_hash"))
+
+
+@register("best_profit_so_far", f"WITH {a.DECISIONS_SQL} SELECT decision_id, round(max(reward) OVER (PARTITION BY customer_id ORDER BY ts, decision_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS best FROM dec")
+def best_profit_so_far(spark, sf_dir):
+    from quillon.operators.evaluate import best_so_far
+
+    return rounded(best_so_far(a.decisions(spark, sf_dir), ["customer_id"], ["ts", "decision_id"], "reward").select("decision_id", "best"), 4)
+
+
+@register("full_evaluation")
+def full_evaluation(spark, sf_dir):
+    from quillon.operators import evaluate
+
+    d = a.accounts(spark, sf_dir).withColumn("grp", (F.col("segment") % 2).cast("string"))
+    return evaluate.headline(evaluate.full_evaluation(d, y="defaulted", p="pd", key="account_id", balance="current_balance", limit="credit_limit", group="grp"))
+
+
+@register("random_policy")
+def random_policy(spark, sf_dir):
+    return a.decisions(spark, sf_dir).select("decision_id", decide.random_policy("decision_id").alias("act"))
+
+
+@register("per_segment_uplift")
+def per_segment_uplift(spark, sf_dir):
+    d = _training(spark, sf_dir).withColumn("truth", F.col("utilization") * 10 + F.col("velocity_24h"))
+    found = models.train_per_segment(d, "customer_id", "segment_id", ["utilization", "velocity_24h"], "T", "profit", "truth", regs=(0.1,))
+    return spark.createDataFrame([(int(s), float(r), float(t)) for s, (_, r, t) in found.items()], "segment_id int, reg double, tau double")

@@ -109,3 +109,13 @@ def live_union_historical(spark, sf_dir):
     both = events.live_and_historical(tx.where("not late"), tx.where("late"))
     d = _run(spark, both.select("event_id", "customer_id"), "stream-union")
     return d.agg(F.count("*").alias("n"), F.countDistinct("customer_id").alias("n_customers"))
+
+
+@register("stream_decision_outcomes", f"WITH {a.DECISIONS_SQL} SELECT decision_id, action, round(reward, 4) AS reward FROM dec WHERE decision_id % 4 <> 0")
+def stream_decision_outcomes(spark, sf_dir):
+    d = a.decisions(spark, sf_dir).withColumn("decided_at", F.col("ts").cast("timestamp")).select("decision_id", "customer_id", "decided_at", "action", "reward")
+    made = storage.written(d.drop("reward"), "decisions")
+    seen = storage.written(d.where("decision_id % 4 <> 0").select("decision_id", "customer_id", (F.col("decided_at") + F.expr("INTERVAL 1 DAY")).alias("observed_at"), "reward"), "outcomes")
+    stream = lambda t: spark.readStream.schema(t.schema).parquet(t.inputFiles()[0].rsplit("/", 1)[0])
+    joined = live.join_outcomes(stream(made), stream(seen))
+    return rounded(_run(spark, joined.select("decision_id", "action", "reward"), "stream-join"), 4)
