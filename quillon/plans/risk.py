@@ -69,7 +69,7 @@ def brier_score(spark, sf_dir):
     return rounded(risk.brier(a.scored_accounts(spark, sf_dir), "y", "p", ["segment"]))
 
 
-CAL_SQL = f"{a.SCORED_SQL}, {edges_sql('scored', 'p')}, cal AS (SELECT bin, count(*) AS n, avg(p) AS mean_score, avg(y) AS event_rate, min(p) AS lo, max(p) AS hi, sum(y)::BIGINT AS observed, sum(p) AS expected FROM (SELECT *, {bin_sql('p')} AS bin FROM scored, edges) GROUP BY bin)"
+CAL_SQL = f"{a.SCORED_SQL}, {edges_sql('scored', 'p')}, cal AS (SELECT bin, count(*) AS n, avg(p) AS mean_score, avg(y) AS event_rate, min(p) AS lo, max(p) AS hi, sum(y)::BIGINT AS observed, sum(p) AS expected FROM (SELECT *, {bin_sql('p')}::INT AS bin FROM scored, edges) GROUP BY bin)"
 HL_SQL = "sum(pow(observed - expected, 2) / greatest(expected, 1e-9) + pow(expected - observed, 2) / greatest(n - expected, 1e-9))"
 
 
