@@ -50,7 +50,7 @@ def benchmark_windows(benchmark: DataFrame, *, item_id: str = "item_id", text: s
                     items.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(items, pa.string())], ["window", "item"])
 
-    return benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).mapInArrow(run, "window string, item string").distinct()
+    return benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).mapInArrow(tc.tidied_batches(run), "window string, item string").distinct()
 
 
 class _Set:
@@ -137,7 +137,7 @@ def _scan(docs: DataFrame, found: _Set, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_words", "hits", "spans", "items"])
 
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return whole.mapInArrow(run, schema)
+    return whole.mapInArrow(tc.tidied_batches(run), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", width: int = WIDTH, most_windows: int = MOST_WINDOWS) -> DataFrame:

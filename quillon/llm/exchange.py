@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm import textcols as tc
+
 CHUNK_BYTES = 4 << 20
 PART_BYTES = 8 << 20
 PIECES = 64
@@ -106,7 +108,7 @@ def answer(questions: DataFrame, dtype, decide: Callable[[np.ndarray, np.ndarray
         n = len(order)
         return pa.Table.from_arrays([pa.array(chunks[order], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array(packed, pa.binary())], schema=_ANSWERED)
 
-    return questions.groupBy("part").applyInArrow(run, ANSWERED)
+    return questions.groupBy("part").applyInArrow(tc.tidied(run), ANSWERED)
 
 
 def replies(table: pa.Table, kind: int) -> dict[int, bytes]:

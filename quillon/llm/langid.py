@@ -94,14 +94,15 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", landmarks:
     chosen = known.where(F.col("h") <= bound[0]).groupBy("h").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     counts = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
     languages = sorted(counts)
-    marks = chosen.select("h", "text").orderBy("h").limit(landmarks).select("text").mapInArrow(_packed, "seen binary").collect()
-    z = np.stack([np.unpackbits(np.frombuffer(r.seen, np.uint8), count=DIM) for r in marks]).astype(np.float32)
-    z /= np.sqrt(np.maximum(z.sum(1, keepdims=True), 1))
+    marks = chosen.select("h", "text").orderBy("h").limit(landmarks).select("text").mapInArrow(tc.tidied_batches(_packed), "seen binary").collect()
+    bits = np.stack([np.frombuffer(r.seen, np.uint8) for r in marks])
+    z = _landmarks(bits)
     m, c = len(z), len(languages)
-    shared = docs.sparkSession.sparkContext.broadcast((z, {x: i for i, x in enumerate(languages)}, counts))
+    shared = docs.sparkSession.sparkContext.broadcast((bits, {x: i for i, x in enumerate(languages)}, counts))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, index, counts = shared.value
+        bits, index, counts = shared.value
+        z = _landmarks(bits)
         gram, cross = np.zeros((m, m)), np.zeros((m, c))
         for batch in batches:
             labels = batch.column(1).to_pylist()
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", landmarks:
                 cross += k.T @ (y * w[:, None])
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([cross.tobytes()], pa.binary())], ["gram", "cross"])
 
-    parts = chosen.select("text", "label").repartition(8).mapInArrow(sums, "gram binary, cross binary").collect()
+    parts = chosen.select("text", "label").repartition(8).mapInArrow(tc.tidied_batches(sums), "gram binary, cross binary").collect()
     gram = sum(np.frombuffer(r.gram).reshape(m, m) for r in parts)
     cross = sum(np.frombuffer(r.cross).reshape(m, c) for r in parts)
     mm = (z @ z.T).astype(np.float64)
@@ -126,6 +127,13 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", landmarks:
     return Model(languages, np.ascontiguousarray(z.T @ a.astype(np.float32)))
 
 
+def _landmarks(bits: np.ndarray) -> np.ndarray:
+    """Landmarks' presence over the roots of their sizes, from packed bits."""
+    z = np.unpackbits(bits, axis=1, count=DIM).astype(np.float32)
+    z /= np.sqrt(np.maximum(z.sum(1, keepdims=True), 1))
+    return z
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [np.packbits(r).tobytes() for seen in _batches(batch.column(0)) for r in seen]
@@ -153,7 +161,7 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", out: s
             p = [float(v) if ok else 0.0 for v, ok in zip(p.tolist(), letters, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(p, pa.float64())], ["row", out, score])
 
-    return whole.mapInArrow(run, "row " + docs.schema.simpleString() + f", `{out}` string, `{score}` double").select("row.*", f"`{out}`", f"`{score}`")
+    return whole.mapInArrow(tc.tidied_batches(run), "row " + docs.schema.simpleString() + f", `{out}` string, `{score}` double").select("row.*", f"`{out}`", f"`{score}`")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

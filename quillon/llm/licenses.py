@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm import textcols as tc
 from quillon.llm.tables import table
 
 #: Names and notices to look for: fixed wordings in common use.
@@ -143,7 +144,7 @@ def scan(docs: DataFrame, *, text: str = "text", templates: dict[str, str] | Non
                 found.append(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _FOUND)], ["row", out])
 
-    return whole.mapInArrow(run, "row " + docs.schema.simpleString() + f", `{out}` {FOUND}").select("row.*", f"`{out}`")
+    return whole.mapInArrow(tc.tidied_batches(run), "row " + docs.schema.simpleString() + f", `{out}` {FOUND}").select("row.*", f"`{out}`")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm import textcols as tc
 from quillon.llm.tables import table
 
 UNIT = 64
@@ -203,7 +204,7 @@ def _per_row(df: DataFrame, column: str, added: list[tuple[str, str, pa.DataType
                     yield pa.RecordBatch.from_arrays([rows.slice(start, i + 1 - start), *arrays], names)
                     start, out, size = i + 1, [], 0
 
-    return whole.mapInArrow(run, schema).select("row.*", *(F.col(f"`{n}`") for n, _, _ in added))
+    return whole.mapInArrow(tc.tidied_batches(run), schema).select("row.*", *(F.col(f"`{n}`") for n, _, _ in added))
 
 
 def store(df: DataFrame, *, text: str = "text", media: str = "media") -> DataFrame:

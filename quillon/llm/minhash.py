@@ -108,7 +108,7 @@ def sketches(docs: DataFrame, *, text: str, doc_id: str, words: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists(s), lists(b)], SKETCH.replace(",", "").split(" ")[::2])
 
     ident = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
-    return docs.select(ident.alias("ident"), F.col(text).alias("t")).mapInArrow(run, SKETCH)
+    return docs.select(ident.alias("ident"), F.col(text).alias("t")).mapInArrow(tc.tidied_batches(run), SKETCH)
 
 
 def _estimate(a: str, b: str):
@@ -147,7 +147,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, *, text: str, doc_id: str, words:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(digests, pa.binary()), pa.array(members, pa.binary())], ["v", "want", "digest", "members"])
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("v"), F.col(text).alias("t"))
-    found = rows.join(wanted, "v").select("v", "t", "want").mapInArrow(run, "v long, want binary, digest binary, members binary")
+    found = rows.join(wanted, "v").select("v", "t", "want").mapInArrow(tc.tidied_batches(run), "v long, want binary, digest binary, members binary")
     return found.where("digest = want").select("want", "members").dropDuplicates(["want"])
 
 
@@ -168,7 +168,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("digest").alias(f"d_{x}"))
     full = lambda x: sets.select(F.col("want").alias(f"d_{x}"), F.col("members").alias(f"m_{x}"))
     p = pairs.join(side("a"), "a").join(side("b"), "b").join(full("b"), "d_b").join(full("a"), "d_a").select("a", "b", "m_a", "m_b")
-    return p.mapInArrow(run, "a long, b long, ok boolean").where("ok").select("a", "b")
+    return p.mapInArrow(tc.tidied_batches(run), "a long, b long, ok boolean").where("ok").select("a", "b")
 
 
 def _residual(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -208,7 +208,7 @@ def _residual(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent
             out += [(min(int(rep[k]), int(rep[g])), max(int(rep[k]), int(rep[g]))) for g in good.tolist()]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    return cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return cells.groupBy("key", "i", "j").applyInArrow(tc.tidied(compare), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -81,7 +81,7 @@ def word_weights(docs: DataFrame, sample: DataFrame, *, text: str, doc_id: str)
         yield pa.RecordBatch.from_arrays([pa.array([*(kind * FEATURES + feature).tolist(), *(-1 - np.arange(4)).tolist()], pa.int64()), pa.array([*total[kind, feature].tolist(), *docs_of.tolist()], pa.int64())], ["cell", "n"])
 
     chosen = docs.select(F.col(text).alias("t"), F.col(doc_id).cast("long").alias("id")).join(F.broadcast(sample), "id").select("t", "fold", "good")
-    found = chosen.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    found = chosen.mapInArrow(tc.tidied_batches(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts, n_docs = np.zeros(4 * FEATURES), np.zeros(4)
     for r in found:
         if r.cell < 0:
@@ -108,7 +108,7 @@ def evidence(docs: DataFrame, weights: np.ndarray, *, text: str) -> DataFrame:
             s = np.concatenate(sums, axis=1) if sums else np.zeros((3, 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in s.astype(float))], ["doc", "half0", "half1", "both"])
 
-    return whole.mapInArrow(run, f"doc {whole.schema['doc'].dataType.simpleString()}, half0 double, half1 double, both double")
+    return whole.mapInArrow(tc.tidied_batches(run), f"doc {whole.schema['doc'].dataType.simpleString()}, half0 double, half1 double, both double")
 
 
 def _strength(groups: DataFrame, rate: float) -> float:

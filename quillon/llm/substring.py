@@ -91,7 +91,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
         return ex.asked(key[0].as_py(), _Chunk(ex.ordered(rows), width, n_parts).packed)
 
-    answers = ex.answer(chunks.groupBy("chunk").applyInArrow(ask, ex.ASKED), np.uint64, _earlier)
+    answers = ex.answer(chunks.groupBy("chunk").applyInArrow(tc.tidied(ask), ex.ASKED), np.uint64, _earlier)
     span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -114,7 +114,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         return pa.Table.from_arrays([doc, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())], ["doc", "n_words", "n_removed", "spans", "kept"])
 
     schema = ex.result_schema(chunks, "n_words long, n_removed long, spans array<struct<first:bigint,last:bigint>>, kept string")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tc.tidied(apply), schema)
 
 
 def _joined(c: _Chunk, kept: np.ndarray) -> list[bytes]:

@@ -186,14 +186,14 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     def ask2(key: tuple, rows: pa.Table) -> pa.Table:
         return ex.asked(key[0].as_py(), _Chunk(ex.ordered(rows), width, gram, n_parts).pairs)
 
-    answers2 = ex.answer(by_chunk.applyInArrow(ask2, ex.ASKED), _PAIR, _second_digit, kind=2)
+    answers2 = ex.answer(by_chunk.applyInArrow(tc.tidied(ask2), ex.ASKED), _PAIR, _second_digit, kind=2)
 
     def ask3(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         c = _Chunk(ex.ordered(rows), width, gram, n_parts)
         c.third(*c.second(ex.replies(answers, 2)))
         return ex.asked(key[0].as_py(), c.windows)
 
-    answers3 = ex.answer(by_chunk.cogroup(answers2.groupBy("chunk")).applyInArrow(ask3, ex.ASKED), _WINDOW, _third_digit, kind=3)
+    answers3 = ex.answer(by_chunk.cogroup(answers2.groupBy("chunk")).applyInArrow(tc.tidied(ask3), ex.ASKED), _WINDOW, _third_digit, kind=3)
     span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -217,7 +217,7 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         return pa.Table.from_arrays([rows.column("doc").combine_chunks(), pa.array(np.diff(o), pa.int64()), pa.array(np.diff(sums[o]), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc", "n_bytes", "n_removed", "spans", "kept"])
 
     schema = ex.result_schema(chunks, "n_bytes long, n_removed long, spans array<struct<first:bigint,last:bigint>>, kept binary")
-    return by_chunk.cogroup(answers2.unionAll(answers3).groupBy("chunk")).applyInArrow(apply, schema)
+    return by_chunk.cogroup(answers2.unionAll(answers3).groupBy("chunk")).applyInArrow(tc.tidied(apply), schema)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
