@@ -6,13 +6,13 @@ signature of the minima's low BITS bits. Documents of equal sets form a class. C
 a band key are candidates; their similarity is estimated from the signatures by bit counts,
 corrected for chance agreement of 2**-BITS. What is clearly below the threshold goes, everything else is
 confirmed on the full sets. A pair at similarity 0.8 shares no band with probability
-(1 - 0.8**4)**32 = 5e-8, and the estimate's margin is about seven standard deviations.
+(1 - 0.8**4)**32 = 5e-8, and the estimate's margin is more than five standard deviations.
 
 No bucket is expanded into pairs. First each class meets the least class of its buckets, and
 confirmed links are joined to components. Then only buckets that still hold more than one component
-matter: their classes outside the bucket's first component are compared with the others' signatures in
-blocks, and what passes and is of another component is confirmed. So no link between
-components is lost, and pairs within a component are not looked at.
+matter: their classes outside the bucket's first component are compared with the others, in blocks, by
+signatures first and then by full sets. So no link between components is lost, and pairs within a
+component are not looked at.
 
 Defined results: null and empty texts and texts without words have empty sets and are linked
 with nothing; rows that share an id are one document; a row with a null id belongs to the class of
@@ -36,7 +36,7 @@ from quillon.llm.tables import table, written
 PERMUTATIONS, BANDS, ROWS, BITS = 128, 32, 4, 4
 WORDS = 5
 PERCENT = 80
-MARGIN = 0.25
+MARGIN = 0.2
 BLOCK = 512
 NO_ID = (1 << 63) - 1
 _RNG = np.random.default_rng(5)
@@ -158,10 +158,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                both = int((y[at] == x).sum()) if len(y) else 0
-                ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+                ok.append(_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keep], ["a", "b", "ok"])
 
@@ -171,44 +168,92 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return p.mapInArrow(tc.tidied_batches(run), "a long, b long, ok boolean").where("ok").select("a", "b")
 
 
-def _residual(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and whose signatures allow a link.
+CELL = "key long, i int, j int, rep long"
 
-    A bucket's rows outside its first component, in blocks, meet all its rows, in blocks.
+
+def _cells(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, band, i, j, rep, label, asks): the blocks of mixed buckets that are to be compared.
+
+    A mixed bucket holds more than one component. Its rows outside its first component, in
+    blocks, meet all its rows, in blocks; `asks` tells the two sides apart.
     """
     named = written(buckets.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
     mixed = named.groupBy("key").agg(F.min("band").alias("band"), F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("n")).where("first <> last")
-    rows = written(named.join(mixed.select("key", "band", "first", "n"), ["key", "band"]), "mixed")
+    rows = named.join(mixed.select("key", "band", "first", "n"), ["key", "band"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = written(rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "mixed")
     outside = rows.where("label <> first")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    sized = rows.withColumn("blocks", blocks).withColumn("block", block)
-    left = outside.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.col("block").alias("i"), F.col("other").alias("j"), "rep", "label", F.lit(True).alias("asks"))
-    asking = outside.withColumn("i", F.pmod(F.xxhash64("rep"), blocks).cast("int")).select("key", "band", "i").distinct()
-    right = sized.join(asking, ["key", "band"]).select("key", "i", F.col("block").alias("j"), "rep", "label", F.lit(False).alias("asks"))
-    cells = left.unionAll(right).join(classes.select("rep", "n_shingles", "signature"), "rep")
-    shift = [np.uint64(k) for k in range(1, BITS)]
+    left = outside.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", F.col("block").alias("i"), "j", "rep", "label", F.lit(True).alias("asks"))
+    asking = outside.select("key", "band", F.col("block").alias("i")).distinct()
+    right = rows.join(asking, ["key", "band"]).select("key", "band", "i", F.col("block").alias("j"), "rep", "label", F.lit(False).alias("asks"))
+    return left.unionAll(right)
+
+
+def _compared(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each asking row of a cell, the other side's rows of other components that sizes and signatures
+    allow to be linked with it, and that share no earlier band, where the same two meet already."""
+    asks = table.column("asks").to_numpy()
+    band = table.column("band")[0].as_py()
+    label, n = table.column("label").to_numpy(), table.column("n_shingles").to_numpy()
+    s = np.array(table.column("signature").to_pylist(), np.int64).view(np.uint64)
+    earlier = np.array(table.column("bands").to_pylist(), np.int64)[:, :band]
     ones = np.uint64(int("1" * (64 // BITS), 1 << BITS))
     chance, floor = 2.0**-BITS, percent / 100 - MARGIN
-
-    def compare(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy()
-        rep, label, n = (t.column(c).to_numpy() for c in ("rep", "label", "n_shingles"))
-        s = np.array(t.column("signature").to_pylist(), np.int64).view(np.uint64)
-        a, b, out = np.flatnonzero(asks), np.flatnonzero(~asks), []
-        for k in a.tolist():
-            m = b[(label[b] != label[k]) & (100 * np.minimum(n[b], n[k]) >= percent * np.maximum(n[b], n[k]))]
-            x = s[m] ^ s[k]
-            y = x.copy()
-            for v in shift:
-                y |= x >> v
-            differ = np.bitwise_count(y & ones).sum(1)
-            good = m[(1 - differ / PERMUTATIONS - chance) / (1 - chance) >= floor]
-            out += [(min(int(rep[k]), int(rep[g])), max(int(rep[k]), int(rep[g]))) for g in good.tolist()]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
-
-    return cells.groupBy("key", "i", "j").applyInArrow(tc.tidied(compare), "a long, b long").distinct()
+    rest = np.flatnonzero(~asks)
+    for k in np.flatnonzero(asks).tolist():
+        m = rest[(label[rest] != label[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))]
+        y = s[m] ^ s[k]
+        x = y.copy()
+        for v in range(1, BITS):
+            y |= x >> np.uint64(v)
+        agree = 1 - np.bitwise_count(y & ones).sum(1) / PERMUTATIONS
+        m = m[(agree - chance) / (1 - chance) >= floor]
+        m = m[~(earlier[m] == earlier[k]).any(1)]
+        if len(m):
+            yield k, m
+
+
+def _residual(cells: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, **options) -> DataFrame:
+    """Links between components that share a bucket, at least one for each two components that have any.
+
+    First each cell names the rows that take part in a possible link; these get their full sets, and
+    each cell confirms in place, so that only links leave it, never pairs.
+    """
+    known = classes.select("rep", "n_shingles", "signature", "bands")
+
+    def name(table: pa.Table) -> pa.Table:
+        found: set[int] = set()
+        for k, m in _compared(table, percent):
+            found.add(k)
+            found.update(m.tolist())
+        return table.select(["key", "i", "j", "rep", "asks"]).take(pa.array(sorted(found), pa.int64()))
+
+    taking = written(cells.join(known, "rep").groupBy("key", "i", "j").applyInArrow(tc.tidied(name), CELL + ", asks boolean"), "taking")
+    sets = written(_sets(docs, taking.select("rep").distinct().join(classes.select("rep", "digest"), "rep").select(F.col("rep").alias("v"), F.col("digest").alias("want")), **options), "sets")
+    full = classes.select("rep", "digest").join(sets.withColumnRenamed("want", "digest"), "digest").select("rep", "members")
+
+    def confirm(table: pa.Table) -> pa.Table:
+        rep, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
+        members = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        links, met = [], set()
+        for k, m in _compared(table, percent):
+            for other in m.tolist():
+                pair = (label[k], label[other])
+                if pair not in met and _linked(members[k], members[other], percent):
+                    met.add(pair)
+                    links.append((min(rep[k], rep[other]), max(rep[k], rep[other])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    rows = taking.join(cells, ["key", "i", "j", "rep", "asks"]).join(known, "rep").join(full, "rep")
+    return rows.groupBy("key", "i", "j").applyInArrow(tc.tidied(confirm), "a long, b long").distinct()
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Are two sorted sets similar enough?"""
+    if not len(x) or not len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -231,13 +276,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     if not more.isEmpty():
         links = links.unionAll(more)
         labels = components(links)
-    rest = written(_residual(shared.select("rep", "band", "key"), labels, classes_slim, percent), "rest")
-    if not rest.isEmpty():
-        need = rest.select(F.col("a").alias("rep")).unionAll(rest.select(F.col("b").alias("rep"))).distinct()
-        sets = written(_sets(docs, need.join(classes_slim, "rep").select(F.col("rep").alias("v"), F.col("digest").alias("want")), **options), "sets")
-        last = written(_confirmed(rest, classes_slim, sets, percent), "links")
-        if not last.isEmpty():
-            labels = components(links.unionAll(last))
+    cells = written(_cells(shared.select("rep", "band", "key"), labels), "cells")
+    last = written(_residual(cells, classes, docs, percent, **options), "links")
+    if not last.isEmpty():
+        labels = components(links.unionAll(last))
     named = written(classes.select("digest", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component")), "named")
     out = rows.select("ident", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
     return out.select("ident", "n_shingles", F.coalesce("component", "ident").alias("component"))
