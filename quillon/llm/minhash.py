@@ -37,7 +37,7 @@ PERMUTATIONS, BANDS, ROWS, BITS = 128, 32, 4, 4
 WORDS = 5
 PERCENT = 80
 MARGIN = 0.2
-BLOCK = 512
+BLOCK = 2048
 NO_ID = (1 << 63) - 1
 _RNG = np.random.default_rng(5)
 _A = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
