@@ -70,6 +70,7 @@ def mix(
     text: str = "text",
     source: str = "source",
     doc_id: str = "doc_id",
+    size: str | None = None,
     weights: tuple[int, ...] = WEIGHTS,
     most: float = MOST,
     buckets: int = BUCKETS,
@@ -77,11 +78,13 @@ def mix(
 ) -> DataFrame:
     """All columns of docs under `doc`, and size, source_size, target, rate, copies.
 
-    The shuffles carry what the caller goes on to use: without `doc.text` no text moves.
+    size names a column that already has the number of words; docs then needs no text, and
+    the shuffles carry as little as docs has.
     """
     ident = F.col(doc_id).cast("long")
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _source_key(F.col(source)).alias("key"), n_words(F.col(text)).alias("size"), F.pmod(F.coalesce(ident, F.lit(0)), F.lit(buckets)).cast("int").alias("bucket"), ident.alias("ident"))
-    slim = docs.select(_source_key(F.col(source)).alias("key"), n_words(F.col(text)).alias("size"), F.pmod(F.coalesce(ident, F.lit(0)), F.lit(buckets)).cast("int").alias("bucket"))
+    words = F.col(size).cast("long") if size else n_words(F.col(text))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _source_key(F.col(source)).alias("key"), words.alias("size"), F.pmod(F.coalesce(ident, F.lit(0)), F.lit(buckets)).cast("int").alias("bucket"), ident.alias("ident"))
+    slim = docs.select(_source_key(F.col(source)).alias("key"), words.alias("size"), F.pmod(F.coalesce(ident, F.lit(0)), F.lit(buckets)).cast("int").alias("bucket"))
     cells = slim.groupBy("key", "size", "bucket").agg(F.count("*").alias("n"))
     by_size = cells.groupBy("key", "size").agg(F.sum("n").alias("n_size"))
     targets = source_targets(by_size.groupBy("key").agg(F.sum(F.col("n_size") * F.col("size")).alias("source_size")), weights, most)
@@ -106,7 +109,8 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"))
+    m = mix(sized, size="words")
     return m.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
