@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -192,6 +193,23 @@ def test_licenses(spark):
     assert got[n + 1][0].license is None and got[n + 2] == got[n + 3] == [] and got[n + 4][0].license == "MIT"
 
 
+def licenses_of(spark, texts):
+    d = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    return [r.licenses for r in sorted(d.collect(), key=lambda r: r.doc_id)]
+
+
+def test_wordings_of_licenses(spark):
+    named = lambda t: {r.license for r in licenses_of(spark, [t])[0]}
+    assert named("All rights reserved.") == named("Copyright (c) 2020 X. All rights reserved.") == {"Proprietary"}
+    assert named("Dual-licensed under the MIT License or the Apache License, Version 2.0.") == {"MIT", "Apache-2.0"}
+    assert named("Released by us under the MIT License.") == {"MIT"}
+    assert named("Published under the GNU Affero General Public License, version 2.") == named("Licensed under CC BY-NC-SA 4.0.") == {None}
+    for name in ("MIT", "BSD", "Unlicense"):
+        text = "\n".join(textwrap.wrap(licenses.WORDINGS[name][-1], 70))
+        (r,) = licenses_of(spark, [f"Program\n\n{text}\n\nÜnd more"])[0]
+        assert (r.license, r.differences) == (name, 0) and r.last - r.first >= len(text) - 1
+
+
 def test_differences():
     assert licenses.differences("a b c d".split(), "x a b z d y".split())[0] == 1
     assert licenses.differences("a b".split(), [])[0] == 2
