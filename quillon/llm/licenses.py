@@ -109,8 +109,6 @@ def blocks(raw: bytes) -> Iterator[tuple[int, int]]:
     """(first byte, end) of each block; blocks that meet are one."""
     last = None
     for cue in CUES.finditer(raw):
-        if last and cue.start() < last[1]:
-            continue
         a = max(raw.rfind(b"\n", 0, cue.start()) + 1, 0)
         b = raw.find(b"\n", cue.end())
         b = len(raw) if b < 0 else b
@@ -121,7 +119,7 @@ def blocks(raw: bytes) -> Iterator[tuple[int, int]]:
             end = SENTENCE.search(raw, cue.end() + REACH // 2, cue.end() + REACH)
             b = end.start() + 1 if end else cue.end() + REACH
         if last and a < last[1]:
-            a = last[0]
+            a, b = last[0], max(b, last[1])
         elif last:
             yield last
         last = (a, b)

@@ -210,6 +210,19 @@ def test_wordings_of_licenses(spark):
         assert (r.license, r.differences) == (name, 0) and r.last - r.first >= len(text) - 1
 
 
+@pytest.mark.parametrize("n", [100, 180, 400, 5000])
+def test_licenses_in_prose(spark, n):
+    rng = random.Random(n)
+    prose = lambda k: words(rng, k // 4, 10**6)[:k].rsplit(" ", 1)[0]
+    known = licenses.TEMPLATES
+    lines = {(name, i): line for name, text in known.items() for i, line in enumerate((f"{prose(n)}. {text}", f"{prose(n)}. {text} {prose(n)}", f"{prose(500)} licensed {prose(370)} {text} {prose(n)}"))}
+    for (name, _), found in zip(lines, licenses_of(spark, lines.values()), strict=True):
+        assert (name, 0) in {(r.license, r.differences) for r in found}
+    # notices that stand apart in one long line, the second in reach of the first
+    (found,) = licenses_of(spark, [f"{prose(500)} {known['MIT']} {prose(300)} {known['Apache-2.0']} {prose(300)} {known['GPL-2.0']} {prose(n)}"])
+    assert {"MIT", "Apache-2.0", "GPL-2.0"} <= {r.license for r in found}
+
+
 def test_differences():
     assert licenses.differences("a b c d".split(), "x a b z d y".split())[0] == 1
     assert licenses.differences("a b".split(), [])[0] == 2
