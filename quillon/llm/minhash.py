@@ -72,6 +72,12 @@ def minima(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, out
 
 
+def _digests(owner: np.ndarray, hashes: np.ndarray, n_rows: int) -> list[bytes]:
+    """The digest of each row's set."""
+    ends = np.cumsum(np.bincount(owner, minlength=n_rows)).tolist()
+    return [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def packed(low: np.ndarray) -> np.ndarray:
     """Rows of 64-bit words holding the low BITS bits of each minimum."""
     per = 64 // BITS
@@ -99,8 +105,7 @@ def sketches(docs: DataFrame, *, text: str, doc_id: str, words: int) -> DataFram
             for i, j in tc.slices(offsets):
                 owner, h = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 n = np.bincount(owner, minlength=j - i)
-                ends = np.cumsum(n)
-                digests = [hashlib.blake2b(h[e - k : e].tobytes(), digest_size=16).digest() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                digests = _digests(owner, h, j - i)
                 rows, m = minima(owner, h)
                 s, b = np.zeros((j - i, PERMUTATIONS * BITS // 64), np.uint64), np.zeros((j - i, BANDS), np.uint64)
                 s[rows], b[rows] = packed(m), band_keys(m)
@@ -258,6 +263,11 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(ident, n_shingles, component) of every row; ident NO_ID is a null id."""
+    return _with_components(docs, text=text, doc_id=doc_id, words=words, percent=percent).drop("digest")
+
+
+def _with_components(docs: DataFrame, *, text: str, doc_id: str, words: int, percent: int) -> DataFrame:
+    """near_duplicates and the digest of each row's set, null for an empty one."""
     options = {"text": text, "doc_id": doc_id, "words": words}
     rows = written(sketches(docs, **options), "sketches")
     full = rows.where("n_shingles > 0")
@@ -282,7 +292,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         labels = components(links.unionAll(last))
     named = written(classes.select("digest", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component")), "named")
     out = rows.select("ident", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
-    return out.select("ident", "n_shingles", F.coalesce("component", "ident").alias("component"))
+    return out.select("ident", "n_shingles", F.coalesce("component", "ident").alias("component"), "digest")
 
 
 def _other_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -291,15 +301,26 @@ def _other_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return p.where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
 
 
-def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs without those whose component has a smaller id."""
-    found = near_duplicates(docs, text=text, doc_id=doc_id, **options)
-    gone = found.where("component < ident").select("ident").distinct()
-    key = "_ident"
-    while key in docs.columns:
-        key += "_"
-    d = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
-    return d.join(gone.withColumnRenamed("ident", key), key, "left_anti").drop(key)
+def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs without those whose component has a smaller id.
+
+    Rows of one id may hold several texts, and null ids are no id: a row goes by its id and its set.
+    """
+    found = _with_components(docs, text=text, doc_id=doc_id, words=words, percent=percent)
+    gone = found.where("component < ident").select("ident", "digest").distinct()
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets, _ = tc.text_buffer(batch.column(1).field(at))
+            for i, j in tc.slices(offsets):
+                owner, h = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(_digests(owner, h, j - i), pa.binary()), batch.column(1).slice(i, j - i)], ["ident", "digest", "row"])
+
+    ident = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID))
+    rows = docs.select(ident.alias("ident"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = rows.mapInArrow(tc.tidied_batches(run), "ident long, digest binary, row " + docs.schema.simpleString())
+    return keyed.join(gone, ["ident", "digest"], "left_anti").select("row.*")
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

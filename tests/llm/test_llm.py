@@ -287,6 +287,14 @@ def test_near_duplicates_of_odd_rows(spark, odd, nothing):
     assert minhash.one_of_each(nothing).count() == 0
 
 
+def test_copies_go_without_rows_that_share_their_id(spark):
+    rng = random.Random(3)
+    a, b, c, d = (words(rng, 60, 10**6) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (None, None), (2, c), (5, a), (5, d), (5, "")]
+    got = minhash.one_of_each(frame(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, a), (None, b), (None, None), (2, c), (5, d), (5, "")])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (5, 5)]
     got = {r.v: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
