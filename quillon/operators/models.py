@@ -178,9 +178,16 @@ def uplift(models, df: DataFrame, features: Sequence[str], out: str = "uplift")
 
 def group_split(df: DataFrame, key: str, fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(rest, held out): max(1, int(n * fraction)) keys with all their rows are held out."""
-    keys = df.select(key).distinct()
-    n = max(1, int(keys.count() * fraction))
-    out = keys.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    keys = df.select(key).distinct().select(key, F.xxhash64(F.col(key), F.lit(seed)).alias("_hash")).withColumn("_bucket", F.shiftright("_hash", 48))
+    sizes = sorted((r["_bucket"], r["count"]) for r in keys.groupBy("_bucket").count().collect())
+    n = max(1, int(sum(c for _, c in sizes) * fraction))
+    # whole buckets of hashes below a threshold; only the one in which the count is reached is put in order
+    edge, left = -(1 << 15), n
+    for edge, count in sizes:
+        if left <= count:
+            break
+        left -= count
+    out = keys.where(F.col("_bucket") < edge).select(key).unionAll(keys.where(F.col("_bucket") == edge).orderBy("_hash", key).limit(left).select(key))
     return df.join(out, key, "left_anti"), df.join(out, key, "left_semi")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -250,6 +251,15 @@ def test_monotone_model_keeps_signs(spark):
     assert m.coefficients[0] >= 0 >= m.coefficients[1]
 
 
+def test_group_split_orders_few_keys(spark):
+    d = spark.range(20000).select(F.col("id").alias("k"))
+    rest, held = models.group_split(d, "k", 0.25)
+    least = [r.k for r in d.orderBy(F.xxhash64("k", F.lit(42)), "k").limit(5000).collect()]
+    assert {r.k for r in held.collect()} == set(least) and rest.count() == 15000
+    limits = [int(x) for x in re.findall(r"(?:GlobalLimit|TakeOrderedAndProject\(limit=) ?(\d+)", held._jdf.queryExecution().toString())]
+    assert limits and max(limits) < 100
+
+
 def test_group_split(spark):
     d = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
     rest, held = models.group_split(d, "k", 0.2)
