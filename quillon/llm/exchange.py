@@ -1,15 +1,20 @@
 """Chunks of documents that ask about keys, and parts of the key space that answer.
 
 Finding repeats needs every window of a corpus to meet its equals, but a row per window is far
-more than the corpus itself. Here documents are grouped into chunks of some MB. A task sees a
-whole chunk, forms its keys (hashes), sorts them and removes repeats, which also settles
-the repeats within the chunk, so that no key, however frequent, is sent more than once by a
-chunk. The keys go, packed as binary, to the parts that own them; a part sees all chunks' keys of
-its range and answers with a few bits for each, in the order in which they were sent. The answers
-meet the chunk's texts again. Spark deals out, shuffles, sorts and recovers all of it:
-chunks and parts are ordinary groups, and the exchange of the texts by chunk is used several times.
-
-Chunks are ranges of ids in ascending order: what lies in an earlier chunk has smaller ids.
+more than the corpus itself. Here documents are dealt to chunks of some MB by a hash of id and text.
+A task sees a whole chunk, forms its keys and removes repeats, which also settles the repeats
+within the chunk, so that no key, however frequent, is sent more than once by a chunk. The keys
+go, packed as binary, to the parts that own them; a part sees all chunks' keys of its range and
+answers with a few bits for each, in the order in which they were sent. The answers meet the
+chunk's texts again. Spark deals out, shuffles, sorts and recovers all of it: chunks and parts
+are ordinary groups, and the exchange of the texts by chunk, compressed one by one, is used several times.
+
+A first, small question screens the keys: a fingerprint of 32 bits beside the part's number
+tells which keys no other chunk has. Only what passes is sent whole and compared byte by byte, so a
+fingerprint that two keys share costs a little and changes nothing.
+
+Neither ids nor their order matter for the dealing: null, equal or outlying ids do not fill a
+chunk. Chunks and parts grow with the input once there are MOST of them, up to 16 times their first size.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,34 +33,47 @@ from quillon.llm import textcols as tc
 
 CHUNK_BYTES = 4 << 20
 PART_BYTES = 8 << 20
-PIECES = 64
+MOST = 1 << 14
 LAST_ID = (1 << 63) - 1
-ASKED = "part int, chunk long, keys binary"
+ASKED = "part int, chunk long, data binary"
 ANSWERED = "chunk long, part int, kind int, bits binary"
-_ASKED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary())])
+_ASKED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary())])
 _ANSWERED = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("bits", pa.binary())])
+_LOW = np.uint64(0xFFFFFFFF)
+_HALF = np.uint64(32)
+
+
+def grown(size: int, total: int) -> int:
+    """Bytes of a chunk or part for an input of `total` bytes."""
+    return int(min(max(size, total / MOST), 16 * size))
 
 
 def chunked(docs: DataFrame, *, text: str, doc_id: str, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
-    """(chunk, ident, body, doc: all columns) and the number of parts.
-
-    ident is the id as a long, a null one after all others. One pass over the table finds its
-    bytes and PIECES quantiles of the ids; between quantiles, chunks divide the ids evenly.
-    """
-    ident = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
-    rows = docs.select(ident.alias("ident"), F.col(text).alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    probabilities = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
-    found = rows.agg(F.sum(F.octet_length("body")).alias("bytes"), F.percentile_approx("ident", probabilities, 1000).alias("cuts"), F.min("ident").alias("low"), F.max(F.when(F.col("ident") < LAST_ID, F.col("ident"))).alias("high")).first()
-    total = found.bytes or 0
-    cuts = sorted({found.low or 0, *(found.cuts or [])})
-    per = max(1, ceil(total / chunk_bytes / len(cuts)))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-    ends = F.array(*[F.lit(c).cast("long") for c in [*cuts[1:], max(found.high or 0, cuts[-1]) + 1 if cuts[-1] < LAST_ID else LAST_ID]])
-    piece = F.size(F.filter(bounds, lambda b: b <= F.col("ident")))
-    low, high = F.element_at(bounds, F.col("piece")), F.element_at(ends, F.col("piece"))
-    share = F.least((F.col("ident").cast("double") - low) / F.greatest(high.cast("double") - low, F.lit(1.0)), F.lit(0.999999))
-    chunk = (F.col("piece") * per + F.floor(share * per)).cast("long")
-    return rows.withColumn("piece", piece).select(chunk.alias("chunk"), "ident", "body", "doc"), max(1, ceil(total / part_bytes))
+    """(chunk, ident, body, doc) and the number of parts. ident: the id as a long, LAST_ID for null.
+    body: the text's UTF-8 bytes, compressed, null as it is. doc: all other columns."""
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
+    n_chunks = max(1, ceil(total / grown(chunk_bytes, total)))
+    ident = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID))
+    chunk = F.pmod(F.xxhash64(ident, F.col(f"`{text}`")), F.lit(n_chunks)).cast("long")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    rows = docs.select(chunk.alias("chunk"), ident.alias("ident"), F.col(f"`{text}`").cast("binary").alias("body"), doc.alias("doc"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            packed = [None if x is None else z.compress(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), batch.column(3)], ["chunk", "ident", "body", "doc"])
+
+    return rows.mapInArrow(tc.tidied_batches(run), rows.schema), max(1, ceil(total / grown(part_bytes, total)))
+
+
+def texts(rows: pa.Table, gap: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, row offsets, validity) of a chunk's bodies, each followed by `gap`; null rows are empty."""
+    z = zstandard.ZstdDecompressor()
+    raw = [b"" if x is None else z.decompress(x) for x in rows.column("body").to_pylist()]
+    offsets = np.cumsum([0, *(len(x) + len(gap) for x in raw)])
+    data = np.frombuffer(gap.join([*raw, b""]) if raw else b"", np.uint8)
+    return data, offsets, ~np.asarray(rows.column("body").is_null(), bool)
 
 
 def result_schema(chunks: DataFrame, more: str) -> T.StructType:
@@ -62,51 +81,30 @@ def result_schema(chunks: DataFrame, more: str) -> T.StructType:
     return T.StructType([chunks.schema["doc"], *T.StructType.fromDDL(more).fields])
 
 
-class Packed:
-    """A chunk's distinct keys in the order of (part, key): what is asked, and where answers belong."""
-
-    def __init__(self, keys: np.ndarray, parts: np.ndarray):
-        """keys: structured or plain array, distinct. parts: of each key."""
-        self.order = np.lexsort((keys, parts))
-        self.keys, own = keys[self.order], parts[self.order]
-        self.parts, self.firsts = np.unique(own, return_index=True)
-        self.lasts = np.append(self.firsts[1:], len(own))[: len(self.firsts)]
+def parts_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Part numbers below n from the upper bits of hashes."""
+    return (((hashes >> _HALF) * np.uint64(n)) >> _HALF).astype(np.int32)
 
-    def blobs(self) -> Iterator[tuple[int, bytes]]:
-        for p, a, b in zip(self.parts.tolist(), self.firsts.tolist(), self.lasts.tolist(), strict=True):
-            yield p, self.keys[a:b].tobytes()
 
-    def answers(self, replies: dict[int, bytes], width: int = 1) -> np.ndarray:
-        """Answer bits of each key, in the order in which the keys were given: keys by width."""
-        out = np.zeros((len(self.keys), width), bool)
-        for p, a, b in zip(self.parts.tolist(), self.firsts.tolist(), self.lasts.tolist(), strict=True):
-            out[a:b] = np.unpackbits(np.frombuffer(replies[p], np.uint8), count=(b - a) * width).reshape(-1, width)
-        back = np.empty_like(out)
-        back[self.order] = out
-        return back
+def pieces(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, first, end) of each run of ascending part numbers."""
+    if not len(parts):
+        return
+    found, firsts = np.unique(parts, return_index=True)
+    yield from zip(found.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(parts)], strict=True)
 
 
-def asked(chunk: int, packed: Packed) -> pa.Table:
-    parts, blobs = zip(*packed.blobs(), strict=True) if len(packed.keys) else ((), ())
-    return pa.Table.from_arrays([pa.array(parts, pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], schema=_ASKED)
+def asked(chunk: int, blobs: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([p for p, _ in blobs], pa.int32()), pa.array([chunk] * len(blobs), pa.int64()), pa.array([b for _, b in blobs], pa.binary())], schema=_ASKED)
 
 
-def answer(questions: DataFrame, dtype, decide: Callable[[np.ndarray, np.ndarray], np.ndarray], *, kind: int = 0) -> DataFrame:
-    """For each part: decide(keys, chunk numbers), both of all chunks in ascending order, gives answer bits (keys or keys by width)."""
+def answer(questions: DataFrame, decide: Callable[[list[bytes]], list[bytes]], *, kind: int) -> DataFrame:
+    """For each part: decide(all chunks' data) gives each chunk's answer."""
 
     def run(table: pa.Table) -> pa.Table:
-        chunks = table.column("chunk").to_numpy()
-        order = np.argsort(chunks, kind="stable")
-        blobs = table.column("keys").to_pylist()
-        keys = [np.frombuffer(blobs[i], dtype) for i in order.tolist()]
-        del blobs
-        sizes = [len(k) for k in keys]
-        bits = decide(np.concatenate(keys), np.repeat(chunks[order], sizes))
-        ends = np.cumsum(sizes)
-        packed = [np.packbits(bits[b - n : b]).tobytes() for b, n in zip(ends.tolist(), sizes, strict=True)]
-        part = table.column("part")[0].as_py()
-        n = len(order)
-        return pa.Table.from_arrays([pa.array(chunks[order], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array(packed, pa.binary())], schema=_ANSWERED)
+        bits = decide(table.column("data").to_pylist())
+        n = len(bits)
+        return pa.Table.from_arrays([table.column("chunk").combine_chunks(), table.column("part").combine_chunks(), pa.array([kind] * n, pa.int32()), pa.array(bits, pa.binary())], schema=_ANSWERED)
 
     return questions.groupBy("part").applyInArrow(tc.tidied(run), ANSWERED)
 
@@ -116,11 +114,54 @@ def replies(table: pa.Table, kind: int) -> dict[int, bytes]:
     return dict(zip(rows.column("part").to_pylist(), rows.column("bits").to_pylist(), strict=True))
 
 
-def ordered(table: pa.Table) -> pa.Table:
-    """A chunk's rows by ident."""
-    return table.take(pa.array(np.argsort(table.column("ident").to_numpy(), kind="stable")))
+# The screen
 
 
-def parts_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Part numbers below n from the upper bits of hashes."""
-    return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
+def screen_keys(hashes: np.ndarray, n_parts: int) -> np.ndarray:
+    """(part, fingerprint) of hashes, as one number."""
+    return (parts_of(hashes, n_parts).astype(np.uint64) << _HALF) | (hashes & _LOW)
+
+
+def screen_blobs(keys: np.ndarray) -> list[tuple[int, bytes]]:
+    """Distinct ascending screen keys, packed by part: differences of three bytes where they fit."""
+    out = []
+    low = (keys & _LOW).astype("<u4")
+    for p, a, b in pieces((keys >> _HALF).astype(np.int32)):
+        steps = np.diff(low[a:b], prepend=np.uint32(0))
+        short = int(steps.max()) < 1 << 24
+        out.append((p, (b"\3" if short else b"\4") + (steps.view(np.uint8).reshape(-1, 4)[:, :3] if short else steps).tobytes()))
+    return out
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    if blob[0] == 4:
+        return np.cumsum(np.frombuffer(blob, "<u4", -1, 1), dtype=np.uint32)
+    steps = np.zeros((len(blob) // 3, 4), np.uint8)
+    steps[:, :3] = np.frombuffer(blob, np.uint8, -1, 1).reshape(-1, 3)
+    return np.cumsum(steps.view("<u4").reshape(-1), dtype=np.uint32)
+
+
+def _in_two(blobs: list[bytes]) -> list[bytes]:
+    """For each chunk's fingerprints: does another chunk have it?"""
+    keys = [_unpacked(b) for b in blobs]
+    every = np.sort(np.concatenate(keys))
+    again = every[1:][every[1:] == every[:-1]]
+    out = []
+    for k in keys:
+        at = np.searchsorted(again, k)
+        at[at == len(again)] = 0
+        out.append(np.packbits(again[at] == k if len(again) else np.zeros(len(k), bool)).tobytes())
+    return out
+
+
+def screened(questions: DataFrame) -> DataFrame:
+    """Answers of kind 0: which fingerprints another chunk has too."""
+    return answer(questions, _in_two, kind=0)
+
+
+def passed(keys: np.ndarray, bits: dict[int, bytes]) -> np.ndarray:
+    """Those of a chunk's distinct ascending screen keys that another chunk has."""
+    out = np.zeros(len(keys), bool)
+    for p, a, b in pieces((keys >> _HALF).astype(np.int32)):
+        out[a:b] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=b - a)
+    return out

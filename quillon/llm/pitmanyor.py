@@ -50,7 +50,7 @@ class _Chunk:
     """A chunk's tokens, its distinct words by part, and its distinct (word, context) pairs."""
 
     def __init__(self, rows: pa.Table, n_parts: int, train: np.ndarray):
-        data, offsets, _ = tc.text_buffer(rows.column("body"))
+        data, offsets, _ = ex.texts(rows)
         n_rows = len(offsets) - 1
         words, contexts, owner = [], [], []
         for i, j in tc.slices(offsets):
@@ -195,7 +195,7 @@ def _learn(asked: DataFrame, n_parts: int, seed: int) -> DataFrame:
         part = table.column("part")[0].as_py()
         chunks = table.column("chunk").to_numpy()
         order = np.argsort(chunks, kind="stable")
-        blobs = table.column("keys").to_pylist()
+        blobs = table.column("data").to_pylist()
         parsed = [_unpacked(blobs[i]) for i in order.tolist()]
         del blobs
         words, at_word = np.unique(np.concatenate([x[0] for x in parsed]), return_inverse=True)
@@ -228,7 +228,7 @@ def _learn(asked: DataFrame, n_parts: int, seed: int) -> DataFrame:
 
 def score(docs: DataFrame, train: str, *, text: str = "text", doc_id: str = "doc_id", seed: int = 1) -> DataFrame:
     """doc (all columns), n_tokens, n_known, train_tokens, base_score and score, learning from rows whose column `train` is true."""
-    at_train = docs.columns.index(train)
+    at_train = [c for c in docs.columns if c != text].index(train)
     chunks, n_parts = ex.chunked(docs, text=text, doc_id=doc_id)
 
     def chunk(rows: pa.Table) -> _Chunk:
@@ -237,7 +237,7 @@ def score(docs: DataFrame, train: str, *, text: str = "text", doc_id: str = "doc
         return _Chunk(rows, n_parts, np.array([bool(x) for x in flags.to_pylist()], bool))
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
-        parts, blobs = zip(*chunk(ex.ordered(rows)).blobs(), strict=True)
+        parts, blobs = zip(*chunk(rows).blobs(), strict=True)
         return pa.Table.from_arrays([pa.array(parts, pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], schema=ex._ASKED)
 
     learned = written(_learn(chunks.groupBy("chunk").applyInArrow(tc.tidied(ask), ex.ASKED), n_parts, seed), "learned")
@@ -249,7 +249,6 @@ def score(docs: DataFrame, train: str, *, text: str = "text", doc_id: str = "doc
     c_k, t_k = totals[4 : 4 + CONTEXTS], totals[4 + CONTEXTS :]
 
     def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = ex.ordered(rows)
         d = chunk(rows)
         by_part = dict(zip(answers.column("part").to_pylist(), answers.column("reply").to_pylist(), strict=True))
         c_w, root, rest = np.zeros(len(d.w)), np.zeros(len(d.w)), np.zeros(len(d.k))

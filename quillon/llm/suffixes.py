@@ -1,38 +1,44 @@
 """Suffix-array dedup: suffixes ordered through `width` bytes by most-significant-digit passes.
 
-Only suffixes that may repeat need more than one digit. The first digit is cut by content: of
-the GRAM-byte strings in a window of `width` bytes, the one with the least hash. Equal windows
-have the same first digit at the same place, so suffixes with a first digit of their own are
-settled. Windows that follow each other and share their digit form a run; the second digit is
-the run's whole string. Equal runs repeat as a whole. Runs that differ while their first
-digit is the same go to the third pass, by each window's remaining bytes, which orders their
-suffixes through all `width` bytes: equal groups are exactly the repeated windows.
+Equal windows of `width` bytes are suffixes that are alike through `width` bytes. Three steps, over chunks of
+documents and parts (see exchange):
 
-Each pass deals digits to parts that own a range of them (see exchange), a chunk of documents
-sends a digit once however often it occurs, and a part's numpy sort is the radix pass's sort.
+1. The dealing pass. Its digit is cut by content: of the GRAM-byte strings in a window, the one
+   with the least hash. Equal windows have the same digit at the same place, so they are dealt to the
+   same part, while one digit stands for some seventy neighbouring suffixes. The screen drops digits that occur once:
+   their suffixes are settled.
+2. A chunk sends each run of neighbouring suffixes with one digit as a string, once however often it occurs there.
+   A part orders whole runs first: equal ones repeat as they are and go on as one.
+3. Where a digit still has different runs, each of their suffixes is ordered from its first byte on by
+   digits of eight bytes, group by group, through `width` bytes; a suffix that is alone in its group
+   drops out (radix.tied). The groups left are exactly the repeated windows.
+
+Every comparison is of bytes; hashes only deal and propose.
 
 Defined results: texts are UTF-8 bytes, null is empty; texts shorter than `width` keep all;
-null ids and repeated rows are documents like others; matches never cross documents.
+null ids and repeated rows are documents like others; matches never cross documents; all columns but
+the text come back under `doc`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import exchange as ex
+from quillon.llm import radix
 from quillon.llm import textcols as tc
 from quillon.llm.tables import table
 
 WIDTH = 200
 GRAM = 64
 _LOW = np.uint64(0xFFFFFFFF)
-_PAIR = np.dtype([("digit", "<u8"), ("run", "<u8"), ("twice", "u1")])
-_WINDOW = np.dtype([("window", "<u8"), ("twice", "u1")])
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -45,161 +51,139 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-class _Runs:
-    """A slice's runs of windows: their first and last starts, first digits and strings' hashes."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
-        lengths = np.diff(offsets)
-        n = len(data)
-        self.n_bytes = n
-        if n < width:
-            self.starts = self.ends = np.zeros(0, np.int64)
-            self.digit = self.run = np.zeros(0, np.uint64)
-            return
-        codes = tc._BYTE_CODES[data]
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes * tc.powers(tc._MULT, n), out=self.sums[1:])
-        grams = self._hash(np.arange(n - gram + 1), gram)
-        packed = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
-        anchor = (sliding_min(packed, width - gram + 1) & _LOW).astype(np.int64)
-        fits = np.zeros(n - width + 1, bool)
-        for a, m in zip(offsets[:-1][lengths >= width].tolist(), lengths[lengths >= width].tolist(), strict=True):
-            fits[a : a + m - width + 1] = True
-        edge = np.ones(len(fits), bool)
-        edge[1:] = (anchor[1:] != anchor[:-1]) | (fits[1:] != fits[:-1])
-        first = np.flatnonzero(edge)
-        last = np.append(first[1:], len(fits))
-        ok = fits[first]
-        # rows of at least `width` bytes that lie side by side are parted by the windows across them
-        self.starts, self.ends = first[ok], last[ok]
-        self.digit = grams[anchor[self.starts]]
-        self.run = self._hash(self.starts, self.ends - self.starts + width - 1)
-
-    def _hash(self, at: np.ndarray, length) -> np.ndarray:
-        inverse = pow(tc._MULT, -1, 1 << 64)
-        h = (self.sums[at + length] - self.sums[at]) * tc.powers(inverse, self.n_bytes + 1)[at]
-        return tc.mix(h + np.asarray(length).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-
-    def windows(self, at: np.ndarray, width: int) -> np.ndarray:
-        return self._hash(at, width)
-
-
-def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(one row of each group, group of each row, rows of each group)."""
-    order = np.lexsort(columns[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return order[new], group, np.bincount(group) if len(group) else np.zeros(0, np.int64)
+def _runs(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that share their digit: first starts, last starts + 1, digits, and hashes of the runs' strings."""
+    lengths, n = np.diff(offsets), len(data)
+    if n < width:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    codes = tc._BYTE_CODES[data]
+    at = np.arange(n - gram + 1)
+    grams = tc.run_hashes(codes, at, at + gram)
+    packed = (grams & ~_LOW) | at.astype(np.uint64)
+    anchor = (sliding_min(packed, width - gram + 1) & _LOW).astype(np.int64)
+    fits = np.zeros(n - width + 1, bool)
+    for a, m in zip(offsets[:-1][lengths >= width].tolist(), lengths[lengths >= width].tolist(), strict=True):
+        fits[a : a + m - width + 1] = True
+    edge = np.ones(len(fits), bool)
+    edge[1:] = (anchor[1:] != anchor[:-1]) | (fits[1:] != fits[:-1])
+    first = np.flatnonzero(edge)
+    last = np.append(first[1:], len(fits))
+    ok = fits[first]
+    # rows of at least `width` bytes that lie side by side are parted by the windows across them
+    starts, ends = first[ok], last[ok]
+    return starts, ends, grams[anchor[starts]], tc.run_hashes(codes, starts, ends + width - 1)
 
 
 class _Chunk:
     def __init__(self, rows: pa.Table, width: int, gram: int, n_parts: int):
-        self.data, self.offsets, self.valid = tc.text_buffer(rows.column("body"))
+        self.data, self.offsets, self.valid = ex.texts(rows)
         self.width, self.n_parts = width, n_parts
-        self.slices = [(int(self.offsets[i]), _Runs(self.data[self.offsets[i] : self.offsets[j]], self.offsets[i : j + 1] - self.offsets[i], width, gram)) for i, j in tc.slices(self.offsets)]
-        join = lambda name, kind: np.concatenate([getattr(r, name) for _, r in self.slices]) if self.slices else np.zeros(0, kind)
-        self.digit, self.run = join("digit", np.uint64), join("run", np.uint64)
-        first, self.group, counts = _distinct(self.digit, self.run)
-        keys = np.empty(len(first), _PAIR)
-        keys["digit"], keys["run"], keys["twice"] = self.digit[first], self.run[first], counts > 1
-        self.pairs = ex.Packed(_Keys.of(keys), ex.parts_of(keys["digit"], n_parts))
-        self.pairs.keys = keys[self.pairs.order]
-
-    def second(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For each run: does it repeat as a whole, and does its digit lead different runs?"""
-        bits = self.pairs.answers(answers, 2)[self.group]
-        return bits[:, 0], bits[:, 1]
-
-    def third(self, whole: np.ndarray, mixed: np.ndarray) -> None:
-        """The windows of the runs that are `mixed`: starts in the chunk and their keys."""
-        at, hashes, known, n = [], [], [], 0
-        for base, r in self.slices:
-            own = slice(n, n + len(r.starts))
-            n += len(r.starts)
-            m = mixed[own]
-            lengths = (r.ends - r.starts)[m]
-            here = np.repeat(r.starts[m] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum()) if m.any() else np.zeros(0, np.int64)
-            if len(here):
-                hashes.append(r.windows(here, self.width))
-                at.append(here + base)
-                known.append(np.repeat(whole[own][m], lengths))
-        self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        known = np.concatenate(known) if known else np.zeros(0, bool)
-        first, self.window, counts = _distinct(h)
-        twice = counts > 1
-        np.logical_or.at(twice, self.window, known)
-        keys = np.empty(len(first), _WINDOW)
-        keys["window"], keys["twice"] = h[first], twice
-        self.twice = twice
-        self.windows = ex.Packed(h[first], ex.parts_of(h[first], self.n_parts))
-        self.windows.keys = keys[self.windows.order]
-
-    def repeated(self, answers2: dict[int, bytes], answers3: dict[int, bytes]) -> np.ndarray:
+        found = []
+        for i, j in tc.slices(self.offsets):
+            base = int(self.offsets[i])
+            s, e, d, h = _runs(self.data[base : self.offsets[j]], self.offsets[i : j + 1] - base, width, gram)
+            found.append((s + base, e + base, d, h))
+        join = lambda k, kind: np.concatenate([x[k] for x in found]) if found else np.zeros(0, kind)
+        self.starts, self.ends, self.digit, self.hash = join(0, np.int64), join(1, np.int64), join(2, np.uint64), join(3, np.uint64)
+        self.keys, self.key = np.unique(ex.screen_keys(self.digit, n_parts), return_inverse=True)
+
+    def survivors(self, bits: dict[int, bytes]) -> None:
+        """Runs whose digit occurs again, here or elsewhere, and their classes."""
+        again = ex.passed(self.keys, bits) | (np.bincount(self.key, minlength=len(self.keys)) > 1)
+        self.run = np.flatnonzero(again[self.key])
+        size = self.ends[self.run] - self.starts[self.run] + self.width - 1
+        self.of, one, kinds = radix.classes(self.data, self.starts[self.run], size, self.hash[self.run])
+        self.times = np.bincount(self.of, minlength=len(one))
+        self.begin, self.size, self.own_digit = self.starts[self.run][one], size[one], self.digit[self.run][one]
+        parts = ex.parts_of(self.own_digit, self.n_parts)
+        self.order = np.lexsort((kinds, parts))
+        self.parts = parts[self.order]
+
+    def blobs(self) -> list[tuple[int, bytes]]:
+        z, out = zstandard.ZstdCompressor(level=1), []
+        for p, a, b in ex.pieces(self.parts):
+            own = self.order[a:b]
+            whole = radix.gathered(self.data, self.begin[own], self.size[own])
+            out.append((p, z.compress(b"".join([struct.pack("<q", b - a), self.own_digit[own].tobytes(), self.size[own].astype("<u4").tobytes(), (self.times[own] > 1).tobytes(), whole.tobytes()]))))
+        return out
+
+    def repeated(self, bits: dict[int, bytes]) -> np.ndarray:
         """Bytes that some repeated window covers."""
-        whole, mixed = self.second(answers2)
-        self.third(whole, mixed)
+        windows = self.size - self.width + 1
+        flags, at = np.zeros(0, bool), np.zeros(len(self.order), np.int64)
+        found, n = [], 0
+        for p, a, b in ex.pieces(self.parts):
+            own = self.order[a:b]
+            each = windows[own]
+            at[own] = n + np.cumsum(each) - each
+            found.append(np.unpackbits(np.frombuffer(bits[p], np.uint8), count=int(each.sum())))
+            n += len(found[-1])
+        flags = np.concatenate(found).astype(bool) if found else flags
+        # each run's windows, by its class's answer
+        count = windows[self.of]
+        again = radix.gathered(flags, at[self.of], count)
+        start = np.repeat(self.starts[self.run] - (np.cumsum(count) - count), count) + np.arange(len(again))
         change = np.zeros(len(self.data) + 1, np.int64)
-        n = 0
-        for base, r in self.slices:
-            w = whole[n : n + len(r.starts)]
-            n += len(r.starts)
-            np.add.at(change, r.starts[w] + base, 1)
-            np.add.at(change, r.ends[w] + base + self.width - 1, -1)
-        again = (self.windows.answers(answers3)[:, 0] | self.twice)[self.window]
-        np.add.at(change, self.at[again], 1)
-        np.add.at(change, self.at[again] + self.width, -1)
+        np.add.at(change, start[again], 1)
+        np.add.at(change, start[again] + self.width, -1)
         return np.cumsum(change[:-1]) > 0
 
 
-class _Keys:
-    """Sort keys for pairs: the order of pairs that are distinct is any fixed one."""
-
-    @staticmethod
-    def of(pairs: np.ndarray) -> np.ndarray:
-        return tc.mix(pairs["digit"] ^ tc.mix(pairs["run"].copy()))
-
-
-def _second_digit(pairs: np.ndarray, chunks: np.ndarray) -> np.ndarray:
-    _, group, _ = _distinct(pairs["digit"], pairs["run"])
-    n = int(group.max()) + 1 if len(group) else 0
-    times = np.bincount(group, weights=1 + pairs["twice"], minlength=n)
-    digit_first, digit_group, _ = _distinct(pairs["digit"])
-    one = np.zeros(n, np.int64)
-    one[group] = digit_group
-    variants = np.bincount(one, minlength=len(digit_first))
-    return np.stack([times[group] > 1, variants[digit_group] > 1], 1)
-
-
-def _third_digit(windows: np.ndarray, chunks: np.ndarray) -> np.ndarray:
-    _, group, _ = _distinct(windows["window"])
-    return np.bincount(group, weights=1 + windows["twice"])[group] > 1 if len(group) else np.zeros(0, bool)
+def _ordered(blobs: list[bytes], width: int) -> list[bytes]:
+    """For each chunk's runs: which of their windows repeat?"""
+    z = zstandard.ZstdDecompressor()
+    raw = [z.decompress(b) for b in blobs]
+    counts = [struct.unpack_from("<q", r)[0] for r in raw]
+    read = lambda kind, at: np.concatenate([np.frombuffer(r, kind, n, 8 + at * n) for r, n in zip(raw, counts, strict=True)])
+    digit, size, twice = read("<u8", 0), read("<u4", 8).astype(np.int64), read(bool, 12)
+    data = np.concatenate([np.frombuffer(r, np.uint8, -1, 8 + 13 * n) for r, n in zip(raw, counts, strict=True)])
+    del raw
+    starts = np.cumsum(size) - size
+    digits, led = np.unique(digit, return_inverse=True)
+    run = radix.tied(data, starts, size, led)
+    alone = run < 0
+    run[alone] = -1 - np.flatnonzero(alone)
+    _, one, kind = np.unique(run, return_index=True, return_inverse=True)
+    whole = np.bincount(kind, weights=1 + twice, minlength=len(one)) > 1
+    windows = size[one] - width + 1
+    first = np.cumsum(windows) - windows
+    again = np.repeat(whole, windows)
+    mixed = np.flatnonzero(np.bincount(led[one], minlength=len(digits))[led[one]] > 1)
+    count = windows[mixed]
+    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    tied = radix.tied(data, np.repeat(starts[one][mixed], count) + step, np.full(len(step), width), np.repeat(led[one][mixed], count))
+    again[(np.repeat(first[mixed], count) + step)[tied >= 0]] = True
+    out, n = [], 0
+    for c in counts:
+        own = kind[n : n + c]
+        n += c
+        out.append(np.packbits(radix.gathered(again, first[own], windows[own])).tobytes())
+    return out
 
 
 def repeated_bytes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """doc (all columns), n_bytes, n_removed, spans (maximal removed runs of bytes) and kept (binary)."""
+    """doc (all columns but the text), n_bytes, n_removed, spans (maximal removed runs of bytes) and kept (binary)."""
     chunks, n_parts = ex.chunked(docs, text=text, doc_id=doc_id)
     by_chunk = chunks.groupBy("chunk")
 
-    def ask2(key: tuple, rows: pa.Table) -> pa.Table:
-        return ex.asked(key[0].as_py(), _Chunk(ex.ordered(rows), width, gram, n_parts).pairs)
+    def ask(key: tuple, rows: pa.Table) -> pa.Table:
+        return ex.asked(key[0].as_py(), ex.screen_blobs(_Chunk(rows, width, gram, n_parts).keys))
 
-    answers2 = ex.answer(by_chunk.applyInArrow(tc.tidied(ask2), ex.ASKED), _PAIR, _second_digit, kind=2)
+    screen = ex.screened(by_chunk.applyInArrow(tc.tidied(ask), ex.ASKED))
 
-    def ask3(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Chunk(ex.ordered(rows), width, gram, n_parts)
-        c.third(*c.second(ex.replies(answers, 2)))
-        return ex.asked(key[0].as_py(), c.windows)
+    def send(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        c = _Chunk(rows, width, gram, n_parts)
+        c.survivors(ex.replies(answers, 0))
+        return ex.asked(key[0].as_py(), c.blobs())
 
-    answers3 = ex.answer(by_chunk.cogroup(answers2.groupBy("chunk")).applyInArrow(tc.tidied(ask3), ex.ASKED), _WINDOW, _third_digit, kind=3)
+    ordered = ex.answer(by_chunk.cogroup(screen.groupBy("chunk")).applyInArrow(tc.tidied(send), ex.ASKED), lambda blobs: _ordered(blobs, width), kind=1)
     span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = ex.ordered(rows)
         c = _Chunk(rows, width, gram, n_parts)
-        gone = c.repeated(ex.replies(answers, 2), ex.replies(answers, 3))
+        c.survivors(ex.replies(answers, 0))
+        gone = c.repeated(ex.replies(answers, 1))
         n, o = len(rows), c.offsets
         sums = np.append(0, np.cumsum(gone))
         edges = np.zeros(len(gone) + 1, bool)
@@ -217,7 +201,7 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         return pa.Table.from_arrays([rows.column("doc").combine_chunks(), pa.array(np.diff(o), pa.int64()), pa.array(np.diff(sums[o]), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc", "n_bytes", "n_removed", "spans", "kept"])
 
     schema = ex.result_schema(chunks, "n_bytes long, n_removed long, spans array<struct<first:bigint,last:bigint>>, kept binary")
-    return by_chunk.cogroup(answers2.unionAll(answers3).groupBy("chunk")).applyInArrow(tc.tidied(apply), schema)
+    return by_chunk.cogroup(screen.unionAll(ordered).groupBy("chunk")).applyInArrow(tc.tidied(apply), schema)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from inspect import getfullargspec
 
@@ -19,6 +20,9 @@ import pyarrow as pa
 #: Bytes of text that one numpy pass handles; bounds temporaries to some tens of MB.
 SLICE_BYTES = 1 << 20
 
+#: Words of more bytes have a cryptographic hash: a polynomial modulo 2**64 gives long words of certain patterns the same one.
+LONG_WORD = 16
+
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 _MULT_W = 0xD1342543DE82EF95
@@ -123,7 +127,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, l
     if lower:
         data = LOWER[data]
     starts, ends, rows = word_bounds(data, offsets, separators)
-    return run_hashes(_BYTE_CODES[data], starts, ends), starts, ends, rows
+    h = run_hashes(_BYTE_CODES[data], starts, ends)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long):
+        digests = [hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        h[long] = np.frombuffer(b"".join(digests), _U)
+    return h, starts, ends, rows
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import components, decontaminate, langid, licenses, media, minhash, mixing, pitmanyor, quality, queries, substring, suffixes
+from quillon.llm import components, decontaminate, langid, licenses, media, minhash, mixing, pitmanyor, quality, queries, radix, substring, suffixes
 from quillon.llm import textcols as tc
 from tests.compare import assert_same, connection
 
@@ -95,6 +95,39 @@ def test_equal_windows_have_equal_hashes():
     assert h[0] == h[2] != h[1]
 
 
+#: Two different words that polynomials modulo 2**64 take for one.
+ALIKE = ["".join("ab"[(i.bit_count() + k) & 1] for i in range(1024)) for k in range(2)]
+
+
+def test_long_words_are_told_apart():
+    raw = [w.encode() for w in ALIKE]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    h, _, _, _ = tc.word_hashes(data, offsets, tc.SPACES)
+    assert h[0] != h[1]
+    assert tc.run_hashes(tc._BYTE_CODES[data], offsets[:-1], offsets[1:])[0] == tc.run_hashes(tc._BYTE_CODES[data], offsets[:-1], offsets[1:])[1]
+
+
+@pytest.mark.parametrize("n", range(1, 40))
+def test_equal_strings_are_tied(n):
+    rng = random.Random(n)
+    strings = ["".join(rng.choice("ab\0") for _ in range(rng.randrange(n))).encode() for _ in range(60)]
+    within = [rng.randrange(2) for _ in strings]
+    data, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(x) for x in strings])
+    got = radix.tied(data, ends - [len(x) for x in strings], np.array([len(x) for x in strings]), np.array(within))
+    times = Counter(zip(strings, within, strict=True))
+    numbers = {}
+    for s, k, g in zip(strings, within, got.tolist(), strict=True):
+        assert (g < 0) == (times[s, k] == 1) and (g < 0 or numbers.setdefault(g, (s, k)) == (s, k))
+
+
+def test_classes_are_exact():
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    at, size = np.array([0, 3, 6]), np.array([3, 3, 3])
+    for hashes in ([1, 2, 1], [7, 7, 7]):
+        of, one, _ = radix.classes(data, at, size, np.array(hashes, np.uint64))
+        assert of[0] == of[2] != of[1] and len(one) == 2
+
+
 # 1 Benchmark decontamination
 
 
@@ -323,6 +356,7 @@ def repeats_brute(rows, width):
 @pytest.mark.parametrize("width", [3, 13])
 @pytest.mark.parametrize("chunk_bytes", [400, 1 << 22])
 def test_substrings(spark, monkeypatch, width, chunk_bytes):
+    monkeypatch.setattr(substring.ex, "PART_BYTES", 40 * chunk_bytes // 4)
     monkeypatch.setattr(substring.ex.chunked, "__kwdefaults__", {**substring.ex.chunked.__kwdefaults__, "chunk_bytes": chunk_bytes, "part_bytes": 2 * chunk_bytes})
     rng = random.Random(width)
     passages = [words(rng, width + k, 30) for k in (-1, 0, 1, 20)]
@@ -358,6 +392,26 @@ def test_suffixes_of_odd_rows(spark, odd, nothing):
     assert suffixes.repeated_bytes(nothing).count() == 0
 
 
+def test_repeats_of_words_that_hash_alike(spark):
+    rng = random.Random(5)
+    rest = words(rng, 12)
+    d = spark.createDataFrame([(1, f"{ALIKE[0]} {rest}"), (2, f"{ALIKE[1]} {rest}"), (3, f"{ALIKE[1]}\n{rest}")], "doc_id long, text string")
+    got = {r.i: r.n_removed for r in substring.remove_repeats(d).select(F.col("doc.doc_id").alias("i"), "n_removed").collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+    got = [r.n_removed for r in suffixes.repeated_bytes(spark.createDataFrame([(1, ALIKE[0][:300]), (2, ALIKE[1][:300])], "doc_id long, text string")).orderBy("doc.doc_id").collect()]
+    assert got == [x[1] for x in suffixes.brute_force([ALIKE[0][:300], ALIKE[1][:300]])]
+
+
+def test_hot_prefixes_are_lengthened(spark):
+    rows = [(i, f"the same {i % 7} " + " ".join(f"w{i}x{k}" for k in range(40)) + " the same") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = substring.hot_prefixes(d, text="text", doc_id="doc_id", width=5, group_bytes=5 * 7 * 60)
+    w = np.array([tc.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]), tc.SPACES)[0][0] for x in ("the", "same", "w1x1")], np.uint64)
+    first = next(substring._prefixes(w, np.array([0, 2]), 5))
+    assert first[0] in hot and first[1] not in hot and len(hot) == 3
+    assert substring._lengthened(np.append(w, w), np.array([0]), 5, hot)[0] not in hot
+
+
 # 8 Language-model scores
 
 
