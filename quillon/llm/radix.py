@@ -20,15 +20,23 @@ def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return data[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
 
 
-def words_at(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as a number whose order is theirs; zeros follow the end."""
-    n = len(data)
-    raw = np.zeros((n // DIGIT + 2) * DIGIT, np.uint8)
-    raw[:n] = data
-    out = np.empty(len(raw) - DIGIT, np.uint64)
-    for k in range(DIGIT):
-        out[k::DIGIT] = np.frombuffer(raw, ">u8", (len(raw) - DIGIT) // DIGIT, k)
-    return out
+class Digits:
+    """The eight bytes from a position on, as a number whose order is theirs; zeros follow the end. No copy but of the buffer."""
+
+    def __init__(self, data: np.ndarray):
+        raw = np.zeros((len(data) // DIGIT + 2) * DIGIT, np.uint8)
+        raw[: len(data)] = data
+        count = len(raw) // DIGIT - 1
+        self.views = [np.frombuffer(raw, ">u8", count, k) for k in range(DIGIT)]
+        self.last = count * DIGIT - 1
+
+    def at(self, positions: np.ndarray) -> np.ndarray:
+        positions = np.minimum(positions, self.last)
+        out, phase, place = np.empty(len(positions), np.uint64), positions & (DIGIT - 1), positions >> 3
+        for k, view in enumerate(self.views):
+            own = phase == k
+            out[own] = view[place[own]]
+        return out
 
 
 def tied(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
@@ -44,7 +52,7 @@ def tied(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, within: np.n
     group = np.zeros(len(starts), np.int64) if within is None else np.unique(within, return_inverse=True)[1]
     if not len(starts):
         return out
-    digits = words_at(data)
+    digits = Digits(data)
     lengths = np.asarray(lengths, np.int64)
     depth, most = 0, int(lengths.max())
     while True:
@@ -53,7 +61,7 @@ def tied(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, within: np.n
             digit = lengths[active].astype(np.uint64)
         else:
             left = np.clip(lengths[active] - depth, 0, DIGIT)
-            digit = digits[np.minimum(starts[active] + depth, len(digits) - 1)]
+            digit = digits.at(starts[active] + depth)
             short = left < DIGIT
             shift = ((DIGIT - left[short]) * 8).astype(np.uint64)
             kept = np.where(shift == 64, np.uint64(0), (digit[short] >> np.minimum(shift, np.uint64(63))) << np.minimum(shift, np.uint64(63)))

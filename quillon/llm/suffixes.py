@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from quillon.llm.tables import table
 
 WIDTH = 200
 GRAM = 64
+#: Suffixes that a part orders at once, but for a digit that leads more.
+ORDERED = 1 << 18
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -130,6 +133,17 @@ class _Chunk:
         return np.cumsum(change[:-1]) > 0
 
 
+def _batches(groups: np.ndarray, weights: np.ndarray, most: int = ORDERED) -> Iterator[slice]:
+    """Slices of ascending groups, whole ones, of about `most` weight."""
+    ends = np.append(np.flatnonzero(groups[1:] != groups[:-1]) + 1, len(groups)) if len(groups) else np.zeros(0, int)
+    sums, a = np.cumsum(weights), 0
+    while a < len(groups):
+        reach = np.searchsorted(sums, (sums[a - 1] if a else 0) + most, "right")
+        b = int(ends[min(np.searchsorted(ends, max(reach, a + 1)), len(ends) - 1)])
+        yield slice(a, b)
+        a = b
+
+
 def _ordered(blobs: list[bytes], width: int) -> list[bytes]:
     """For each chunk's runs: which of their windows repeat?"""
     z = zstandard.ZstdDecompressor()
@@ -150,10 +164,14 @@ def _ordered(blobs: list[bytes], width: int) -> list[bytes]:
     first = np.cumsum(windows) - windows
     again = np.repeat(whole, windows)
     mixed = np.flatnonzero(np.bincount(led[one], minlength=len(digits))[led[one]] > 1)
-    count = windows[mixed]
-    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    tied = radix.tied(data, np.repeat(starts[one][mixed], count) + step, np.full(len(step), width), np.repeat(led[one][mixed], count))
-    again[(np.repeat(first[mixed], count) + step)[tied >= 0]] = True
+    mixed = mixed[np.argsort(led[one][mixed], kind="stable")]
+    for own in _batches(led[one][mixed], windows[mixed]):
+        own = mixed[own]
+        count, lengths = windows[own], size[one][own]
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        base = np.cumsum(lengths) - lengths
+        tied = radix.tied(radix.gathered(data, starts[one][own], lengths), np.repeat(base, count) + step, np.full(len(step), width), np.repeat(led[one][own], count))
+        again[(np.repeat(first[own], count) + step)[tied >= 0]] = True
     out, n = [], 0
     for c in counts:
         own = kind[n : n + c]
