@@ -75,7 +75,8 @@ def _runs(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple
     ok = fits[first]
     # rows of at least `width` bytes that lie side by side are parted by the windows across them
     starts, ends = first[ok], last[ok]
-    return starts, ends, grams[anchor[starts]], tc.run_hashes(codes, starts, ends + width - 1)
+    # least hashes lie close together; mixed again they are dealt evenly
+    return starts, ends, tc.mix(grams[anchor[starts]]), tc.run_hashes(codes, starts, ends + width - 1)
 
 
 class _Chunk:
