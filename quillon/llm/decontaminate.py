@@ -3,12 +3,14 @@ r"""Benchmark decontamination by a broadcast hash set of normalised test n-grams
 Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z became a-z. An item's windows are
 its runs of `width` words, or all its words if it has fewer. The set of window hashes is
 broadcast to the scan of the documents; each hit is confirmed word by word before it counts.
-The set's size is checked against `most_windows` first; a larger set goes in blocks of that
-many windows, one scan each, so that no broadcast ever exceeds the bound.
+The set's size, in pairs of a window and an item that has it, is checked against `most_windows`
+first; a larger set goes in blocks of about that many pairs, one scan each, so that no broadcast ever exceeds
+the bound. A scan hands each row on with what was hit so far, so rows need no key and any number of blocks
+gives the same result.
 
 Defined results: null and empty texts have no words and are clean; an item without words
 has no window; repeated rows are each answered; a null item_id counts as an item of its
-own text but is not listed; empty tables give empty results or clean documents.
+own text but is not listed; spans are maximal runs of hit words; empty tables give empty results or clean documents.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textcols as tc
-from quillon.llm.tables import table
+from quillon.llm.tables import table, written
 
 WIDTH = 10
-#: Windows of one broadcast: about 100 bytes each, words included.
+#: Pairs of window and item of one broadcast: about 100 bytes each, words included.
 MOST_WINDOWS = 1_000_000
 
 
@@ -92,19 +94,20 @@ class _Set:
                         yield i, n, int(ids[k])
 
 
+_STATE = "n_words long, hits binary, spans array<struct<first:bigint,last:bigint>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
 def _scan(docs: DataFrame, found: _Set, text: str) -> DataFrame:
-    """docs' columns under `doc`; n_words, the hit words' byte spans and the items."""
+    """docs (doc: a row's columns; hits, items: of earlier scans, null at first) with what the set adds, and spans of all hits."""
     shared = docs.sparkSession.sparkContext.broadcast(found)
-    schema = "doc " + docs.schema.simpleString() + ", n_words long, hits binary, spans array<struct<first:int,last:int>>, items array<string>"
-    at_text = docs.columns.index(text)
+    at_text = docs.schema["doc"].dataType.names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            column = batch.column(0).field(at_text)
-            if batch.column(0).null_count:
-                raise ValueError("a struct of columns is never null")
-            data, offsets, _ = tc.text_buffer(column)
+            data, offsets, _ = tc.text_buffer(batch.column(0).field(at_text))
+            before, listed = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             n_words, hits, spans, items = [], [], [], []
             for i, j in tc.slices(offsets):
                 part, o = tc.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
@@ -122,38 +125,43 @@ def _scan(docs: DataFrame, found: _Set, text: str) -> DataFrame:
                 for r in range(j - i):
                     a, b = firsts[r], firsts[r + 1]
                     n_words.append(int(b - a))
-                    if r not in by_row:
+                    old = before[i + r]
+                    if r not in by_row and old is None:
                         hits.append(None)
                         spans.append([])
                         items.append([])
                         continue
                     own = hit[a:b]
+                    if old is not None:
+                        own = own | np.unpackbits(np.frombuffer(old, np.uint8), count=b - a).astype(bool)
                     hits.append(np.packbits(own).tobytes())
                     edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
                     first, last = np.flatnonzero(edge == 1) + a, np.flatnonzero(edge == -1) + a - 1
                     spans.append([{"first": int(s - o[r]), "last": int(e - o[r])} for s, e in zip(starts[first], ends[last], strict=True)])
-                    items.append(sorted({x for w in by_row[r] for x in known.items[w] if x is not None}))
-            arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
+                    items.append(sorted({x for w in by_row.get(r, ()) for x in known.items[w] if x is not None}.union(listed[i + r] or ())))
+            arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_words", "hits", "spans", "items"])
 
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return whole.mapInArrow(tc.tidied_batches(run), schema)
+    return docs.select("doc", "hits", "items").mapInArrow(tc.tidied_batches(run), f"doc {docs.schema['doc'].dataType.simpleString()}, {_STATE}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", width: int = WIDTH, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """docs' columns under `doc`, with n_words, n_hit, spans (bytes of hit words) and items (sorted)."""
     windows = benchmark_windows(benchmark, width=width)
-    n = windows.select("window").distinct().count()
-    if n <= most_windows:
-        d = _scan(docs, _Set(windows.collect()), text)
-        return d.select("doc", "n_words", _n_bits("hits").alias("n_hit"), "spans", "items")
-    blocks = -(-n // most_windows)
-    scans = [_scan(docs, _Set(windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect()), text) for b in range(blocks)]
-    return _merged(scans)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    blocks = max(1, -(-windows.count() // most_windows))
+    if blocks > 1:
+        windows = written(windows, "windows")
+    for b in range(blocks):
+        own = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == b)
+        d = _scan(d, _Set(own.collect()), text)
+        if b + 1 < blocks:
+            d = written(d, "scanned")
+    return d.select("doc", "n_words", _n_bits("hits").alias("n_hit"), "spans", "items")
 
 
 def _n_bits(column: str):
-    """Ones in packed bits: bit counts of 4-byte words of the hexadecimal form would do as well; bytes are few."""
+    """Ones in packed bits, from the digits of their hexadecimal form."""
     h = F.hex(column)
     counts = [int(x).bit_count() for x in range(16)]
     total = F.lit(0)
@@ -162,27 +170,6 @@ def _n_bits(column: str):
     return F.coalesce(total, F.lit(0)).cast("long")
 
 
-def _merged(scans: list[DataFrame]) -> DataFrame:
-    """Blocks put together by document: hit words are or-ed, items united."""
-    from functools import reduce
-
-    every = reduce(DataFrame.unionAll, scans)
-
-    @F.pandas_udf("long")
-    def n_hit(parts):
-        import pandas as pd
-
-        def one(xs):
-            xs = [np.frombuffer(x, np.uint8) for x in xs if x is not None]
-            return int(np.unpackbits(np.bitwise_or.reduce(xs)).sum()) if xs else 0
-
-        return pd.Series([one(x) for x in parts])
-
-    key = F.to_json("doc", {"ignoreNullFields": "false"})
-    rows = every.withColumn("key", F.sha2(key, 256)).groupBy("key").agg(F.first("doc").alias("doc"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("parts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), (F.count("*") / len(scans)).cast("int").alias("times"))
-    return rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc", "n_words", n_hit("parts").alias("n_hit"), "spans", "items")
-
-
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """docs without their hit spans; a document of which no word is left goes."""
     d = contamination(docs, benchmark, text=text, **options)
@@ -202,7 +189,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text"
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    left = F.when(F.col("n_hit") > 0, cut(f"doc.{text}", "spans")).otherwise(F.col(f"doc.{text}"))
+    left = F.when(F.col("n_hit") > 0, cut(F.col(f"doc.`{text}`"), "spans")).otherwise(F.col(f"doc.`{text}`"))
     kept = d.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words")))
     return kept.select(*[left.alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns])
 
