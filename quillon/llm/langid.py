@@ -1,19 +1,20 @@
 """Language identification with string kernels.
 
-A text is the set of its hashed character n-grams of several lengths (blended spectrum,
-presence only). The kernel of two texts is the number of n-grams they share over the
+A text is the set of its hashed n-grams of several lengths (blended spectrum, presence only), n-grams of
+bytes of UTF-8, so that no script needs a table of its own; ASCII letters count as lower case. The kernel of two texts is the number of n-grams they share over the
 geometric mean of their numbers. Landmark texts give a Nystroem approximation, in which
 one-versus-rest kernel ridge regression is solved: (K'WK + n*ridge*K_mm) a = K'Wy. Scoring is
 a matrix product of a batch's presence matrix with the landmarks' weighted by a, kept as one
 matrix of n-gram by language, the same product in another order.
 
-Fitting uses a sample bounded by `most_rows` and `landmarks`, those with the smallest hashes
-of their texts; sums over it are formed in tasks and only matrices of landmarks by landmarks
+Fitting uses a sample bounded by `most_rows` for each language and by `landmarks`, those with the smallest hashes
+of their texts, dealt to the languages in turn; sums over it are formed in tasks and only matrices of landmarks by landmarks
 reach the driver. All documents are scored, whole.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without
 labelled rows all are; equal texts get equal results; ties go to the first language by code
-point; a text labelled twice counts once, under its first label; empty tables give empty results.
+point; a text labelled twice counts once, under its first label; input columns with the names of the added ones
+are replaced; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import textcols as tc
-from quillon.llm.tables import hashed_fold, table
+from quillon.llm.tables import hashed_fold, table, written
 
 UNKNOWN = "und"
 DIM_BITS = 16
@@ -88,13 +89,17 @@ class Model:
 def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", landmarks: int = LANDMARKS, most_rows: int = MOST_ROWS, ridge: float = RIDGE) -> Model | None:
     """A model from docs' labelled rows; None where there are none."""
     known = docs.where(F.col(label).isNotNull() & has_letter(F.col(text))).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(text).alias("h"))
-    bound = known.select("h").distinct().orderBy("h").limit(most_rows).agg(F.max("h"), F.count("*")).first()
-    if not bound[1]:
-        return None
-    chosen = known.where(F.col("h") <= bound[0]).groupBy("h").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    # of each language the rows with the smallest hashes, below a bound from a sketch of them
+    share = F.least(F.lit(1.0), F.lit(float(most_rows)) / F.count("*"))
+    bounds = known.groupBy("label").agg(F.percentile_approx("h", F.array(*[F.lit(k / 1000) for k in range(1, 1001)]), 10000).alias("steps"), share.alias("share"))
+    bounds = bounds.select("label", F.element_at("steps", F.greatest(F.lit(1), F.ceil(F.col("share") * 1000).cast("int"))).alias("most"))
+    chosen = written(known.join(F.broadcast(bounds), "label").where("h <= most").groupBy("h").agg(F.min("text").alias("text"), F.min("label").alias("label")), "labelled")
     counts = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
+    if not counts:
+        return None
     languages = sorted(counts)
-    marks = chosen.select("h", "text").orderBy("h").limit(landmarks).select("text").mapInArrow(tc.tidied_batches(_packed), "seen binary").collect()
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    marks = chosen.withColumn("turn", turn).orderBy("turn", "h").limit(landmarks).select("text").mapInArrow(tc.tidied_batches(_packed), "seen binary").collect()
     bits = np.stack([np.frombuffer(r.seen, np.uint8) for r in marks])
     z = _landmarks(bits)
     m, c = len(z), len(languages)
@@ -119,7 +124,7 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", landmarks:
                 cross += k.T @ (y * w[:, None])
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([cross.tobytes()], pa.binary())], ["gram", "cross"])
 
-    parts = chosen.select("text", "label").repartition(8).mapInArrow(tc.tidied_batches(sums), "gram binary, cross binary").collect()
+    parts = chosen.select("text", "label").mapInArrow(tc.tidied_batches(sums), "gram binary, cross binary").collect()
     gram = sum(np.frombuffer(r.gram).reshape(m, m) for r in parts)
     cross = sum(np.frombuffer(r.cross).reshape(m, c) for r in parts)
     mm = (z @ z.T).astype(np.float64)
@@ -143,7 +148,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and the score, a softmax over the languages' regressions."""
     if model is None:
-        return docs.withColumns({out: F.lit(UNKNOWN), score: F.lit(0.0)})
+        return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (out, score)], F.lit(UNKNOWN).alias(out), F.lit(0.0).alias(score))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), has_letter(F.col(text)).alias("letters"))
@@ -159,9 +164,10 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", out: s
             letters = batch.column(1).to_pylist()
             names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters, strict=True)]
             p = [float(v) if ok else 0.0 for v, ok in zip(p.tolist(), letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(p, pa.float64())], ["row", out, score])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(p, pa.float64())], ["row", "l", "s"])
 
-    return whole.mapInArrow(tc.tidied_batches(run), "row " + docs.schema.simpleString() + f", `{out}` string, `{score}` double").select("row.*", f"`{out}`", f"`{score}`")
+    found = whole.mapInArrow(tc.tidied_batches(run), "row " + docs.schema.simpleString() + ", l string, s double")
+    return found.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in (out, score)], F.col("l").alias(out), F.col("s").alias(score))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
