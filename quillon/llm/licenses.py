@@ -12,7 +12,7 @@ compress and go to the alignment at once.
 Defined results: null and empty texts have no blocks; a block has one row for each license confirmed
 in it, by its wording with the most equal words; a block that no wording explains is counted and left unnamed;
 Proprietary is the notice that all rights are reserved, wherever it stands; repeated rows repeat; long
-texts are scanned whole; an empty table gives an empty result.
+texts are scanned whole; an input column with the result's name is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -268,9 +268,10 @@ def scan(docs: DataFrame, *, text: str = "text", templates: dict[str, str | Iter
                 if raw is not None and scanner:
                     rows = scanner.scan(raw.to_pybytes())
                 found.append(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _FOUND)], ["row", out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _FOUND)], ["row", "found"])
 
-    return whole.mapInArrow(tc.tidied_batches(run), "row " + docs.schema.simpleString() + f", `{out}` {FOUND}").select("row.*", f"`{out}`")
+    found = whole.mapInArrow(tc.tidied_batches(run), "row " + docs.schema.simpleString() + f", found {FOUND}")
+    return found.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != out], F.col("found").alias(out))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
