@@ -15,8 +15,9 @@ signatures first and then by full sets. So no link between components is lost, a
 component are not looked at.
 
 Defined results: null and empty texts and texts without words have empty sets and are linked
-with nothing; rows that share an id are one document; a row with a null id belongs to the class of
-an equal document with an id and is otherwise linked with nothing; an empty table gives an empty result.
+with nothing; rows that share an id are one document; a row with a null id (and 2**63 - 1 counts as null) belongs to the
+class of an equal document with an id and is otherwise linked with nothing; an empty table gives an empty result.
+Shingles are told apart by two hashes of 64 bits each; words of over 16 bytes have a cryptographic one.
 """
 
 from __future__ import annotations
@@ -44,23 +45,23 @@ _A = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.
 _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each row's distinct shingles, sorted by both."""
-    h, _, _, rows = tc.word_hashes(data, offsets, tc.SPACES, lower=True)
+def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, second hash) of each row's distinct shingles, sorted by all; the two hashes of 64 bits are a shingle's name."""
+    h, h2, rows = tc.word_hashes_twice(data, offsets, tc.SPACES, lower=True)
     n_rows = len(offsets) - 1
     ok = np.flatnonzero(tc.same_row(rows, words))
-    found, owner = tc.window_hashes(h, words)[ok], rows[ok]
+    found, other, owner = tc.window_hashes(h, words)[ok], tc.window_hashes(h2, words)[ok], rows[ok]
     counts = np.bincount(rows, minlength=n_rows)
     short = np.flatnonzero((counts > 0) & (counts < words))
     if len(short):
         firsts = np.searchsorted(rows, short)
-        found = np.concatenate([found, tc.run_hashes(h, firsts, firsts + counts[short], tc._MULT_W)])
-        owner = np.concatenate([owner, short])
-    order = np.lexsort((found, owner))
-    found, owner = found[order], owner[order]
+        whole = lambda x: tc.run_hashes(x, firsts, firsts + counts[short], tc._MULT_W)
+        found, other, owner = np.concatenate([found, whole(h)]), np.concatenate([other, whole(h2)]), np.concatenate([owner, short])
+    order = np.lexsort((other, found, owner))
+    found, other, owner = found[order], other[order], owner[order]
     new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-    return owner[new], found[new]
+    new[1:] = (found[1:] != found[:-1]) | (other[1:] != other[:-1]) | (owner[1:] != owner[:-1])
+    return owner[new], found[new], other[new]
 
 
 def minima(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,10 +73,15 @@ def minima(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, out
 
 
-def _digests(owner: np.ndarray, hashes: np.ndarray, n_rows: int) -> list[bytes]:
-    """The digest of each row's set."""
+def _members(owner: np.ndarray, hashes: np.ndarray, other: np.ndarray, n_rows: int) -> list[bytes]:
+    """Each row's set: its shingles' names in ascending order."""
+    names = np.stack([hashes, other], 1)
     ends = np.cumsum(np.bincount(owner, minlength=n_rows)).tolist()
-    return [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [names[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _digest(members: bytes) -> bytes:
+    return hashlib.blake2b(members, digest_size=16).digest()
 
 
 def packed(low: np.ndarray) -> np.ndarray:
@@ -103,9 +109,9 @@ def sketches(docs: DataFrame, *, text: str, doc_id: str, words: int) -> DataFram
         for batch in batches:
             data, offsets, _ = tc.text_buffer(batch.column(1))
             for i, j in tc.slices(offsets):
-                owner, h = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                owner, h, h2 = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 n = np.bincount(owner, minlength=j - i)
-                digests = _digests(owner, h, j - i)
+                digests = [_digest(x) for x in _members(owner, h, h2, j - i)]
                 rows, m = minima(owner, h)
                 s, b = np.zeros((j - i, PERMUTATIONS * BITS // 64), np.uint64), np.zeros((j - i, BANDS), np.uint64)
                 s[rows], b[rows] = packed(m), band_keys(m)
@@ -139,16 +145,14 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, *, text: str, doc_id: str, words: int) -> DataFrame:
-    """(v, members) of the wanted(v) documents: their sorted shingles' hashes, packed; rows that share an id count once."""
+    """(want, members) of the wanted(v, want) documents, want being the digest of the set: the shingles' names, packed; rows that share an id count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets, _ = tc.text_buffer(batch.column(1))
             for i, j in tc.slices(offsets):
-                owner, h = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                ends = np.cumsum(np.bincount(owner, minlength=j - i)).tolist()
-                members = [h[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                digests = [hashlib.blake2b(x, digest_size=16).digest() for x in members]
+                members = _members(*shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), j - i)
+                digests = [_digest(x) for x in members]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(digests, pa.binary()), pa.array(members, pa.binary())], ["v", "want", "digest", "members"])
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("v"), F.col(text).alias("t"))
@@ -163,7 +167,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                ok.append(_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
+                ok.append(_linked(_names(x.as_buffer()), _names(y.as_buffer()), percent))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keep], ["a", "b", "ok"])
 
@@ -238,7 +242,7 @@ def _residual(cells: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 
     def confirm(table: pa.Table) -> pa.Table:
         rep, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
-        members = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        members = [_names(x) for x in table.column("members").to_pylist()]
         links, met = [], set()
         for k, m in _compared(table, percent):
             for other in m.tolist():
@@ -252,12 +256,19 @@ def _residual(cells: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return rows.groupBy("key", "i", "j").applyInArrow(tc.tidied(confirm), "a long, b long").distinct()
 
 
+def _names(members) -> np.ndarray:
+    return np.frombuffer(members, np.uint64).reshape(-1, 2)
+
+
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Are two sorted sets similar enough?"""
+    """Are two sets of names, both in ascending order, similar enough?"""
     if not len(x) or not len(y):
         return False
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    both = int((y[at] == x).sum())
+    if (y[1:, 0] == y[:-1, 0]).any():
+        both = len({*map(tuple, x.tolist())} & {*map(tuple, y.tolist())})
+    else:
+        at = np.minimum(np.searchsorted(y[:, 0], x[:, 0]), len(y) - 1)
+        both = int((y[at] == x).all(1).sum())
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
@@ -314,8 +325,8 @@ def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
         for batch in batches:
             data, offsets, _ = tc.text_buffer(batch.column(1).field(at))
             for i, j in tc.slices(offsets):
-                owner, h = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(_digests(owner, h, j - i), pa.binary()), batch.column(1).slice(i, j - i)], ["ident", "digest", "row"])
+                members = _members(*shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([_digest(x) for x in members], pa.binary()), batch.column(1).slice(i, j - i)], ["ident", "digest", "row"])
 
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID))
     rows = docs.select(ident.alias("ident"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

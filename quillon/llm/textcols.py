@@ -27,6 +27,8 @@ _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 _MULT_W = 0xD1342543DE82EF95
 _BYTE_CODES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
+_MULT_2 = 0xA0761D6478BD642F
+_BYTE_CODES_2 = np.random.default_rng(20240608).integers(1, 2**63, 256, dtype=np.uint64)
 _tables: dict[int, np.ndarray] = {}
 
 #: Separators of `[^\x20\x09-\x0D]+`.
@@ -124,15 +126,30 @@ def rows_of(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool = False):
     """(hash, start, end, row) of every word."""
+    h, _, starts, ends, rows = _hashed(data, offsets, separators, lower, 1)
+    return h, starts, ends, rows
+
+
+def word_hashes_twice(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool = False):
+    """(hash, a second hash that does not follow from the first, row) of every word: 128 bits that tell words apart."""
+    h, h2, _, _, rows = _hashed(data, offsets, separators, lower, 2)
+    return h, h2, rows
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool, times: int):
     if lower:
         data = LOWER[data]
     starts, ends, rows = word_bounds(data, offsets, separators)
     h = run_hashes(_BYTE_CODES[data], starts, ends)
+    h2 = run_hashes(_BYTE_CODES_2[data], starts, ends, _MULT_2) if times > 1 else None
     long = np.flatnonzero(ends - starts > LONG_WORD)
     if len(long):
-        digests = [hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
-        h[long] = np.frombuffer(b"".join(digests), _U)
-    return h, starts, ends, rows
+        digests = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        both = np.frombuffer(b"".join(digests), _U).reshape(-1, 2)
+        h[long] = both[:, 0]
+        if h2 is not None:
+            h2[long] = both[:, 1]
+    return h, h2, starts, ends, rows
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
