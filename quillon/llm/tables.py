@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests, where it is unset, a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, or in tests, where it is unset and all runs on one machine, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         found = _own_dirs.setdefault(app, None) or "file://" + tempfile.mkdtemp(prefix="spark-")
         _own_dirs[app] = found

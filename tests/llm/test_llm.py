@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
 import textwrap
 import zlib
 from collections import Counter
@@ -149,8 +150,20 @@ def test_contamination_in_blocks(spark, odd):
     bench = d.select(F.col("doc_id").alias("item_id"), "text").where("doc_id in (1, 9)")
     whole = decontaminate.contamination(d, bench)
     blocks = decontaminate.contamination(d, bench, most_windows=50)
-    pick = lambda x: sorted(((r.doc_id or -1), r.n_words, r.n_hit, r["items"]) for r in x.select("doc.doc_id", "n_words", "n_hit", "items").collect())
-    assert pick(whole) == pick(blocks)
+    pick = lambda x: sorted(((r.doc_id or -1), r.n_words, r.n_hit, r["items"], r.spans) for r in x.select("doc.doc_id", "n_words", "n_hit", "items", "spans").collect())
+    assert pick(whole) == pick(blocks) and [len(r[4]) for r in pick(whole) if r[0] in (1, 3)] == [1, 2]
+
+
+def test_contamination_by_an_item_that_many_share(spark, nothing):
+    text = words(random.Random(8), 12)
+    bench = spark.createDataFrame([(i, text) for i in range(40)], "item_id long, text string")
+    d = spark.createDataFrame([(1, f"x {text} y", "z")] * 3, "doc_id long, text string, doc string")
+    for most in (7, 1000):
+        got = decontaminate.contamination(d, bench, most_windows=most).collect()
+        assert len(got) == 3 and all(r.n_hit == 12 and r["items"] == sorted(map(str, range(40))) and len(r.spans) == 1 for r in got)
+    assert decontaminate.contamination(nothing, bench).count() == 0
+    none = decontaminate.contamination(d, bench.where("false")).collect()
+    assert [r.n_hit for r in none] == [0, 0, 0] and decontaminate.clean_documents(d, bench.where("false")).count() == 3
 
 
 # 2 Media columns
@@ -178,6 +191,71 @@ def test_broken_containers_are_null(spark):
     assert got[1] is None and got[2] == [] and got[3] is None and got[4] is None and len(got[5]) == 1
 
 
+def fragmented(payload: bytes, sizes: list[int], keys: list[bool]) -> bytes:
+    """A container without samples of its own, and one fragment with a run of them."""
+    box, full = media._box, media._full
+    entry = box(b"raw ", bytes(6), struct.pack(">H8xHHHHI", 1, 1, 8, 0, 0, 8000 << 16))
+    empty = [full(k, struct.pack(">I", 0)) for k in (b"stts", b"stsc", b"stco")] + [full(b"stsz", struct.pack(">II", 0, 0))]
+    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), entry), *empty)
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 8000, 0, 0, 0)), box(b"minf", stbl))
+    trak = box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, 7)), mdia)
+    moov = box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 64, 0, 0))))
+    rows = b"".join(struct.pack(">II", n, 0 if k else 0x10000) for n, k in zip(sizes, keys, strict=True))
+
+    def moof(shift):
+        run = full(b"trun", struct.pack(">Ii", len(sizes), shift), rows, flags=0x601)
+        return box(b"moof", full(b"mfhd", struct.pack(">I", 1)), box(b"traf", full(b"tfhd", struct.pack(">I", 7)), run))
+
+    return moov + moof(len(moof(0)) + 8) + box(b"mdat", payload)
+
+
+def test_fragments():
+    data = bytes(range(200)) + b"x" * 56
+    (t,) = media.tracks(fragmented(data, [100, 56, 100], [True, False, True]))
+    assert media.payload(fragmented(data, [100, 56, 100], [True] * 3), t) == data
+    assert t["key"].tolist() == [True, False, True] and t["sizes"].tolist() == [100, 56, 100] and t["duration"] == 192
+
+
+def test_damaged_containers_never_end_a_job():
+    for good in (media.container(b"x" * 640), fragmented(b"y" * 90, [30, 30, 30], [True] * 3)):
+        whole = media.tracks(good)
+        assert len(whole) == 1
+        rng = random.Random(1)
+        damaged = [good[:i] for i in range(len(good))]
+        for _ in range(3000):
+            raw = bytearray(good)
+            for _ in range(rng.choice([1, 1, 4])):
+                raw[rng.randrange(len(raw))] = rng.choice([0, 1, 0x7F, 0x80, 0xFF, rng.randrange(256)])
+            damaged.append(bytes(raw))
+        for raw in damaged:
+            try:
+                for t in media.tracks(raw):
+                    assert len(media.payload(raw, t)) == t["sizes"].sum()
+                    media._described(t)
+            except ValueError:
+                pass
+
+
+def test_op2_digests(spark, tmp_path):
+    texts = ["", None, "a" * 64, "ü" * 33, "x" * 100_000, "a" * 64]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in media.op2_media(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        data = raw + bytes(-len(raw) % 64 if raw else 64)
+        stored = media.container(data)
+        want = (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert tuple(got[i][1:7]) == want
+    assert got[2].feature == got[5].feature != got[3].feature and got[4].feature.startswith("raw;12.5040s;1563 samples;98 keyframes;")
+
+
+def test_media_of_odd_rows(spark, odd, nothing):
+    _, d = odd
+    clash = media.describe(media.store(d.withColumns({"media": F.lit(1), "tracks": F.lit(2)})))
+    assert sorted(clash.columns) == sorted({*d.columns, "media", "tracks"}) and {len(r.tracks) for r in clash.collect()} == {1}
+    assert media.describe(media.store(nothing)).count() == 0
+
+
 # 3 Language identification
 
 
@@ -206,6 +284,19 @@ def test_language_of_odd_rows(spark, odd, nothing):
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (4, 5, 6, 12)) and got[7].lang_pred in ("en", "de")
     assert langid.fit(nothing) is None and langid.identify(nothing, None).count() == 0
     assert {r.lang_pred for r in langid.identify(d, None).collect()} == {"und"}
+    clash = d.withColumns({"lang_pred": F.lit(1), "score": F.lit("x")})
+    for model in (None, langid.fit(clash)):
+        got = langid.identify(clash, model)
+        assert sorted(got.columns) == sorted(clash.columns) and got.schema["score"].dataType.typeName() == "double"
+
+
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(6)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(i, make("abcdefg"), "aa", "s") for i in range(600)] + [(1000 + i, make("hijklmn"), "bb", "s") for i in range(6)]
+    d = frame(spark, rows)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(d, langid.fit(d, most_rows=40, landmarks=24)).collect()}
+    assert all(got[i] == lang for i, _, lang, _ in rows)
 
 
 # 4 License scans
@@ -256,6 +347,15 @@ def test_licenses_in_prose(spark, n):
     assert {"MIT", "Apache-2.0", "GPL-2.0"} <= {r.license for r in found}
 
 
+def test_licenses_of_odd_rows(spark, odd, nothing):
+    rows, d = odd
+    got = licenses.scan(d.withColumn("licenses", F.lit(1))).collect()
+    assert len(got) == len(rows) and all(r.licenses == [] for r in got)
+    twice = spark.createDataFrame([(1, "MIT License"), (1, "MIT License"), (None, "Text.\n# Licensed under the Apache License,\n# Version 2.0.\nmore")], "doc_id int, text string")
+    found = [[x.license for x in r.licenses] for r in licenses.scan(twice).collect()]
+    assert sorted(found) == [["Apache-2.0"], ["MIT"], ["MIT"]] and licenses.scan(nothing).count() == 0
+
+
 def test_differences():
     assert licenses.differences("a b c d".split(), "x a b z d y".split())[0] == 1
     assert licenses.differences("a b".split(), [])[0] == 2
@@ -328,6 +428,21 @@ def test_copies_go_without_rows_that_share_their_id(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, a), (None, b), (None, None), (2, c), (5, d), (5, "")])
 
 
+def test_near_duplicates_of_words_that_hash_alike(spark):
+    rows = [(1, ALIKE[0]), (2, ALIKE[1]), (3, ALIKE[0].upper())]
+    got = {r.ident: r.component for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_sets_are_compared_by_both_hashes():
+    x = np.array([[1, 1], [2, 2], [3, 3], [4, 4], [5, 5]], np.uint64)
+    y = x.copy()
+    y[4, 1] = 6
+    assert minhash._linked(x, x, 80) and not minhash._linked(x, y, 80) and minhash._linked(x, y, 60)
+    z = np.array([[1, 1], [1, 2], [2, 2], [3, 3], [4, 4]], np.uint64)
+    assert minhash._linked(x, z, 60) and not minhash._linked(x, z, 80)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (5, 5)]
     got = {r.v: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -385,6 +500,13 @@ def test_suffixes(spark, monkeypatch, chunk_bytes):
     assert [got[i] for i in range(len(texts))] == suffixes.brute_force(texts)
 
 
+def test_digits_are_dealt_evenly():
+    data = np.random.default_rng(0).integers(97, 123, 400_000).astype(np.uint8)
+    _, _, digit, _ = suffixes._runs(data, np.array([0, len(data)]), 200, 64)
+    sizes = np.bincount(suffixes.ex.parts_of(digit, 16), minlength=16)
+    assert sizes.max() < 1.5 * sizes.mean()
+
+
 def test_suffixes_of_odd_rows(spark, odd, nothing):
     rows, d = odd
     got = suffixes.repeated_bytes(d).collect()
