@@ -1,35 +1,41 @@
-r"""Language-model scores from a hierarchical Pitman-Yor process.
+r"""Language-model scores from a hierarchical Pitman-Yor process over pairs of words.
 
-Tokens are the lower-cased words `[^\x20\x09-\x0D]+` of a text, then one end. A token's context is
-the class of the word before it: its last three bytes, hashed to CONTEXTS restaurants, so that
-unseen words have contexts too; the first token has one of its own. Each context's restaurant
-draws its new tables' dishes from one parent, the restaurant of all words, whose base is uniform
-over the known words and one unknown. Dishes are known, so the seating's state is the number of
-tables of each dish in each restaurant.
+Tokens are the lower-cased words `[^\x20\x09-\x0D]+` of a text, then one end. A token's context is the word
+before it, or the start of the text. Each context is a restaurant whose customers are the tokens that
+follow it; its tables draw their dishes from one parent, the restaurant of all words, whose base is
+uniform over the known words and one unknown. Dishes are known, so the state of the seating is the number of tables of
+each dish in each restaurant. Both discounts are 1/2: the number of ways to seat c customers of a dish at t tables then is
 
-Counts come from all training documents: chunks of documents send each (context, word) once with
-its count to the part that owns the word. A part sees all counts of its words, and samples:
-a Gibbs sweep draws, for each dish in each restaurant, how its customers sit given all the
-rest, which is S_d(c, t) x**t for t tables, then the same for the parent's customers, which are
-the children's tables. Totals over all words (tables of each context, of the parent) are those of
-the part times the number of parts; words are dealt by hash, so every part has its fair share.
-Sweeps after `burn` are averaged. Exact totals are summed over all parts before anything is scored:
+    S(c, t) = (2c - t - 1)! / ((t - 1)! (c - t)! 2**(2c - 2t))
 
-    P(w)     = (C_w - d0 s_w + (h0 + d0 S) / (V + 1)) / (h0 + T)
-    P(w | k) = (c_kw - d t_kw + (h + d t_k) P(w)) / (h + c_k)
+and a Gibbs step draws t, given all other tables of the restaurant, from S(c, t) times the weights of t new tables
+times P(dish)**t, for any number of customers (windows around the mode hold all but 1e-12 of it).
 
-which sums to one over all words and the unknown one. Scores are log10; perplexity is
-10**(-score / n_tokens).
+Counts come from all training documents. Chunks of documents screen their pairs of words first (see exchange): a pair that
+occurs once in training sits at one table, and only its word's and context's sums are sent. All other pairs go, once a
+chunk, to the part that owns the word, which keeps their tables. A sweep is two exchanges: parts send the tables of
+their pairs, added up by context, to the owners of the contexts; owners answer with each context's tables in all restaurants'
+parts; then every part draws all its pairs, and the parent's tables of its words. So every draw knows the
+totals of the whole corpus as of the sweep before, whatever the number of parts. The model's probability is averaged over the sweeps after `burn`:
+
+    P(w)     = (C_w - s_w / 2 + (h + S / 2) / (V + 1)) / (h + T)
+    P(w | k) = (c_kw - t_kw / 2 + (h + t_k / 2) P(w)) / (h + c_k)
+
+which sums to one over all words and the unknown one. Scores are log10; perplexity is 10**(-score / n_tokens).
 
 Defined results: a null or empty text has one token, its end; a null `train` is false; without
-training documents all words are unknown; rows with equal ids are scored one by one; whatever the
-input's columns are called, they come back under `doc`; an empty table gives an empty result.
+training documents all words are unknown; rows with equal ids are scored one by one; all columns but the text
+come back under `doc`; an empty table gives an empty result. Words are known by hashes of 64 bits, cryptographic ones
+if they are longer than 16 bytes.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,199 +43,242 @@ from quillon.llm import exchange as ex
 from quillon.llm import textcols as tc
 from quillon.llm.tables import hashed_fold, table, written
 
-CONTEXTS = 4096
-DISCOUNT, STRENGTH = 0.75, 1.0
-ROOT_DISCOUNT, ROOT_STRENGTH = 0.5, 1.0
-BURN, SWEEPS = 3, 4
-#: Customers of a dish up to which the number of tables is drawn from its exact conditional.
-EXACT = 64
-END = np.uint64(0x5851F42D4C957F2D)
+DISCOUNT = 0.5
+STRENGTH = 1.0
+BURN, SWEEPS = 1, 3
+#: Customers up to which all numbers of tables are weighed; beyond, those around the mode.
+SMALL = 64
+END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Kinds of messages between parts.
+STATE, NAMES, ROUTE, SUBS, UP, BOUND, BASE, DOWN, TABLES, DRAWN = range(10)
+_MESSAGE = "part int, kind int, other long, data binary, totals array<double>"
+_SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("other", pa.int64()), ("data", pa.binary()), ("totals", pa.list_(pa.float64()))])
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 8-byte numbers, by byte planes, compressed: small numbers take little."""
+    head = struct.pack(f"<{len(arrays) + 1}q", len(arrays), *map(len, arrays))
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a, "<i8" if a.dtype != np.uint64 else "<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    (n,) = struct.unpack_from("<q", raw)
+    at, out = 8 * (n + 1), []
+    for size in struct.unpack_from(f"<{n}q", raw, 8):
+        planes = np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view("<i8"))
+        at += 8 * size
+    return out
+
+
+def _counted(of: np.ndarray, weights: np.ndarray | None, n: int) -> np.ndarray:
+    return np.bincount(of, weights=weights, minlength=n).astype(np.int64)
 
 
 class _Chunk:
-    """A chunk's tokens, its distinct words by part, and its distinct (word, context) pairs."""
+    """A chunk's tokens, its distinct words in the order of their hashes, and its distinct pairs."""
 
     def __init__(self, rows: pa.Table, n_parts: int, train: np.ndarray):
-        data, offsets, _ = ex.texts(rows)
-        n_rows = len(offsets) - 1
-        words, contexts, owner = [], [], []
+        data, offsets, _ = ex.texts(rows, b" ")
+        self.n_rows, self.n_parts = len(rows), n_parts
+        found, owner = [], []
         for i, j in tc.slices(offsets):
-            part, o = tc.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-            w, s, e, r = tc.word_hashes(part, o, tc.SPACES)
-            last = part[e - 1].astype(np.uint32) if len(e) else np.zeros(0, np.uint32)
-            for k in (2, 3):
-                last = last << np.uint32(8) | np.where(e - k >= s, part[np.maximum(e - k, 0)], 0).astype(np.uint32)
-            ending = ((last * np.uint32(0x9E3779B1)) >> np.uint32(16)) % np.uint32(CONTEXTS - 1) + np.uint32(1)
-            # each row's words, then its end: token t of row r has place t + r
-            counts = np.bincount(r, minlength=j - i)
-            at = np.arange(len(w)) + r
+            w, _, _, r = tc.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tc.SPACES, lower=True)
             tokens = np.full(len(w) + j - i, END)
-            tokens[at] = w
-            before = np.zeros(len(tokens) + 1, np.uint16)
-            before[at + 1] = ending
-            words.append(tokens)
-            contexts.append(before[:-1])
-            owner.append(np.repeat(np.arange(i, j), counts + 1))
+            tokens[np.arange(len(w)) + r] = w
+            found.append(tokens)
+            owner.append(np.repeat(np.arange(i, j), np.bincount(r, minlength=j - i) + 1))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        w, k, self.owner = join(words, np.uint64), join(contexts, np.uint16), join(owner, np.int64)
-        self.n_rows = n_rows
-        weight = train[self.owner] if n_rows else np.zeros(0, bool)
-        parts = ex.parts_of(w, n_parts)
-        order = np.lexsort((k, w, parts))
-        sw, sk = w[order], k[order]
-        new_w = np.ones(len(sw), bool)
-        new_w[1:] = sw[1:] != sw[:-1]
-        new_e = new_w.copy()
-        new_e[1:] |= sk[1:] != sk[:-1]
-        self.entry = np.empty(len(w), np.int64)
-        self.entry[order] = np.cumsum(new_e) - 1
-        self.w, self.k = sw[new_w], sk[new_e]
-        self.word_of = (np.cumsum(new_w) - 1)[new_e]
-        self.n = np.bincount(self.entry, weights=weight, minlength=len(self.k)).astype(np.int64)
-        self.part = parts[order][new_w]
-
-    def pieces(self):
-        """(part, slice of words, slice of entries)"""
-        found, first = np.unique(self.part, return_index=True)
-        last = np.append(first[1:], len(self.part))
-        bounds = np.searchsorted(self.word_of, np.arange(len(self.w) + 1))
-        for p, a, b in zip(found.tolist(), first.tolist(), last.tolist(), strict=False):
-            yield p, slice(a, b), slice(int(bounds[a]), int(bounds[b]))
-
-    def blobs(self):
-        for p, ws, es in self.pieces():
-            n = self.n[es]
-            over = n[n >= 255]
-            yield p, b"".join([np.array([ws.stop - ws.start, es.stop - es.start, len(over)], "<u4").tobytes(), self.w[ws].tobytes(), np.bincount(self.word_of[es] - ws.start, minlength=ws.stop - ws.start).astype("<u2").tobytes(), self.k[es].tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), over.astype("<u4").tobytes()])
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n_w, n_e, n_over = np.frombuffer(blob, "<u4", 3).tolist()
-    at = 12
-    w = np.frombuffer(blob, "<u8", n_w, at)
-    per = np.frombuffer(blob, "<u2", n_w, at + 8 * n_w)
-    k = np.frombuffer(blob, "<u2", n_e, at + 10 * n_w)
-    n = np.frombuffer(blob, np.uint8, n_e, at + 10 * n_w + 2 * n_e).astype(np.int64)
-    n[n == 255] = np.frombuffer(blob, "<u4", n_over, at + 10 * n_w + 3 * n_e)
-    return w, np.repeat(np.arange(n_w), per), k, n
-
-
-def log_stirling(most: int, discount: float) -> np.ndarray:
-    """log S_d(c, t), the generalised Stirling numbers: seatings of c customers of one dish at t tables."""
-    out = np.full((most + 1, most + 1), -np.inf)
-    out[1, 1] = 0.0
-    for c in range(1, most):
-        t = np.arange(1, c + 1)
-        out[c + 1, 1 : c + 1] = out[c, 1 : c + 1] + np.log(c - discount * t)
-        out[c + 1, 1:] = np.logaddexp(out[c + 1, 1:], out[c, :-1])
+        tokens, self.owner = join(found, np.uint64), join(owner, np.int64)
+        self.words, at = np.unique(np.append(tokens, [END, START]), return_inverse=True)
+        self.end, self.start = int(at[-2]), int(at[-1])
+        self.word = at[:-2]
+        before = np.append(self.end, self.word)[:-1]
+        before[before == self.end] = self.start
+        n = len(self.words)
+        pairs, self.pair = np.unique(self.word * n + before, return_inverse=True)
+        self.w, self.k = pairs // n, pairs % n
+        weight = train[self.owner].astype(float) if self.n_rows else np.zeros(0)
+        self.c, self.c_w = _counted(self.pair, weight, len(pairs)), _counted(self.word, weight, n)
+        name = tc.mix(tc.mix(self.words[self.k]) * np.uint64(tc._MULT) + self.words[self.w])
+        self.keys, self.key = np.unique(ex.screen_keys(name, n_parts), return_inverse=True)
+        self.parts = list(ex.pieces(ex.parts_of(self.words, n_parts)))
+
+    def screened(self, bits: dict[int, bytes]) -> None:
+        """Pairs that are to be sent: those that another chunk has too, or that occur twice here."""
+        sent = ex.passed(self.keys, bits)[self.key] | (self.c > 1)
+        self.sent, self.once = np.flatnonzero(sent), ~sent & (self.c == 1)
+        self.cuts = np.searchsorted(self.w[self.sent], [a for _, a, _ in self.parts] + [len(self.words)])
+
+    def blobs(self) -> list[tuple[int, bytes]]:
+        n = len(self.words)
+        once_w, once_k = _counted(self.w[self.once], None, n), _counted(self.k[self.once], None, n)
+        out = []
+        for (p, a, b), i, j in zip(self.parts, self.cuts[:-1], self.cuts[1:], strict=True):
+            own = self.sent[i:j]
+            out.append((p, packed(self.words[a:b], self.c_w[a:b], once_w[a:b], once_k[a:b], _counted(self.w[own] - a, None, b - a), self.words[self.k[own]], self.c[own])))
+        return out
+
+
+def _rows(part: int, made: list[tuple]) -> pa.Table:
+    """Messages (part, kind, other, data); the totals of the part, if any, last."""
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def _gathered(table: pa.Table, n_parts: int) -> pa.Table:
+    """What a part learns from the chunks: its words and pairs, where each chunk's are among them, and what it asks the contexts' owners."""
+    part, chunks = table.column("part")[0].as_py(), table.column("chunk").to_pylist()
+    asked = [unpacked(x) for x in table.column("data").to_pylist()]
+    every = lambda i, kind=np.int64: np.concatenate([x[i] for x in asked]).view(kind)
+    words, word = np.unique(every(0, np.uint64), return_inverse=True)
+    n = len(words)
+    c_w, once_w, once_k = (_counted(word, every(i), n) for i in (1, 2, 3))
+    contexts, context = np.unique(every(5, np.uint64), return_inverse=True)
+    pairs, pair = np.unique(np.repeat(word, every(4)) * max(len(contexts), 1) + context, return_inverse=True)
+    c, w, k = _counted(pair, every(6), len(pairs)), pairs // max(len(contexts), 1), pairs % max(len(contexts), 1)
+    made, at, e = [], 0, 0
+    for chunk, x in zip(chunks, asked, strict=True):
+        made.append((part, ROUTE, chunk, packed(np.diff(word[at : at + len(x[0])], prepend=0), np.diff(pair[e : e + len(x[5])], prepend=0)), None))
+        at, e = at + len(x[0]), e + len(x[5])
+    many, single = np.flatnonzero(c > 1), c == 1
+    once_w += _counted(w[single], None, n)
+    moving, of = np.unique(k[many], return_inverse=True)
+    tables, settled = _counted(of, None, len(moving)), _counted(k[single], None, len(contexts))
+    made.append((part, STATE, part, packed(c_w, once_w, c, w[many], of), None))
+    made.append((part, NAMES, part, packed(words, once_k), None))
+    none, asks = np.zeros(0, np.int64), {}
+    for owner, a, b in ex.pieces(ex.parts_of(contexts[moving], n_parts)):
+        asks[owner] = [contexts[moving][a:b], none, none, tables[a:b]]
+    still = np.flatnonzero(settled)
+    for owner, a, b in ex.pieces(ex.parts_of(contexts[still], n_parts)):
+        asks.setdefault(owner, [none, none, none, none])[1:3] = contexts[still][a:b], settled[still][a:b]
+    for owner, (names, quiet, count, up) in asks.items():
+        made += [(owner, SUBS, part, packed(names, quiet, count), None), (owner, UP, part, packed(up), None)]
+    c_root = once_w + _counted(w[many], None, n)
+    made.append((part, DRAWN, part, packed(np.ones(len(many), np.int64), np.minimum(c_root, 1)), [float(c_w.sum()), float((c_w > 0).sum()), float(c_root.sum()), float((c_root > 0).sum())]))
+    return _rows(part, made)
+
+
+def _by_kind(table: pa.Table) -> dict[int, list[tuple[int, list[np.ndarray]]]]:
+    """kind -> (other, arrays) in the order of others."""
+    out: dict[int, list] = {}
+    for kind, other, data in sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "other", "data")), strict=True)):
+        out.setdefault(kind, []).append((other, unpacked(data)))
     return out
 
 
-_STIRLING = {d: log_stirling(EXACT, d) for d in (DISCOUNT, ROOT_DISCOUNT)}
+def _bound(table: pa.Table) -> pa.Table:
+    """An owner's answer to what it is asked about: places among its words; and the tables of each context that never move."""
+    part, got = table.column("part")[0].as_py(), _by_kind(table)
+    ((_, (words, base)),) = got[NAMES]
+    words, made = words.view(np.uint64), []
+    for other, (names, quiet, count) in got.get(SUBS, ()):
+        made.append((part, BOUND, other, packed(np.searchsorted(words, names.view(np.uint64))), None))
+        np.add.at(base, np.searchsorted(words, quiet.view(np.uint64)), count)
+    made.append((part, BASE, part, packed(base), None))
+    return _rows(part, made)
+
+
+def _told(table: pa.Table) -> pa.Table:
+    """An owner's contexts' tables in all parts, and the answers to those that asked about them."""
+    part, got = table.column("part")[0].as_py(), _by_kind(table)
+    ((_, (tables,)),) = got[BASE]
+    places = {other: x[0] for other, x in got.get(BOUND, ())}
+    for other, (up,) in got.get(UP, ()):
+        np.add.at(tables, places[other], up)
+    made = [(other, DOWN, part, packed(tables[at]), None) for other, at in places.items() if len(at)]
+    return _rows(part, [*made, (part, TABLES, part, packed(tables), None)])
 
 
-def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish, drawn given the rest: S_d(c, t) * fresh**t for t of up to EXACT customers.
+def _ratio(c, t, rest, p):
+    """Weight of t + 1 tables over that of t: c customers, `rest` other tables in the restaurant, p the parent's probability of the dish."""
+    return 4.0 * (c - t) / ((2.0 * c - t - 1.0) * t) * (STRENGTH + DISCOUNT * (rest + t)) * p
 
-    fresh: strength of a new table times the parent's probability of the dish. Of more customers,
-    each next one opens a table or joins one, those beyond the first EXACT in blocks of a sixteenth of the seated.
-    """
-    tables = np.ones(len(customers))
-    c = customers.astype(np.int64)
+
+def seat(c: np.ndarray, rest: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish, drawn given all others of its restaurant; a dish without customers has none."""
+    out = np.minimum(c, 1)
     order = np.argsort(c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(2, EXACT + 2))
-    logs = np.log(np.maximum(fresh, 1e-300))
-    for n in range(2, EXACT + 1):
+    bounds = np.searchsorted(c[order], np.arange(2, SMALL + 2))
+    for n in range(2, SMALL + 1):
         own = order[bounds[n - 2] : bounds[n - 1]]
         for part in np.array_split(own, max(1, len(own) * n // (1 << 20))) if len(own) else ():
-            t = np.arange(1, n + 1)
-            chance = _STIRLING[discount][n, 1 : n + 1] + logs[part, None] * t + rng.gumbel(size=(len(part), n))
-            tables[part] = t[chance.argmax(1)]
-    large = order[bounds[-1] :][::-1]
-    if len(large):
-        rising, x, t, seated = -c[large], fresh[large], np.ones(len(large)), 1
-        while m := int(np.searchsorted(rising, -seated, side="left")):
-            size = np.minimum(c[large[:m]] - seated, 1 if seated < EXACT else seated // 16)
-            p = np.minimum(x[:m] / (x[:m] + seated + (size - 1) / 2 - discount * t[:m]), 1.0)
-            t[:m] += rng.binomial(size, p)
-            seated += 1 if seated < EXACT else seated // 16
-        tables[large] = t
-    return tables
-
-
-def sample(c: np.ndarray, word: np.ndarray, context: np.ndarray, n_words: int, n_parts: int, rng: np.random.Generator, *, burn: int = BURN, sweeps: int = SWEEPS):
-    """Averages over sweeps of the tables of each entry, and of the parent's customers and tables of each word."""
-    c_w = np.bincount(word, weights=c, minlength=n_words)
-    total = max(c_w.sum() * n_parts, 1)
-    base = 1.0 / (n_words * n_parts + 1)
-    many = np.flatnonzero(c > 1)
-    t = np.minimum(c, 1.0)
-    p = (c_w + 0.5) / (total + 0.5 * n_words * n_parts)
-    s_w = np.minimum(c_w, 1.0)
-    mean_t, mean_c, mean_s = np.zeros(len(c)), np.zeros(n_words), np.zeros(n_words)
-    for sweep in range(burn + sweeps):
-        t_k = np.bincount(context, weights=t, minlength=CONTEXTS) * n_parts
-        x = (STRENGTH + DISCOUNT * t_k[context[many]]) * p[word[many]]
-        t[many] = seat(c[many], x, DISCOUNT, rng)
-        c_root = np.bincount(word, weights=t, minlength=n_words)
-        x = np.full(n_words, (ROOT_STRENGTH + ROOT_DISCOUNT * s_w.sum() * n_parts) * base)
-        known = np.flatnonzero(c_root > 0)
-        # the parent's customers change with their children, so each sweep seats them anew
-        s_w = np.zeros(n_words)
-        s_w[known] = seat(c_root[known], x[known], ROOT_DISCOUNT, rng)
-        p = (c_root - ROOT_DISCOUNT * s_w + (ROOT_STRENGTH + ROOT_DISCOUNT * s_w.sum() * n_parts) * base) / (ROOT_STRENGTH + c_root.sum() * n_parts)
-        if sweep >= burn:
-            mean_t += t / sweeps
-            mean_c += c_root / sweeps
-            mean_s += s_w / sweeps
-    return mean_t, mean_c, mean_s
-
-
-_LEARNED = "chunk long, part int, reply binary, totals array<double>"
-
-
-def _learn(asked: DataFrame, n_parts: int, seed: int) -> DataFrame:
-    """Replies to the chunks, and for each part a row of its totals: N, V, T, S, then customers and tables by context."""
-
-    def run(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        chunks = table.column("chunk").to_numpy()
-        order = np.argsort(chunks, kind="stable")
-        blobs = table.column("data").to_pylist()
-        parsed = [_unpacked(blobs[i]) for i in order.tolist()]
-        del blobs
-        words, at_word = np.unique(np.concatenate([x[0] for x in parsed]), return_inverse=True)
-        lifted, base = [], 0
-        for w, of, k, _ in parsed:
-            lifted.append(at_word[base : base + len(w)][of] * CONTEXTS + k)
-            base += len(w)
-        entries, at = np.unique(np.concatenate(lifted), return_inverse=True)
-        c = np.bincount(at, weights=np.concatenate([x[3] for x in parsed]), minlength=len(entries))
-        word, context = entries // CONTEXTS, entries % CONTEXTS
-        seen = np.flatnonzero(c > 0)
-        c_w = np.bincount(word, weights=c, minlength=len(words))
-        known = np.cumsum(c_w > 0) - 1
-        n_known = int((c_w > 0).sum())
-        t, mean_c, mean_s = np.zeros(len(c)), np.zeros(len(words)), np.zeros(len(words))
-        if len(seen):
-            t[seen], mean_c[c_w > 0], mean_s[c_w > 0] = sample(c[seen], known[word[seen]], context[seen], n_known, n_parts, np.random.default_rng([seed, part]))
-        rest, root = (c - DISCOUNT * t).astype("<f4"), (mean_c - ROOT_DISCOUNT * mean_s).astype("<f4")
-        replies, w0, e0 = [], 0, 0
-        for w, of, _, _ in parsed:
-            own, mine = at_word[w0 : w0 + len(w)], at[e0 : e0 + len(of)]
-            replies.append(c_w[own].astype("<u4").tobytes() + root[own].tobytes() + rest[mine].tobytes())
-            w0, e0 = w0 + len(w), e0 + len(of)
-        totals = np.concatenate([[c.sum(), n_known, mean_c.sum(), mean_s.sum()], np.bincount(context, weights=c, minlength=CONTEXTS), np.bincount(context, weights=t, minlength=CONTEXTS)])
-        n = len(parsed)
-        return pa.table({"chunk": pa.array([*chunks[order].tolist(), None], pa.int64()), "part": pa.array([part] * (n + 1), pa.int32()), "reply": pa.array([*replies, None], pa.binary()), "totals": pa.array([None] * n + [totals.tolist()], pa.list_(pa.float64()))})
-
-    return asked.groupBy("part").applyInArrow(tc.tidied(run), _LEARNED)
-
-
-def score(docs: DataFrame, train: str, *, text: str = "text", doc_id: str = "doc_id", seed: int = 1) -> DataFrame:
-    """doc (all columns), n_tokens, n_known, train_tokens, base_score and score, learning from rows whose column `train` is true."""
+            t = np.arange(1, n, dtype=float)
+            logs = np.zeros((len(part), n))
+            np.cumsum(np.log(_ratio(float(n), t, rest[part, None], p[part, None])), axis=1, out=logs[:, 1:])
+            out[part] = 1 + (logs + rng.gumbel(size=logs.shape)).argmax(1)
+    for i in order[bounds[-1] :].tolist():
+        n, r, q = float(c[i]), float(rest[i]), float(p[i])
+        low, high = 1, int(c[i])
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if _ratio(n, float(mid), r, q) > 1 else (low, mid)
+        reach = int(10 * np.sqrt(low)) + 40
+        t = np.arange(max(1, low - reach), min(int(c[i]), low + reach) + 1, dtype=float)
+        logs = np.append(0.0, np.cumsum(np.log(_ratio(n, t[:-1], r, q))))
+        out[i] = int(t[(logs + rng.gumbel(size=len(t))).argmax()])
+    return out
+
+
+def parent(c_root: np.ndarray, s_w: np.ndarray, n_tables: float, n_root: float, n_words: float) -> np.ndarray:
+    """P(w) from the parent's customers and tables of a word, and its totals."""
+    return (c_root - DISCOUNT * s_w + (STRENGTH + DISCOUNT * n_tables) / (n_words + 1)) / (STRENGTH + n_root)
+
+
+def _drawn(table: pa.Table, n_parts: int, totals: list[float], seed: list[int]) -> pa.Table:
+    """One sweep of a part: new tables of its pairs, and of its words in the parent."""
+    part, got = table.column("part")[0].as_py(), _by_kind(table)
+    ((_, (c_w, once_w, c, w, of)),), ((_, (t, s_w)),) = got[STATE], got[DRAWN]
+    _, n_words, n_root, n_tables = totals
+    t_k = np.concatenate([x[0] for _, x in got.get(DOWN, ())]) if DOWN in got else np.zeros(0, np.int64)
+    rng = np.random.default_rng([*seed, part])
+    n = len(c_w)
+    # the parent without the pair's own tables
+    others = (once_w + _counted(w, t, n))[w] - t
+    p = parent(others, np.minimum(s_w[w], others), n_tables, n_root - t, n_words)
+    t = seat(c[c > 1], (t_k[of] - t).astype(float), p, rng)
+    c_root = once_w + _counted(w, t, n)
+    s_w = seat(c_root, n_tables - s_w, np.full(n, 1.0 / (n_words + 1)), rng)
+    made, up, at = [], _counted(of, t, len(t_k)), 0
+    for owner, x in got.get(DOWN, ()):
+        made.append((owner, UP, part, packed(up[at : at + len(x[0])]), None))
+        at += len(x[0])
+    return _rows(part, [*made, (part, DRAWN, part, packed(t, s_w), [float(c_w.sum()), float((c_w > 0).sum()), float(c_root.sum()), float(s_w.sum())])])
+
+
+def _replied(table: pa.Table, n_sweeps: int) -> pa.Table:
+    """For each chunk, of its words: the counts, and for each sweep the parent's customers and tables and the tables as a context; of its pairs: counts and tables of all sweeps together."""
+    part, got = table.column("part")[0].as_py(), _by_kind(table)
+    ((_, (c_w, once_w, c, w, _)),) = got[STATE]
+    n, tables, total = len(c_w), [x[0] for _, x in got[TABLES]], (c == 1).astype(np.int64) * n_sweeps
+    roots, seats = [], []
+    for _, (t, s_w) in got[DRAWN]:
+        total[c > 1] += t
+        roots.append(once_w + _counted(w, t, n))
+        seats.append(s_w)
+    chunks, replies = [], []
+    for chunk, (word, pair) in got[ROUTE]:
+        word, pair = np.cumsum(word), np.cumsum(pair)
+        later = [x[i][word] - x[0][word] for x in (roots, tables) for i in range(1, n_sweeps)]
+        chunks.append(chunk)
+        replies.append(packed(c_w[word], roots[0][word], tables[0][word], *later, *(s[word] for s in seats), c[pair], total[pair]))
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "part": pa.array([part] * len(chunks), pa.int32()), "kind": pa.array([1] * len(chunks), pa.int32()), "bits": pa.array(replies, pa.binary())})
+
+
+def _summed(messages: DataFrame) -> list[float]:
+    """The parts' totals, added up: training tokens, known words, the parent's customers and tables."""
+    found = messages.where(F.col("totals").isNotNull()).select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("v")).collect()
+    by_place = {r.pos: r.v for r in found}
+    return [by_place.get(i, 0.0) for i in range(4)]
+
+
+def score(docs: DataFrame, train: str, *, text: str = "text", doc_id: str = "doc_id", burn: int = BURN, sweeps: int = SWEEPS, seed: int = 1) -> DataFrame:
+    """doc (all columns but the text), n_tokens, n_known, train_tokens, base_score and score, learning from rows whose column `train` is true."""
     at_train = [c for c in docs.columns if c != text].index(train)
     chunks, n_parts = ex.chunked(docs, text=text, doc_id=doc_id)
+    by_chunk = chunks.groupBy("chunk")
 
     def chunk(rows: pa.Table) -> _Chunk:
         flags = rows.column("doc").combine_chunks()
@@ -237,37 +286,69 @@ def score(docs: DataFrame, train: str, *, text: str = "text", doc_id: str = "doc
         return _Chunk(rows, n_parts, np.array([bool(x) for x in flags.to_pylist()], bool))
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
-        parts, blobs = zip(*chunk(rows).blobs(), strict=True)
-        return pa.Table.from_arrays([pa.array(parts, pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], schema=ex._ASKED)
-
-    learned = written(_learn(chunks.groupBy("chunk").applyInArrow(tc.tidied(ask), ex.ASKED), n_parts, seed), "learned")
-    found = learned.where("totals is not null").select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("col")).collect()
-    totals = np.zeros(4 + 2 * CONTEXTS)
-    for r in found:
-        totals[r.pos] = r.col
-    n_all, v, t_all, s_all = totals[:4].tolist()
-    c_k, t_k = totals[4 : 4 + CONTEXTS], totals[4 + CONTEXTS :]
+        return ex.asked(key[0].as_py(), ex.screen_blobs(chunk(rows).keys))
+
+    def send(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        c = chunk(rows)
+        c.screened(ex.replies(answers, 0))
+        return ex.asked(key[0].as_py(), c.blobs())
+
+    screen = written(ex.screened(by_chunk.applyInArrow(tc.tidied(ask), ex.ASKED)), "screen")
+    sent = by_chunk.cogroup(screen.groupBy("chunk")).applyInArrow(tc.tidied(send), ex.ASKED)
+    known = written(sent.groupBy("part").applyInArrow(tc.tidied(lambda t: _gathered(t, n_parts)), _MESSAGE), "known", by="kind")
+    of = lambda d, *kinds: d.where(F.col("kind").isin(*kinds)).select("part", "kind", "other", "data", "totals")
+    meet = lambda f, *tables: _union(tables).groupBy("part").applyInArrow(tc.tidied(f), _MESSAGE)
+    sweep_of = lambda totals, numbers: lambda t: _drawn(t, n_parts, totals, numbers)
+    bound = written(meet(_bound, of(known, NAMES, SUBS)), "bound")
+    drawn, totals, kept, all_totals = known, _summed(known), [], []
+    for sweep in range(burn + sweeps + 1):
+        told = written(meet(_told, bound, of(drawn, UP)), "told", by="kind")
+        if sweep > burn:
+            kept += [of(drawn, DRAWN).withColumn("other", F.lit(sweep).cast("long")), of(told, TABLES).withColumn("other", F.lit(sweep).cast("long"))]
+            all_totals.append(totals)
+        if sweep < burn + sweeps:
+            drawn = written(meet(sweep_of(totals, [seed, sweep]), of(known, STATE), of(told, DOWN), of(drawn, DRAWN)), "drawn", by="kind")
+            totals = _summed(drawn)
+    replies = _union([of(known, STATE, ROUTE), *kept]).groupBy("part").applyInArrow(tc.tidied(lambda t: _replied(t, sweeps)), ex.ANSWERED)
+    n_all, n_words = totals[0], totals[1]
 
     def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
         d = chunk(rows)
-        by_part = dict(zip(answers.column("part").to_pylist(), answers.column("reply").to_pylist(), strict=True))
-        c_w, root, rest = np.zeros(len(d.w)), np.zeros(len(d.w)), np.zeros(len(d.k))
-        for p, ws, es in d.pieces():
-            n = ws.stop - ws.start
-            c_w[ws] = np.frombuffer(by_part[p], "<u4", n)
-            root[ws] = np.frombuffer(by_part[p], "<f4", n, 4 * n)
-            rest[es] = np.frombuffer(by_part[p], "<f4", es.stop - es.start, 8 * n)
-        p_w = (root + (ROOT_STRENGTH + ROOT_DISCOUNT * s_all) / (v + 1)) / (ROOT_STRENGTH + t_all)
-        p = (rest + (STRENGTH + DISCOUNT * t_k[d.k]) * p_w[d.word_of]) / (STRENGTH + c_k[d.k])
-        base = np.log10((c_w + 0.5) / (n_all + 0.5 * (v + 1)))
+        d.screened(ex.replies(answers, 0))
+        by_part = ex.replies(answers, 1)
+        n = len(d.words)
+        c_w, roots, tables, seats = np.zeros(n, np.int64), np.zeros((sweeps, n)), np.zeros((sweeps, n)), np.zeros((sweeps, n))
+        # pairs that were not sent have one customer at one table, or none
+        fixed = d.c * (1.0 - DISCOUNT)
+        for (p, a, b), i, j in zip(d.parts, d.cuts[:-1], d.cuts[1:], strict=True):
+            x = unpacked(by_part[p])
+            c_w[a:b], roots[0, a:b], tables[0, a:b] = x[:3]
+            for s in range(1, sweeps):
+                roots[s, a:b], tables[s, a:b] = x[1] + x[2 + s], x[2] + x[1 + sweeps + s]
+            for s in range(sweeps):
+                seats[s, a:b] = x[1 + 2 * sweeps + s]
+            fixed[d.sent[i:j]] = x[-2] - DISCOUNT * x[-1] / sweeps
+        c_k = c_w.copy()
+        c_k[d.start] = c_w[d.end]
+        c_k[d.end] = 0
+        fresh = np.zeros(len(d.w))
+        for s, (_, _, n_root, n_tables) in enumerate(all_totals):
+            fresh += (STRENGTH + DISCOUNT * tables[s, d.k]) * parent(roots[s], seats[s], n_tables, n_root, n_words)[d.w] / sweeps
+        p = np.log10((fixed + fresh) / (STRENGTH + c_k[d.k]))
+        base = np.log10((c_w + 0.5) / (n_all + 0.5 * (n_words + 1)))
         per = lambda x: np.bincount(d.owner, weights=x, minlength=d.n_rows)
-        word = d.word_of[d.entry]
-        columns = [rows.column("doc").combine_chunks(), pa.array(np.bincount(d.owner, minlength=d.n_rows), pa.int64()), pa.array(per(c_w[word] > 0).astype(np.int64)), pa.array([int(n_all)] * d.n_rows, pa.int64()), pa.array(per(base[word])), pa.array(per(np.log10(p)[d.entry]))]
+        columns = [rows.column("doc").combine_chunks(), pa.array(np.bincount(d.owner, minlength=d.n_rows), pa.int64()), pa.array(per(c_w[d.word] > 0).astype(np.int64)), pa.array([int(n_all)] * d.n_rows, pa.int64()), pa.array(per(base[d.word])), pa.array(per(p[d.pair]))]
         return pa.Table.from_arrays(columns, ["doc", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = ex.result_schema(chunks, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    answers = learned.where("reply is not null").select("chunk", "part", "reply")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tc.tidied(apply), schema)
+    return by_chunk.cogroup(screen.unionAll(replies).groupBy("chunk")).applyInArrow(tc.tidied(apply), schema)
+
+
+def _union(tables) -> DataFrame:
+    first, *rest = tables
+    for t in rest:
+        first = first.unionByName(t)
+    return first
 
 
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,12 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: a cut of the lineage that outlives executors."""
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """df written to the shared folder, in a folder for each value of `by` if it is given, and read again: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -555,30 +555,130 @@ def test_scores(spark, odd):
     assert all(r.score < 0 for r in got.values())
 
 
+def weights_of_tables(c, rest, p):
+    """Weights of 1 to c tables by the recursion of the number of seatings."""
+    ways = [1.0]
+    for n in range(1, c):
+        ways = [(ways[t] * (n - 0.5 * (t + 1)) if t < n else 0.0) + (ways[t - 1] if t else 0.0) for t in range(n + 1)]
+    out, fresh = [], 1.0
+    for t in range(c):
+        out.append(ways[t] * fresh * p ** (t + 1))
+        fresh *= 1.0 + 0.5 * (rest + t + 1)
+    return np.array(out) / sum(out)
+
+
+@pytest.mark.parametrize(("c", "rest", "p"), [(2, 0, 0.3), (5, 3, 0.2), (9, 40, 0.05), (64, 10, 0.4), (65, 10, 0.4), (120, 0, 0.02)])
+def test_tables_are_drawn_from_their_conditional(c, rest, p):
+    n = 20_000 if c <= 64 else 4000
+    got = pitmanyor.seat(np.full(n, c), np.full(n, float(rest)), np.full(n, p), np.random.default_rng(2))
+    want = weights_of_tables(c, rest, p)
+    seen = np.bincount(got, minlength=c + 1)[1:] / n
+    assert abs(seen - want).max() < 4 * np.sqrt(0.25 / n) and abs(got.mean() - want @ np.arange(1, c + 1)) < 5 * got.std() / np.sqrt(n) + 1e-9
+
+
+def test_many_customers():
+    got = pitmanyor.seat(np.array([10**9, 10**6, 0, 1]), np.array([10.0, 10.0, 5.0, 5.0]), np.array([1e-3, 0.5, 0.1, 0.1]), np.random.default_rng(0))
+    assert got[2] == 0 and got[3] == 1 and 1 < got[1] < 10**6
+
+
+def test_packed_arrays():
+    a, b = np.array([1, -5, 2**62]), np.array([2**64 - 1, 0], np.uint64)
+    x, y, z = pitmanyor.unpacked(pitmanyor.packed(a, b, np.zeros(0, np.int64)))
+    assert x.tolist() == a.tolist() and y.view(np.uint64).tolist() == b.tolist() and len(z) == 0
+
+
+def seated_by_hand(texts, rng, sweeps, burn):
+    """Mean probabilities of (context, word) by seating one customer at a time, everything in dictionaries; brute force."""
+    tokens = [[*t.split(), "."] for t in texts]
+    pairs = [(k, w) for t in tokens for k, w in zip(["^", *t], t, strict=False)]
+    words = sorted({w for _, w in pairs})
+    v = len(words)
+    tables: dict = {}  # context -> list of [dish, customers]
+    root: list = []  # the parent's tables, whose customers are the children's tables
+
+    def p_root(w):
+        n = sum(c for _, c in root)
+        return (sum(c - 0.5 for d, c in root if d == w) + (1 + 0.5 * len(root)) / (v + 1)) / (1 + n)
+
+    def p_word(k, w):
+        own = tables.get(k, [])
+        n = sum(c for _, c in own)
+        return (sum(c - 0.5 for d, c in own if d == w) + (1 + 0.5 * len(own)) * p_root(w)) / (1 + n)
+
+    def add(room, w, fresh):
+        chances = [c - 0.5 if d == w else 0.0 for d, c in room] + [(1 + 0.5 * len(room)) * fresh]
+        i = rng.choices(range(len(chances)), chances)[0]
+        if i == len(room):
+            room.append([w, 0])
+        room[i][1] += 1
+        return room[i][1] == 1
+
+    def drop(room, w):
+        i = rng.choices([i for i, (d, _) in enumerate(room) if d == w], [c for d, c in room if d == w])[0]
+        room[i][1] -= 1
+        if room[i][1] == 0:
+            del room[i]
+            return True
+        return False
+
+    mean: dict = {}
+    for sweep in range(sweeps + burn):
+        for k, w in pairs:
+            if sweep and drop(tables[k], w):
+                drop(root, w)
+            if add(tables.setdefault(k, []), w, p_root(w)):
+                add(root, w, 1 / (v + 1))
+        if sweep >= burn:
+            for k in {"^", *words}:
+                for w in (*words, "?"):
+                    mean[k, w] = mean.get((k, w), 0.0) + p_word(k, w) / sweeps
+    return mean
+
+
+def test_scores_agree_with_brute_force(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "b", "c", "d"], [8, 4, 2, 1], k=12)) for _ in range(12)] + ["a a a a a a a a", "a b a b a b a b"]
+    held = ["a b c", "d d d d", "c a b d a", "x a y", ""]
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(100 + i, t, False) for i, t in enumerate(held)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r.doc.doc_id: r.score for r in pitmanyor.score(d, "train", burn=4, sweeps=12).collect()}
+    mean = seated_by_hand(texts, rng, 300, 20)
+    assert all(sum(mean[k, w] for w in ("a", "b", "c", "d", ".", "?")) == pytest.approx(1) for k in ("^", "a", "d"))
+    known = {"a", "b", "c", "d", "."}
+    for i, t in enumerate(held):
+        tokens = [*t.split(), "."]
+        want = 0.0
+        for k, w in zip(["^", *tokens], tokens, strict=False):
+            # an unknown word's context has no restaurant: the parent's probability, which "?" has as a context without customers
+            if k == "^" or k in known:
+                want += np.log10(mean[k, w if w in known else "?"])
+            else:
+                want = None
+                break
+        if want is not None:
+            assert got[100 + i] == pytest.approx(want, abs=0.06 * len(tokens))
+
+
 def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    n_words = 40
-    word, context = rng.integers(0, n_words, 300), rng.integers(0, 6, 300)
-    cells, c = np.unique(word * 6 + context, return_counts=True)
-    word, context, c = cells // 6, cells % 6, c.astype(float)
-    word = np.unique(word, return_inverse=True)[1]
-    n_words = word.max() + 1
-    t, cw, sw = pitmanyor.sample(c, word, context, n_words, 1, rng)
-    assert (t >= 1).all() and (t <= c).all()
-    p = (cw - 0.5 * sw + (1 + 0.5 * sw.sum()) / (n_words + 1)) / (1 + cw.sum())
-    unknown = (1 + 0.5 * sw.sum()) / (n_words + 1) / (1 + cw.sum())
-    assert p.sum() + unknown == pytest.approx(1)
-    for k in range(6):
-        own = context == k
-        mass = np.zeros(n_words)
-        mass[word[own]] = c[own] - 0.75 * t[own]
-        q = (mass + (1 + 0.75 * t[own].sum()) * p) / (1 + c[own].sum())
-        assert q.sum() + (1 + 0.75 * t[own].sum()) * unknown / (1 + c[own].sum()) == pytest.approx(1)
-
-
-def test_stirling():
-    s = np.exp(pitmanyor.log_stirling(3, 0.5))
-    assert s[3, 1] == pytest.approx(0.5 * 1.5) and s[3, 3] == pytest.approx(1) and s[3, 2] == pytest.approx(0.5 + 1.0)
+    c_root, s_w = np.array([9.0, 4.0, 1.0]), np.array([3.0, 2.0, 1.0])
+    p = pitmanyor.parent(np.append(c_root, 0), np.append(s_w, 0), s_w.sum(), c_root.sum(), 3)
+    assert p.sum() == pytest.approx(1)
+    c, t = np.array([5.0, 2.0, 0.0, 0.0]), np.array([2.0, 1.0, 0.0, 0.0])
+    assert ((c - 0.5 * t + (1 + 0.5 * t.sum()) * p) / (1 + c.sum())).sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("sizes", [(300, 600), (2000, 500)])
+def test_scores_do_not_depend_on_chunks_and_parts(spark, monkeypatch, sizes):
+    rng = random.Random(9)
+    rows = [(i, words(rng, rng.randrange(1, 40), 12), i % 4 > 0) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    whole = {r.doc.doc_id: r for r in pitmanyor.score(d, "train", sweeps=6).collect()}
+    monkeypatch.setattr(pitmanyor.ex.chunked, "__kwdefaults__", {"chunk_bytes": sizes[0], "part_bytes": sizes[1]})
+    cut = {r.doc.doc_id: r for r in pitmanyor.score(d, "train", sweeps=6).collect()}
+    assert all(cut[i][:-1][1:4] == r[:-1][1:4] and cut[i].base_score == pytest.approx(r.base_score) for i, r in whole.items())
+    # draws differ, the distribution does not
+    assert all(abs(cut[i].score - r.score) < 0.05 * r.n_tokens for i, r in whole.items())
+    assert sum(r.score for r in cut.values()) == pytest.approx(sum(r.score for r in whole.values()), rel=0.01)
 
 
 def test_model_beats_its_base(spark, sf_dir):
