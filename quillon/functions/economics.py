@@ -86,10 +86,24 @@ def in_canary(key: Column, fraction: float) -> Column:
     return F.lit(True) if fraction >= 1 else cohort_bucket(key) < int(fraction * 10000)
 
 
+def key_hash(*parts: Column | str, seed: int = 42) -> Column:
+    """52 bits of a hash of a key, as a long: the same on any partitioning and in any engine that has md5. Null parts are left out."""
+    text = F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
 def uniform(*parts: Column | str, seed: int = 42) -> Column:
-    """A number in [0, 1) from a key, the same on any partitioning."""
-    h = F.xxhash64(*[F.col(p) if isinstance(p, str) else p for p in parts], F.lit(seed))
-    return F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52)
+    """A number in [0, 1) from a key."""
+    return key_hash(*parts, seed=seed).cast("double") / float(1 << 52)
+
+
+def key_hash_sql(*parts: str, seed: int = 42) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(f'({p})::VARCHAR' for p in parts)}, '{seed}')), 1, 13))::BIGINT"
+
+
+def uniform_sql(*parts: str, seed: int = 42) -> str:
+    """uniform() in DuckDB's SQL."""
+    return f"({key_hash_sql(*parts, seed=seed)}::DOUBLE / {1 << 52}.0::DOUBLE)"
 
 
 def namespace_seed(master: Column, namespace: Column) -> Column:

@@ -1,50 +1,71 @@
 """Running sums, ranks, quantiles and bins over whole columns, without a window over all rows.
 
-Rows are first added up by distinct value. Cut points from a sketch deal the values to buckets;
-a running sum is one within its bucket plus the sum of the buckets before, which is a small table.
-Results do not depend on where the cuts lie.
+Rows are first added up by distinct value. A group of at most LARGEST values is one window. Larger ones
+are cut at quantiles of their own, as many as their size asks for; a running sum is then one within
+its bucket plus the sum of the buckets before. Results do not depend on where the cuts lie.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 32
+from quillon.sources.storage import written
 
+#: Rows that one window or task holds.
+LARGEST = 1_000_000
+#: Cuts of one group, and buckets of each axis of a rank correlation, at most.
+MOST_CUTS = 2048
 
-def prefix_sum(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+
+def _cut(df: DataFrame, order: str, by: list[str], largest: int) -> DataFrame | None:
+    """df with _bucket, ascending in `order`; None where no group is larger than `largest`."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    if most <= largest:
+        return None
+    n = min(MOST_CUTS, ceil(2 * most / largest))
+    x = F.col(order).cast("double")
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx(x, F.array(*[F.lit(i / n) for i in range(1, n)]), 10 * n))).alias("_cuts")
+    big = df.groupBy(*by).agg(F.count("*").alias("_n"), cuts).where(F.col("_n") > largest).drop("_n")
+    d = df.join(big, by, "left") if by else df.join(big)
+    return d.withColumn("_bucket", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= x))).drop("_cuts")
+
+
+def prefix_sum(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), largest: int = LARGEST) -> DataFrame:
     """df with cum_<c> for each of sums: the total of c over rows of the same `by` up to this one's `order`.
 
-    df has one row for each (by, order), numeric orders without nulls.
+    df has one row for each (by, order), numeric orders without nulls. It is read several times: callers write what is dear.
     """
     by = list(by)
-    probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), probabilities, 1000)).first()[0] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    d = df.withColumn("_bucket", F.size(F.filter(bounds, lambda c: c <= F.col(order))))
+    part = lambda *more: Window.partitionBy(*by, *more) if by or more else Window.partitionBy(F.lit(1))
+    d = _cut(df, order, by, largest)
+    if d is None:
+        return df.withColumns({f"cum_{c}": F.sum(c).over(part().orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c in sums})
     totals = d.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = part().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
-    within = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = part("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumns({f"cum_{c}": F.sum(c).over(within) for c in sums}).join(offsets, [*by, "_bucket"])
     return d.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_{c}") for c in sums}).drop("_bucket", *[f"_{c}" for c in sums])
 
 
 def value_counts(df: DataFrame, column: str, by: Sequence[str] = (), sums: Sequence[Column] = ()) -> DataFrame:
-    """(by, x, n, sums): the distinct values that are numbers, and how often they are."""
+    """(by, x, n, sums): the distinct values that are numbers, and how often they are; written once, as it is read often."""
     x = F.col(column).cast("double")
-    return df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, x.alias("x")).agg(F.count("*").alias("n"), *sums)
+    return written(df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, x.alias("x")).agg(F.count("*").alias("n"), *sums), "counts")
 
 
 def quantile_edges(counts: DataFrame, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, total, edges): quantiles by linear interpolation of value_counts, ascending and without repeats."""
     by = list(by)
     ranked = prefix_sum(counts.select(*by, "x", "n"), "x", ["n"], by)
-    sizes = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    d = ranked.join(F.broadcast(sizes), by) if by else ranked.join(F.broadcast(sizes))
+    d = joined_by(ranked, counts.groupBy(*by).agg(F.sum("n").alias("total")), by)
     found = []
     for i, q in enumerate(probabilities):
         at = F.lit(float(q)) * (F.col("total") - 1)
@@ -75,8 +96,8 @@ def bin_left_closed(x: Column, edges: Column) -> Column:
 
 
 def joined_by(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """df with the columns of one small row per group; of one row in all where there are no groups."""
-    return df.join(F.broadcast(small), list(by)) if by else df.join(F.broadcast(small))
+    """df with the columns of one row per group; of one row in all where there are no groups. Only that one is broadcast whatever its size."""
+    return df.join(small, list(by)) if by else df.join(F.broadcast(small))
 
 
 def qcut(df: DataFrame, column: str, n_bins: int, by: Sequence[str] = (), out: str = "bin") -> DataFrame:
@@ -106,29 +127,84 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     return df.withColumn("_rx", rank(x)).withColumn("_ry", rank(y)).groupBy(*by).agg(correlation(F.col("_rx"), F.col("_ry")).alias("spearman"))
 
 
-def kendall_tau(df: DataFrame, x: str, y: str, bits: int = 32) -> DataFrame:
-    """tau-b of two columns, exact, in about rows times log rows steps.
+_PAIRS = "concordant decimal(38,0), discordant decimal(38,0)"
 
-    x and y become dense ranks. Two ranks differ first at one binary digit: for each digit of x, rows
-    that agree on the digits above form a group, and pairs across the digit are ordered by y: for
-    every row with digit 1, the rows of its group with digit 0 and a smaller (larger) y.
+
+def _ordered_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[int, int]:
+    """Concordant and discordant pairs of weighted points.
+
+    Two ranks of x differ first at one binary digit: for each digit, points that agree on the digits above
+    form a group, and each with digit 1 meets the group's points with digit 0 and a smaller (larger) y.
+    """
+    rank, height = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
+    order = np.argsort(height, kind="stable")
+    rank, height, n = rank[order], height[order], n[order].astype(object if n.sum() > 3_000_000_000 else np.int64)
+    more = less = 0
+    for level in range(int(rank.max(initial=0)).bit_length()):
+        group = rank >> (level + 1)
+        at = np.argsort(group, kind="stable")
+        g, h, one = group[at], height[at], (rank[at] >> level) & 1 == 1
+        low = np.where(one, 0, n[at])
+        below = np.concatenate([[0], np.cumsum(low)])
+        first, end = np.searchsorted(g, g, "left"), np.searchsorted(g, g, "right")
+        # rows of one group and height lie together: what is below starts before them, what is above after them
+        run = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])]))
+        stop = np.append(run[1:], len(g))
+        lengths = stop - run
+        run, stop = np.repeat(run, lengths), np.repeat(stop, lengths)
+        more += int((n[at] * (below[run] - below[first]))[one].sum())
+        less += int((n[at] * (below[end] - below[stop]))[one].sum())
+    return more, less
+
+
+def kendall_tau(df: DataFrame, x: str, y: str, largest: int = LARGEST) -> DataFrame:
+    """tau-b of two columns, exact: n, concordant, discordant, tau.
+
+    Both axes are cut into buckets of about `largest` points. Pairs within one bucket of x are counted where it lies, pairs
+    within one bucket of y but of different buckets of x likewise, and all others follow from the counts of the
+    grid's cells. Two shuffles of the distinct points; no task holds more than a bucket (equal values are not cut apart).
     """
     clean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    cells = clean.groupBy("x", "y").agg(F.count("*").alias("n"))
-    ones = lambda c: cells.select(c).distinct().withColumn("one", F.lit(1))
-    rx = prefix_sum(ones("x"), "x", ["one"]).select("x", (F.col("cum_one") - 1).alias("i"))
-    ry = prefix_sum(ones("y"), "y", ["one"]).select("y", (F.col("cum_one") - 1).alias("j"))
-    d = cells.join(rx, "x").join(ry, "y").select("i", "j", "n")
-    levels = max(1, int(d.agg(F.max("i")).first()[0] or 0).bit_length())
-    d = d.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(min(levels, bits) - 1))))
-    shifted = F.expr("shiftright(i, level)")
-    d = d.select("level", F.shiftright(shifted, 1).alias("prefix"), (shifted % 2).alias("bit"), "j", "n")
-    c = d.groupBy("level", "prefix", "j").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("high"))
-    run = prefix_sum(c, "j", ["low"], ["level", "prefix"])
-    totals = c.groupBy("level", "prefix").agg(F.sum("low").alias("all_low"))
-    pairs = run.join(totals, ["level", "prefix"]).agg(F.sum(F.col("high") * (F.col("cum_low") - F.col("low"))).alias("concordant"), F.sum(F.col("high") * (F.col("all_low") - F.col("cum_low"))).alias("discordant"))
-    tied = lambda k: cells.groupBy(k).agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias(f"ties_{k}"))
-    n = cells.agg(F.sum("n").alias("n"))
-    one = n.join(pairs).join(tied("x")).join(tied("y"))
-    all_pairs = F.col("n") * (F.col("n") - 1) / 2
-    return one.select("n", F.col("concordant").cast("long").alias("concordant"), F.col("discordant").cast("long").alias("discordant"), ((F.col("concordant") - F.col("discordant")) / F.sqrt((all_pairs - F.col("ties_x")) * (all_pairs - F.col("ties_y")))).alias("tau"))
+    cells = written(clean.groupBy("x", "y").agg(F.count("*").alias("n")), "points")
+    bucketed = cells
+    for c in ("x", "y"):
+        cut = _cut(bucketed, c, [], largest)
+        bucketed = (bucketed.withColumn("_bucket", F.lit(0)) if cut is None else cut).withColumnRenamed("_bucket", f"b{c}")
+
+    def count(by: str, first: str) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            more, less = _ordered_pairs(*(table.column(c).to_numpy() for c in (first, "y", "n")))
+            return pa.table({"concordant": pa.array([more], pa.decimal128(38, 0)), "discordant": pa.array([less], pa.decimal128(38, 0))})
+
+        return bucketed.select(by, *dict.fromkeys([first, "y", "n"])).groupBy(by).applyInArrow(run, _PAIRS)
+
+    grid = bucketed.groupBy("bx", "by").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+    parts = count("bx", "x")
+    if grid.limit(2).count() > 1:
+        # cells of smaller x: running sums over y by bucket of x, then over x
+        parts = parts.unionAll(count("by", "bx")).unionAll(_grid_pairs(grid))
+    pairs = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("concordant", "discordant")])
+    tied = lambda k: cells.groupBy(k).agg(F.sum("n").cast("decimal(19,0)").alias("m")).agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1)).cast("double") / 2, F.lit(0.0)).alias(f"ties_{k}"))
+    n = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    one = n.join(F.broadcast(pairs)).join(F.broadcast(tied("x"))).join(F.broadcast(tied("y")))
+    all_pairs = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    below = F.sqrt((all_pairs - F.col("ties_x")) * (all_pairs - F.col("ties_y")))
+    return one.select("n", F.col("concordant").cast("decimal(38,0)").cast("long").alias("concordant"), F.col("discordant").cast("decimal(38,0)").cast("long").alias("discordant"), F.try_divide((F.col("concordant") - F.col("discordant")).cast("double"), below).alias("tau"))
+
+
+def _grid_pairs(grid: DataFrame) -> DataFrame:
+    """Pairs of rows in cells that differ in both buckets; the grid has MOST_CUTS squared cells at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [pa.table(b) for b in batches]
+        if tables:
+            t = pa.concat_tables(tables)
+            counts = np.array([int(v) for v in t.column("n").to_pylist()], object)
+            bx, by = t.column("bx").to_numpy(), t.column("by").to_numpy()
+            m = np.zeros((int(bx.max()) + 1, int(by.max()) + 1), object)
+            m[bx, by] = counts
+            left = np.cumsum(m, axis=0) - m
+            below, above = np.cumsum(left, axis=1) - left, np.cumsum(left[:, ::-1], axis=1)[:, ::-1] - left
+            yield pa.RecordBatch.from_arrays([pa.array([int((m * below).sum())], pa.decimal128(38, 0)), pa.array([int((m * above).sum())], pa.decimal128(38, 0))], ["concordant", "discordant"])
+
+    return grid.coalesce(1).mapInArrow(run, _PAIRS)

@@ -6,12 +6,12 @@ import hashlib
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import economics as e
 
-#: Wordings of adverse-action reasons; fixed values.
+#: Wordings of adverse-action reasons, and of all others; fixed values.
 REASONS = {
     "velocity_5m": "High recent transaction frequency",
     "velocity_1h": "Elevated short-term spending velocity",
@@ -28,6 +28,32 @@ REASONS = {
     "prev_delinquency_count": "Previous delinquency on record",
 }
 OTHER_REASON = "Model factor outside favorable range"
+#: Coded reasons of the notices that follow denials; fixed values.
+REASON_CODES = {
+    "velocity_5m": "R001: High recent transaction frequency",
+    "velocity_1h": "R002: Elevated short-term spending velocity",
+    "velocity_24h": "R003: High daily transaction count",
+    "avg_amount_30d": "R004: Average transaction amount outside expected range",
+    "utilization": "R005: High credit utilization ratio",
+    "pct_cash_advance_30d": "R006: Elevated cash advance activity",
+    "paydown_rate_30d": "R007: Low monthly payment rate",
+    "mcc_entropy_24h": "R008: Unusual merchant category diversity",
+    "total_spend_5m": "R009: High short-term total spending",
+    "total_spend_1h": "R010: Elevated hourly spending total",
+    "avg_spend_5m": "R011: High average per-transaction amount (5m)",
+    "avg_spend_1h": "R012: High average per-transaction amount (1h)",
+    "total_spend_24h": "R013: High daily spending total",
+    "avg_spend_24h": "R014: High average per-transaction amount (24h)",
+    "pct_late_night_24h": "R015: Unusual late-night transaction pattern",
+    "avg_interarrival_24h": "R016: Unusual transaction timing pattern",
+    "velocity_7d": "R017: High weekly transaction frequency",
+    "total_spend_7d": "R018: High weekly spending total",
+    "geo_variance_7d": "R019: High geographic variance in transactions",
+    "velocity_30d": "R020: High monthly transaction frequency",
+    "total_spend_30d": "R021: High monthly spending total",
+    "avg_utilization_30d": "R022: Sustained high utilization over 30 days",
+}
+OTHER_CODE = "R099: Model factor outside favorable range"
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -88,7 +114,7 @@ def decision_outcomes(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
 def labels(features: DataFrame, parameters: DataFrame, *, seed: int = 42) -> DataFrame:
     """Features with a randomised treatment T and its outcome: accepted, spend_delta, defaulted, profit. Unknown customers are left out."""
     keep = features.drop("segment_id")
-    d = keep.join(F.broadcast(parameters.withColumnRenamed("credit_limit", "_limit")), "customer_id")
+    d = keep.join(parameters.withColumnRenamed("credit_limit", "_limit"), "customer_id")
     u = lambda tag: e.uniform("customer_id", "as_of", F.lit(tag), seed=seed)
     accept = e.effective_p_accept(F.col("true_p_accept_cli"), F.col("utilization"), F.col("velocity_24h"))
     default = e.effective_p_default(F.col("true_p_default"), F.col("utilization"), F.col("paydown_rate_30d"))
@@ -100,7 +126,7 @@ def labels(features: DataFrame, parameters: DataFrame, *, seed: int = 42) -> Dat
     return d.drop("_limit", "true_p_accept_cli", "true_delta_spend_monthly", "true_p_default")
 
 
-def reasons(df: DataFrame, key: str, features: Sequence[str], score: Scorer, background: dict[str, float], *, top: int = 4) -> DataFrame:
+def reasons(df: DataFrame, key: str, features: Sequence[str], score: Scorer, background: dict[str, float], *, top: int = 4, wordings: dict[str, str] = REASONS, other: str = OTHER_REASON) -> DataFrame:
     """(key, reasons): for each row, the features that lower its profit most against the background, at most `top`.
 
     Each row is scored as it is and once with each feature at its background value, in one pass.
@@ -113,12 +139,29 @@ def reasons(df: DataFrame, key: str, features: Sequence[str], score: Scorer, bac
     value = F.coalesce(*[F.when(F.col("_f") == f, F.col(f"_own_{f}")) for f in features])
     whole = Window.partitionBy(key)
     base = F.max(F.when(F.col("_f").isNull(), F.col("profit"))).over(whole)
-    d = d.withColumn("_v", base - F.col("profit")).withColumn("_value", value).where(F.col("_f").isNotNull() & (F.col("_v") < 0))
+    d = d.withColumn("_v", base - F.col("profit")).withColumn("_value", value).where(F.col("_f").isNotNull() & (F.col("_v") < -1e-9))
     d = d.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("_v", "_f"))).where(F.col("_k") <= top)
-    words = F.coalesce(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])[F.col("_f")], F.lit(OTHER_REASON))
+    words = F.coalesce(F.create_map(*[F.lit(x) for kv in wordings.items() for x in kv])[F.col("_f")], F.lit(other))
     return d.select(key, F.col("_k").alias("rank"), F.col("_f").alias("feature"), words.alias("description"), F.round("_v", 4).alias("attribution"), F.round("_value", 4).alias("feature_value"))
 
 
+def denials(decisions: DataFrame) -> DataFrame:
+    """Decisions that call for a notice of reasons."""
+    return decisions.where(F.coalesce(F.col("regulatory_flags")["adverse_action_eligible"], F.lit(False)))
+
+
+def notices(decisions: DataFrame, features: Sequence[str], score: Scorer, background: dict[str, float], *, top: int = 4) -> DataFrame:
+    """One notice for each denied decision: its id, customer and alias, and the coded reasons, the weightiest first.
+
+    Decisions carry their features; one without any lowering feature has an empty list.
+    """
+    d = denials(decisions).withColumn("acted_on_alias", F.coalesce("acted_on_alias", F.lit("champion")))
+    found = reasons(d.select("decision_id", *features), "decision_id", features, score, background, top=top, wordings=REASON_CODES, other=OTHER_CODE)
+    listed = found.groupBy("decision_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "description"))), lambda r: r["description"]).alias("reason_codes"))
+    none = F.array().cast("array<string>")
+    return d.select("decision_id", "customer_id", "acted_on_alias").join(listed, "decision_id", "left").withColumn("reason_codes", F.coalesce("reason_codes", none))
+
+
 def sentiment_rows(df: DataFrame, scores: str = "scores") -> DataFrame:
     """One row for each coin's score of an item."""
     rest = [c for c in df.columns if c != scores]
@@ -131,6 +174,11 @@ def sentiment_agreement(df: DataFrame, ours: str, theirs: str) -> DataFrame:
     return df.agg(F.avg(F.when((x == 0) & (y == 0), 1.0).when((x != 0) & (y != 0) & (x == y), 1.0).otherwise(0.0)).alias("agreement"))
 
 
+def baselines(key: str) -> dict[str, Column]:
+    """Actions of the policies that need no model."""
+    return {"always": F.lit(1), "never": F.lit(0), "random": random_policy(key)}
+
+
 def policy_report(df: DataFrame, actions: Sequence[str], profit: str, optimal: str) -> DataFrame:
     """(policy, mean_profit, act_rate, agreement) of columns that hold each policy's action; profit counts where it acts."""
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("policy"), F.col(a).cast("int").alias("act")) for a in actions]))

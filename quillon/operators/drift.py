@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillon.functions import ranks as r
 from quillon.functions.special import kolmogorov_sf
 from quillon.operators.risk import unpivot
+from quillon.sources.storage import written
 
 EPSILON = 1e-6
 PSI, KS_P, JS, GAP, MISSING = 0.2, 0.05, 0.1, 0.15, 0.05
@@ -29,10 +30,10 @@ def _long(ref: DataFrame, cur: DataFrame, features: Sequence[str], by: Sequence[
 
 
 def _counts(ref: DataFrame, cur: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """(by, feature, x, n_ref, n_cur): distinct values that are numbers."""
+    """(by, feature, x, n_ref, n_cur): distinct values that are numbers, written once; what every detector but missingness starts from."""
     x = F.col("x")
     d = _long(ref, cur, features, by).where(x.isNotNull() & ~F.isnan(x))
-    return d.groupBy(*by, "feature", "x").agg(F.count(F.when(F.col("in_cur") == 0, 1)).alias("n_ref"), F.count(F.when(F.col("in_cur") == 1, 1)).alias("n_cur"))
+    return written(d.groupBy(*by, "feature", "x").agg(F.count(F.when(F.col("in_cur") == 0, 1)).alias("n_ref"), F.count(F.when(F.col("in_cur") == 1, 1)).alias("n_cur")), "counts")
 
 
 def _share(part: str, whole: str) -> Column:
@@ -60,13 +61,13 @@ def _psi_rows(binned: DataFrame, keys: list[str], smooth) -> DataFrame:
     return d.groupBy(*keys).agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"), F.sum("n_ref").alias("ref"), F.sum("n_cur").alias("cur"))
 
 
-def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: Sequence[str] = (), n_bins: int = 10, threshold: float = PSI) -> DataFrame:
+def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: Sequence[str] = (), n_bins: int = 10, threshold: float = PSI, counts: DataFrame | None = None) -> DataFrame:
     """Population stability over the reference's quantile bins [a, b), the last closed; values outside are ignored. 0 without data or with one distinct edge."""
     by = list(by)
     keys = [*by, "feature"]
-    counts = _counts(ref, cur, features, by)
+    counts = _counts(ref, cur, features, by) if counts is None else counts
     edges = _reference_edges(counts, by, n_bins)
-    d = counts.join(F.broadcast(edges.select(*keys, "edges")), keys).withColumn("bin", r.bin_left_closed(F.col("x"), F.col("edges")))
+    d = counts.join(edges.select(*keys, "edges"), keys).withColumn("bin", r.bin_left_closed(F.col("x"), F.col("edges")))
     bins = d.where("bin is not null").groupBy(*keys, "bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"), F.max(F.size("edges")).alias("n_edges"))
     spine = edges.where("size(edges) > 1").select(*keys, F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
     full = spine.join(bins, [*keys, "bin"], "left").fillna(0, ["n_ref", "n_cur"])
@@ -86,7 +87,7 @@ def csi(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, n_bins: int
     features = [f for f in features if f in numeric(ref) & numeric(cur)]
     counts = _counts(ref, cur, features, [])
     edges = _reference_edges(counts, [], n_bins)
-    d = counts.join(F.broadcast(edges.select("feature", "edges")), "feature").withColumn("bin", F.size(F.filter(r.interior(F.col("edges")), lambda e: e <= F.col("x"))))
+    d = counts.join(edges.select("feature", "edges"), "feature").withColumn("bin", F.size(F.filter(r.interior(F.col("edges")), lambda e: e <= F.col("x"))))
     bins = d.groupBy("feature", "bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     spine = edges.select("feature", F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
     full = spine.join(bins, ["feature", "bin"], "left").fillna(0, ["n_ref", "n_cur"])
@@ -99,14 +100,14 @@ def csi_violations(report: DataFrame) -> DataFrame:
     return report.where("classification <> 'stable'").select("feature", F.format_string("%s: CSI=%.4f (%s)", "feature", "csi", "classification").alias("line"))
 
 
-def ks(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: Sequence[str] = (), threshold: float = KS_P) -> DataFrame:
+def ks(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: Sequence[str] = (), threshold: float = KS_P, counts: DataFrame | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov: the statistic is the asymptotic p-value, 1 below LEAST_ROWS rows; d is the distance."""
     by = list(by)
     keys = [*by, "feature"]
-    counts = _counts(ref, cur, features, by)
+    counts = _counts(ref, cur, features, by) if counts is None else counts
     run = r.prefix_sum(counts, "x", ["n_ref", "n_cur"], keys)
     sizes = counts.groupBy(*keys).agg(F.sum("n_ref").alias("ref"), F.sum("n_cur").alias("cur"))
-    d = run.join(F.broadcast(sizes), keys).groupBy(*keys).agg(F.max(F.abs(_share("cum_n_ref", "ref") - _share("cum_n_cur", "cur"))).alias("d"), F.first("ref").alias("ref"), F.first("cur").alias("cur"))
+    d = run.join(sizes, keys).groupBy(*keys).agg(F.max(F.abs(_share("cum_n_ref", "ref") - _share("cum_n_cur", "cur"))).alias("d"), F.first("ref").alias("ref"), F.first("cur").alias("cur"))
     p = kolmogorov_sf(F.col("d") * F.sqrt(F.coalesce(F.try_divide(F.col("ref") * F.col("cur"), F.col("ref") + F.col("cur")), F.lit(0.0))))
     enough = (F.col("ref") >= LEAST_ROWS) & (F.col("cur") >= LEAST_ROWS)
     out = d.withColumn("p", F.when(enough, p).otherwise(1.0))
@@ -118,18 +119,18 @@ def ks_distance(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> Data
     counts = _counts(ref, cur, features, [])
     run = r.prefix_sum(counts, "x", ["n_ref", "n_cur"], ["feature"])
     sizes = counts.groupBy("feature").agg(F.sum("n_ref").alias("ref"), F.sum("n_cur").alias("cur"))
-    return run.join(F.broadcast(sizes), "feature").groupBy("feature").agg(F.max(F.abs(_share("cum_n_ref", "ref") - _share("cum_n_cur", "cur"))).alias("d"))
+    return run.join(sizes, "feature").groupBy("feature").agg(F.max(F.abs(_share("cum_n_ref", "ref") - _share("cum_n_cur", "cur"))).alias("d"))
 
 
-def js(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: Sequence[str] = (), n_bins: int = JS_BINS, threshold: float = JS) -> DataFrame:
+def js(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: Sequence[str] = (), n_bins: int = JS_BINS, threshold: float = JS, counts: DataFrame | None = None) -> DataFrame:
     """Jensen-Shannon distance over equal bins of the joint range; 0 below LEAST_ROWS rows."""
     by = list(by)
     keys = [*by, "feature"]
-    counts = _counts(ref, cur, features, by)
+    counts = _counts(ref, cur, features, by) if counts is None else counts
     ranges = counts.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n_ref").alias("ref"), F.sum("n_cur").alias("cur"))
     width = (F.col("hi") - F.col("lo")) / n_bins
     bin_of = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(n_bins - 1))).otherwise(F.lit(n_bins // 2)).cast("int")
-    d = counts.join(F.broadcast(ranges), keys).groupBy(*keys, bin_of.alias("bin")).agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    d = counts.join(ranges, keys).groupBy(*keys, bin_of.alias("bin")).agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     spine = ranges.select(*keys, "ref", "cur", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     full = spine.join(d, [*keys, "bin"], "left").fillna(0, ["n_ref", "n_cur"])
     p, q = (F.col("n_ref") + 1e-9) / (F.col("ref") + n_bins * 1e-9), (F.col("n_cur") + 1e-9) / (F.col("cur") + n_bins * 1e-9)
@@ -154,22 +155,27 @@ def performance_gap(df: DataFrame, predicted: str, realized: str, *, by: Sequenc
     return _signal(d, by, "performance_gap", gap, threshold)
 
 
-def count_windows(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
-    """df with `win`, its block of `size` rows in the given order; the last, partial block is left out.
+def numbered(df: DataFrame, order: Sequence[str], out: str = "nth") -> tuple[DataFrame, DataFrame]:
+    """(df with its rows' places from 0 in the given order, the number of rows in one row `_total`).
 
-    The first of `order` must be a timestamp or number; ranks come from counts of its values, so
+    The first of `order` must be a timestamp or number; places come from counts of its values, so
     only rows of one value are sorted together.
     """
     first, rest = order[0], list(order[1:])
     kind = df.schema[first].dataType.typeName()
     key = F.unix_micros(F.col(first).cast("timestamp")) if kind.startswith("timestamp") else F.col(first).cast("double")
     d = df.withColumn("_k", key)
-    counts = d.groupBy("_k").agg(F.count("*").alias("n"))
+    counts = written(d.groupBy("_k").agg(F.count("*").alias("n")), "counts")
     starts = r.prefix_sum(counts, "_k", ["n"]).select("_k", (F.col("cum_n") - F.col("n")).alias("_before"))
-    total = counts.agg(F.sum("n").alias("_total"))
-    nth = F.row_number().over(Window.partitionBy("_k").orderBy(*(rest or ["_k"]))) - 1
-    d = d.join(starts, "_k").join(F.broadcast(total)).withColumn("win", F.floor((F.col("_before") + nth) / size).cast("long"))
-    return d.where(F.col("win") < F.floor(F.col("_total") / size)).drop("_k", "_before", "_total")
+    within = F.row_number().over(Window.partitionBy("_k").orderBy(*(rest or ["_k"]))) - 1
+    return d.join(starts, "_k").withColumn(out, F.col("_before") + within).drop("_k", "_before"), counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))
+
+
+def count_windows(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
+    """df with `win`, its block of `size` rows in the given order; the last, partial block is left out."""
+    d, total = numbered(df, order, "_nth")
+    d = d.join(F.broadcast(total)).withColumn("win", F.floor(F.col("_nth") / size).cast("long"))
+    return d.where(F.col("win") < F.floor(F.col("_total") / size)).drop("_nth", "_total")
 
 
 def windowed_monitor(df: DataFrame, features: Sequence[str], order: Sequence[str], size: int = 500) -> DataFrame:
@@ -177,16 +183,22 @@ def windowed_monitor(df: DataFrame, features: Sequence[str], order: Sequence[str
 
     Each row serves twice, as its window's current sample and as the next one's reference.
     """
-    w = count_windows(df, order, size).select("win", *features)
+    w = written(count_windows(df, order, size).select("win", *features), "windows")
     last = w.agg(F.max("win")).first()[0]
     cur = w.where("win > 0")
     ref = w.withColumn("win", F.col("win") + 1).where(F.col("win") <= F.lit(last if last is not None else 0))
-    parts = [psi(ref, cur, features, by=["win"]), ks(ref, cur, features, by=["win"]), js(ref, cur, features, by=["win"]), missingness(ref, cur, features, by=["win"])]
+    return signals(ref, cur, features, by="win")
+
+
+def signals(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: str = "win") -> DataFrame:
+    """(by, detector, feature, statistic, threshold, is_drifting) of the four detectors, from one count of the values."""
+    counts = _counts(ref, cur, features, [by])
+    parts = [*(f(ref, cur, features, by=[by], counts=counts) for f in (psi, ks, js)), missingness(ref, cur, features, by=[by])]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     split = F.split("feature", "@segment_")
-    return out.select(F.element_at(split, 2).cast("long").alias("win"), "detector", F.element_at(split, 1).alias("feature"), "statistic", "threshold", "is_drifting")
+    return out.select(F.element_at(split, 2).cast("long").alias(by), "detector", F.element_at(split, 1).alias("feature"), "statistic", "threshold", "is_drifting")
 
 
 def adwin(df: DataFrame, key: str, order: Sequence[str], value: str, *, delta: float = 0.002) -> DataFrame:

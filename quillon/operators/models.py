@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import ranks as r
 from quillon.functions import special
-from quillon.functions.economics import uniform
+from quillon.functions.economics import EXPOSURE_CAP, key_hash, profit_treated, uniform
 from quillon.operators.risk import unpivot
 from quillon.sources.storage import written
 
@@ -178,11 +178,11 @@ def uplift(models, df: DataFrame, features: Sequence[str], out: str = "uplift")
 
 def group_split(df: DataFrame, key: str, fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(rest, held out): max(1, int(n * fraction)) keys with all their rows are held out."""
-    keys = df.select(key).distinct().select(key, F.xxhash64(F.col(key), F.lit(seed)).alias("_hash")).withColumn("_bucket", F.shiftright("_hash", 48))
+    keys = df.select(key).distinct().select(key, key_hash(key, seed=seed).alias("_hash")).withColumn("_bucket", F.shiftright("_hash", 36))
     sizes = sorted((r["_bucket"], r["count"]) for r in keys.groupBy("_bucket").count().collect())
     n = max(1, int(sum(c for _, c in sizes) * fraction))
     # whole buckets of hashes below a threshold; only the one in which the count is reached is put in order
-    edge, left = -(1 << 15), n
+    edge, left = -1, n
     for edge, count in sizes:
         if left <= count:
             break
@@ -191,21 +191,64 @@ def group_split(df: DataFrame, key: str, fraction: float, seed: int = 42) -> tup
     return df.join(out, key, "left_anti"), df.join(out, key, "left_semi")
 
 
-def train_per_segment(df: DataFrame, key: str, segment: str, features: Sequence[str], treatment: str, reward: str, truth: str, *, regs: Sequence[float] = (0.0, 0.1), fraction: float = 0.2) -> dict:
-    """{segment: (models, reg, tau)}: for each segment the penalty with the best Kendall tau of uplift and truth on held-out customers."""
-    train, test = (written(d, "split") for d in group_split(df, key, fraction))
+#: The heads of an arm: what each predicts, and of which rows of the arm it learns.
+HEADS = (("p_accept", "accepted", None, "logistic"), ("spend", "spend_delta", "accepted", "linear"), ("p_default", "defaulted", "accepted", "logistic"))
+
+
+def segment_vectors(df: DataFrame, features: Sequence[str], segment: str, segments: Sequence, out: str = "features") -> DataFrame:
+    """df with a constant and its features in the block of its segment, zeros elsewhere: one fit of them is a fit of each segment."""
+    x = [F.lit(1.0), *[F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features]]
+    columns = {f"_b_{k}_{i}": F.when(F.col(segment) == s, v).otherwise(0.0) for k, s in enumerate(segments) for i, v in enumerate(x)}
+    return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df.withColumns(columns)).drop(*columns)
+
+
+def arm_heads(v: DataFrame, reg: float) -> dict:
+    """For each of HEADS a model on the rows of one arm, or a constant where its label does not vary."""
     found = {}
-    for s in sorted(x[0] for x in df.select(segment).distinct().collect()):
-        own, held = train.where(F.col(segment) == s), test.where(F.col(segment) == s)
-        best = None
-        for reg in regs:
-            models = t_learner(own, features, treatment, reward, reg=reg)
-            scored = written(uplift(models, held, features).select("uplift", truth), "scored")
-            tau = r.kendall_tau(scored, "uplift", truth).first()
-            tau = tau.tau if tau and tau.tau is not None else float("-inf")
-            if best is None or tau > best[2]:
-                best = (models, reg, tau)
-        found[s] = best
+    for name, label, among, kind in HEADS:
+        rows = (v if among is None else v.where(F.col(among) == 1)).withColumn("_y", F.col(label).cast("double"))
+        low, high, n = rows.agg(F.min("_y"), F.max("_y"), F.count("*")).first()
+        if n == 0 or low == high:
+            found[name] = float(low or 0.0)
+        elif kind == "logistic":
+            found[name] = LogisticRegression(labelCol="_y", regParam=reg / n, fitIntercept=False, standardization=False, maxIter=50).fit(rows)
+        else:
+            found[name] = LinearRegression(labelCol="_y", regParam=reg / n, fitIntercept=False, standardization=False).fit(rows)
+    return found
+
+
+def arm_profit(heads: dict, v: DataFrame, out: str, exposed: float = EXPOSURE_CAP) -> DataFrame:
+    """v with the profit that an arm's heads expect."""
+    d = v
+    for name, m in heads.items():
+        if isinstance(m, float):
+            d = d.withColumn(f"_{name}", F.lit(m))
+        else:
+            logistic_head = hasattr(m, "numClasses")
+            d = m.transform(d)
+            d = d.withColumn(f"_{name}", F.element_at(vector_to_array("probability"), 2) if logistic_head else F.col("prediction")).drop("prediction", "probability", "rawPrediction")
+    d = d.withColumn(out, profit_treated(F.col("_p_accept"), F.col("_spend"), F.col("_p_default"), F.lit(float(exposed))))
+    return d.drop(*[f"_{name}" for name in heads])
+
+
+def train_per_segment(df: DataFrame, key: str, segment: str, features: Sequence[str], treatment: str, truth: str, *, regs: Sequence[float] = (1.0, 100.0), fraction: float = 0.2) -> dict:
+    """{segment: (reg, tau, heads of the untreated, heads of the treated)}: T-learners with three heads an arm, and for each segment
+    the penalty with the best Kendall tau of uplift and truth on held-out customers. A fit serves all segments at once.
+
+    df has accepted, spend_delta and defaulted. A segment without held-out rows, or whose tau is not defined, has tau 0 like one without rank correlation.
+    """
+    segments = sorted(x[0] for x in df.where(F.col(segment).isNotNull()).select(segment).distinct().collect())
+    train, test = (written(segment_vectors(d, features, segment, segments), "split") for d in group_split(df, key, fraction))
+    found: dict = {}
+    for reg in regs:
+        arms = [arm_heads(train.where(F.col(treatment) == t), reg) for t in (0, 1)]
+        d = arm_profit(arms[1], arm_profit(arms[0], test, "_p0"), "_p1")
+        scored = written(d.select(segment, (F.col("_p1") - F.col("_p0")).alias("uplift"), truth), "scored")
+        for s in segments:
+            tau = r.kendall_tau(scored.where(F.col(segment) == s), "uplift", truth).first().tau
+            tau = 0.0 if tau is None else tau
+            if s not in found or tau > found[s][1]:
+                found[s] = (reg, tau, *arms)
     return found
 
 
@@ -224,11 +267,17 @@ def importances(model, features: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 
-def separability(df: DataFrame, key: str, features: Sequence[str], label: str, *, trees: int = 50) -> DataFrame:
+def separability(df: DataFrame, key: str, features: Sequence[str], label: str, *, trees: int = 200, depth: int = 8) -> DataFrame:
     """(segment, auc): one against the rest, by a forest's votes on held-out customers."""
     train, test = group_split(df, key, 0.3)
-    scored = forest(train, features, label, trees=trees).transform(vectors(test, features)).withColumn("votes", vector_to_array("probability"))
+    scored = forest(train, features, label, trees=trees, depth=depth).transform(vectors(test, features)).withColumn("votes", vector_to_array("probability"))
     d = scored.select(F.col(label).cast("int").alias("own"), F.posexplode("votes").alias("segment", "p")).withColumn("y", (F.col("own") == F.col("segment")).cast("int"))
     from quillon.operators.risk import gini
 
     return gini(d, "y", "p", ["segment"]).select("segment", "auc")
+
+
+def separability_verdict(aucs: DataFrame, least: float = 0.85) -> DataFrame:
+    """The gate's row: the mean AUC over segments, and whether it is above `least`."""
+    d = aucs.agg(F.avg("auc").alias("value"), F.count("auc").alias("_n"))
+    return d.select(F.lit("segment_separability").alias("criterion"), F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce(F.col("value") > least, F.lit(False)).alias("passed"), F.format_string("mean one-against-rest AUC of %d segments", "_n").alias("note"))

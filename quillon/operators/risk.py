@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import ranks as r
+from quillon.functions.economics import uniform
 from quillon.functions.special import chi2_sf
 
 ZERO_COUNT = 0.5
@@ -27,6 +28,7 @@ def unpivot(df: DataFrame, features: Sequence[str], keep: Sequence[Column]) -> D
 
 
 def iv_label(iv: Column) -> Column:
+    """Strength of an information value; fixed values."""
     return F.when(iv < 0.02, "unpredictive").when(iv < 0.10, "weak").when(iv < 0.30, "medium").when(iv < 0.50, "strong").otherwise("suspicious")
 
 
@@ -37,7 +39,7 @@ def woe_bins(df: DataFrame, features: Sequence[str], target: str, n_bins: int =
     counts = r.value_counts(long, "x", ["feature"], [F.sum("y").alias("events")])
     edges = r.quantile_edges(counts, r.steps(n_bins), ["feature"]).select("feature", "edges")
     distinct = counts.groupBy("feature").agg(F.count("*").alias("n_values"))
-    d = counts.join(F.broadcast(edges.join(distinct, "feature")), "feature")
+    d = counts.join(edges.join(distinct, "feature"), "feature")
     few = F.col("n_values") <= n_bins
     d = d.withColumn("bin", F.when(few, F.lit(None)).otherwise(r.bin_right_closed(F.col("x"), F.col("edges")))).withColumn("own", F.when(few, F.col("x")))
     b = d.groupBy("feature", "bin", "own").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("n"), F.sum("events").alias("events"))
@@ -49,6 +51,11 @@ def woe_bins(df: DataFrame, features: Sequence[str], target: str, n_bins: int =
     return b.select("feature", "lo", "hi", "n", "events", "non_events", (F.col("events") / F.col("n")).alias("event_rate"), "woe", ((F.col("_o") - F.col("_e")) * F.col("woe")).alias("iv"))
 
 
+def binary_target(df: DataFrame, p: str, key: Sequence[str], out: str = "y", *, seed: int = 42) -> DataFrame:
+    """df with one draw, 0 or 1, of each row's probability; the same for the same key and seed. Null probabilities count as 0."""
+    return df.withColumn(out, (uniform(*key, F.lit("target"), seed=seed) < F.coalesce(F.col(p).cast("double"), F.lit(0.0))).cast("int"))
+
+
 def iv_table(bins: DataFrame) -> DataFrame:
     """One row for each feature, best first: total IV, its label, whether event rates are monotone, number of bins."""
     w = Window.partitionBy("feature").orderBy("lo")
@@ -134,7 +141,7 @@ def ks(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def lorenz(df: DataFrame, y: str, p: str, key: str, n_bins: int = 10) -> DataFrame:
-    """Gains by position in descending score (ties by key): shares of rows and events up to each bin."""
+    """Gains by position in descending score (ties by key): shares of rows and events up to each bin, its least score and event rate."""
     # positions: rows before the score's group, then within the group by key
     counts = r.value_counts(df, p, (), [F.sum(y).alias("events")]).withColumn("minus", -F.col("x"))
     starts = r.prefix_sum(counts, "minus", ["n"]).select(F.col("x").alias("_x"), (F.col("cum_n") - F.col("n")).alias("before"), F.col("n").alias("_n"))
@@ -143,26 +150,28 @@ def lorenz(df: DataFrame, y: str, p: str, key: str, n_bins: int = 10) -> DataFra
     d = df.withColumn("_x", F.col(p).cast("double")).join(starts, "_x").join(F.broadcast(total))
     at = lambda i: F.greatest(F.ceil(i * n_bins / (F.col("total") - 1)) - 1, F.lit(0))
     split = at(F.col("before").cast("double")) != at((F.col("before") + F.col("_n") - 1).cast("double"))
-    whole = d.where(~split).select(at(F.col("before").cast("double")).alias("bin"), F.col(y).alias("y"))
+    whole = d.where(~split).select(at(F.col("before").cast("double")).alias("bin"), F.col(y).alias("y"), F.col("_x").alias("p"))
     nth = F.row_number().over(Window.partitionBy("_x").orderBy(key)) - 1
-    apart = d.where(split).withColumn("_i", F.col("before") + nth).select(at(F.col("_i").cast("double")).alias("bin"), F.col(y).alias("y"))
-    b = whole.unionAll(apart).groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("events"))
+    apart = d.where(split).withColumn("_i", F.col("before") + nth).select(at(F.col("_i").cast("double")).alias("bin"), F.col(y).alias("y"), F.col("_x").alias("p"))
+    b = whole.unionAll(apart).groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("events"), F.min("p").alias("cutoff"))
     run = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole_range = Window.partitionBy(F.lit(1))
-    return b.select((F.col("bin") + 1).cast("int").alias("bin"), "n", "events", (F.sum("n").over(run) / F.sum("n").over(whole_range)).alias("cum_population"), (F.sum("events").over(run) / F.sum("events").over(whole_range)).alias("cum_events"))
+    return b.select((F.col("bin") + 1).cast("int").alias("bin"), "n", "events", (F.sum("n").over(run) / F.sum("n").over(whole_range)).alias("cum_population"), (F.sum("events").over(run) / F.greatest(F.sum("events").over(whole_range), F.lit(1))).alias("cum_events"), "cutoff", (F.col("events") / F.col("n")).alias("event_rate"))
 
 
 def gini_label(g: Column) -> Column:
+    """Class of a Gini coefficient; fixed values."""
     return F.when(g >= 0.55, "excellent").when(g >= 0.40, "good (deployable application PD)").when(g >= 0.30, "marginal").otherwise("insufficient for regulator-grade decisioning")
 
 
 def ks_label(k: Column) -> Column:
+    """Class of a Kolmogorov-Smirnov distance; fixed values."""
     return F.when(k >= 0.50, "excellent").when(k >= 0.30, "deployable").otherwise("insufficient")
 
 
 def discrimination_summary(df: DataFrame, y: str, p: str, key: str, n_bins: int = 10) -> DataFrame:
     top = lorenz(df, y, p, key, n_bins).where("bin = 1").select(F.col("cum_events").alias("top_decile_capture"))
-    d = gini(df, y, p).select("auc", "gini", "n").join(F.broadcast(ks(df, y, p))).join(F.broadcast(top))
+    d = gini(df, y, p).select("auc", "gini", "n", "n_events").join(F.broadcast(ks(df, y, p))).join(F.broadcast(top))
     return d.withColumns({"gini_label": gini_label(F.col("gini")), "ks_label": ks_label(F.col("ks"))})
 
 

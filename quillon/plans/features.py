@@ -154,8 +154,10 @@ def asof_orders_to_events(spark, sf_dir):
 
 @register("customer_lookup", f"WITH {SERVING_SQL} SELECT customer_id, velocity_5m, velocity_30d FROM serving WHERE customer_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def customer_lookup(spark, sf_dir):
-    wanted = a.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("customer_id"))
-    return views.serving(_all(spark, sf_dir)).select("customer_id", "velocity_5m", "velocity_30d").join(wanted, "customer_id", "left_semi")
+    wanted = a.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("customer_id")).distinct()
+    own = lambda d: d.join(wanted, "customer_id", "left_semi")
+    v = views.all_views(own(a.transactions(spark, sf_dir)), own(a.transactions_with_attributes(spark, sf_dir)))
+    return views.serving(v).select("customer_id", "velocity_5m", "velocity_30d")
 
 
 @register("feature_coverage", f"WITH {TRAINING_SQL}, r AS (SELECT (customer_id % 6)::INT AS segment_id, * FROM training) SELECT segment_id, count(*) AS n_rows, count(DISTINCT customer_id) AS n_customers, round(avg((avg_interarrival_24h IS NOT NULL)::INT), 6) AS avg_interarrival_24h, round(avg((geo_variance_7d IS NOT NULL)::INT), 6) AS geo_variance_7d, round(avg((mcc_entropy_1h IS NOT NULL)::INT), 6) AS mcc_entropy_1h FROM r GROUP BY 1")

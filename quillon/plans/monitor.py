@@ -89,26 +89,47 @@ def count_windows(spark, sf_dir):
     return rounded(d.groupBy("win").agg(F.count("*").alias("n"), F.avg("amount").alias("mean_amount")))
 
 
-MONITOR_SQL = f"""{a.TX_SQL}, k AS (SELECT *, (row_number() OVER (ORDER BY event_time, event_id) - 1) // 500 AS w, count(*) OVER () AS n FROM tx),
-wins AS (SELECT w AS win, amount AS x, 1 AS c FROM k WHERE w < n // 500 AND w > 0 UNION ALL SELECT w + 1, amount, 0 FROM k WHERE w + 1 < n // 500),
-long AS (SELECT win, 'amount' AS feature, x, c FROM wins)"""
+def _windows_sql(*features: str) -> str:
+    sides = " UNION ALL ".join(f"SELECT w AS win, '{f}' AS feature, {f}::DOUBLE AS x, 1 AS c FROM k WHERE w < n // 500 AND w > 0 UNION ALL SELECT w + 1, '{f}', {f}::DOUBLE, 0 FROM k WHERE w + 1 < n // 500" for f in features)
+    return f"{a.TX_SQL}, k AS (SELECT *, (row_number() OVER (ORDER BY event_time, event_id) - 1) // 500 AS w, count(*) OVER () AS n FROM tx), long AS ({sides})"
 
 
-@register("windowed_psi", f"WITH {MONITOR_SQL}, {_psi_sql('win', 'psi', '({x} + 1e-6::DOUBLE)', True)} SELECT win, 'psi' AS detector, 'amount' AS feature, round(v, 6) AS statistic, 0.2::DOUBLE AS threshold, v > 0.2 AS is_drifting FROM psi")
+MONITOR_SQL = _windows_sql("amount")
+
+
+@register("windowed_psi", f"WITH {MONITOR_SQL}, {_psi_sql('win, feature', 'psi', '({x} + 1e-6::DOUBLE)', True)} SELECT win, 'psi' AS detector, feature, round(v, 6) AS statistic, 0.2::DOUBLE AS threshold, v > 0.2 AS is_drifting FROM psi")
 def windowed_psi(spark, sf_dir):
     d = drift.windowed_monitor(a.transactions(spark, sf_dir), ["amount"], ["event_time", "event_id"])
     return rounded(d.where("detector = 'psi'"))
 
 
-@register("windowed_monitor")
+#: Columns of the transactions that the windowed monitor watches.
+WATCHED = ("amount", "mcc", "current_balance", "credit_limit", "geo_lat", "geo_lon", "segment_id", "customer_id")
+_KS_BY = KS_SQL.replace("PARTITION BY feature", "PARTITION BY win, feature").replace("SELECT feature, ", "SELECT win, feature, ").replace("GROUP BY feature", "GROUP BY win, feature")
+
+
+def signals_sql(*features: str) -> str:
+    return f"""{_windows_sql(*features)}, {_psi_sql('win, feature', 'psi', '({x} + 1e-6::DOUBLE)', True)},
+t AS (SELECT win, feature, d * sqrt(nr * nc / (nr + nc)) AS t FROM ({_KS_BY})), ksp AS (SELECT win, feature, CASE WHEN t < 0.2 THEN 1.0::DOUBLE ELSE greatest(0, least(1, 2 * (SELECT sum((CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * i * i * t * t)) FROM range(1, 101) r(i)))) END AS p FROM t),
+rg AS (SELECT win, feature, min(x) AS lo, max(x) AS hi, sum(1 - c)::DOUBLE AS nr, sum(c)::DOUBLE AS nc FROM long GROUP BY ALL),
+h AS (SELECT win, feature, CASE WHEN hi > lo THEN least(floor((x - lo) / ((hi - lo) / 20)), 19) ELSE 10 END::INT AS bin, sum(1 - c) AS r, sum(c) AS q FROM long JOIN rg USING (win, feature) GROUP BY ALL),
+f AS (SELECT win, feature, (coalesce(r, 0) + 1e-9::DOUBLE) / (nr + 20 * 1e-9::DOUBLE) AS p, (coalesce(q, 0) + 1e-9::DOUBLE) / (nc + 20 * 1e-9::DOUBLE) AS q FROM (SELECT *, unnest(range(0, 20))::INT AS bin FROM rg) LEFT JOIN h USING (win, feature, bin)),
+jsd AS (SELECT win, feature, sqrt(greatest(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2, 0)) AS v FROM f GROUP BY ALL),
+sig AS (SELECT win, 'psi' AS detector, feature, v AS statistic, 0.2::DOUBLE AS threshold, v > 0.2 AS is_drifting FROM psi
+  UNION ALL SELECT win, 'ks', feature, p, 0.05, p < 0.05 FROM ksp UNION ALL SELECT win, 'js_divergence', feature, v, 0.1, v > 0.1 FROM jsd
+  UNION ALL SELECT win, 'schema', feature, 0.0, 0.05, false FROM rg)"""
+
+
+
+@register("windowed_monitor", f"WITH {signals_sql(*WATCHED)} SELECT win, detector, feature, round(statistic, 5) AS statistic, threshold, is_drifting FROM sig")
 def windowed_monitor(spark, sf_dir):
-    return drift.windowed_monitor(a.transactions(spark, sf_dir), ["amount", "mcc"], ["event_time", "event_id"])
+    return rounded(drift.windowed_monitor(a.transactions(spark, sf_dir), WATCHED, ["event_time", "event_id"]), 5)
 
 
 @register("adwin_shifts")
 def adwin_shifts(spark, sf_dir):
-    d = a.transactions(spark, sf_dir).withColumn("share", F.col("amount") / 200.0)
-    return drift.adwin(d, "customer_id", ["event_time", "event_id"], "share")
+    d = a.transactions(spark, sf_dir).withColumn("tens", F.col("amount") / 10.0)
+    return drift.adwin(d, "customer_id", ["event_time", "event_id"], "tens")
 
 
 RATES_SQL = f"{a.SCORED_SQL}, rates AS (SELECT segment, grp, count(*) AS n, sum(y)::BIGINT AS n_positive, count(*) FILTER (p >= 0.5) AS n_selected, avg((p >= 0.5)::INT) AS selection_rate, avg(CASE WHEN y = 1 THEN (p >= 0.5)::INT END) AS tpr, avg(CASE WHEN y = 0 THEN (p >= 0.5)::INT END) AS fpr, avg(CASE WHEN p >= 0.5 THEN y END) AS ppv FROM scored GROUP BY ALL), rep AS (SELECT segment, count(*) AS n_groups, CASE WHEN max(selection_rate) = 0 THEN 1 ELSE min(selection_rate) / max(selection_rate) END AS parity_ratio, max(tpr) - min(tpr) AS tpr_gap, max(fpr) - min(fpr) AS fpr_gap, max(ppv) - min(ppv) AS ppv_gap FROM rates GROUP BY segment)"

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from quillon.functions import economics as e
 from quillon.operators import asof, decide, gate, models, ope, views
 from quillon.plans.catalog import register
+from quillon.plans import monitor as monitor_plans
+from quillon.plans import risk as risk_plans
 from quillon.plans.features import TRAINING_SQL, rounded
 from quillon.plans.risk import edges_sql
 from quillon.sources import adapter as a
+from quillon.sources import storage
 
 JOINED_SQL = f"""{a.DECISIONS_SQL}, {a.PARAMETERS_SQL},
 j AS (SELECT d.*, p.true_p_accept_cli, p.true_delta_spend_monthly, p.true_p_default, p.credit_limit,
@@ -71,7 +74,7 @@ def ope_estimates(spark, sf_dir):
 
 @register("ope_suite")
 def ope_suite(spark, sf_dir):
-    return ope.suite(a.decisions(spark, sf_dir), "decision_id", n_boot=200, action="action", propensity="propensity", reward="reward", new_action="new_action", mu_new="mu_new", mu_logged="mu_logged")
+    return ope.suite(a.decisions(spark, sf_dir), "decision_id", action="action", propensity="propensity", reward="reward", new_action="new_action", mu_new="mu_new", mu_logged="mu_logged")
 
 
 @register("promotion_gate")
@@ -79,14 +82,14 @@ def promotion_gate(spark, sf_dir):
     return ope.promotion(ope_suite(spark, sf_dir))
 
 
-POLICY_SQL = f"{JOINED_SQL}, pol AS (SELECT 1 AS always, 0 AS never, (utilization > 0.5)::INT AS by_use, pa * (true_delta_spend_monthly * 12 * 0.12::DOUBLE * 0.95::DOUBLE - pdef * exposed * 0.8::DOUBLE - exposed * 0.0064::DOUBLE) AS profit FROM j), opt AS (SELECT *, (profit > 0)::INT AS optimal FROM pol), rep AS (SELECT policy, act, profit, optimal FROM (SELECT profit, optimal, unnest(['always', 'never', 'by_use']) AS policy, unnest([always, never, by_use]) AS act FROM opt))"
+POLICY_SQL = f"""{JOINED_SQL}, pol AS (SELECT 1 AS always, 0 AS never, ({e.uniform_sql('decision_id', "'policy'")} < 0.5)::INT AS random, (utilization > 0.5)::INT AS by_use, pa * (true_delta_spend_monthly * 12 * 0.12::DOUBLE * 0.95::DOUBLE - pdef * exposed * 0.8::DOUBLE - exposed * 0.0064::DOUBLE) AS profit FROM j), opt AS (SELECT *, (profit > 0)::INT AS optimal FROM pol), rep AS (SELECT policy, act, profit, optimal FROM (SELECT profit, optimal, unnest(['always', 'never', 'random', 'by_use']) AS policy, unnest([always, never, random, by_use]) AS act FROM opt))"""
 REPORT_SQL = "SELECT policy, avg(CASE WHEN act = 1 THEN profit ELSE 0 END) AS mean_profit, avg(act) AS act_rate, avg((act = optimal)::INT) AS agreement FROM rep GROUP BY policy"
 
 
 def _policies(spark, sf_dir):
     d = _joined(spark, sf_dir).withColumn("profit", e.expected_profit(F.col("pa"), F.col("pdef"), F.col("true_delta_spend_monthly"), F.col("exposed")))
-    d = d.withColumns({"always": F.lit(1), "never": F.lit(0), "by_use": (F.col("utilization") > 0.5).cast("int"), "optimal": (F.col("profit") > 0).cast("int")})
-    return decide.policy_report(d, ["always", "never", "by_use"], "profit", "optimal")
+    d = d.withColumns({**decide.baselines("decision_id"), "by_use": (F.col("utilization") > 0.5).cast("int"), "optimal": (F.col("profit") > 0).cast("int")})
+    return decide.policy_report(d, ["always", "never", "random", "by_use"], "profit", "optimal")
 
 
 @register("policy_report", f"WITH {POLICY_SQL} SELECT policy, round(mean_profit, 6) AS mean_profit, round(act_rate, 6) AS act_rate, round(agreement, 6) AS agreement FROM ({REPORT_SQL})")
@@ -133,17 +136,21 @@ def batch_decisions(spark, sf_dir):
     return out.select("decision_id", "alias", "action", F.round("expected_profit", 4).alias("expected_profit"), "acts")
 
 
-@register("adverse_reasons")
+REASON_SQL = f"""{a.ACCOUNTS_SQL}, m AS (SELECT avg(utilization) AS mu, avg(paydown_rate_30d) AS mp, avg(prev_delinquency_count) AS md, avg(credit_score) AS mc FROM acc),
+v AS (SELECT account_id, unnest(['utilization', 'paydown_rate_30d', 'prev_delinquency_count', 'credit_score']) AS feature, unnest([-80 * (utilization - mu), 30 * (paydown_rate_30d - mp), -15 * (prev_delinquency_count - md), 0.1::DOUBLE * (credit_score - mc)]) AS v, unnest([utilization, paydown_rate_30d, prev_delinquency_count, credit_score]) AS x FROM acc, m)"""
+WORDS_SQL = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{w}'" for f, w in decide.REASONS.items()) + " END"
+
+
+@register("adverse_reasons", f"WITH {REASON_SQL} SELECT account_id, (row_number() OVER (PARTITION BY account_id ORDER BY v, feature))::INT AS rank, feature, {WORDS_SQL} AS description, round(v, 4) AS attribution, round(x, 4) AS feature_value FROM v WHERE v < -1e-9 QUALIFY rank <= 4")
 def adverse_reasons(spark, sf_dir):
     d = a.accounts(spark, sf_dir)
     f = ("utilization", "paydown_rate_30d", "prev_delinquency_count", "credit_score")
     mean = d.agg(*[F.avg(c).alias(c) for c in f]).first().asDict()
-    score = lambda x: x.withColumn("profit", 100 - 80 * F.col("utilization") + 30 * F.col("paydown_rate_30d") - 15 * F.col("prev_delinquency_count") + 0.1 * F.col("credit_score"))
-    return decide.reasons(d, "account_id", f, score, mean)
+    return decide.reasons(d, "account_id", f, _account_profit, mean)
 
 
-REASON_SQL = f"""{a.ACCOUNTS_SQL}, m AS (SELECT avg(utilization) AS mu, avg(paydown_rate_30d) AS mp, avg(prev_delinquency_count) AS md, avg(credit_score) AS mc FROM acc),
-v AS (SELECT account_id, unnest(['utilization', 'paydown_rate_30d', 'prev_delinquency_count', 'credit_score']) AS feature, unnest([-80 * (utilization - mu), 30 * (paydown_rate_30d - mp), -15 * (prev_delinquency_count - md), 0.1::DOUBLE * (credit_score - mc)]) AS v FROM acc, m)"""
+def _account_profit(d):
+    return d.withColumn("profit", 100 - 80 * F.col("utilization") + 30 * F.col("paydown_rate_30d") - 15 * F.col("prev_delinquency_count") + 0.1 * F.col("credit_score"))
 
 
 @register("adverse_reason_counts", f"WITH {REASON_SQL} SELECT feature, count(*) AS n FROM v WHERE v < -1e-6 GROUP BY feature")
@@ -159,30 +166,53 @@ def decision_json_round_trip(spark, sf_dir):
     return back.select("decision_id", "customer_id", "alias", "segment_id", "current_utilization")
 
 
-@register("simulated_outcomes")
+def _u(tag: str, *key: str) -> str:
+    return e.uniform_sql(*key, f"'{tag}'")
+
+
+OUTCOMES_SQL = f"""{JOINED_SQL},
+drawn AS (SELECT *, action = 1 AND {_u('accept', 'decision_id')} < pa AS accepted, {_u('default', 'decision_id')} < pdef AS may_default,
+  true_delta_spend_monthly * exp(0.3::DOUBLE * ({_u('a', 'decision_id')} + {_u('b', 'decision_id')} + {_u('c', 'decision_id')} - 1.5::DOUBLE) * 2) AS may_spend FROM j),
+outcome AS (SELECT *, accepted AND may_default AS defaulted, CASE WHEN accepted THEN may_spend ELSE 0 END AS spend FROM drawn),
+paid AS (SELECT *, CASE WHEN accepted THEN spend * 0.12::DOUBLE * 0.95::DOUBLE - CASE WHEN defaulted THEN least(spend * 12, 5000) * 0.8::DOUBLE ELSE 0 END - least(spend * 12, 5000) * 0.0064::DOUBLE ELSE 0 END AS profit FROM outcome)"""
+PAID = "decision_id, customer_id, accepted, defaulted, round(spend, 6) AS spend, round(profit, 6) AS profit"
+
+
+@register("simulated_outcomes", f"WITH {OUTCOMES_SQL} SELECT {PAID} FROM paid")
 def simulated_outcomes(spark, sf_dir):
-    return decide.outcomes(a.decisions(spark, sf_dir), a.parameters(spark, sf_dir))
+    return rounded(decide.outcomes(a.decisions(spark, sf_dir), a.parameters(spark, sf_dir)))
 
 
-@register("decision_outcomes")
+@register("decision_outcomes", f"WITH {OUTCOMES_SQL} SELECT {PAID}, alias, segment_id, action, round(propensity, 6) AS propensity FROM paid")
 def decision_outcomes(spark, sf_dir):
     d = a.decisions(spark, sf_dir)
-    return decide.decision_outcomes(d, decide.outcomes(d, a.parameters(spark, sf_dir)))
+    return rounded(decide.decision_outcomes(d, decide.outcomes(d, a.parameters(spark, sf_dir))))
 
 
 def _training(spark, sf_dir):
-    v = views.all_views(a.transactions(spark, sf_dir), a.transactions_with_attributes(spark, sf_dir))
-    return decide.labels(asof.assemble(v), a.parameters(spark, sf_dir))
+    """The labelled frame, from features as they would be stored, with six decimals."""
+    return decide.labels(rounded(_frame(spark, sf_dir), 6, "geo_variance_7d"), a.parameters(spark, sf_dir))
+
 
+LABELS_SQL = f"""{TRAINING_SQL}, {a.PARAMETERS_SQL},
+chances AS (SELECT t.*, p.segment_id, p.true_delta_spend_monthly, p.credit_limit AS own_limit, {_u('treat', 't.customer_id', 't.as_of')} AS u_treat, {_u('accept', 't.customer_id', 't.as_of')} AS u_accept, {_u('default', 't.customer_id', 't.as_of')} AS u_default, {_u('spend', 't.customer_id', 't.as_of')} AS u_spend,
+  greatest(least(true_p_accept_cli + 0.3::DOUBLE * (coalesce(utilization, 0.5) - 0.5::DOUBLE) + 0.1::DOUBLE * least(coalesce(velocity_24h, 0) / 20.0::DOUBLE, 1), 0.95), 0.01) AS pa,
+  greatest(least(true_p_default + 0.2::DOUBLE * greatest(coalesce(utilization, 0.5) - 0.6::DOUBLE, 0) + 0.1::DOUBLE * greatest(0.5::DOUBLE - coalesce(paydown_rate_30d, 0.5), 0), 0.6), 0.001) AS pdef
+  FROM training t JOIN params p ON t.customer_id = p.customer_id),
+treated AS (SELECT *, (u_treat < 0.5)::INT AS "T", (u_treat < 0.5 AND u_accept < pa)::INT AS accepted, (u_treat < 0.5 AND u_accept < pa AND u_default < pdef)::INT AS defaulted,
+  CASE WHEN u_treat < 0.5 AND u_accept < pa THEN true_delta_spend_monthly * (0.7::DOUBLE + 0.6::DOUBLE * u_spend) ELSE 0 END AS spend_delta, least(greatest(own_limit * (1 - coalesce(utilization, 0.5)), 0), 5000) AS exposed FROM chances),
+labelled AS (SELECT * EXCLUDE (true_delta_spend_monthly, own_limit, u_treat, u_accept, u_default, u_spend, pa, pdef, exposed),
+  CASE WHEN accepted = 1 THEN spend_delta * 12 * 0.12::DOUBLE * 0.95::DOUBLE - CASE WHEN defaulted = 1 THEN exposed * 0.8::DOUBLE ELSE 0 END - exposed * 0.0064::DOUBLE ELSE 0 END AS profit FROM treated)"""
 
-@register("labelled_training_frame")
+
+@register("labelled_training_frame", f"WITH {LABELS_SQL} SELECT * REPLACE (round(spend_delta, 4) AS spend_delta, round(profit, 4) AS profit) FROM labelled")
 def labelled_training_frame(spark, sf_dir):
-    return _training(spark, sf_dir)
+    return _training(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("spend_delta", "profit")})
 
 
-@register("treatment_balance")
+@register("treatment_balance", f"""WITH {LABELS_SQL} SELECT segment_id, count(*) AS n, round(avg("T"), 6) AS treated, round(avg(CASE WHEN "T" = 0 THEN profit END), 6) AS control_profit FROM labelled GROUP BY segment_id""")
 def treatment_balance(spark, sf_dir):
-    return _training(spark, sf_dir).groupBy("segment_id").agg(F.count("*").alias("n"), F.avg("T").alias("treated"), F.avg(F.when(F.col("T") == 0, F.col("profit"))).alias("control_profit"))
+    return rounded(_training(spark, sf_dir).groupBy("segment_id").agg(F.count("*").alias("n"), F.avg("T").alias("treated"), F.avg(F.when(F.col("T") == 0, F.col("profit"))).alias("control_profit")))
 
 
 PROFILE = ("quantity", "price", "discount", "p")
@@ -327,13 +357,21 @@ def segment_importance(spark, sf_dir):
     return models.importances(models.forest(d, f, "segment_id", trees=10, depth=5), f, spark)
 
 
+def _separable(spark, sf_dir):
+    return models.separability(_training(spark, sf_dir), "customer_id", ["credit_score", "annual_income", "account_tenure_months", "total_spend_30d"], "segment_id")
+
+
 @register("segment_separability")
 def segment_separability(spark, sf_dir):
-    d = _training(spark, sf_dir)
-    return models.separability(d, "customer_id", ["credit_score", "annual_income", "account_tenure_months", "total_spend_30d"], "segment_id", trees=10)
+    return _separable(spark, sf_dir)
+
 
+@register("separability_verdict")
+def separability_verdict(spark, sf_dir):
+    return models.separability_verdict(_separable(spark, sf_dir))
 
-@register("customer_split")
+
+@register("customer_split", f"WITH {a.TX_SQL}, keys AS (SELECT DISTINCT customer_id FROM tx), nth AS (SELECT customer_id, row_number() OVER (ORDER BY {e.key_hash_sql('customer_id')}, customer_id) AS k, count(*) OVER () AS n FROM keys) SELECT event_id, customer_id, k <= greatest(1, floor(n * 0.2::DOUBLE)) AS held_out FROM tx JOIN nth USING (customer_id)")
 def customer_split(spark, sf_dir):
     rest, held = models.group_split(a.transactions(spark, sf_dir), "customer_id", 0.2)
     return rest.select("event_id", "customer_id", F.lit(False).alias("held_out")).unionByName(held.select("event_id", "customer_id", F.lit(True).alias("held_out")))
@@ -352,21 +390,86 @@ def best_profit_so_far(spark, sf_dir):
     return rounded(best_so_far(a.decisions(spark, sf_dir), ["customer_id"], ["ts", "decision_id"], "reward").select("decision_id", "best"), 4)
 
 
-@register("full_evaluation")
+def _pairs(part: str, item: str, source: str, **metrics: str) -> str:
+    names, values = ", ".join(f"'{m}'" for m in metrics), ", ".join(f"({v})::DOUBLE" for v in metrics.values())
+    return f"SELECT '{part}' AS part, {item} AS item, unnest([{names}]) AS metric, round(unnest([{values}]), 5) AS value FROM {source}"
+
+
+EVALUATED = ("utilization", "credit_score", "paydown_rate_30d")
+_OWN_SCORED = f"{a.ACCOUNTS_SQL}, scored AS (SELECT account_id AS l_orderkey, 0 AS l_linenumber, account_id, segment, defaulted AS y, pd AS p, (segment % 2)::VARCHAR AS grp, {', '.join(EVALUATED)}, account_id % 2 AS half FROM acc)"
+_LONG = "long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS x, y, half AS c FROM scored" for f in EVALUATED) + ")"
+_after = lambda sql, head: sql.split(head, 1)[1]
+_NO_BY = "SELECT round(abs(sum(sum(y)) OVER (ORDER BY p)::DOUBLE / sum(sum(y)) OVER () - sum(count(*) - sum(y)) OVER (ORDER BY p)::DOUBLE / sum(count(*) - sum(y)) OVER ()), 12) AS gap, p FROM scored GROUP BY p"
+_COHORTS = "coh AS (SELECT strftime(originated, '%Y-%m') AS cohort, defaulted, default_month FROM acc), sizes AS (SELECT cohort, count(*) AS accounts FROM coh GROUP BY 1), r12 AS (SELECT cohort, count(*) FILTER (defaulted = 1 AND default_month <= 12) / accounts AS rate FROM coh JOIN sizes USING (cohort) GROUP BY cohort, accounts), moves AS (SELECT cohort AS newer, lag(rate) OVER (ORDER BY cohort) AS was, rate FROM r12)"
+FULL_SQL = f"""WITH {_OWN_SCORED}, {_LONG}, {_after(risk_plans.CAL_SQL, a.SCORED_SQL + ", ")},
+lor AS (SELECT bin, count(*) AS n, sum(y)::BIGINT AS events, min(p) AS cutoff FROM (SELECT y, p, (greatest(ceil((row_number() OVER (ORDER BY p DESC, l_orderkey) - 1)::DOUBLE * 10 / (count(*) OVER () - 1)) - 1, 0) + 1)::INT AS bin FROM scored) GROUP BY 1),
+lorenz AS (SELECT *, sum(n) OVER (ORDER BY bin)::DOUBLE / sum(n) OVER () AS cum_population, sum(events) OVER (ORDER BY bin)::DOUBLE / sum(events) OVER () AS cum_events FROM lor),
+k AS (SELECT gap AS ks, p AS threshold FROM ({_NO_BY}) ORDER BY gap DESC, p LIMIT 1),
+au AS (SELECT n, n_events, (sum_rank - n_events * (n_events + 1) / 2) / (n_events * (n - n_events)) AS auc FROM (SELECT sum(y)::BIGINT AS n_events, count(*) AS n, sum(CASE WHEN y = 1 THEN rk END) AS sum_rank FROM (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rk FROM scored))),
+cs AS (SELECT sum(n * abs(mean_score - event_rate)) / sum(n) AS ece, sum(n) AS n, {risk_plans.HL_SQL} AS statistic, greatest(count(*) - 2, 1) AS df FROM cal),
+whole AS (SELECT avg(pow(y - p, 2)) AS brier, avg(p) AS mean_score, avg(y) AS event_rate FROM scored),
+{_after(risk_plans.LOSS_SQL, a.ACCOUNTS_SQL + ", ")},
+st AS (SELECT * FROM (VALUES ('baseline', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.8::DOUBLE), ('adverse', 0.9::DOUBLE, 1.15::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 0.02::DOUBLE, 0.85::DOUBLE), ('severely_adverse', 0.8::DOUBLE, 1.35::DOUBLE, 0.6::DOUBLE, 2.0::DOUBLE, 0.05::DOUBLE, 0.9::DOUBLE)) t(scenario, f_income, f_use, f_pay, more, floor, lgd)),
+s1 AS (SELECT scenario, lgd, greatest(least(greatest(0.02::DOUBLE + 0.1::DOUBLE * (utilization * f_use) + 0.03::DOUBLE * (prev_delinquency_count + more) + 2000.0::DOUBLE / (annual_income * f_income) - 0.02::DOUBLE * (paydown_rate_30d * f_pay), 0.001), 0.6), floor) AS pd, current_balance + 0.6::DOUBLE * greatest(credit_limit - current_balance, 0) AS ead FROM acc, st),
+stressed AS (SELECT scenario, count(*) AS accounts, sum(ead) AS total_ead, sum(pd * lgd * ead) AS expected_loss, sqrt(sum(pow(ead * lgd * sqrt(greatest(pd * (1 - pd), 0)), 2))) AS unexpected_loss, sum(pd * lgd * ead) / greatest(sum(ead), 1) AS loss_rate, sum(pd * ead) / greatest(sum(ead), 1) AS weighted_pd, sum(lgd * ead) / greatest(sum(ead), 1) AS weighted_lgd FROM s1 GROUP BY scenario),
+{_COHORTS}, {_after(risk_plans.WOE_SQL, risk_plans.LONG_SQL + ", ").replace('edges', 'wedges')},
+{_after(risk_plans.PRE_SQL, risk_plans.LONG_SQL + ", ").replace('edges', 'pedges')},
+{monitor_plans._psi_sql('feature', 'csi', 'greatest({x}, 1e-6::DOUBLE)', False).replace('edges', 'cedges')},
+rates AS (SELECT grp, count(*) AS n, sum(y) AS n_positive, count(*) FILTER (p >= 0.2) AS n_selected, avg((p >= 0.2)::INT) AS selection_rate, avg(CASE WHEN y = 1 THEN (p >= 0.2)::INT END) AS tpr, avg(CASE WHEN y = 0 THEN (p >= 0.2)::INT END) AS fpr, avg(CASE WHEN p >= 0.2 THEN y END) AS ppv FROM scored GROUP BY grp)
+""" + " UNION ALL ".join([
+    _pairs("calibration", "NULL", "cs, whole", brier="brier", mean_score="whole.mean_score", event_rate="whole.event_rate", ece="ece", n="cs.n", statistic="statistic", df="df"),
+    _pairs("discrimination", "NULL", "au, k", auc="auc", gini="2 * auc - 1", n="n", n_events="n_events", ks="ks", threshold="threshold", top_decile_capture="(SELECT cum_events FROM lorenz WHERE bin = 1)"),
+    _pairs("gains", "bin::VARCHAR", "lorenz", n="n", events="events", cum_population="cum_population", cum_events="cum_events", cutoff="cutoff", event_rate="events / n"),
+    _pairs("calibration_bins", "bin::VARCHAR", "cal", n="n", mean_score="mean_score", event_rate="event_rate", lo="lo", hi="hi", observed="observed", expected="expected"),
+    _pairs("loss", "NULL", "(SELECT count(*) AS accounts, sum(ead) AS total_ead, sum(expected_loss) AS expected_loss, sqrt(sum(pow(unexpected_loss, 2))) AS unexpected_loss, sum(pd * ead) AS pe, sum(lgd * ead) AS le FROM loss)", accounts="accounts", total_ead="total_ead", expected_loss="expected_loss", unexpected_loss="unexpected_loss", loss_rate="expected_loss / greatest(total_ead, 1)", weighted_pd="pe / greatest(total_ead, 1)", weighted_lgd="le / greatest(total_ead, 1)"),
+    _pairs("stress", "scenario", "stressed", **{c: c for c in ("accounts", "total_ead", "expected_loss", "unexpected_loss", "loss_rate", "weighted_pd", "weighted_lgd")}),
+    _pairs("vintage_drift", "newer", "moves WHERE was > 0 AND abs((rate - was) / was) >= 0.5", change="(rate - was) / was"),
+    _pairs("information_value", "feature", f"({risk_plans.IV_SQL})", iv="iv", n_bins="n_bins"),
+    _pairs("monotonicity", "feature", "rho", n_bins="n_bins", spearman="spearman"),
+    _pairs("csi", "feature", "csi", csi="v", ref="ref", cur="cur"),
+    _pairs("fairness_rates", "grp", "rates", **{c: c for c in ("n", "n_positive", "n_selected", "selection_rate", "tpr", "fpr", "ppv")}),
+    _pairs("fairness", "NULL", "(SELECT count(*) AS n_groups, CASE WHEN max(selection_rate) = 0 THEN 1 ELSE min(selection_rate) / max(selection_rate) END AS parity_ratio, max(tpr) - min(tpr) AS tpr_gap, max(fpr) - min(fpr) AS fpr_gap, max(ppv) - min(ppv) AS ppv_gap FROM rates)", n_groups="n_groups", parity_ratio="parity_ratio", tpr_gap="tpr_gap", fpr_gap="fpr_gap", ppv_gap="ppv_gap"),
+])
+
+
+@register("full_evaluation", FULL_SQL)
 def full_evaluation(spark, sf_dir):
     from quillon.operators import evaluate
 
     d = a.accounts(spark, sf_dir).withColumn("grp", (F.col("segment") % 2).cast("string"))
-    return evaluate.headline(evaluate.full_evaluation(d, y="defaulted", p="pd", key="account_id", balance="current_balance", limit="credit_limit", group="grp"))
+    half = lambda k: d.where(F.col("account_id") % 2 == k)
+    tables = evaluate.full_evaluation(d, y="defaulted", p="pd", key="account_id", balance="current_balance", limit="credit_limit", score=risk_plans._score, origination="originated", default_month="default_month", group="grp", group_threshold=0.2, reference=half(0), current=half(1), features=EVALUATED)
+    return evaluate.headline(tables).where("metric <> 'p_value'").withColumn("value", F.round("value", 5))
 
 
-@register("random_policy")
+@register("random_policy", f"""WITH {a.DECISIONS_SQL} SELECT decision_id, ({e.uniform_sql('decision_id', "'policy'")} < 0.5)::INT AS act FROM dec""")
 def random_policy(spark, sf_dir):
     return a.decisions(spark, sf_dir).select("decision_id", decide.random_policy("decision_id").alias("act"))
 
 
+def _true_uplift(d):
+    """What an offer is worth by the customer's own parameters."""
+    pa = e.effective_p_accept(F.col("true_p_accept_cli"), F.col("utilization"), F.col("velocity_24h"))
+    pdef = e.effective_p_default(F.col("true_p_default"), F.col("utilization"), F.col("paydown_rate_30d"))
+    return e.expected_profit(pa, pdef, F.col("true_delta_spend_monthly"), e.exposure(F.col("own_limit"), F.col("utilization")))
+
+
+def _with_truth(spark, sf_dir):
+    p = a.parameters(spark, sf_dir).drop("segment_id").withColumnRenamed("credit_limit", "own_limit")
+    d = _training(spark, sf_dir).join(p, "customer_id")
+    return d.withColumn("truth", _true_uplift(d))
+
+
 @register("per_segment_uplift")
 def per_segment_uplift(spark, sf_dir):
-    d = _training(spark, sf_dir).withColumn("truth", F.col("utilization") * 10 + F.col("velocity_24h"))
-    found = models.train_per_segment(d, "customer_id", "segment_id", ["utilization", "velocity_24h"], "T", "profit", "truth", regs=(0.1,))
-    return spark.createDataFrame([(int(s), float(r), float(t)) for s, (_, r, t) in found.items()], "segment_id int, reg double, tau double")
+    found = models.train_per_segment(_with_truth(spark, sf_dir), "customer_id", "segment_id", UPLIFT, "T", "truth")
+    return spark.createDataFrame([(int(s), float(r), float(t)) for s, (r, t, *_) in found.items()], "segment_id int, reg double, tau double")
+
+
+@register("baseline_report")
+def baseline_report(spark, sf_dir):
+    """Always, never, random and the linear T-learner, on customers that the learner has not seen."""
+    train, test = models.group_split(storage.written(_with_truth(spark, sf_dir), "truth"), "customer_id", 0.2)
+    d = models.uplift(models.t_learner(train, UPLIFT, "T", "profit"), test, UPLIFT)
+    d = d.withColumns({**decide.baselines("customer_id"), "t_learner": (F.col("uplift") > 0).cast("int"), "optimal": (F.col("truth") > 0).cast("int")})
+    return rounded(decide.policy_report(d, ["always", "never", "random", "t_learner"], "truth", "optimal"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import ranks
+from quillon.functions.economics import uniform_sql
 from quillon.operators import risk
 from quillon.plans.catalog import register
 from quillon.plans.features import rounded
@@ -108,23 +109,23 @@ def ks_by_segment(spark, sf_dir):
     return rounded(risk.ks(a.scored_accounts(spark, sf_dir), "y", "p", ["segment"]))
 
 
-LORENZ_SQL = f"""{a.SCORED_SQL}, pos AS (SELECT y, greatest(ceil((row_number() OVER (ORDER BY p DESC, l_orderkey * 10 + l_linenumber) - 1)::DOUBLE * 10 / (count(*) OVER () - 1)) - 1, 0) AS bin FROM scored),
-lor AS (SELECT (bin + 1)::INT AS bin, count(*) AS n, sum(y)::BIGINT AS events FROM pos GROUP BY 1),
-lorenz AS (SELECT bin, n, events, sum(n) OVER (ORDER BY bin)::DOUBLE / sum(n) OVER () AS cum_population, sum(events) OVER (ORDER BY bin)::DOUBLE / sum(events) OVER () AS cum_events FROM lor)"""
+LORENZ_SQL = f"""{a.SCORED_SQL}, pos AS (SELECT y, p, greatest(ceil((row_number() OVER (ORDER BY p DESC, l_orderkey * 10 + l_linenumber) - 1)::DOUBLE * 10 / (count(*) OVER () - 1)) - 1, 0) AS bin FROM scored),
+lor AS (SELECT (bin + 1)::INT AS bin, count(*) AS n, sum(y)::BIGINT AS events, min(p) AS cutoff FROM pos GROUP BY 1),
+lorenz AS (SELECT bin, n, events, cutoff, events / n AS event_rate, sum(n) OVER (ORDER BY bin)::DOUBLE / sum(n) OVER () AS cum_population, sum(events) OVER (ORDER BY bin)::DOUBLE / sum(events) OVER () AS cum_events FROM lor)"""
 
 
 def _keyed(spark, sf_dir):
     return a.scored_accounts(spark, sf_dir).withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
 
 
-@register("lorenz_curve", f"WITH {LORENZ_SQL} SELECT bin, n, events, round(cum_population, 6) AS cum_population, round(cum_events, 6) AS cum_events FROM lorenz")
+@register("lorenz_curve", f"WITH {LORENZ_SQL} SELECT bin, n, events, round(cum_population, 6) AS cum_population, round(cum_events, 6) AS cum_events, round(cutoff, 6) AS cutoff, round(event_rate, 6) AS event_rate FROM lorenz")
 def lorenz_curve(spark, sf_dir):
     return rounded(risk.lorenz(_keyed(spark, sf_dir), "y", "p", "key"))
 
 
 @register("discrimination_summary", f"""WITH {LORENZ_SQL}, g AS ({KS_SQL.format(key='', part='', all='')}), k AS (SELECT gap AS ks, p AS threshold FROM g ORDER BY gap DESC, p LIMIT 1),
-au AS (SELECT n, (sum_rank - n_events * (n_events + 1) / 2) / (n_events * (n - n_events)) AS auc FROM (SELECT sum(y)::BIGINT AS n_events, count(*) AS n, sum(CASE WHEN y = 1 THEN rk END) AS sum_rank FROM (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rk FROM scored)))
-SELECT round(auc, 6) AS auc, round(2 * auc - 1, 6) AS gini, n, round(ks, 6) AS ks, round(threshold, 6) AS threshold, round((SELECT cum_events FROM lorenz WHERE bin = 1), 6) AS top_decile_capture,
+au AS (SELECT n, n_events, (sum_rank - n_events * (n_events + 1) / 2) / (n_events * (n - n_events)) AS auc FROM (SELECT sum(y)::BIGINT AS n_events, count(*) AS n, sum(CASE WHEN y = 1 THEN rk END) AS sum_rank FROM (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rk FROM scored)))
+SELECT round(auc, 6) AS auc, round(2 * auc - 1, 6) AS gini, n, n_events, round(ks, 6) AS ks, round(threshold, 6) AS threshold, round((SELECT cum_events FROM lorenz WHERE bin = 1), 6) AS top_decile_capture,
 CASE WHEN 2 * auc - 1 >= 0.55 THEN 'excellent' WHEN 2 * auc - 1 >= 0.4 THEN 'good (deployable application PD)' WHEN 2 * auc - 1 >= 0.3 THEN 'marginal' ELSE 'insufficient for regulator-grade decisioning' END AS gini_label,
 CASE WHEN ks >= 0.5 THEN 'excellent' WHEN ks >= 0.3 THEN 'deployable' ELSE 'insufficient' END AS ks_label FROM au, k""")
 def discrimination_summary(spark, sf_dir):
@@ -244,3 +245,8 @@ def monotone_preconditions(spark, sf_dir):
 def kendall_tau(spark, sf_dir):
     o = a.table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("x"), (F.col("o_orderkey") * 7919 % 1009).alias("y"))
     return rounded(ranks.kendall_tau(o, "x", "y"))
+
+
+@register("binary_target", f"WITH {a.PARAMETERS_SQL} SELECT customer_id, ({uniform_sql('customer_id', repr('target'))} < true_p_default)::INT AS y FROM params")
+def binary_target(spark, sf_dir):
+    return risk.binary_target(a.parameters(spark, sf_dir), "true_p_default", ["customer_id"]).select("customer_id", "y")

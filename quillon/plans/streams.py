@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import views
+from quillon.operators import decide, fairness, views
+from quillon.plans import monitor as monitor_plans
 from quillon.plans.catalog import register
 from quillon.plans.features import ENRICHED_SQL, V5M, rounded
+from quillon.plans.risk import bin_sql, edges_sql
 from quillon.sources import adapter as a
 from quillon.sources import events, registry, storage
 from quillon.streaming import features as live
@@ -119,3 +121,82 @@ def stream_decision_outcomes(spark, sf_dir):
     stream = lambda t: spark.readStream.schema(t.schema).parquet(t.inputFiles()[0].rsplit("/", 1)[0])
     joined = live.join_outcomes(stream(made), stream(seen))
     return rounded(_run(spark, joined.select("decision_id", "action", "reward"), "stream-join"), 4)
+
+
+def _sliced(spark, slices):
+    """A stream that gets the frames one after the other, one a batch."""
+    path = storage.shared_path(spark, "slices")
+    for d in slices:
+        d.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+LATE = "event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-05'"
+
+
+@register("stream_late_events", f"WITH {a.TX_SQL.replace('FROM events)', f'FROM events WHERE NOT ({LATE}))')} SELECT * FROM ({V5M}) WHERE window_end <= (SELECT max(event_time) FROM tx) - INTERVAL 10 SECOND")
+def stream_late_events(spark, sf_dir):
+    """Events that come more than two weeks late are dropped; their windows were emitted without them."""
+    e = a.table(spark, sf_dir, "events")
+    late = F.expr(LATE.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
+    last = F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")
+    stream = a.events_as_transactions(_sliced(spark, [e.where(~late & ~last), e.where(last), e.where(late)]))
+    return rounded(_plain(_run(spark, views.view_5m(live.watermarked(stream)), "stream-late")))
+
+
+STREAM_WATCHED = ["amount", "mcc"]
+
+
+@register("stream_drift_monitor", f"WITH {monitor_plans.signals_sql(*STREAM_WATCHED)} SELECT win, detector, feature, round(statistic, 5) AS statistic, threshold, is_drifting, 500 AS window_size FROM sig WHERE is_drifting")
+def stream_drift_monitor(spark, sf_dir):
+    """Windows of 500 events against the ones before, over a stream of three batches; drifting ones only."""
+    tx = a.transactions(spark, sf_dir).select("event_id", "event_time", *STREAM_WATCHED)
+    cut = lambda x: F.lit(x).cast("timestamp_ntz")
+    at = F.col("event_time")
+    stream = _sliced(spark, [tx.where(at < cut("2024-01-10")), tx.where((at >= cut("2024-01-10")) & (at < cut("2024-01-20"))), tx.where(at >= cut("2024-01-20"))])
+    path = storage.shared_path(spark, "drift-monitor")
+    live.start_drift_monitor(stream, STREAM_WATCHED, ["event_time", "event_id"], path, storage.shared_path(spark, "drift-checkpoint")).awaitTermination()
+    return rounded(spark.read.parquet(f"{path}/events").drop("batch"), 5)
+
+
+NEWEST_SQL = f"""{a.DECISIONS_SQL}, j AS (SELECT decision_id, segment_id, (reward > 5000)::INT AS y, fraud_score AS p, mu_new AS score, ts FROM dec),
+newest AS (SELECT * FROM j ORDER BY ts DESC, decision_id DESC LIMIT 5000), {edges_sql('newest', 'score', n=5)},
+scored AS (SELECT 'segment_id' AS dimension, segment_id::VARCHAR AS grp, y, p FROM newest UNION ALL SELECT 'score_bucket', ({bin_sql('score')})::VARCHAR, y, p FROM newest, edges),
+r AS (SELECT dimension, grp, avg((p >= 0.5)::INT) AS selection_rate, avg(CASE WHEN y = 1 THEN (p >= 0.5)::INT END) AS tpr, avg(CASE WHEN y = 0 THEN (p >= 0.5)::INT END) AS fpr, avg(CASE WHEN p >= 0.5 THEN y END) AS ppv FROM scored GROUP BY ALL)"""
+
+
+def _fairness_report(d):
+    by = {"segment_id": d.withColumn("g", F.col("segment_id")), "score_bucket": fairness.score_buckets(d, "score", out="g")}
+    parts = [fairness.gauges(fairness.group_rates(x, "y", "p", "g"), name) for name, x in by.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@register("stream_fairness_monitor", f"WITH {NEWEST_SQL} SELECT dimension, grp, metric, round(value, 6) AS value FROM (UNPIVOT r ON selection_rate, tpr, fpr, ppv INTO NAME metric VALUE value)")
+def stream_fairness_monitor(spark, sf_dir):
+    """The report on the 5000 newest decisions with outcomes, after a stream's last batch."""
+    d = a.decisions(spark, sf_dir).select("decision_id", "segment_id", (F.col("reward") > 5000).cast("int").alias("y"), F.col("fraud_score").alias("p"), F.col("mu_new").alias("score"), "ts")
+    stream = _sliced(spark, [d.where(F.col("decision_id") % 3 == k) for k in range(3)])
+    path = storage.shared_path(spark, "fairness-monitor")
+    live.start_monitor(stream, _fairness_report, path, storage.shared_path(spark, "fairness-checkpoint"), at="ts", key="decision_id").awaitTermination()
+    last = storage.batches_before(spark, f"{path}/report", 1 << 62)
+    return rounded(spark.read.parquet(f"{path}/report/batch={last}"))
+
+
+NOTICE_FEATURES = ("utilization", "velocity_24h", "paydown_rate_30d", "fraud_score")
+_WEIGHTS = {"utilization": -80.0, "velocity_24h": -1.0, "paydown_rate_30d": 30.0, "fraud_score": -10.0}
+_NEUTRAL = {"utilization": 0.5, "velocity_24h": 20.0, "paydown_rate_30d": 0.5, "fraud_score": 0.25}
+
+
+def _code_sql(f: str) -> str:
+    return f"{{'v': {_WEIGHTS[f]}::DOUBLE * ({f} - {_NEUTRAL[f]}::DOUBLE), 'f': '{f}', 'code': '{decide.REASON_CODES.get(f, decide.OTHER_CODE)}'}}"
+
+
+@register("stream_notices", f"WITH {a.DECISIONS_SQL}, n AS (SELECT decision_id, customer_id, alias, list_filter([{', '.join(_code_sql(f) for f in NOTICE_FEATURES)}], lambda x: x.v < -1e-9) AS low FROM dec WHERE action = 0) SELECT decision_id, customer_id, alias AS acted_on_alias, array_to_string(list_transform(list_sort(low), lambda x: x.code), '; ') AS reason_codes FROM n")
+def stream_notices(spark, sf_dir):
+    """Coded reasons of the denied decisions of a stream."""
+    d = a.decisions(spark, sf_dir).select("decision_id", "customer_id", F.when(F.col("alias") != "champion", F.col("alias")).alias("acted_on_alias"), F.struct((F.col("action") == 0).alias("adverse_action_eligible")).alias("regulatory_flags"), *NOTICE_FEATURES)
+    stream = _sliced(spark, [d.where(F.col("decision_id") % 2 == k) for k in range(2)])
+    score = lambda x: x.withColumn("profit", sum((F.lit(w) * F.col(f) for f, w in _WEIGHTS.items()), F.lit(0.0)))
+    path = storage.shared_path(spark, "notices")
+    live.start_notices(stream, list(NOTICE_FEATURES), score, _NEUTRAL, path, storage.shared_path(spark, "notices-checkpoint")).awaitTermination()
+    return spark.read.parquet(path).select("decision_id", "customer_id", "acted_on_alias", F.array_join("reason_codes", "; ").alias("reason_codes"))

@@ -110,6 +110,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (500.0 + k * 37 % 300).alias("credit_score"),
         (F.col("o_orderstatus") == "F").cast("int").alias("defaulted"),
         (k % 12 + 1).cast("int").alias("default_month"),
+        F.col("o_orderdate").alias("originated"),
     )
 
 
@@ -177,7 +178,7 @@ ACCOUNTS_SQL = """acc AS (
          o_totalprice / 100.0::DOUBLE AS current_balance, o_totalprice / 100.0::DOUBLE * (1.0::DOUBLE + (o_orderkey % 7) / 4.0::DOUBLE) AS credit_limit,
          (o_orderkey % 6)::INT AS segment, 20000.0::DOUBLE + o_orderkey * 13 % 50000 AS annual_income, (o_orderkey * 11 % 100) / 100.0::DOUBLE AS utilization,
          (o_orderkey * 19 % 100) / 100.0::DOUBLE AS paydown_rate_30d, (o_orderkey % 4)::DOUBLE AS prev_delinquency_count, 500.0::DOUBLE + o_orderkey * 37 % 300 AS credit_score,
-         (o_orderstatus = 'F')::INT AS defaulted, (o_orderkey % 12 + 1)::INT AS default_month
+         (o_orderstatus = 'F')::INT AS defaulted, (o_orderkey % 12 + 1)::INT AS default_month, o_orderdate AS originated
   FROM orders)"""
 
 DECISIONS_SQL = """rewards AS (SELECT l_orderkey AS o_orderkey, sum(l_extendedprice * l_discount) AS reward FROM lineitem GROUP BY 1),

@@ -12,9 +12,12 @@ _own: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset, as in tests, below a temporary folder."""
+    """A new path below spark.checkpoint.dir; where that is unset, as in tests, below a temporary folder if all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
         _own[app] = base
@@ -32,6 +35,25 @@ def write_training_set(df: DataFrame, path: str, by: str = "segment_id") -> None
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def write_sorted(df: DataFrame, path: str, keys: list[str]) -> None:
+    """df in the order of its keys, over the files by name and within each."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def write_batch(df: DataFrame, path: str, number: int) -> None:
+    """A micro-batch's rows in a folder of their own: a batch that is tried again replaces what it left."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def batches_before(spark: SparkSession, path: str, number: int) -> int | None:
+    """The last batch before `number` that has a folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    found = [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
+    return max((n for n in found if n < number), default=None)
+
+
 def write_reports(reports: dict[str, DataFrame], folder: str, kind: str = "csv") -> None:
     """Small result tables, one folder each, as CSV with a header or JSON lines."""
     for name, df in reports.items():

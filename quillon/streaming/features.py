@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillon.operators import views
-from quillon.sources.storage import upsert
+from quillon.operators import decide, drift, views
+from quillon.sources.storage import batches_before, upsert, write_batch, written
 
 ENRICHED = "event_id long, customer_id long, event_time timestamp, amount double, mcc int, current_balance double, credit_limit double, geo_lat double, geo_lon double, segment_id int"
 
@@ -73,19 +73,60 @@ def join_outcomes(decisions: DataFrame, outcomes: DataFrame, *, within: str = "7
     return d.join(o, on).drop("_d", "_c")
 
 
-def start_monitor(joined: DataFrame, report: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, *, at: str, last: int = 5000, every: str | None = None):
-    """Keeps joined rows in a table and, each batch, appends a report on the `last` newest ones."""
+def _started(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, every: str | None):
+    q = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch)
+    return (q.trigger(processingTime=every) if every else q.trigger(availableNow=True)).start()
+
+
+def start_monitor(joined: DataFrame, report: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, *, at: str, key: str, last: int = 5000, every: str | None = None):
+    """Each batch, a report on the `last` newest joined rows (ties by key), under the batch's number.
+
+    What is kept between batches is those rows alone. A batch that is tried again starts from
+    the one before it and replaces its own buffer and report.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        df.write.mode("append").parquet(f"{path}/joined")
-        recent = spark.read.parquet(f"{path}/joined").orderBy(F.desc(at)).limit(last)
-        report(recent).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/report")
+        spark, before = df.sparkSession, batches_before(df.sparkSession, f"{path}/buffer", number)
+        rows = df if before is None else df.unionByName(spark.read.schema(df.schema).parquet(f"{path}/buffer/batch={before}"))
+        write_batch(rows.orderBy(F.desc(at), F.desc(key)).limit(last), f"{path}/buffer", number)
+        write_batch(report(spark.read.schema(df.schema).parquet(f"{path}/buffer/batch={number}")), f"{path}/report", number)
+
+    return _started(joined, batch, checkpoint, every)
 
-    q = joined.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch)
-    return (q.trigger(processingTime=every) if every else q.trigger(availableNow=True)).start()
 
+def start_drift_monitor(stream: DataFrame, features: list[str], order: list[str], path: str, checkpoint: str, *, size: int = 500, every: str | None = None):
+    """Every `size` rows of a stream, in the order of their batches and within a batch by `order`, against the `size` before; drifting signals are kept.
+
+    Between batches lie the last full window and the rows after it, with their places. A batch that is tried again replaces its own.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark, before = df.sparkSession, batches_before(df.sparkSession, f"{path}/carry", number)
+        new, _ = drift.numbered(written(df.select(*dict.fromkeys([*order, *features])), "batch"), order, "_nth")
+        schema = new.withColumn("_nth", F.col("_nth").cast("long")).schema
+        done = 0
+        if before is not None:
+            carry = spark.read.schema(schema).parquet(f"{path}/carry/batch={before}")
+            low, high = carry.agg(F.min("_nth"), F.max("_nth")).first()
+            if high is not None:
+                new = new.withColumn("_nth", F.col("_nth") + (high + 1)).unionByName(carry)
+                done = (high + 1) // size
+        rows = written(new.withColumn("_nth", F.col("_nth").cast("long")), "rows")
+        full = ((rows.agg(F.max("_nth")).first()[0] if not rows.isEmpty() else -1) + 1) // size
+        write_batch(rows.where(F.col("_nth") >= max(0, full - 1) * size), f"{path}/carry", number)
+        w = rows.withColumn("win", F.floor(F.col("_nth") / size).cast("long")).where(F.col("win") < full).drop("_nth", *[c for c in order if c not in features])
+        ref, cur = w.withColumn("win", F.col("win") + 1), w
+        new_windows = lambda d: d.where((F.col("win") >= max(1, done)) & (F.col("win") < full))
+        found = drift.signals(new_windows(ref), new_windows(cur), features, by="win").where("is_drifting")
+        write_batch(found.withColumn("window_size", F.lit(size)), f"{path}/events", number)
+
+    return _started(stream, batch, checkpoint, every)
+
+
+def start_notices(decisions: DataFrame, features: list[str], score: Callable, background: dict[str, float], path: str, checkpoint: str, *, every: str | None = None):
+    """The notices of reasons for the denied decisions of a stream, by batch."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        write_batch(decide.notices(df, features, score, background), path, number)
 
-def denials(decisions: DataFrame) -> DataFrame:
-    """Decisions that call for a notice of reasons."""
-    return decisions.where(F.col("regulatory_flags")["adverse_action_eligible"])
+    return _started(decisions, batch, checkpoint, every)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import economics as e
 from quillon.functions import ranks, special
-from quillon.operators import asof, dashboards, decide, drift, fairness, gate, models, ope, risk
+from quillon.operators import asof, dashboards, decide, drift, evaluate, fairness, gate, models, ope, risk
 from quillon.sources import events, registry, storage
+from quillon.streaming import features as live
 
 
 def one(df):
@@ -201,6 +205,36 @@ def test_ranks_do_not_depend_on_partitions(spark, parts):
     assert t.concordant == sum(s > 0 for s in sign) and t.discordant == sum(s < 0 for s in sign)
 
 
+def brute_tau(pairs):
+    sign = [((a[0] > b[0]) - (a[0] < b[0])) * ((a[1] > b[1]) - (a[1] < b[1])) for i, a in enumerate(pairs) for b in pairs[i + 1 :]]
+    return sum(x > 0 for x in sign), sum(x < 0 for x in sign)
+
+
+@pytest.mark.parametrize("largest", [7, 50, 10**6])
+def test_kendall_tau_in_buckets(spark, largest):
+    rng = random.Random(largest)
+    pairs = [(float(rng.randrange(90)), float(rng.randrange(-40, 40))) for _ in range(400)] + [(1e18, -1e18), (-1e18, 1e18)]
+    t = one(ranks.kendall_tau(frame(spark, [*pairs, (None, 1.0)], "x double, y double"), "x", "y", largest))
+    assert (t.n, t.concordant, t.discordant) == (402, *brute_tau(pairs))
+    assert one(ranks.kendall_tau(frame(spark, [], "x double, y double"), "x", "y")).n == 0
+    assert one(ranks.kendall_tau(frame(spark, [(1.0, 2.0)] * 5, "x double, y double"), "x", "y")).tau is None
+
+
+def test_pairs_beyond_32_digits_count(spark):
+    """Points whose ranks would need more than 32 binary digits to tell apart are weighed by their counts."""
+    n = 3_000_000_000
+    more, less = ranks._ordered_pairs(np.array([0.0, 1.0, 2.0]), np.array([0.0, 2.0, 1.0]), np.array([n, n, n]))
+    assert (more, less) == (2 * n * n, n * n)
+
+
+@pytest.mark.parametrize("largest", [5, 40, 10**6])
+def test_running_sums_in_buckets(spark, largest):
+    rng = random.Random(3)
+    rows = [(g, float(x), rng.randrange(9)) for g, size in (("a", 300), ("b", 20), ("c", 1)) for x in rng.sample(range(1000), size)]
+    got = {(r.g, r.x): r.cum_n for r in ranks.prefix_sum(frame(spark, rows, "g string, x double, n long"), "x", ["n"], ["g"], largest).collect()}
+    assert got == {(g, x): sum(m for h, y, m in rows if h == g and y <= x) for g, x, _ in rows}
+
+
 def test_special_functions(spark):
     d = frame(spark, [(0.0,), (1.96,), (-1.0,)], "x double")
     got = [r[0] for r in d.select(special.norm_cdf(F.col("x"))).collect()]
@@ -254,7 +288,7 @@ def test_monotone_model_keeps_signs(spark):
 def test_group_split_orders_few_keys(spark):
     d = spark.range(20000).select(F.col("id").alias("k"))
     rest, held = models.group_split(d, "k", 0.25)
-    least = [r.k for r in d.orderBy(F.xxhash64("k", F.lit(42)), "k").limit(5000).collect()]
+    least = [r.k for r in d.orderBy(e.key_hash("k"), "k").limit(5000).collect()]
     assert {r.k for r in held.collect()} == set(least) and rest.count() == 15000
     limits = [int(x) for x in re.findall(r"(?:GlobalLimit|TakeOrderedAndProject\(limit=) ?(\d+)", held._jdf.queryExecution().toString())]
     assert limits and max(limits) < 100
@@ -284,3 +318,126 @@ def test_reasons(spark):
 def test_sentiment(spark):
     d = frame(spark, [(0, None), (1, 1), (1, -1), (0, 1)], "a int, b int")
     assert one(decide.sentiment_agreement(d, "a", "b")).agreement == 0.5
+
+
+def test_sentiment_rows(spark):
+    d = frame(spark, [("n1", [("btc", 1), ("eth", -1)]), ("n2", [])], "item string, scores array<struct<coin:string,score:int>>")
+    assert [tuple(r) for r in decide.sentiment_rows(d).collect()] == [("n1", "btc", 1), ("n1", "eth", -1)]
+
+
+def test_feature_hash(spark):
+    d = frame(spark, [(0.5, 650, None), (1 / 3, 1234567, 1e-7)], "a double, b int, c double")
+    got = [r[0] for r in d.select(decide.feature_hash("a", "b", "c")).collect()]
+    assert got == [hashlib.blake2b(x, digest_size=16).hexdigest() for x in (b"0.5,650,0", b"0.333333,1.23457e+06,1e-07")]
+
+
+def test_notices(spark):
+    flags = "struct<adverse_action_eligible:boolean>"
+    rows = [(1, "c", None, (True,), 0.9, 1.0), (2, "c", "challenger", (False,), 0.9, 1.0), (3, "d", "challenger", (True,), 0.1, 0.0), (4, "e", None, None, 0.9, 1.0)]
+    d = frame(spark, rows, f"decision_id int, customer_id string, acted_on_alias string, regulatory_flags {flags}, utilization double, odd double")
+    score = lambda x: x.withColumn("profit", -10 * F.col("utilization") - F.col("odd"))
+    assert {r.decision_id for r in decide.denials(d).collect()} == {1, 3}
+    got = {r.decision_id: (r.acted_on_alias, r.reason_codes) for r in decide.notices(d, ["utilization", "odd"], score, {"utilization": 0.1, "odd": 0.0}).collect()}
+    assert got == {1: ("champion", ["R005: High credit utilization ratio", decide.OTHER_CODE]), 3: ("challenger", [])}
+    assert len(decide.REASON_CODES) == 22 and sorted(v[:4] for v in decide.REASON_CODES.values()) == [f"R{i:03d}" for i in range(1, 23)]
+
+
+def test_lines(spark):
+    report = frame(spark, [("a", 0.3, "major_shift"), ("b", 0.01, "stable")], "feature string, csi double, classification string")
+    assert [r.line for r in drift.csi_violations(report).collect()] == ["a: CSI=0.3000 (major_shift)"]
+    rates = frame(spark, [("x", 0.5, 0.9, 0.1, 0.8), ("y", 0.3, 0.7, 0.15, 0.75)], "grp string, selection_rate double, tpr double, fpr double, ppv double")
+    lines = [r.line for r in fairness.violations(fairness.parity(rates), "segment").collect()]
+    assert lines == ["segment: parity ratio 0.600 beyond 0.8", "segment: true positive gap 0.200 beyond 0.1"]
+
+
+def test_columns(spark):
+    d = frame(spark, [(1, 2.0, None, "x", 3), (2, None, None, "y", 4)], "id int, a double, b double, c string, as_of_1h int")
+    assert models.select_columns(d, exclude=["id"]) == ["a"]
+    assert evaluate.by_pattern(d, "^[ab]", "_") == ["a", "b"]
+
+
+def test_binary_target(spark):
+    d = spark.range(4000).select("id", F.lit(0.3).alias("p"))
+    got = {r.id: r.y for r in risk.binary_target(d, "p", ["id"]).collect()}
+    assert got == {r.id: r.y for r in risk.binary_target(d.repartition(7), "p", ["id"]).collect()} and 0.27 < sum(got.values()) / 4000 < 0.33
+    assert {r.y for r in risk.binary_target(d.withColumn("p", F.lit(None)), "p", ["id"]).collect()} == {0}
+
+
+def test_gains_have_cutoffs(spark):
+    d = frame(spark, [(i, i / 100, int(i >= 90)) for i in range(100)], "k int, p double, y int")
+    rows = risk.lorenz(d, "y", "p", "k").orderBy("bin").collect()
+    assert rows[0].cutoff == pytest.approx(0.9) and rows[0].event_rate == 1 and rows[1].event_rate == 0 and rows[-1].cum_events == 1 and rows[-1].cutoff == 0
+    none = risk.lorenz(d.withColumn("y", F.lit(0)), "y", "p", "k").collect()
+    assert {r.cum_events for r in none} == {0.0}
+
+
+def test_tables_round_trip(spark, tmp_path):
+    d = frame(spark, [(i, i % 3, float(i)) for i in range(30)], "k int, segment_id int, x double")
+    storage.write_training_set(d, f"file://{tmp_path}/train")
+    back = spark.read.parquet(f"file://{tmp_path}/train")
+    assert {tuple(r) for r in back.select(*d.columns).collect()} == {tuple(r) for r in d.collect()} and (tmp_path / "train" / "segment_id=2").is_dir()
+    storage.write_reports({"r": d}, f"file://{tmp_path}/csv")
+    storage.write_reports({"r": d}, f"file://{tmp_path}/json", "json")
+    assert storage.read_csv_sample(spark, f"file://{tmp_path}/csv/r", "k int, segment_id int, x double", "k").orderBy("k").collect() == d.orderBy("k").collect()
+    few = storage.read_csv_sample(spark, f"file://{tmp_path}/csv/r", "k int, segment_id int, x double", "k", n=7)
+    assert few.count() == 7 and {r.k for r in few.collect()} == {r.k for r in storage.read_csv_sample(spark, f"file://{tmp_path}/csv/r", "k int, segment_id int, x double", "k", n=7).collect()}
+    (part,) = (tmp_path / "json" / "r").glob("part-*")
+    assert [json.loads(line)["k"] for line in part.read_text().splitlines()] == list(range(30))
+
+
+def test_sorted_table(spark, tmp_path):
+    d = spark.range(500).select(((F.col("id") * 7919) % 503).alias("a"), "id")
+    storage.write_sorted(d, f"file://{tmp_path}/t", ["a", "id"])
+    rows = [tuple(r) for f in sorted((tmp_path / "t").glob("part-*")) for r in spark.read.parquet(f"file://{f}").collect()]
+    assert rows == sorted(tuple(r) for r in d.collect())
+
+
+def test_folder_of_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_path(Session(), "x")
+
+
+def test_drift_monitor_goes_on_where_it_stopped(spark, tmp_path):
+    """Windows run on over batches and restarts, and a batch that is tried again does not count twice."""
+    path, source, mark = (f"file://{tmp_path}/{x}" for x in ("out", "in", "checkpoint"))
+    rng = random.Random(1)
+    rows = [(i, rng.gauss(0 if i < 250 else 6, 1)) for i in range(480)]
+    schema = "i int, x double"
+    for a, b in ((0, 130), (130, 180), (180, 480)):
+        frame(spark, rows[a:b], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        live.start_drift_monitor(stream, ["x"], ["i"], path, mark, size=100).awaitTermination()
+    found = {(r.win, r.detector) for r in spark.read.parquet(f"{path}/events").collect()}
+    assert {(2, "psi"), (2, "ks"), (3, "ks")} <= found and {w for w, d in found if d in ("psi", "ks")} == {2, 3} and max(found)[0] == 3
+    assert spark.read.parquet(f"{path}/carry/batch=2").count() == 180
+    report = lambda d: d.agg(F.count("*").alias("n"), F.min("i").alias("least"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    live.start_monitor(stream, report, f"{path}/m", f"{mark}-m", at="i", key="i", last=100).awaitTermination()
+    last = storage.batches_before(spark, f"{path}/m/report", 99)
+    assert tuple(one(spark.read.parquet(f"{path}/m/report/batch={last}"))) == (100, 380) and spark.read.parquet(f"{path}/m/buffer/batch={last}").count() == 100
+
+
+def test_profit_heads(spark):
+    """Three heads an arm: offers that are worth more to some are found on held-out customers."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(3000):
+        x, s, t = rng.random(), i % 2, rng.randrange(2)
+        a = int(t and rng.random() < (x if s else 1 - x))
+        rows.append((i // 2, s, x, t, a, 1000.0 * a, int(a and rng.random() < 0.05), x if s else 1 - x))
+    d = frame(spark, rows, "k int, s int, x double, T int, accepted int, spend_delta double, defaulted int, truth double")
+    found = models.train_per_segment(d, "k", "s", ["x"], "T", "truth", regs=(1.0,))
+    assert set(found) == {0, 1} and all(tau > 0.9 for _, tau, *_ in found.values())
+
+
+def test_separability_verdict(spark):
+    aucs = frame(spark, [(0, 0.9), (1, 0.84), (2, None)], "segment int, auc double")
+    r = one(models.separability_verdict(aucs))
+    assert (r.value, r.passed) == (pytest.approx(0.87), True) and not one(models.separability_verdict(aucs.where("false"))).passed

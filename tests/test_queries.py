@@ -18,14 +18,10 @@ def test_equals_sql(spark, sf_dir, duck, name):
     assert_same(catalog.queries()[name](spark, sf_dir), duck, catalog.oracle_sql()[name])
 
 
-#: Few events may show no shift.
-MAY_BE_EMPTY = {"adwin_shifts"}
-
-
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, sf_dir, name):
     df = catalog.queries()[name](spark, sf_dir)
-    assert df.count() > 0 or name in MAY_BE_EMPTY
+    assert df.count() > 0
 
 
 def test_entry_point(spark):
