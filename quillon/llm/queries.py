@@ -12,7 +12,7 @@ QUERIES = {
     "op4_license_scan": ("licenses", None),
     "op5_minhash_dedup": ("minhash", "OP5_SQL"),
     "op6_substring_dedup": ("substring", "OP6_SQL"),
-    "op7_suffix_array_dedup": ("suffixes", None),
+    "op7_suffix_array_dedup": ("suffixes", "OP7_SQL"),
     "op8_pitman_yor": ("pitmanyor", None),
     "op9_mixing": ("mixing", "OP9_SQL"),
     "op10_quality": ("quality", None),

@@ -228,6 +228,21 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Windows by position, in hexadecimal; spans by gaps and islands.
+OP7_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM docs WHERE len(h) >= 400)),
+again AS (SELECT r, i FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)),
+marked AS (SELECT r, i, (lag(i) OVER w IS NULL OR i > lag(i) OVER w + 200)::INT AS new FROM again WINDOW w AS (PARTITION BY r ORDER BY i)),
+spans AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM marked) GROUP BY r, g),
+pieces AS (
+  SELECT s.r, s.a AS place, s.b - s.a AS gone, substr(h, 2 * coalesce(lag(s.b) OVER (PARTITION BY s.r ORDER BY s.a), 0) + 1, 2 * (s.a - coalesce(lag(s.b) OVER (PARTITION BY s.r ORDER BY s.a), 0))) AS piece FROM spans s JOIN docs USING (r)
+  UNION ALL SELECT d.r, len(h) // 2, 0, substr(h, 2 * coalesce(last, 0) + 1) FROM docs d LEFT JOIN (SELECT r, max(b) AS last FROM spans GROUP BY r) l ON l.r = d.r),
+kept AS (SELECT r, sum(gone)::BIGINT AS n_removed, count(*) - 1 AS n_spans, sha256(unhex(string_agg(piece, '' ORDER BY place, gone DESC))) AS kept_sha256 FROM pieces GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, n_removed, n_spans, kept_sha256 FROM docs JOIN kept USING (r)
+"""
+
+
 def brute_force(texts: list[str | None], width: int = WIDTH) -> list[tuple[int, int, int, str]]:
     """(n_bytes, n_removed, n_spans, sha256 of what is kept) of each text, by a dictionary of all windows; for tests."""
     from collections import Counter
