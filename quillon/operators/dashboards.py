@@ -40,13 +40,13 @@ def latest(log: DataFrame, n: int) -> DataFrame:
 
 
 def _cut(log: DataFrame, by: Sequence[str], n: int) -> DataFrame:
-    """Rows by group that are no older than the group's 2n-th newest day allows: a bound from daily counts, so no group is sorted whole."""
-    day = F.date_trunc("day", "ts")
-    counts = log.groupBy(*by, day.alias("_day")).agg(F.count("*").alias("_n"))
-    newer = Window.partitionBy(*by).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    """Rows by group that are no older than the group's 2n-th newest minute allows: a bound from counts, so no group is sorted whole."""
+    minute = F.date_trunc("minute", "ts")
+    counts = log.groupBy(*by, minute.alias("_minute")).agg(F.count("*").alias("_n"))
+    newer = Window.partitionBy(*by).orderBy(F.desc("_minute")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     kept = counts.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).withColumn("_all", F.sum("_n").over(whole)).where(F.col("_newer") < 2 * n)
-    return log.withColumn("_day", day).join(F.broadcast(kept.select(*by, "_day", "_all")), [*by, "_day"]).drop("_day")
+    return log.withColumn("_minute", minute).join(kept.select(*by, "_minute", "_all"), [*by, "_minute"]).drop("_minute")
 
 
 def windows(log: DataFrame, *, by: Sequence[str] = (), n: int = LAST_N) -> DataFrame:

@@ -205,30 +205,38 @@ def adwin(df: DataFrame, key: str, order: Sequence[str], value: str, *, delta: f
     """(key, n, mean_before, mean_after): the mean shifts that a growing window finds in each key's values.
 
     A value is added; from 30 values on, the first split with 10 on each side whose means differ by
-    more than Hoeffding's bound drops what lies before it.
+    more than Hoeffding's bound drops what lies before it. Values stream through sorted partitions:
+    what is held is a key's window since its last shift. Each value looks at all splits of it. Null keys are one key; null values are skipped.
     """
     import numpy as np
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(list(order))[value].dropna().to_numpy(float)
-        start, found = 0, []
-        sums = np.append(0.0, np.cumsum(values))
-        for end in range(1, len(values) + 1):
-            n = end - start
-            if n < LEAST_ROWS:
-                continue
-            left = np.arange(10, n - 10)
-            if not len(left):
-                continue
-            before, after = (sums[start + left] - sums[start]) / left, (sums[end] - sums[start + left]) / (n - left)
-            bound = np.sqrt((1 / left + 1 / (n - left)) / 2 * np.log(2 / delta))
-            hit = np.flatnonzero(np.abs(before - after) > bound)
-            if len(hit):
-                i = int(hit[0])
-                found.append((pdf[key].iloc[0], end, float(before[i]), float(after[i])))
-                start += int(left[i])
-        return pd.DataFrame(found, columns=[key, "n", "mean_before", "mean_after"])
-
+    import pyarrow as pa
+
+    names = [key, "n", "mean_before", "mean_after"]
+
+    def run(batches):
+        current, sums, n = None, [0.0], 0
+        for batch in batches:
+            found, values = [], batch.column(1).to_numpy(zero_copy_only=False)
+            for k, v in zip(batch.column(0).to_pylist(), values.tolist(), strict=True):
+                if n == 0 or k != current:
+                    current, sums, n = k, [0.0], 0
+                n += 1
+                sums.append(sums[-1] + v)
+                size = len(sums) - 1
+                if size < LEAST_ROWS:
+                    continue
+                s, left = np.array(sums), np.arange(10, size - 10)
+                before, after = (s[left] - s[0]) / left, (s[-1] - s[left]) / (size - left)
+                bound = np.sqrt((1 / left + 1 / (size - left)) / 2 * np.log(2 / delta))
+                hit = np.flatnonzero(np.abs(before - after) > bound)
+                if len(hit):
+                    i = int(hit[0])
+                    found.append((k, n, float(before[i]), float(after[i])))
+                    sums = sums[int(left[i]) :]
+            columns = list(zip(*found, strict=True)) if found else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(columns[0]), batch.column(0).type), pa.array(list(columns[1]), pa.int64()), *(pa.array(list(c), pa.float64()) for c in columns[2:])], names)
+
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    d = d.select(key, F.col(value).cast("double").alias("_value"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]).repartition(key).sortWithinPartitions(key, *[f"_o{i}" for i in range(len(order))])
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *order, value).groupBy(key).applyInPandas(one, f"{key} {kind}, n long, mean_before double, mean_after double")
+    return d.select(key, "_value").mapInArrow(run, f"{key} {kind}, n long, mean_before double, mean_after double")

@@ -95,8 +95,8 @@ def segment_pd(df: DataFrame, features: Sequence[str], segment: str, label: str)
 def pd_draws(df: DataFrame, key: str, features: Sequence[str], label: str, *, draws: int = 20, seed: int = 42) -> DataFrame:
     """(draw, intercept, coefficients): refits on Poisson-weighted rows, which stand in for posterior draws."""
     spark, rows = df.sparkSession, []
-    n = df.count()
-    base = vectors(df, features).withColumn("_y", F.col(label).cast("double"))
+    base = written(vectors(df, features).select(key, "features", F.col(label).cast("double").alias("_y")), "base")
+    n = base.count()
     for b in range(draws):
         u = uniform(key, F.lit(b), seed=seed)
         k = sum((F.when(u > t, 1.0).otherwise(0.0) for t in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015)), F.lit(0.0))

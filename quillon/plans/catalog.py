@@ -32,7 +32,7 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from quillon.plans import features, monitor, policy, risk, streams  # noqa: F401
+    from quillon.plans import features, monitor, policy, risk, streams, tables  # noqa: F401
 
 
 load()

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.economics import key_hash
+
 _own: dict[str, str] = {}
 
 
@@ -64,7 +66,7 @@ def write_reports(reports: dict[str, DataFrame], folder: str, kind: str = "csv")
 def read_csv_sample(spark: SparkSession, path: str, schema: str, key: str, n: int | None = None, seed: int = 42) -> DataFrame:
     """A CSV file; with n, the n rows with the smallest hashes of their keys."""
     d = spark.read.schema(schema).option("header", True).csv(path)
-    return d if n is None else d.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return d if n is None else d.orderBy(key_hash(key, seed=seed), key).limit(n)
 
 
 def upsert(updates: DataFrame, path: str, keys: list[str], *, buckets: int = 16, newest: str | None = None) -> None:
