@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.carry import LARGEST, last_known
 
-def asof_join(base: DataFrame, right: DataFrame, *, by: str, left_on: str, right_on: str, freshness: str) -> DataFrame:
-    """Each base row with the right row of greatest right_on <= left_on of the same key; freshness is that right_on.
 
-    Both sides are put in one stream of rows, and the last right row up to each base row is carried
-    along: one shuffle by key, no rows multiplied. Unmatched base rows keep nulls.
+def asof_joins(base: DataFrame, rights: dict[str, DataFrame], *, by: str, left_on: str, right_on: str, largest: int = LARGEST) -> DataFrame:
+    """Each base row with, of every right table, the row of greatest right_on <= left_on of the same key; rights: by the name that its right_on gets.
+
+    All tables are put in one stream of rows, and the last right row of each up to a base row is carried
+    along: one shuffle by key for all of them, no rows multiplied. Unmatched base rows keep nulls.
     """
-    taken = [c for c in right.columns if c != by]
-    r = right.select(by, F.col(right_on).alias("_at"), F.lit(0).alias("_base"), F.struct(*taken).alias("_right"), F.lit(None).cast(base.schema.simpleString()).alias("_left"))
-    b = base.select(by, F.col(left_on).alias("_at"), F.lit(1).alias("_base"), F.lit(None).cast(right.select(*taken).schema.simpleString()).alias("_right"), F.struct(*base.columns).alias("_left"))
-    order = Window.partitionBy(by).orderBy("_at", "_base").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = r.unionAll(b).withColumn("_seen", F.last("_right", ignorenulls=True).over(order)).where("_base = 1")
-    return d.select("_left.*", *[F.col(f"_seen.{c}").alias(freshness if c == right_on else c) for c in taken])
+    taken = {name: [c for c in d.columns if c != by] for name, d in rights.items()}
+    kinds = {name: d.select(*taken[name]).schema.simpleString() for name, d in rights.items()} | {"": base.schema.simpleString()}
+
+    def side(d: DataFrame, at: str, own: str, columns: list[str]) -> DataFrame:
+        held = [(F.struct(*columns) if name == own else F.lit(None).cast(kind)).alias(f"_r{i}") for i, (name, kind) in enumerate(kinds.items())]
+        return d.select(by, F.col(at).alias("_at"), F.lit(int(own == "")).alias("_base"), *held)
+
+    d = side(base, left_on, "", base.columns)
+    for name, right in rights.items():
+        d = d.unionAll(side(right, right_on, name, taken[name]))
+    found = last_known(d, by, ["_at", "_base"], {f"_seen{i}": f"_r{i}" for i in range(len(rights))}, own=True, largest=largest).where("_base = 1")
+    return found.select(f"_r{len(rights)}.*", *[F.col(f"_seen{i}.{c}").alias(name if c == right_on else c) for i, name in enumerate(rights) for c in taken[name]])
+
+
+def asof_join(base: DataFrame, right: DataFrame, *, by: str, left_on: str, right_on: str, freshness: str) -> DataFrame:
+    """Each base row with the right row of greatest right_on <= left_on of the same key; freshness is that right_on."""
+    return asof_joins(base, {freshness: right}, by=by, left_on=left_on, right_on=right_on)
 
 
 def assemble(views: dict[str, DataFrame], base: str = "5m") -> DataFrame:
     """The training frame: every row of the base view with the other views as they were then."""
-    out = views[base].withColumnRenamed("window_end", "as_of")
+    timed = {f"as_of_{h}": v for h, v in views.items() if h != base and "window_end" in v.columns}
+    out = asof_joins(views[base].withColumnRenamed("window_end", "as_of"), timed, by="customer_id", left_on="as_of", right_on="window_end")
     for h, view in views.items():
-        if h == base:
-            continue
-        if "window_end" in view.columns:
-            out = asof_join(out, view, by="customer_id", left_on="as_of", right_on="window_end", freshness=f"as_of_{h}")
-        else:
+        if h != base and "window_end" not in view.columns:
             out = out.join(view, "customer_id", "left")
     return out
 

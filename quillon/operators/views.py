@@ -6,9 +6,11 @@ newest event, as a stream in append mode does; by default open windows show, as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.carry import last_known
+
 CASH_ADVANCE_MCC = 6010
 GAP_CAP_S = 3600
 HORIZONS = {"5m": "5 minutes", "1h": "1 hour", "24h": "24 hours", "7d": "7 days", "30d": "30 days"}
@@ -35,8 +37,8 @@ def enrich(tx: DataFrame, first_gap: str = "null") -> DataFrame:
 
     first_gap: what a customer's first event has as time since the last, "null" or "cap".
     """
-    by = Window.partitionBy("customer_id").orderBy("event_time", "event_id")
-    d = tx.withColumns({"prev_balance": F.lag("current_balance").over(by), "prev_time": F.lag("event_time").over(by)})
+    d = last_known(tx.withColumn("_now", F.struct("current_balance", "event_time")), "customer_id", ["event_time", "event_id"], {"_before": "_now"}, own=False)
+    d = d.withColumns({"prev_balance": F.col("_before.current_balance"), "prev_time": F.col("_before.event_time")}).drop("_now", "_before")
     return enriched_columns(d, first_gap)
 
 

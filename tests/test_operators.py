@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import economics as e
-from quillon.functions import ranks, special
+from quillon.functions import carry, ranks, special
 from quillon.operators import asof, dashboards, decide, drift, evaluate, fairness, gate, models, ope, risk
 from quillon.sources import events, registry, storage
 from quillon.streaming import features as live
@@ -189,6 +189,23 @@ def test_point_in_time(spark):
         asof.assert_point_in_time(frame(spark, [(1, 5, 6)], "customer_id int, as_of int, as_of_x int"))
 
 
+@pytest.mark.parametrize("largest", [0, 10**6])
+def test_last_known_across_months(spark, largest):
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 2, None]), f"2024-{rng.randrange(1, 7):02d}-{rng.randrange(1, 28):02d} 10:00:00", i, rng.choice([None, i])) for i in range(300)]
+    d = frame(spark, rows, "k int, t string, i int, v int").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    for own in (True, False):
+        got = {r.i: r.seen for r in carry.last_known(d, "k", ["t", "i"], {"seen": "v"}, own=own, largest=largest).collect()}
+        seen, want = {}, {}
+        for k, _, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+            if own and v is not None:
+                seen[k] = v
+            want[i] = seen.get(k)
+            if v is not None:
+                seen[k] = v
+        assert got == want
+
+
 @pytest.mark.parametrize("parts", [1, 4, 17])
 def test_ranks_do_not_depend_on_partitions(spark, parts):
     rng = random.Random(5)
