@@ -111,11 +111,21 @@ def bandit_statistics(spark, sf_dir):
     return s.select("arm", "i", "j", F.round("a", 4).alias("a"), F.round("b", 3).alias("b"), "n")
 
 
-@register("bandit_scores")
+#: The inverse of each arm's 3 by 3 matrix by cofactors, then mean and spread of every decision.
+BANDIT_SQL = f"""{a.DECISIONS_SQL},
+st AS (SELECT action AS arm, 1.0::DOUBLE + count(*) AS a, sum(utilization) AS b, sum(paydown_rate_30d) AS c, 1.0::DOUBLE + sum(utilization * utilization) AS d, sum(utilization * paydown_rate_30d) AS e, 1.0::DOUBLE + sum(paydown_rate_30d * paydown_rate_30d) AS f,
+  sum(reward) AS r0, sum(reward * utilization) AS r1, sum(reward * paydown_rate_30d) AS r2 FROM dec GROUP BY action),
+det AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM st),
+inv AS (SELECT arm, r0, r1, r2, (d * f - e * e) / det AS i00, (c * e - b * f) / det AS i01, (b * e - c * d) / det AS i02, (a * f - c * c) / det AS i11, (b * c - a * e) / det AS i12, (a * d - b * b) / det AS i22 FROM det),
+th AS (SELECT *, i00 * r0 + i01 * r1 + i02 * r2 AS t0, i01 * r0 + i11 * r1 + i12 * r2 AS t1, i02 * r0 + i12 * r1 + i22 * r2 AS t2 FROM inv),
+sc AS (SELECT decision_id, arm, t0 + t1 * u + t2 * p + sqrt(greatest(i00 + 2 * i01 * u + 2 * i02 * p + i11 * u * u + 2 * i12 * u * p + i22 * p * p, 0)) AS score FROM (SELECT decision_id, utilization AS u, paydown_rate_30d AS p FROM dec), th)"""
+
+
+@register("bandit_scores", f"WITH {BANDIT_SQL} SELECT decision_id, arg_max(arm, (score, arm)) AS arm, round(max(score) FILTER (arm = 0), 3) AS score_0, round(max(score) FILTER (arm = 1), 3) AS score_1, round(max(score) FILTER (arm = 2), 3) AS score_2 FROM sc GROUP BY decision_id")
 def bandit_scores(spark, sf_dir):
     d = a.decisions(spark, sf_dir)
     s = decide.arm_statistics(d, "action", "reward", BANDIT)
-    return decide.bandit_scores(d, s, BANDIT).select("decision_id", "arm", F.transform("scores", lambda x: F.round(x["score"], 4)).alias("scores"))
+    return decide.bandit_scores(d, s, BANDIT).select("decision_id", "arm", *[F.round(F.col("scores")[k]["score"], 3).alias(f"score_{k}") for k in range(3)])
 
 
 def _rule(shift: float):

@@ -458,3 +458,82 @@ def test_separability_verdict(spark):
     aucs = frame(spark, [(0, 0.9), (1, 0.84), (2, None)], "segment int, auc double")
     r = one(models.separability_verdict(aucs))
     assert (r.value, r.passed) == (pytest.approx(0.87), True) and not one(models.separability_verdict(aucs.where("false"))).passed
+
+
+@pytest.fixture(scope="module")
+def loans(spark):
+    """Defaults that rise with x and differ by segment; month 1 to 6 for those who default."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(3000):
+        x, s = rng.random(), i % 3
+        y = int(rng.random() < 0.05 + 0.3 * x + 0.2 * (s == 2))
+        rows.append((i, x, s, y, rng.randrange(1, 7) if y else 0, int(rng.random() < 0.3 + 0.5 * x)))
+    return spark.createDataFrame(rows, "id int, x double, s int, y int, m int, ok int").cache()
+
+
+def rate(rows):
+    rows = list(rows)
+    return sum(rows) / len(rows)
+
+
+def test_isotonic_scores(loans):
+    got = models.apply_isotonic(models.isotonic(loans, "y", "x"), loans, "x").orderBy("x").collect()
+    values = [r.calibrated for r in got]
+    assert values == sorted(values) and 0 <= values[0] and values[-1] <= 1
+    assert sum(values) == pytest.approx(sum(r.y for r in got), rel=0.02)
+
+
+def test_hazards(loans):
+    periods = risk.person_periods(loans, "y", "m", 6)
+    m = models.fit_hazard(periods, ["x"])
+    curves = risk.survival(models.hazards(m, loans, ["x"], 6), "id", "month", "hazard")
+    last = curves.where("month = 6").select("id", "x", "cumulative_default").collect()
+    want = rate(r.y for r in loans.collect())
+    assert rate(r.cumulative_default for r in last) == pytest.approx(want, abs=0.03)
+    assert rate(r.cumulative_default for r in last if r.x > 0.8) > rate(r.cumulative_default for r in last if r.x < 0.2) + 0.1
+
+
+def test_segment_pd(loans):
+    from pyspark.ml.functions import vector_to_array
+
+    got = models.segment_pd(loans, ["x"], "s", "y").transform(loans).select("s", "y", F.element_at(vector_to_array("probability"), 2).alias("p")).collect()
+    for s in range(3):
+        assert rate(r.p for r in got if r.s == s) == pytest.approx(rate(r.y for r in got if r.s == s), abs=0.02)
+
+
+def test_heckman_and_fuzzy_parcel(loans):
+    d = loans.withColumn("z", F.col("x") * 2)
+    scores = models.heckman_scores(models.heckman(d, "ok", "y", ["x"], ["z"]), d, ["x"], ["z"]).select("x", "pd").collect()
+    assert all(0 < r.pd < 1 for r in scores) and rate(r.pd for r in scores if r.x > 0.7) > rate(r.pd for r in scores if r.x < 0.3)
+    yes, no = d.where("ok = 1"), d.where("ok = 0").withColumn("p", F.lit(0.25))
+    m = models.logistic(risk.fuzzy_parcel(yes, no, "y", "p", ["x"]), ["x"], "y", weight="weight")
+    got = models.probability(m, d, ["x"], "score").collect()
+    want = (sum(r.y for r in yes.collect()) + 0.25 * no.count()) / d.count()
+    assert rate(r.score for r in got) == pytest.approx(want, abs=0.02)
+
+
+def test_draws(loans):
+    d = models.draw_predictions(loans, models.pd_draws(loans, "id", ["x"], "y", draws=4), ["x"])
+    rows = models.credible_intervals(d, "id").collect()
+    assert all(0 < r.low <= r.median <= r.high < 1 and r.low <= r.mean <= r.high for r in rows)
+    want = rate(r.y for r in loans.collect())
+    assert rate(r.mean for r in rows) == pytest.approx(want, abs=0.03)
+    tail = one(models.tail_loss(models.portfolio_draws(d.withColumn("e", F.lit(100.0)), "e", 0.8)))
+    assert tail.tail_loss >= tail.mean_loss == pytest.approx(3000 * 100 * 0.8 * want, rel=0.1)
+
+
+def test_forest(loans):
+    d = loans.withColumn("noise", F.rand(1)).withColumn("own", F.col("s") + 0.1 * F.col("x"))
+    got = {r.feature: r.importance for r in models.importances(models.forest(d, ["own", "noise"], "s", trees=8, depth=4), ["own", "noise"], d.sparkSession).collect()}
+    assert got["own"] > 0.9 and sum(got.values()) == pytest.approx(1)
+    aucs = models.separability(d, "id", ["own", "noise"], "s", trees=8, depth=4).collect()
+    assert len(aucs) == 3 and all(r.auc > 0.99 for r in aucs)
+
+
+def test_linear_t_learner(spark):
+    rows = [(i, float(i % 7), i % 2, (3.0 + 2.0 * (i % 7)) if i % 2 else 1.0) for i in range(140)]
+    d = frame(spark, rows, "i int, x double, T int, profit double")
+    got = models.uplift(models.t_learner(d, ["x"], "T", "profit"), d, ["x"]).collect()
+    assert all(r.uplift == pytest.approx(2.0 + 2.0 * r.x, abs=1e-6) for r in got)
+    assert models.t_learner(d.where("i < 15"), ["x"], "T", "profit") is None and {r.uplift for r in models.uplift(None, d, ["x"]).collect()} == {0.0}
