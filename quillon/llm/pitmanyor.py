@@ -14,7 +14,7 @@ times P(dish)**t, for any number of customers (windows around the mode hold all
 Counts come from all training documents. Chunks of documents screen their pairs of words first (see exchange): a pair that
 occurs once in training sits at one table, and only its word's and context's sums are sent. All other pairs go, once a
 chunk, to the part that owns the word, which keeps their tables. A sweep is two exchanges: parts send the tables of
-their pairs, added up by context, to the owners of the contexts; owners answer with each context's tables in all restaurants'
+their pairs, added up by context, to the owners of the contexts; owners answer with each context's tables over all
 parts; then every part draws all its pairs, and the parent's tables of its words. So every draw knows the
 totals of the whole corpus as of the sweep before, whatever the number of parts. The model's probability is averaged over the sweeps after `burn`:
 

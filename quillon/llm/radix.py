@@ -6,18 +6,35 @@ A string is (start, length) in a buffer. Everything is exact; hashes only propos
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 
 DIGIT = 8
 
 
+#: Bytes that are gathered at once; bounds the places that are held for it, eight bytes each.
+GATHERED = 1 << 20
+
+
+def _blocks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of strings of about GATHERED bytes together; a longer one is a range of its own."""
+    sums, a = np.cumsum(lengths), 0
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + GATHERED, "right")))
+        yield a, b
+        a = b
+
+
 def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The strings' bytes, one after the other."""
-    ends = np.cumsum(lengths)
-    if not len(ends):
-        return np.zeros(0, np.uint8)
-    return data[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
+    out, at = np.empty(int(lengths.sum()), data.dtype), 0
+    for a, b in _blocks(lengths):
+        ends = np.cumsum(lengths[a:b])
+        size = int(ends[-1])
+        out[at : at + size] = data[np.repeat(starts[a:b] - (ends - lengths[a:b]), lengths[a:b]) + np.arange(size)]
+        at += size
+    return out
 
 
 class Digits:
@@ -90,8 +107,9 @@ def classes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: n
     again = np.flatnonzero(first[of] != np.arange(len(of)))
     if len(again):
         like = first[of[again]]
-        same = np.array_equal(lengths[again], lengths[like])
-        if not (same and np.array_equal(gathered(data, starts[again], lengths[again]), gathered(data, starts[like], lengths[like]))):
+        size = lengths[again]
+        same = np.array_equal(size, lengths[like])
+        if not (same and all(np.array_equal(gathered(data, starts[again[a:b]], size[a:b]), gathered(data, starts[like[a:b]], size[a:b])) for a, b in _blocks(size))):
             raw = data.tobytes()
             digests = [hashlib.blake2b(raw[a : a + n], digest_size=16).digest() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
             _, first, of = np.unique(np.array(digests), return_index=True, return_inverse=True)

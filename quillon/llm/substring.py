@@ -100,7 +100,7 @@ class _Chunk:
 
     def __init__(self, rows: pa.Table, width: int, n_parts: int):
         self.data, self.offsets, self.valid = ex.texts(rows, b" ")
-        self.ids, self.width, self.n_parts = rows.column("ident").to_numpy(), width, n_parts
+        self.ids, self.width = rows.column("ident").to_numpy(), width
         words, starts, ends, owner, keys, at = [], [], [], [], [], []
         n = 0
         for i, j in tc.slices(self.offsets):
@@ -119,7 +119,7 @@ class _Chunk:
         self.starts, self.ends, self.owner, self.at = (join(x, np.int64) for x in (starts, ends, owner, at))
         self.keys, self.key = np.unique(ex.screen_keys(self.hash, n_parts), return_inverse=True)
 
-    def survivors(self, bits: dict[int, bytes], hot: np.ndarray) -> None:
+    def survivors(self, bits: dict[int, bytes], hot: np.ndarray, n_trees: int) -> None:
         """Windows that may lie in two documents, their classes, and the classes' smallest ids and parts."""
         document = self.ids[self.owner[self.at]]
         low, high = np.full(len(self.keys), ex.LAST_ID), np.full(len(self.keys), -ex.LAST_ID - 1)
@@ -141,7 +141,7 @@ class _Chunk:
         self.document = document[self.window]
         self.low = np.full(len(one), ex.LAST_ID)
         np.minimum.at(self.low, self.of, self.document)
-        parts = ex.parts_of(_lengthened(self.words, at[one], self.width, hot), self.n_parts)
+        parts = ex.parts_of(_lengthened(self.words, at[one], self.width, hot), n_trees)
         self.order = np.lexsort((kinds, parts))
         self.parts = parts[self.order]
 
@@ -167,7 +167,7 @@ class _Chunk:
 def _subtrees(blobs: list[bytes]) -> list[bytes]:
     """For each chunk's suffixes: does the suffix's deep node hold a smaller id?"""
     z = zstandard.ZstdDecompressor()
-    raw = [z.decompress(b) for b in blobs]
+    raw = [z.decompress(blobs.pop(0)) for _ in range(len(blobs))]
     counts = [struct.unpack_from("<q", r)[0] for r in raw]
     ids = np.concatenate([np.frombuffer(r, "<i8", n, 8) for r, n in zip(raw, counts, strict=True)])
     sizes = np.concatenate([np.frombuffer(r, "<u4", n, 8 + 8 * n) for r, n in zip(raw, counts, strict=True)]).astype(np.int64)
@@ -188,7 +188,9 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     """doc (all columns but the text), n_words, n_removed, spans (bytes of removed runs) and kept: the other words, joined by one space.
     whole: texts from which nothing is removed are in `kept` as they are."""
     chunks, n_parts = ex.chunked(docs, text=text, doc_id=doc_id)
-    hot = hot_prefixes(docs, text=text, doc_id=doc_id, width=width, group_bytes=ex.PART_BYTES)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_prefixes(docs, text=text, doc_id=doc_id, width=width, group_bytes=ex.PART_BYTES))
+    # suffixes are as long as windows are wide: the trees have as many more parts
+    n_trees = n_parts * max(1, -(-width // WIDTH))
     by_chunk = chunks.groupBy("chunk")
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
@@ -198,7 +200,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 
     def send(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         c = _Chunk(rows, width, n_parts)
-        c.survivors(ex.replies(answers, 0), hot)
+        c.survivors(ex.replies(answers, 0), hot.value, n_trees)
         return ex.asked(key[0].as_py(), c.blobs())
 
     trees = ex.answer(by_chunk.cogroup(screen.groupBy("chunk")).applyInArrow(tc.tidied(send), ex.ASKED), _subtrees, kind=1)
@@ -206,7 +208,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 
     def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
         c = _Chunk(rows, width, n_parts)
-        c.survivors(ex.replies(answers, 0), hot)
+        c.survivors(ex.replies(answers, 0), hot.value, n_trees)
         gone = c.removed(ex.replies(answers, 1))
         n = len(rows)
         n_words, n_removed = np.bincount(c.owner, minlength=n), np.bincount(c.owner[gone], minlength=n)
