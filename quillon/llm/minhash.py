@@ -17,7 +17,7 @@ component are not looked at.
 Defined results: null and empty texts and texts without words have empty sets and are linked
 with nothing; rows that share an id are one document; a row with a null id (and 2**63 - 1 counts as null) belongs to the
 class of an equal document with an id and is otherwise linked with nothing; an empty table gives an empty result.
-Shingles are told apart by two hashes of 64 bits each; words of over 16 bytes have a cryptographic one.
+Words are known by 64 bits that are mixed of two independent hashes, those of over 16 bytes by cryptographic ones.
 """
 
 from __future__ import annotations
@@ -45,23 +45,24 @@ _A = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.
 _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, second hash) of each row's distinct shingles, sorted by all; the two hashes of 64 bits are a shingle's name."""
+def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, name) of each row's distinct shingles, sorted by both; a name is mixed of two hashes."""
     h, h2, rows = tc.word_hashes_twice(data, offsets, tc.SPACES, lower=True)
+    h = tc.mix(h * np.uint64(tc._MULT) + h2)
     n_rows = len(offsets) - 1
     ok = np.flatnonzero(tc.same_row(rows, words))
-    found, other, owner = tc.window_hashes(h, words)[ok], tc.window_hashes(h2, words)[ok], rows[ok]
+    found, owner = tc.window_hashes(h, words)[ok], rows[ok]
     counts = np.bincount(rows, minlength=n_rows)
     short = np.flatnonzero((counts > 0) & (counts < words))
     if len(short):
         firsts = np.searchsorted(rows, short)
-        whole = lambda x: tc.run_hashes(x, firsts, firsts + counts[short], tc._MULT_W)
-        found, other, owner = np.concatenate([found, whole(h)]), np.concatenate([other, whole(h2)]), np.concatenate([owner, short])
-    order = np.lexsort((other, found, owner))
-    found, other, owner = found[order], other[order], owner[order]
+        found = np.concatenate([found, tc.run_hashes(h, firsts, firsts + counts[short], tc._MULT_W)])
+        owner = np.concatenate([owner, short])
+    order = np.lexsort((found, owner))
+    found, owner = found[order], owner[order]
     new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1]) | (other[1:] != other[:-1]) | (owner[1:] != owner[:-1])
-    return owner[new], found[new], other[new]
+    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    return owner[new], found[new]
 
 
 def minima(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +74,8 @@ def minima(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, out
 
 
-def _members(owner: np.ndarray, hashes: np.ndarray, other: np.ndarray, n_rows: int) -> list[bytes]:
+def _members(owner: np.ndarray, names: np.ndarray, n_rows: int) -> list[bytes]:
     """Each row's set: its shingles' names in ascending order."""
-    names = np.stack([hashes, other], 1)
     ends = np.cumsum(np.bincount(owner, minlength=n_rows)).tolist()
     return [names[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
@@ -109,9 +109,9 @@ def sketches(docs: DataFrame, *, text: str, doc_id: str, words: int) -> DataFram
         for batch in batches:
             data, offsets, _ = tc.text_buffer(batch.column(1))
             for i, j in tc.slices(offsets):
-                owner, h, h2 = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                owner, h = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 n = np.bincount(owner, minlength=j - i)
-                digests = [_digest(x) for x in _members(owner, h, h2, j - i)]
+                digests = [_digest(x) for x in _members(owner, h, j - i)]
                 rows, m = minima(owner, h)
                 s, b = np.zeros((j - i, PERMUTATIONS * BITS // 64), np.uint64), np.zeros((j - i, BANDS), np.uint64)
                 s[rows], b[rows] = packed(m), band_keys(m)
@@ -257,18 +257,15 @@ def _residual(cells: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 
 
 def _names(members) -> np.ndarray:
-    return np.frombuffer(members, np.uint64).reshape(-1, 2)
+    return np.frombuffer(members, np.uint64)
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Are two sets of names, both in ascending order, similar enough?"""
     if not len(x) or not len(y):
         return False
-    if (y[1:, 0] == y[:-1, 0]).any():
-        both = len({*map(tuple, x.tolist())} & {*map(tuple, y.tolist())})
-    else:
-        at = np.minimum(np.searchsorted(y[:, 0], x[:, 0]), len(y) - 1)
-        both = int((y[at] == x).all(1).sum())
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
