@@ -34,7 +34,7 @@ DIM_BITS = 16
 DIM = 1 << DIM_BITS
 LENGTHS = (2, 3, 4)
 LANDMARKS = 256
-MOST_ROWS = 4096
+MOST_ROWS = 1024
 RIDGE = 1e-3
 SHARPNESS = 6.0
 #: Rows whose presence matrix is held at once.
