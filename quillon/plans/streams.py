@@ -183,7 +183,8 @@ def stream_fairness_monitor(spark, sf_dir):
 
 
 NOTICE_FEATURES = ("utilization", "velocity_24h", "paydown_rate_30d", "fraud_score")
-_WEIGHTS = {"utilization": -80.0, "velocity_24h": -1.0, "paydown_rate_30d": 30.0, "fraud_score": -10.0}
+#: Weights without common multiples, so that no two features weigh the same.
+_WEIGHTS = {"utilization": -80.1237, "velocity_24h": -1.0451, "paydown_rate_30d": 30.7893, "fraud_score": -10.6319}
 _NEUTRAL = {"utilization": 0.5, "velocity_24h": 20.0, "paydown_rate_30d": 0.5, "fraud_score": 0.25}
 
 
