@@ -102,21 +102,25 @@ class _Chunk:
         self.data, self.offsets, self.valid = ex.texts(rows, b" ")
         self.ids, self.width = rows.column("ident").to_numpy(), width
         words, starts, ends, owner, keys, at = [], [], [], [], [], []
+        place = np.int32 if len(self.data) < 1 << 31 else np.int64
         n = 0
         for i, j in tc.slices(self.offsets):
             base = self.offsets[i]
             w, s, e, r = tc.word_hashes(self.data[base : self.offsets[j]], self.offsets[i : j + 1] - base, tc.SPACES)
             ok = np.flatnonzero(tc.same_row(r, width))
             keys.append(tc.window_hashes(w, width)[ok])
-            at.append(ok + n)
             words.append(w)
-            starts.append(s + base)
-            ends.append(e + base)
-            owner.append(r + i)
+            for found, x in ((at, ok + n), (starts, s + base), (ends, e + base), (owner, r + i)):
+                found.append(x.astype(place))
             n += len(w)
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+
+        def join(x: list, kind) -> np.ndarray:
+            whole = np.concatenate(x) if x else np.zeros(0, kind)
+            x.clear()
+            return whole
+
         self.words, self.hash = join(words, np.uint64), join(keys, np.uint64)
-        self.starts, self.ends, self.owner, self.at = (join(x, np.int64) for x in (starts, ends, owner, at))
+        self.starts, self.ends, self.owner, self.at = (join(x, place) for x in (starts, ends, owner, at))
         self.keys, self.key = np.unique(ex.screen_keys(self.hash, n_parts), return_inverse=True)
 
     def survivors(self, bits: dict[int, bytes], hot: np.ndarray, n_trees: int) -> None:

@@ -17,8 +17,8 @@ from inspect import getfullargspec
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one numpy pass handles; bounds temporaries to some tens of MB.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that one numpy pass handles; bounds temporaries and tables of powers to some MB.
+SLICE_BYTES = 1 << 18
 
 #: Words of more bytes have a cryptographic hash: a polynomial modulo 2**64 gives long words of certain patterns the same one.
 LONG_WORD = 16
