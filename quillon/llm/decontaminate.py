@@ -94,12 +94,12 @@ class _Set:
                         yield i, n, int(ids[k])
 
 
-_STATE = "n_words long, hits binary, spans array<struct<first:bigint,last:bigint>>, items array<string>"
+_STATE = "n_words long, hits binary, spans array<struct<first:bigint,last:bigint>>, items array<string>, rest string"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def _scan(docs: DataFrame, found: _Set, text: str) -> DataFrame:
-    """docs (doc: a row's columns; hits, items: of earlier scans, null at first) with what the set adds, and spans of all hits."""
+    """docs (doc: a row's columns; hits, items: of earlier scans, null at first) with what the set adds, spans of all hits, and the rest of a text that has any."""
     shared = docs.sparkSession.sparkContext.broadcast(found)
     at_text = docs.schema["doc"].dataType.names.index(text)
 
@@ -108,7 +108,7 @@ def _scan(docs: DataFrame, found: _Set, text: str) -> DataFrame:
         for batch in batches:
             data, offsets, _ = tc.text_buffer(batch.column(0).field(at_text))
             before, listed = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            n_words, hits, spans, items = [], [], [], []
+            n_words, hits, spans, items, rest = [], [], [], [], []
             for i, j in tc.slices(offsets):
                 part, o = tc.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
                 words, starts, ends, rows = tc.word_hashes(part, o, tc.NON_WORD)
@@ -130,6 +130,7 @@ def _scan(docs: DataFrame, found: _Set, text: str) -> DataFrame:
                         hits.append(None)
                         spans.append([])
                         items.append([])
+                        rest.append(None)
                         continue
                     own = hit[a:b]
                     if old is not None:
@@ -139,14 +140,17 @@ def _scan(docs: DataFrame, found: _Set, text: str) -> DataFrame:
                     first, last = np.flatnonzero(edge == 1) + a, np.flatnonzero(edge == -1) + a - 1
                     spans.append([{"first": int(s - o[r]), "last": int(e - o[r])} for s, e in zip(starts[first], ends[last], strict=True)])
                     items.append(sorted({x for w in by_row.get(r, ()) for x in known.items[w] if x is not None}.union(listed[i + r] or ())))
-            arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_words", "hits", "spans", "items"])
+                    whole = data[offsets[i + r] : offsets[i + r + 1]].tobytes()
+                    cuts = [0, *(x for s in spans[-1] for x in (s["first"], s["last"])), len(whole)]
+                    rest.append(b"".join(whole[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)).decode("utf-8", "replace"))
+            arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(rest, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_words", "hits", "spans", "items", "rest"])
 
     return docs.select("doc", "hits", "items").mapInArrow(tc.tidied_batches(run), f"doc {docs.schema['doc'].dataType.simpleString()}, {_STATE}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", width: int = WIDTH, most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """docs' columns under `doc`, with n_words, n_hit, spans (bytes of hit words) and items (sorted)."""
+    """docs' columns under `doc`, with n_words, n_hit, spans (bytes of hit words), items (sorted) and rest, the text without the spans, null where there are none."""
     windows = benchmark_windows(benchmark, width=width)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     blocks = max(1, -(-windows.count() // most_windows))
@@ -157,7 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         d = _scan(d, _Set(own.collect()), text)
         if b + 1 < blocks:
             d = written(d, "scanned")
-    return d.select("doc", "n_words", _n_bits("hits").alias("n_hit"), "spans", "items")
+    return d.select("doc", "n_words", _n_bits("hits").alias("n_hit"), "spans", "items", "rest")
 
 
 def _n_bits(column: str):
@@ -173,23 +177,7 @@ def _n_bits(column: str):
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """docs without their hit spans; a document of which no word is left goes."""
     d = contamination(docs, benchmark, text=text, **options)
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
-        def one(t, s):
-            if t is None or s is None or len(s) == 0:
-                return t
-            raw, out, at = t.encode(), [], 0
-            for x in sorted(s, key=lambda x: x["first"]):
-                out.append(raw[at : max(at, x["first"])])
-                at = max(at, x["last"])
-            return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
-
-        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
-
-    left = F.when(F.col("n_hit") > 0, cut(F.col(f"doc.`{text}`"), "spans")).otherwise(F.col(f"doc.`{text}`"))
+    left = F.when(F.col("n_hit") > 0, F.col("rest")).otherwise(F.col(f"doc.`{text}`"))
     kept = d.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words")))
     return kept.select(*[left.alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns])
 
