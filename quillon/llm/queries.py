@@ -16,6 +16,9 @@ QUERIES = {
     "op8_pitman_yor": ("pitmanyor", None),
     "op9_mixing": ("mixing", "OP9_SQL"),
     "op10_quality": ("quality", None),
+    "op11_periodic_runs": ("periodic", None),
+    "op12_whitening": ("whitening", None),
+    "op13_html_text": ("htmltext", None),
 }
 
 
