@@ -196,13 +196,13 @@ def periodic_runs(docs: DataFrame, *, text: str = "text", least: int = LEAST, ti
 def looped(docs: DataFrame) -> DataFrame:
     """documents as the query takes them: where h = crc32(doc_id) ends in 0, word i >= a is word a + (i - a) % p. A null id counts as the text ''."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    words = F.col("_words")
+    words, a, p = F.col("_words"), F.col("_a"), F.col("_p")
     n, g = F.size(words), F.floor(h / 10)
-    a = F.pmod(g, n).cast("int")
-    p = (1 + F.floor((n - F.col("_a")) / (3 + g % 8))).cast("int")
-    repeated = F.transform(words, lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get(words, F.col("_a") + (i - F.col("_a")) % F.col("_p"))))
     d = docs.withColumn("_words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({SPACE_WORDS})"), F.lit(1))))
-    d = d.withColumn("_a", F.when(n > 0, a)).withColumn("_p", F.when(n > 0, p))
+    d = d.withColumn("_a", F.when(n > 0, F.pmod(g, n).cast("int")))
+    d = d.withColumn("_p", F.when(n > 0, (1 + F.floor((n - a) / (3 + g % 8))).cast("int")))
+    loop = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    repeated = F.slice(F.concat(F.slice(words, F.lit(1), a), loop), F.lit(1), n)
     return d.withColumn("text", F.when(n > 0, F.concat_ws(" ", repeated)).otherwise(F.col("text"))).drop("_words", "_a", "_p")
 
 
