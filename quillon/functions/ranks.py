@@ -1,8 +1,7 @@
 """Running sums, ranks, quantiles and bins over whole columns, without a window over all rows.
 
-Rows are first added up by distinct value. A group of at most LARGEST values is one window. Larger ones
-are cut at quantiles of their own, as many as their size asks for; a running sum is then one within
-its bucket plus the sum of the buckets before. Results do not depend on where the cuts lie.
+Rows are first added up by distinct value; running sums of the counts are those of carry.running, over range
+partitions of all groups together. The axes of a rank correlation are cut at their own quantiles, as many as their size asks for.
 """
 
 from __future__ import annotations
@@ -15,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.carry import running
 from quillon.sources.storage import written
 
-#: Rows that one window or task holds.
+#: Points of an axis that one bucket holds.
 LARGEST = 1_000_000
 #: Cuts of one group, and buckets of each axis of a rank correlation, at most.
 MOST_CUTS = 2048
@@ -37,22 +37,12 @@ def _cut(df: DataFrame, order: str, by: list[str], largest: int) -> DataFrame |
     return d.withColumn("_bucket", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= x))).drop("_cuts")
 
 
-def prefix_sum(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), largest: int = LARGEST) -> DataFrame:
+def prefix_sum(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), pieces: int | None = None) -> DataFrame:
     """df with cum_<c> for each of sums: the total of c over rows of the same `by` up to this one's `order`.
 
-    df has one row for each (by, order), numeric orders without nulls. It is read several times: callers write what is dear.
+    df has one row for each (by, order), orders without nulls. It is read several times: callers write what is dear.
     """
-    by = list(by)
-    part = lambda *more: Window.partitionBy(*by, *more) if by or more else Window.partitionBy(F.lit(1))
-    d = _cut(df, order, by, largest)
-    if d is None:
-        return df.withColumns({f"cum_{c}": F.sum(c).over(part().orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c in sums})
-    totals = d.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-    before = part().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
-    within = part("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumns({f"cum_{c}": F.sum(c).over(within) for c in sums}).join(offsets, [*by, "_bucket"])
-    return d.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_{c}") for c in sums}).drop("_bucket", *[f"_{c}" for c in sums])
+    return running(df, by, [order], sums={f"cum_{c}": c for c in sums}, pieces=pieces)
 
 
 def value_counts(df: DataFrame, column: str, by: Sequence[str] = (), sums: Sequence[Column] = ()) -> DataFrame:

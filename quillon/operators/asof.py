@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.carry import LARGEST, last_known
+from quillon.functions.carry import running
 
 
-def asof_joins(base: DataFrame, rights: dict[str, DataFrame], *, by: str, left_on: str, right_on: str, largest: int = LARGEST) -> DataFrame:
+def asof_joins(base: DataFrame, rights: dict[str, DataFrame], *, by: str, left_on: str, right_on: str, source: DataFrame | None = None, pieces: int | None = None) -> DataFrame:
     """Each base row with, of every right table, the row of greatest right_on <= left_on of the same key; rights: by the name that its right_on gets.
 
     All tables are put in one stream of rows, and the last right row of each up to a base row is carried
-    along: one shuffle by key for all of them, no rows multiplied. Unmatched base rows keep nulls.
+    along, over range partitions: one shuffle by key and time for all of them, no rows multiplied. Unmatched base rows
+    keep nulls. source: rows with `by` and left_on to take the cuts from, where the tables are dear to compute.
     """
     taken = {name: [c for c in d.columns if c != by] for name, d in rights.items()}
     kinds = {name: d.select(*taken[name]).schema.simpleString() for name, d in rights.items()} | {"": base.schema.simpleString()}
@@ -24,7 +25,11 @@ def asof_joins(base: DataFrame, rights: dict[str, DataFrame], *, by: str, left_o
     d = side(base, left_on, "", base.columns)
     for name, right in rights.items():
         d = d.unionAll(side(right, right_on, name, taken[name]))
-    found = last_known(d, by, ["_at", "_base"], {f"_seen{i}": f"_r{i}" for i in range(len(rights))}, own=True, largest=largest).where("_base = 1")
+    atomic = [f.name for f in base.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
+    # base rows of one moment are told apart by their own values, so that they can be cut too
+    d = d.withColumn("_tie", F.xxhash64(*[f"_r{len(rights)}.{c}" for c in atomic]))
+    cuts = None if source is None else source.select(by, F.col(left_on).alias("_at"))
+    found = running(d, [by], ["_at", "_base", "_tie"], last={f"_seen{i}": f"_r{i}" for i in range(len(rights))}, source=cuts, pieces=pieces).where("_base = 1")
     return found.select(f"_r{len(rights)}.*", *[F.col(f"_seen{i}.{c}").alias(name if c == right_on else c) for i, name in enumerate(rights) for c in taken[name]])
 
 
@@ -33,10 +38,10 @@ def asof_join(base: DataFrame, right: DataFrame, *, by: str, left_on: str, right
     return asof_joins(base, {freshness: right}, by=by, left_on=left_on, right_on=right_on)
 
 
-def assemble(views: dict[str, DataFrame], base: str = "5m") -> DataFrame:
-    """The training frame: every row of the base view with the other views as they were then."""
+def assemble(views: dict[str, DataFrame], base: str = "5m", events: DataFrame | None = None) -> DataFrame:
+    """The training frame: every row of the base view with the other views as they were then. events: what the views come from, read for cuts in their place."""
     timed = {f"as_of_{h}": v for h, v in views.items() if h != base and "window_end" in v.columns}
-    out = asof_joins(views[base].withColumnRenamed("window_end", "as_of"), timed, by="customer_id", left_on="as_of", right_on="window_end")
+    out = asof_joins(views[base].withColumnRenamed("window_end", "as_of"), timed, by="customer_id", left_on="as_of", right_on="window_end", source=None if events is None else events.select("customer_id", F.col("event_time").alias("as_of")))
     for h, view in views.items():
         if h != base and "window_end" not in view.columns:
             out = out.join(view, "customer_id", "left")

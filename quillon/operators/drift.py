@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import ranks as r
+from quillon.functions.carry import running
 from quillon.functions.special import kolmogorov_sf
 from quillon.operators.risk import unpivot
 from quillon.sources.storage import written
@@ -156,19 +157,9 @@ def performance_gap(df: DataFrame, predicted: str, realized: str, *, by: Sequenc
 
 
 def numbered(df: DataFrame, order: Sequence[str], out: str = "nth") -> tuple[DataFrame, DataFrame]:
-    """(df with its rows' places from 0 in the given order, the number of rows in one row `_total`).
-
-    The first of `order` must be a timestamp or number; places come from counts of its values, so
-    only rows of one value are sorted together.
-    """
-    first, rest = order[0], list(order[1:])
-    kind = df.schema[first].dataType.typeName()
-    key = F.unix_micros(F.col(first).cast("timestamp")) if kind.startswith("timestamp") else F.col(first).cast("double")
-    d = df.withColumn("_k", key)
-    counts = written(d.groupBy("_k").agg(F.count("*").alias("n")), "counts")
-    starts = r.prefix_sum(counts, "_k", ["n"]).select("_k", (F.col("cum_n") - F.col("n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_k").orderBy(*(rest or ["_k"]))) - 1
-    return d.join(starts, "_k").withColumn(out, F.col("_before") + within).drop("_k", "_before"), counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))
+    """(df with its rows' places from 0 in the given order, the number of rows in one row `_total`); places are running counts over range partitions."""
+    d = running(df.withColumn("_one", F.lit(1)), [], order, sums={out: "_one"}, own=False)
+    return d.withColumn(out, F.col(out).cast("long")).drop("_one"), df.agg(F.count("*").alias("_total"))
 
 
 def count_windows(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:

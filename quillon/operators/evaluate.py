@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.carry import running
 from quillon.operators import drift, fairness, models, risk
 
 
@@ -51,8 +52,7 @@ def headline(tables: dict[str, DataFrame]) -> DataFrame:
 
 def best_so_far(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """df with the greatest value up to each row of its group."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("best", F.max(value).over(w))
+    return running(df, by, order, most={"best": value})
 
 
 def by_pattern(df: DataFrame, include: str, exclude: str | None = None) -> list[str]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.carry import last_known
+from quillon.functions.carry import running
 
 CASH_ADVANCE_MCC = 6010
 GAP_CAP_S = 3600
@@ -37,7 +37,7 @@ def enrich(tx: DataFrame, first_gap: str = "null") -> DataFrame:
 
     first_gap: what a customer's first event has as time since the last, "null" or "cap".
     """
-    d = last_known(tx.withColumn("_now", F.struct("current_balance", "event_time")), "customer_id", ["event_time", "event_id"], {"_before": "_now"}, own=False)
+    d = running(tx.withColumn("_now", F.struct("current_balance", "event_time")), ["customer_id"], ["event_time", "event_id"], last={"_before": "_now"}, own=False)
     d = d.withColumns({"prev_balance": F.col("_before.current_balance"), "prev_time": F.col("_before.event_time")}).drop("_now", "_before")
     return enriched_columns(d, first_gap)
 

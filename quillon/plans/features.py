@@ -125,6 +125,10 @@ def _all(spark, sf_dir):
     return views.all_views(a.transactions(spark, sf_dir), a.transactions_with_attributes(spark, sf_dir))
 
 
+def _training(spark, sf_dir):
+    return asof.assemble(_all(spark, sf_dir), events=a.transactions(spark, sf_dir))
+
+
 @register("serving_features", f"WITH {SERVING_SQL} SELECT * FROM serving")
 def serving_features(spark, sf_dir):
     return rounded(views.serving(_all(spark, sf_dir)), 6, "geo_variance_7d")
@@ -137,12 +141,12 @@ def model_vector(spark, sf_dir):
 
 @register("training_frame", f"WITH {TRAINING_SQL} SELECT * FROM training")
 def training_frame(spark, sf_dir):
-    return rounded(asof.assemble(_all(spark, sf_dir)), 6, "geo_variance_7d")
+    return rounded(_training(spark, sf_dir), 6, "geo_variance_7d")
 
 
 @register("point_in_time_violations", f"WITH {TRAINING_SQL} " + " UNION ALL ".join(f"SELECT 'as_of_{h}' AS \"column\", count(*) FILTER (as_of_{h} > as_of) AS violations FROM training" for h in _H[1:]))
 def point_in_time_violations(spark, sf_dir):
-    return asof.violations(asof.assemble(_all(spark, sf_dir)))
+    return asof.violations(_training(spark, sf_dir))
 
 
 @register("asof_orders_to_events", """SELECT o_orderkey, o_custkey, o_orderdate, e.event_id, e.ts AS seen_at FROM orders ASOF LEFT JOIN (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY ALL) e ON o_custkey = e.user_id AND o_orderdate >= e.ts""")
@@ -162,6 +166,6 @@ def customer_lookup(spark, sf_dir):
 
 @register("feature_coverage", f"WITH {TRAINING_SQL}, r AS (SELECT (customer_id % 6)::INT AS segment_id, * FROM training) SELECT segment_id, count(*) AS n_rows, count(DISTINCT customer_id) AS n_customers, round(avg((avg_interarrival_24h IS NOT NULL)::INT), 6) AS avg_interarrival_24h, round(avg((geo_variance_7d IS NOT NULL)::INT), 6) AS geo_variance_7d, round(avg((mcc_entropy_1h IS NOT NULL)::INT), 6) AS mcc_entropy_1h FROM r GROUP BY 1")
 def feature_coverage(spark, sf_dir):
-    d = asof.assemble(_all(spark, sf_dir)).withColumn("segment_id", (F.col("customer_id") % 6).cast("int"))
+    d = _training(spark, sf_dir).withColumn("segment_id", (F.col("customer_id") % 6).cast("int"))
     cover = [F.avg(F.col(c).isNotNull().cast("int")).alias(c) for c in ("avg_interarrival_24h", "geo_variance_7d", "mcc_entropy_1h")]
     return rounded(d.groupBy("segment_id").agg(F.count("*").alias("n_rows"), F.countDistinct("customer_id").alias("n_customers"), *cover))

@@ -266,7 +266,7 @@ def monotonicity_verdict(spark, sf_dir):
 
 
 def _frame(spark, sf_dir):
-    return asof.assemble(views.all_views(a.transactions(spark, sf_dir), a.transactions_with_attributes(spark, sf_dir)))
+    return asof.assemble(views.all_views(a.transactions(spark, sf_dir), a.transactions_with_attributes(spark, sf_dir)), events=a.transactions(spark, sf_dir))
 
 
 @register("rate_heterogeneity", f"WITH {TRAINING_SQL}, s AS (SELECT stddev_samp(velocity_24h) / avg(velocity_24h) AS v FROM training) SELECT 'rate_heterogeneity' AS criterion, round(v, 6) AS value, v > 0.7 AS passed, 'cv of velocity_24h' AS note FROM s")

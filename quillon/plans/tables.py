@@ -14,7 +14,7 @@ from quillon.sources import storage
 
 
 def _frame(spark, sf_dir):
-    d = asof.assemble(views.all_views(a.transactions(spark, sf_dir), a.transactions_with_attributes(spark, sf_dir)))
+    d = asof.assemble(views.all_views(a.transactions(spark, sf_dir), a.transactions_with_attributes(spark, sf_dir)), events=a.transactions(spark, sf_dir))
     return rounded(d.withColumn("segment_id", (F.col("customer_id") % 6).cast("int")), 6, "geo_variance_7d")
 
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillon.operators import decide, drift, views
 from quillon.sources.storage import batches_before, upsert, write_batch, written
+from quillon.streaming import states
 
 ENRICHED = "event_id long, customer_id long, event_time timestamp, amount double, mcc int, current_balance double, credit_limit double, geo_lat double, geo_lon double, segment_id int"
 
+#: A customer without events for so long is forgotten.
+IDLE = timedelta(days=400)
+
 
 def watermarked(tx: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Events of a stream with a zoned event time, which watermarks need."""
@@ -33,35 +35,16 @@ def start_upserts(view: DataFrame, path: str, checkpoint: str, keys: list[str],
     return (q.trigger(availableNow=True) if once else q).start()
 
 
-def enrich(tx: DataFrame) -> DataFrame:
+def enrich(tx: DataFrame, *, idle: timedelta = IDLE) -> DataFrame:
     """The previous balance and time of each customer's events on a stream, in event-time order.
 
     A customer's events wait until the watermark has passed them, so that late ones within the delay
-    take their place; what has been emitted leaves only the last balance and time behind.
+    take their place; what has been emitted leaves only the last balance and time behind, and nothing once a customer has been idle for so long.
     """
-    columns = [c.split(" ")[0] for c in ENRICHED.split(", ")]
-    output = ENRICHED + ", prev_balance double, prev_time timestamp"
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        balance, time, waiting = pickle.loads(state.get[0]) if state.exists else (None, None, None)
-        new = [p for p in parts if len(p)]
-        rows = pd.concat([*([waiting] if waiting is not None else []), *new]) if new or waiting is not None else None
-        if rows is None:
-            return
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        rows = rows.sort_values(["event_time", "event_id"], kind="stable")
-        ready, waiting = rows[rows["event_time"] <= mark], rows[rows["event_time"] > mark]
-        if len(ready):
-            out = ready.copy()
-            out["prev_balance"] = [balance, *ready["current_balance"].iloc[:-1]]
-            out["prev_time"] = pd.to_datetime(pd.Series([time, *ready["event_time"].iloc[:-1]], index=out.index, dtype="datetime64[ns]"))
-            balance, time = float(ready["current_balance"].iloc[-1]), ready["event_time"].iloc[-1]
-            yield out
-        state.update((pickle.dumps((balance, time, waiting if len(waiting) else None)),))
-        if len(waiting):
-            state.setTimeoutTimestamp(int(waiting["event_time"].iloc[0].value // 10**6) + 1)
-
-    d = tx.select(*columns).groupBy("customer_id").applyInPandasWithState(step, output, "s binary", "append", GroupStateTimeout.EventTimeTimeout)
+    states.use_rocksdb(tx.sparkSession)
+    columns = dict(c.split(" ") for c in ENRICHED.split(", "))
+    lag = states.Lag(columns, time="event_time", tie="event_id", value="current_balance", outputs=("prev_balance", "prev_time"), idle_ms=int(idle.total_seconds() * 1000))
+    d = tx.select(*columns).groupBy("customer_id").transformWithStateInPandas(lag, ENRICHED + ", prev_balance double, prev_time timestamp", "Append", "EventTime")
     return views.enriched_columns(d)
 
 

@@ -52,6 +52,31 @@ def test_ips_of_the_logged_policy(spark):
     assert {r.estimate for r in ope.estimates(t).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("hot", ["month", "timestamp"])
+def test_hot_customers_are_cut(spark, hot):
+    """One customer with nine tenths of all rows, in one month or at one moment: no piece holds more than a few times its share."""
+    rng = random.Random(hot)
+    when = lambda: "2024-03-05 10:00:00" if hot == "timestamp" else f"2024-03-{rng.randrange(1, 28):02d} 10:{rng.randrange(60):02d}:00"
+    rows = [(1, when(), i, rng.choice([None, i])) if i % 10 else (rng.randrange(2, 9), f"2024-0{rng.randrange(1, 7)}-01 00:00:00", i, i) for i in range(2000)]
+    d = frame(spark, rows, "k int, t string, i int, v int").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    order = ["k", "t", "i"]
+    sizes = [r["count"] for r in carry._cut(d, carry.cuts(d, order, 16), 1, order, 16).groupBy("_piece").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 4 * 2000 / 16
+    jobs = spark.sparkContext.statusTracker()
+    group = f"plan of {hot}"
+    spark.sparkContext.setJobGroup(group, group)
+    got = carry.running(d, ["k"], ["t", "i"], last={"seen": "v"}, sums={"total": "v"}, most={"best": "v"}, own=False, pieces=16)
+    assert not jobs.getJobIdsForGroup(group), "no job before the result is asked for"
+    spark.sparkContext.setJobGroup("rest", "rest")
+    want, state = {}, {}
+    for k, _, i, v in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        seen, total, best = state.get(k, (None, 0, None))
+        want[i] = (seen, total, best)
+        if v is not None:
+            state[k] = (v, total + v, v if best is None else max(best, v))
+    assert {r.i: (r.seen, r.total, r.best) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_bootstrap_holds_the_estimate(spark, parts):
     d = frame(spark, [(i, i % 3, 1 / 3, float(i % 7), i % 2) for i in range(600)], "id int, a int, p double, r double, n int").repartition(parts)
@@ -189,13 +214,13 @@ def test_point_in_time(spark):
         asof.assert_point_in_time(frame(spark, [(1, 5, 6)], "customer_id int, as_of int, as_of_x int"))
 
 
-@pytest.mark.parametrize("largest", [0, 10**6])
-def test_last_known_across_months(spark, largest):
+@pytest.mark.parametrize("pieces", [2, 70, None])
+def test_last_known_across_months(spark, pieces):
     rng = random.Random(11)
     rows = [(rng.choice([1, 2, None]), f"2024-{rng.randrange(1, 7):02d}-{rng.randrange(1, 28):02d} 10:00:00", i, rng.choice([None, i])) for i in range(300)]
     d = frame(spark, rows, "k int, t string, i int, v int").withColumn("t", F.col("t").cast("timestamp_ntz"))
     for own in (True, False):
-        got = {r.i: r.seen for r in carry.last_known(d, "k", ["t", "i"], {"seen": "v"}, own=own, largest=largest).collect()}
+        got = {r.i: r.seen for r in carry.running(d, ["k"], ["t", "i"], last={"seen": "v"}, own=own, pieces=pieces).collect()}
         seen, want = {}, {}
         for k, _, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
             if own and v is not None:
@@ -244,11 +269,11 @@ def test_pairs_beyond_32_digits_count(spark):
     assert (more, less) == (2 * n * n, n * n)
 
 
-@pytest.mark.parametrize("largest", [5, 40, 10**6])
-def test_running_sums_in_buckets(spark, largest):
+@pytest.mark.parametrize("pieces", [2, 40, None])
+def test_running_sums_in_buckets(spark, pieces):
     rng = random.Random(3)
     rows = [(g, float(x), rng.randrange(9)) for g, size in (("a", 300), ("b", 20), ("c", 1)) for x in rng.sample(range(1000), size)]
-    got = {(r.g, r.x): r.cum_n for r in ranks.prefix_sum(frame(spark, rows, "g string, x double, n long"), "x", ["n"], ["g"], largest).collect()}
+    got = {(r.g, r.x): r.cum_n for r in ranks.prefix_sum(frame(spark, rows, "g string, x double, n long"), "x", ["n"], ["g"], pieces).collect()}
     assert got == {(g, x): sum(m for h, y, m in rows if h == g and y <= x) for g, x, _ in rows}
 
 
