@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import economics as e
-from quillon.operators import asof, decide, gate, models, ope, views
+from quillon.operators import asof, boosting, decide, gate, models, ope, pooled, views
 from quillon.plans.catalog import register
 from quillon.plans import monitor as monitor_plans
 from quillon.plans import risk as risk_plans
@@ -321,32 +321,38 @@ def heckman_pd(spark, sf_dir):
     return models.heckman_scores(m, d, ["utilization", "paydown_rate_30d"], ["prev_delinquency_count", "credit_score"]).select("account_id", "pd")
 
 
-@register("segment_pd")
-def segment_pd(spark, sf_dir):
+def _pooled(spark, sf_dir):
     d = _scaled(spark, sf_dir)
-    m = models.segment_pd(d, ACCOUNT, "segment", "defaulted")
-    from pyspark.ml.functions import vector_to_array
-
-    return m.transform(d).select("account_id", F.element_at(vector_to_array("probability"), 2).alias("pd"))
+    return d, pooled.fit(d, ACCOUNT, "segment", "defaulted")
 
 
-def _draws(spark, sf_dir):
-    d = _scaled(spark, sf_dir)
-    return models.draw_predictions(d, models.pd_draws(d, "account_id", ACCOUNT, "defaulted", draws=8), ACCOUNT)
+@register("segment_pd")
+def segment_pd(spark, sf_dir):
+    d, m = _pooled(spark, sf_dir)
+    return pooled.predict(m, d, "account_id", "segment")
 
 
 @register("credible_intervals")
 def credible_intervals(spark, sf_dir):
-    return models.credible_intervals(_draws(spark, sf_dir), "account_id")
+    d, m = _pooled(spark, sf_dir)
+    return pooled.intervals(m, d, "account_id", "segment")
 
 
 @register("portfolio_tail_loss")
 def portfolio_tail_loss(spark, sf_dir):
-    return models.tail_loss(models.portfolio_draws(_draws(spark, sf_dir), "current_balance", 0.8))
+    d, m = _pooled(spark, sf_dir)
+    return models.tail_loss(pooled.portfolio_losses(m, d, "segment", "current_balance", 0.8))
 
 
 @register("monotone_pd")
 def monotone_pd(spark, sf_dir):
+    d = _scaled(spark, sf_dir)
+    m = boosting.fit(d, ACCOUNT, "defaulted", {c: s for c, s in models.CONSTRAINTS.items() if c in ACCOUNT}, trees=20)
+    return boosting.score(m, d, "account_id")
+
+
+@register("monotone_linear_pd")
+def monotone_linear_pd(spark, sf_dir):
     d = _scaled(spark, sf_dir)
     return models.probability(models.monotone_pd(d, ACCOUNT, "defaulted"), d, ACCOUNT, "score").select("account_id", "score")
 
