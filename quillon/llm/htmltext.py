@@ -66,6 +66,8 @@ NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Where short text counts as the main text of a page that has no other.
+TEXT = frozenset(("", "body", "p", "h1", "h2", "h3", "blockquote", "pre"))
 SECTIONS = frozenset(("article", "main"))
 #: Elements that are boilerplate by their name.
 SAID = frozenset("nav aside footer dialog menu search head template noscript select button option datalist object svg math canvas audio video form".split())
@@ -270,13 +272,13 @@ def _second_pass(labels: list[int], section: list[int], found: list) -> list[boo
             if s > 0 and BAD == max(before, after):
                 keep = True  # all that is decided in the section are lists of links
             elif before < 0 and after < 0:
-                keep = s > 0 or not any_good and (label == NEAR or found[i][1] in ("p", "h1", "h2", "h3", "blockquote", "pre"))
+                keep = s > 0 or not any_good and (label == NEAR or found[i][1] in TEXT)
             elif label == NEAR or s > 0:
                 keep = GOOD in (before, after) or label == NEAR and not any_good
             else:
                 keep = (after if found[i][1] in HEADINGS or d1 < d0 else before) == GOOD
                 if not any_good:
-                    keep = found[i][1] in ("p", "h1", "h2", "h3", "blockquote", "pre")
+                    keep = found[i][1] in TEXT
         kept.append(keep and s >= 0 and (s > 0 or not only_sections))
     return kept
 
