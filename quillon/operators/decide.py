@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -222,6 +223,53 @@ def bandit_scores(df: DataFrame, statistics: DataFrame, features: Sequence[str],
     return d.withColumn("arm", F.array_max("scores")["arm"])
 
 
+def normal(*parts) -> Column:
+    """A standard normal number from a key, by the polar form of two uniform ones."""
+    u, v = e.uniform(*parts, F.lit("r")), e.uniform(*parts, F.lit("angle"))
+    return F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * math.pi * v)
+
+
+def thompson_scores(df: DataFrame, statistics: DataFrame, features: Sequence[str], key: str, *, prior_variance: float = 1.0) -> DataFrame:
+    """df with `scores`, each arm's value under coefficients drawn from its posterior for this row, and `arm`, the best.
+
+    Draws are mean + L z with the Cholesky factor L of the posterior covariance and z from hashes of (key, arm, place), so
+    a row's draw is the same on any partitioning. The statistics are arms times features squared.
+    """
+    import numpy as np
+
+    size = len(features) + 1
+    arms: dict = {}
+    for r in statistics.collect():
+        a, b = arms.setdefault(r.arm, (np.eye(size) / prior_variance, np.zeros(size)))
+        a[r.i, r.j] += r.a
+        if r.j == 0:
+            b[r.i] += r.b
+    x = [F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]]
+    scores = []
+    for arm in sorted(arms):
+        covariance = np.linalg.inv(arms[arm][0])
+        mean, factor = covariance @ arms[arm][1], np.linalg.cholesky(covariance)
+        value = sum((F.lit(float(m)) * c for m, c in zip(mean, x, strict=True)), F.lit(0.0))
+        for j in range(size):
+            value = value + normal(key, F.lit(arm), F.lit(j)) * sum((F.lit(float(factor[i, j])) * x[i] for i in range(j, size)), F.lit(0.0))
+        scores.append(F.struct(value.alias("score"), F.lit(arm).alias("arm")))
+    d = df.withColumn("scores", F.array(*scores))
+    return d.withColumn("arm", F.array_max("scores")["arm"])
+
+
+def softmax_arms(df: DataFrame, key: str, means: DataFrame, *, temperature: float = 1.0) -> DataFrame:
+    """df with `probabilities` of the arms (ascending) by exp(mean / temperature), and `arm`, drawn by a hash of the key. means(arm, mean) has a row an arm."""
+    rows = sorted((r.arm, r.mean) for r in means.select("arm", "mean").collect())
+    top = max(m for _, m in rows)
+    weights = [math.exp((m - top) / max(temperature, 1e-6)) for _, m in rows]
+    shares = [w / sum(weights) for w in weights]
+    u, arm, below = e.uniform(key, F.lit("softmax")), F.lit(rows[-1][0]), 1.0
+    for (name, _), share in zip(reversed(rows[:-1]), reversed(shares[1:]), strict=True):
+        below -= share
+        arm = F.when(u < below, F.lit(name)).otherwise(arm)
+    return df.withColumn("probabilities", F.array(*[F.lit(s) for s in shares])).withColumn("arm", arm)
+
+
 def feature_hash(*columns: str):
     """16-byte blake2b of the features as %.6g, joined by commas; nulls count as 0. C's %g has no counterpart in Spark, so this is an Arrow UDF."""
     @F.pandas_udf("string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import economics as e
-from quillon.operators import asof, boosting, decide, gate, models, ope, pooled, views
+from quillon.operators import asof, boosting, decide, gate, models, ope, pooled, shapley, views
 from quillon.plans.catalog import register
 from quillon.plans import monitor as monitor_plans
 from quillon.plans import risk as risk_plans
@@ -128,6 +128,48 @@ def bandit_scores(spark, sf_dir):
     return decide.bandit_scores(d, s, BANDIT).select("decision_id", "arm", *[F.round(F.col("scores")[k]["score"], 3).alias(f"score_{k}") for k in range(3)])
 
 
+_Z = lambda j: f"sqrt(-2 * ln(1 - {e.uniform_sql('decision_id', 'arm', str(j), repr('r'))})) * cos(2 * pi() * {e.uniform_sql('decision_id', 'arm', str(j), repr('angle'))})"
+#: The Cholesky factor of each arm's 3 by 3 covariance, and a draw for each decision.
+THOMPSON_SQL = f"""{BANDIT_SQL},
+l1 AS (SELECT *, sqrt(i00) AS l00, i01 / sqrt(i00) AS l10, i02 / sqrt(i00) AS l20 FROM th),
+l2 AS (SELECT *, sqrt(i11 - l10 * l10) AS l11, (i12 - l20 * l10) / sqrt(i11 - l10 * l10) AS l21 FROM l1),
+l3 AS (SELECT *, sqrt(i22 - l20 * l20 - l21 * l21) AS l22 FROM l2),
+ts AS (SELECT decision_id, arm, t0 + t1 * u + t2 * p + ({_Z(0)}) * (l00 + l10 * u + l20 * p) + ({_Z(1)}) * (l11 * u + l21 * p) + ({_Z(2)}) * l22 * p AS score
+  FROM (SELECT decision_id, utilization AS u, paydown_rate_30d AS p FROM dec), l3)"""
+
+
+@register("thompson_scores", f"WITH {THOMPSON_SQL} SELECT decision_id, arg_max(arm, (score, arm)) AS arm, round(max(score) FILTER (arm = 0), 3) AS score_0, round(max(score) FILTER (arm = 1), 3) AS score_1, round(max(score) FILTER (arm = 2), 3) AS score_2 FROM ts GROUP BY decision_id")
+def thompson_scores(spark, sf_dir):
+    d = a.decisions(spark, sf_dir)
+    s = decide.arm_statistics(d, "action", "reward", BANDIT)
+    return decide.thompson_scores(d, s, BANDIT, "decision_id").select("decision_id", "arm", *[F.round(F.col("scores")[k]["score"], 3).alias(f"score_{k}") for k in range(3)])
+
+
+@register("softmax_arms", f"""WITH {a.DECISIONS_SQL}, m AS (SELECT action AS arm, avg(reward) AS q FROM dec GROUP BY 1), w AS (SELECT arm, exp((q - max(q) OVER ()) / 50.0::DOUBLE) AS w FROM m),
+s AS (SELECT arm, w / sum(w) OVER () AS p, sum(w) OVER (ORDER BY arm) / sum(w) OVER () AS upto FROM w)
+SELECT decision_id, coalesce(min(arm) FILTER ({e.uniform_sql("decision_id", "'softmax'")} < upto), max(arm)) AS arm, round(max(p) FILTER (arm = 0), 6) AS p_0, round(max(p) FILTER (arm = 1), 6) AS p_1, round(max(p) FILTER (arm = 2), 6) AS p_2 FROM dec, s GROUP BY decision_id""")
+def softmax_arms(spark, sf_dir):
+    d = a.decisions(spark, sf_dir)
+    means = d.groupBy(F.col("action").alias("arm")).agg(F.avg("reward").alias("mean"))
+    return decide.softmax_arms(d, "decision_id", means, temperature=50.0).select("decision_id", "arm", *[F.round(F.col("probabilities")[k], 6).alias(f"p_{k}") for k in range(3)])
+
+
+SHAPLEY_BACKGROUND = {"utilization": 0.4, "velocity_24h": 2.0, "paydown_rate_30d": 0.3}
+
+
+def _shapley_score(df):
+    offer = (0.3 + 0.2 * F.col("utilization")) * (12 * (60.0 + F.col("velocity_24h")) * 0.12 * 0.95 - (0.02 + 0.05 * F.col("utilization") * (1.3 - F.col("paydown_rate_30d"))) * 4000.0 - 32.0)
+    return df.withColumn("profit", offer)
+
+
+@register("shapley_attributions", f"""WITH {a.DECISIONS_SQL}, c AS (SELECT decision_id, m, bit_count(m) AS s, CASE WHEN m & 1 = 1 THEN utilization ELSE 0.4::DOUBLE END AS u, CASE WHEN m & 2 = 2 THEN velocity_24h::DOUBLE ELSE 2.0::DOUBLE END AS v, CASE WHEN m & 4 = 4 THEN paydown_rate_30d ELSE 0.3::DOUBLE END AS p FROM dec, (SELECT unnest(range(8)) AS m)),
+v AS (SELECT *, (0.3::DOUBLE + 0.2::DOUBLE * u) * (12 * (60 + v) * 0.12::DOUBLE * 0.95::DOUBLE - (0.02::DOUBLE + 0.05::DOUBLE * u * (1.3::DOUBLE - p)) * 4000 - 32) AS profit FROM c),
+w AS (SELECT decision_id, m, profit, CASE s WHEN 2 THEN 1 / 6.0::DOUBLE ELSE 1 / 3.0::DOUBLE END AS inside, CASE s WHEN 1 THEN -1 / 6.0::DOUBLE ELSE -1 / 3.0::DOUBLE END AS outside FROM v)
+SELECT decision_id, round(max(profit) FILTER (m = 0), 4) AS base, round(max(profit) FILTER (m = 7), 4) AS profit, {", ".join(f"round(sum(profit * CASE WHEN m & {1 << j} > 0 THEN inside ELSE outside END), 4) AS phi_{f}" for j, f in enumerate(("utilization", "velocity_24h", "paydown_rate_30d")))} FROM w GROUP BY decision_id""")
+def shapley_attributions(spark, sf_dir):
+    return rounded(shapley.attributions(a.decisions(spark, sf_dir), "decision_id", list(SHAPLEY_BACKGROUND), _shapley_score, SHAPLEY_BACKGROUND), 4)
+
+
 def _rule(shift: float):
     def score(df):
         return df.withColumns({"p_accept": F.lit(0.3) + 0.2 * F.col("utilization"), "spend": F.lit(60.0 + shift) + F.col("velocity_24h"), "p_default": F.lit(0.02) + 0.05 * F.col("utilization")})

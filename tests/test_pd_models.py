@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import boosting, models, pooled
+from quillon.operators import boosting, decide, models, pooled, shapley
 
 
 def auc(pairs):
@@ -139,3 +139,65 @@ def test_intervals_and_losses_by_draw(segments, fitted):
     assert len(losses) == 1000 and np.allclose([losses[i] for i in range(1000)], total)
     other = few.withColumn("s", F.lit(1234))
     assert pooled.intervals(fitted, other, "id", "s").count() == few.count() == pooled.predict(fitted, other, "id", "s").count()
+
+
+def plain_shapley(score, x, base):
+    """Shapley values by the definition, over all coalitions."""
+    d = len(x)
+    v = lambda s: score([x[j] if j in s else base[j] for j in range(d)])
+    out = []
+    for j in range(d):
+        rest, total = [i for i in range(d) if i != j], 0.0
+        for bits in range(1 << (d - 1)):
+            s = {rest[i] for i in range(d - 1) if bits >> i & 1}
+            total += math.factorial(len(s)) * math.factorial(d - len(s) - 1) / math.factorial(d) * (v(s | {j}) - v(s))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("exact", [10, 3])
+def test_shapley_values(spark, exact):
+    """Four features: exact by all coalitions; by the drawn design they still add up."""
+    rng = random.Random(2)
+    names, base = ["a", "b", "c", "d"], [0.5, 0.0, 1.0, 2.0]
+    rows = [(i, *[rng.random() if rng.random() > 0.1 else None for _ in names]) for i in range(20)]
+    plain = lambda v: v[0] * v[1] + 3 * v[2] - v[3] ** 2 + v[0] * v[2] * v[3]
+    score = lambda d: d.withColumn("profit", F.col("a") * F.col("b") + 3 * F.col("c") - F.col("d") * F.col("d") + F.col("a") * F.col("c") * F.col("d"))
+    got = {r.i: r for r in shapley.attributions(spark.createDataFrame(rows, "i int, a double, b double, c double, d double"), "i", names, score, dict(zip(names, base, strict=True)), exact=exact, drawn=64).collect()}
+    assert len(got) == 20
+    for i, *x in rows:
+        x = [b if v is None else v for v, b in zip(x, base, strict=True)]
+        phi = [got[i][f"phi_{n}"] for n in names]
+        assert sum(phi) == pytest.approx(plain(x) - plain(base)) == pytest.approx(got[i].profit - got[i].base)
+        assert phi == pytest.approx(plain_shapley(plain, x, base), abs=1e-9 if exact == 10 else 0.15)
+
+
+def test_drawn_coalitions_of_many_features():
+    masks, matrix = shapley.design(14, drawn=600)
+    x = np.random.default_rng(3).normal(size=14)
+    scores = np.array([sum(x[j] for j in range(14) if m >> j & 1) + 5.0 for m in masks])
+    assert len(masks) <= 602 + 28 and matrix @ scores == pytest.approx(x), "a sum's attributions are its terms"
+
+
+def test_thompson_draws_have_the_posterior(spark):
+    rng = random.Random(12)
+    log = spark.createDataFrame([(rng.randrange(2), rng.gauss(1, 1), rng.random()) for _ in range(200)], "arm int, r double, u double")
+    statistics = decide.arm_statistics(log, "arm", "r", ["u"])
+    got = decide.thompson_scores(spark.range(20000).withColumn("u", F.lit(0.5)), statistics, ["u"], "id").select(*[F.col("scores")[k]["score"].alias(f"s{k}") for k in (0, 1)], "arm").toPandas()
+    for k in (0, 1):
+        rows = [(r.r, r.u) for r in log.collect() if r.arm == k]
+        x, y = np.array([(1.0, u) for _, u in rows]), np.array([v for v, _ in rows])
+        covariance = np.linalg.inv(np.eye(2) + x.T @ x)
+        at = np.array([1.0, 0.5])
+        assert got[f"s{k}"].mean() == pytest.approx(at @ covariance @ x.T @ y, abs=0.004)
+        assert got[f"s{k}"].var() == pytest.approx(at @ covariance @ at, rel=0.05)
+    assert abs(got[["s0", "s1"]].corr().iloc[0, 1]) < 0.03 and set(got.arm) == {0, 1}
+
+
+def test_softmax_draws_follow_the_means(spark):
+    means = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 2.0)], "arm int, mean double")
+    got = decide.softmax_arms(spark.range(20000), "id", means, temperature=0.8)
+    want = np.exp(np.array([1.0, 3.0, 2.0]) / 0.8)
+    want /= want.sum()
+    counts = {r.arm: r["count"] / 20000 for r in got.groupBy("arm").count().collect()}
+    assert [counts[k] for k in range(3)] == pytest.approx(list(want), abs=0.01) and list(got.first().probabilities) == pytest.approx(list(want))
