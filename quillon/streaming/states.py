@@ -29,8 +29,8 @@ class Lag(StatefulProcessor):
     """Each key's rows in the order of time and tie, with the value and time of the row before.
 
     Rows wait in a list until the watermark has passed them, so that late ones within its delay take their place. What
-    has been emitted leaves one value and one time behind; `idle_ms` after a key's newest row these go too, and its next row counts
-    as a first one.
+    has been emitted leaves one value and one time behind. A row more than `idle_ms` after the one before counts as a first
+    one, however batches lie, so a timer clears what is left of a key that has been idle for so long.
     """
 
     def __init__(self, columns: dict[str, str], *, time: str, tie: str, value: str, outputs: tuple[str, str], idle_ms: int):
@@ -57,6 +57,8 @@ class Lag(StatefulProcessor):
             out = ready.copy()
             out[self.outputs[0]] = pd.Series([value, *ready[self.value].iloc[:-1]], index=out.index, dtype="float64")
             out[self.outputs[1]] = pd.to_datetime(pd.Series([first, *ready[self.time].iloc[:-1]], index=out.index, dtype="datetime64[ns]"))
+            long_ago = out[self.time] - out[self.outputs[1]] > pd.Timedelta(self.idle_ms, unit="ms")
+            out.loc[long_ago, list(self.outputs)] = None
             last = ready[self.value].iloc[-1]
             self.before.update((None if pd.isna(last) else float(last), int(ready[self.time].iloc[-1].value // 1000)))
             yield out

@@ -562,3 +562,29 @@ def test_linear_t_learner(spark):
     got = models.uplift(models.t_learner(d, ["x"], "T", "profit"), d, ["x"]).collect()
     assert all(r.uplift == pytest.approx(2.0 + 2.0 * r.x, abs=1e-6) for r in got)
     assert models.t_learner(d.where("i < 15"), ["x"], "T", "profit") is None and {r.uplift for r in models.uplift(None, d, ["x"]).collect()} == {0.0}
+
+
+def test_lag_state_outlives_a_restart(spark, tmp_path):
+    """Three files, a query started anew for each: late rows take their place, and an idle customer is forgotten."""
+    from datetime import datetime, timedelta
+
+    start, schema = datetime(2024, 3, 1, 12), live.ENRICHED
+    row = lambda i, k, minutes, balance: (i, k, start + timedelta(minutes=minutes), 1.0, 1, balance, 9.0, 0.0, 0.0, 0)
+    files = [
+        [row(1, 1, 0, 100.0), row(2, 1, 10, 90.0), row(3, 2, 0, 7.0)],
+        [row(5, 1, 30, 60.0), row(4, 1, 9.9, 95.0), row(6, 1, 20, None)],  # the fourth is late, within the delay
+        [row(7, 2, 60 * 50, 8.0), row(8, 1, 60 * 2, 50.0), row(9, 3, 60 * 50, 1.0)],
+        [row(10, 2, 60 * 60, 9.0), row(11, 3, 60 * 80, 2.0)],
+        [row(12, 3, 60 * 90, 3.0)],
+    ]
+    out, mark = f"file://{tmp_path}/out", f"file://{tmp_path}/mark"
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+        live.start(live.enrich(live.watermarked(stream, "1 minute"), idle=timedelta(hours=24)).select("event_id", "prev_balance", "prev_time"), out, mark).awaitTermination()
+        if n == 0:
+            assert spark.read.parquet(out).count() == 2, "rows above the watermark wait"
+    got = {r.event_id: (r.prev_balance, r.prev_time and int((r.prev_time - start).total_seconds() / 6)) for r in spark.read.parquet(out).collect()}
+    assert got[1] == (None, None) and got[4] == (100.0, 0) and got[2] == (95.0, 99) and got[6] == (90.0, 100) and got[5] == (None, 200)
+    assert got[3] == (None, None) and got[7] == (None, None), "after two idle days nothing is left of the second customer"
+    assert got[8] == (60.0, 300) and got[10] == (8.0, 30000) and got[11] == (None, None)
