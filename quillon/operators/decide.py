@@ -109,6 +109,11 @@ def outcomes(decisions: DataFrame, parameters: DataFrame, *, seed: int = 42) ->
 def decision_outcomes(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Outcomes with their decisions' fields; defaults where the decision is unknown."""
     d = outcomes.join(decisions.select("decision_id", "alias", "segment_id", "action", "propensity"), "decision_id", "left")
+    return with_defaults(d)
+
+
+def with_defaults(d: DataFrame) -> DataFrame:
+    """Outcomes' fields of the decision, defaults where it is unknown."""
     return d.withColumns({"alias": F.coalesce("alias", F.lit("champion")), "segment_id": F.coalesce("segment_id", F.lit(0)), "propensity": F.coalesce("propensity", F.lit(1.0))})
 
 

@@ -113,6 +113,19 @@ def live_union_historical(spark, sf_dir):
     return d.agg(F.count("*").alias("n"), F.countDistinct("customer_id").alias("n_customers"))
 
 
+@register("stream_unmatched_outcomes", f"WITH {a.DECISIONS_SQL} SELECT decision_id, CASE WHEN decision_id % 4 = 0 THEN 'champion' ELSE coalesce(alias, 'champion') END AS alias, CASE WHEN decision_id % 4 = 0 THEN NULL ELSE action END AS action, CASE WHEN decision_id % 4 = 0 THEN 1 ELSE round(coalesce(propensity, 1), 6) END AS propensity, round(reward, 4) AS reward FROM dec WHERE decision_id % 3 <> 0")
+def stream_unmatched_outcomes(spark, sf_dir):
+    """A fourth of the decisions never comes, a third has no outcome; a last pair of rows, far ahead in time, closes the streams."""
+    d = a.decisions(spark, sf_dir).withColumn("decided_at", F.col("ts").cast("timestamp")).select("decision_id", "decided_at", "alias", "segment_id", "action", "propensity", "reward")
+    end = d.agg(F.lit(-1).cast(d.schema["decision_id"].dataType).alias("decision_id"), (F.max("decided_at") + F.expr("INTERVAL 60 DAYS")).alias("decided_at"), *[F.lit(None).cast(d.schema[c].dataType).alias(c) for c in d.columns[2:]])
+    rows = d.unionByName(end)
+    made = storage.written(rows.where("decision_id % 4 <> 0").drop("reward"), "decisions")
+    seen = storage.written(rows.where("decision_id % 3 <> 0").select("decision_id", (F.col("decided_at") + F.expr("INTERVAL 1 DAY")).alias("observed_at"), "reward"), "outcomes")
+    stream = lambda t: spark.readStream.schema(t.schema).parquet(t.inputFiles()[0].rsplit("/", 1)[0])
+    found = live.outcomes_or_defaults(stream(made), stream(seen))
+    return rounded(rounded(_run(spark, found.select("decision_id", "alias", "action", "propensity", "reward"), "stream-unmatched").where("decision_id >= 0"), 6).withColumn("reward", F.round("reward", 4)))
+
+
 @register("stream_decision_outcomes", f"WITH {a.DECISIONS_SQL} SELECT decision_id, action, round(reward, 4) AS reward FROM dec WHERE decision_id % 4 <> 0")
 def stream_decision_outcomes(spark, sf_dir):
     d = a.decisions(spark, sf_dir).withColumn("decided_at", F.col("ts").cast("timestamp")).select("decision_id", "customer_id", "decided_at", "action", "reward")

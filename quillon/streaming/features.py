@@ -56,6 +56,16 @@ def join_outcomes(decisions: DataFrame, outcomes: DataFrame, *, within: str = "7
     return d.join(o, on).drop("_d", "_c")
 
 
+def outcomes_or_defaults(decisions: DataFrame, outcomes: DataFrame, *, within: str = "7 days", delay: str = "1 hour") -> DataFrame:
+    """Every outcome of a stream with its decision's fields, in whichever order the two arrived; one whose decision never came has the defaults, once
+    the watermark says that none can come any more. What is kept of either side is bounded by `within` and `delay`."""
+    fields = ["alias", "segment_id", "action", "propensity"]
+    d = decisions.select(F.col("decision_id").alias("_d"), F.col("decided_at").alias("_at"), *fields).withWatermark("_at", delay)
+    o = outcomes.withWatermark("observed_at", delay)
+    joined = o.join(d, (F.col("decision_id") == F.col("_d")) & F.expr(f"_at <= observed_at AND _at >= observed_at - INTERVAL {within}"), "left_outer")
+    return decide.with_defaults(joined.drop("_d", "_at"))
+
+
 def _started(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, every: str | None):
     q = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (q.trigger(processingTime=every) if every else q.trigger(availableNow=True)).start()
