@@ -130,10 +130,12 @@ def _fields(form: str, raw: memoryview, at: int, end: int) -> tuple:
 def tracks(raw: bytes) -> list[dict]:
     """Each track's codec, timescale, duration and its samples' offsets, sizes and keyframe flags.
 
-    Samples of fragments (moof) follow those of the sample tables. Broken containers raise ValueError.
+    Samples of fragments (moof) follow those of the sample tables. Broken containers raise ValueError, and so do those whose
+    tables and runs of one size, which name samples without a byte for each, claim more samples or bytes together than the file has bytes.
     """
     view, found, defaults = memoryview(raw), [], {}
     fragment: dict = {}
+    left = [len(raw)]
     for name, a, b in boxes(view, 0, len(raw)):
         kind = name.rsplit("/", 1)[-1]
         if kind == "trak":
@@ -147,7 +149,7 @@ def tracks(raw: bytes) -> list[dict]:
         elif kind == "tfhd" and fragment:
             fragment |= _track_header(view, a, b, found, defaults)
         elif kind == "trun" and "track" in fragment:
-            _run(view, a, b, fragment, len(raw))
+            _run(view, a, b, fragment, left)
         if not found or "/trak/" not in name:
             continue
         t = found[-1]
@@ -166,8 +168,8 @@ def tracks(raw: bytes) -> list[dict]:
             t[{"stco": "chunks", "co64": "chunks", "stss": "keys"}.get(kind, kind)] = x.reshape(-1, per) if per > 1 else x - 1 if kind == "stss" else x
         elif kind == "stsz":
             size, n = _fields(">II", view, a + 4, b)
-            if size and n * size > len(raw):
-                raise ValueError("samples are longer than the file")
+            if size:
+                _claim(left, n, size)
             t["sizes"] = np.full(n, size, np.int64) if size else _numbers(view, a + 12, b, ">u4", n)
         elif kind == "stz2":
             bits, n = _fields(">3xBI", view, a + 4, b)
@@ -181,6 +183,13 @@ def tracks(raw: bytes) -> list[dict]:
     return [_located(t, len(raw)) for t in found]
 
 
+def _claim(left: list[int], n: int, size: int) -> None:
+    """Takes n samples of one size, a byte each at least, from the bytes that are left to claim."""
+    left[0] -= n * max(size, 1)
+    if left[0] < 0:
+        raise ValueError("samples are longer than the file")
+
+
 def _header(view: memoryview, body: int) -> int:
     """Where the box begins whose body begins there: sizes of 64 bits have eight bytes more."""
     long = body >= 16 and bytes(view[body - 12 : body - 8]) == b"moof" and struct.unpack_from(">I", view, body - 16)[0] == 1
@@ -207,7 +216,7 @@ def _track_header(view: memoryview, a: int, b: int, found: list[dict], defaults:
     return out
 
 
-def _run(view: memoryview, a: int, b: int, fragment: dict, end: int) -> None:
+def _run(view: memoryview, a: int, b: int, fragment: dict, left: list[int]) -> None:
     """Adds a run of samples to its track: durations, sizes, keyframe flags and offsets."""
     flags, n = _fields(">II", view, a, b)
     flags &= 0xFFFFFF
@@ -220,8 +229,8 @@ def _run(view: memoryview, a: int, b: int, fragment: dict, end: int) -> None:
         (first,) = _fields(">I", view, at, b)
         at += 4
     fields = [k for k, bit in enumerate((0x100, 0x200, 0x400, 0x800)) if flags & bit]
-    if not fields and (n * max(fragment["values"][1], 1) > end):
-        raise ValueError("samples are longer than the file")
+    if not fields:
+        _claim(left, n, fragment["values"][1])
     x = _numbers(view, at, b, ">u4", n * len(fields)).reshape(n, len(fields)) if fields else np.zeros((n, 0), np.int64)
     column = lambda k: x[:, fields.index(k)] if k in fields else np.full(n, fragment["values"][k], np.int64)
     durations, sizes, own = column(0), column(1), column(2).copy()
@@ -251,8 +260,9 @@ def _located(t: dict, end: int) -> dict:
     offsets = np.repeat(chunks - sums[firsts], per) + sums[:-1]
     key = np.ones(len(sizes), bool) if "keys" not in t else np.isin(np.arange(len(sizes)), t["keys"])
     spent = int((t["stts"][:, 0] * t["stts"][:, 1]).sum()) if "stts" in t else t.get("duration", 0)
-    for more, lengths, keys, time in t["runs"]:
-        offsets, sizes, key, spent = np.append(offsets, more), np.append(sizes, lengths), np.append(key, keys), spent + time
+    if t["runs"]:
+        more, lengths, keys, times = zip(*t["runs"], strict=True)
+        offsets, sizes, key, spent = np.concatenate([offsets, *more]), np.concatenate([sizes, *lengths]), np.concatenate([key, *keys]), spent + sum(times)
     if len(sizes) and ((offsets < 0).any() or (offsets + sizes).max() > end):
         raise ValueError("a sample lies outside the file")
     return {"codec": t.get("codec"), "timescale": int(t.get("timescale", 0)), "duration": spent, "offsets": offsets, "sizes": sizes, "key": key}
