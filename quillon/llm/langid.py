@@ -86,14 +86,21 @@ class Model:
         return (x @ self.weights) / norms[:, None]
 
 
-def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", landmarks: int = LANDMARKS, most_rows: int = MOST_ROWS, ridge: float = RIDGE) -> Model | None:
-    """A model from docs' labelled rows; None where there are none."""
+def labelled_sample(docs: DataFrame, *, text: str = "text", label: str = "lang", most_rows: int = MOST_ROWS) -> DataFrame:
+    """(h, text, label): of each language at most `most_rows` distinct texts, those with the smallest hashes."""
     known = docs.where(F.col(label).isNotNull() & has_letter(F.col(text))).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(text).alias("h"))
-    # of each language the rows with the smallest hashes, below a bound from a sketch of them
-    share = F.least(F.lit(1.0), F.lit(float(most_rows)) / F.count("*"))
-    bounds = known.groupBy("label").agg(F.percentile_approx("h", F.array(*[F.lit(k / 1000) for k in range(1, 1001)]), 10000).alias("steps"), share.alias("share"))
-    bounds = bounds.select("label", F.element_at("steps", F.greatest(F.lit(1), F.ceil(F.col("share") * 1000).cast("int"))).alias("most"))
-    chosen = written(known.join(F.broadcast(bounds), "label").where("h <= most").groupBy("h").agg(F.min("text").alias("text"), F.min("label").alias("label")), "labelled")
+    # of each language the distinct texts with the smallest hashes: hashes are even over their range, so a bound from the number of
+    # distinct ones leaves somewhat more than most_rows, of which exactly that many are taken
+    share = (1.5 * most_rows + 64) / F.approx_count_distinct("h", 0.02)
+    bounds = known.groupBy("label").agg(F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit((1 << 63) - 1)).alias("most"))
+    near = known.join(F.broadcast(bounds), "label").where("h <= most").groupBy("h").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    return near.withColumn("place", place).where(F.col("place") <= most_rows).drop("place")
+
+
+def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", landmarks: int = LANDMARKS, most_rows: int = MOST_ROWS, ridge: float = RIDGE) -> Model | None:
+    """A model from docs' labelled rows, of each language at most `most_rows` distinct texts; None where there are none."""
+    chosen = written(labelled_sample(docs, text=text, label=label, most_rows=most_rows), "labelled")
     counts = {r[0]: r[1] for r in chosen.groupBy("label").count().collect()}
     if not counts:
         return None
