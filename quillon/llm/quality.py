@@ -138,16 +138,18 @@ def quality(docs: DataFrame, labels: DataFrame, pages: DataFrame, *, text: str =
     rows = rows.join(known.withColumn("fold", fold), "id", "left").join(sites(pages), "id", "left")
     name = F.concat(F.lit("source:"), F.coalesce(F.col(f"doc.`{source}`").cast("string"), F.lit("?")))
     section = F.concat(name, F.lit("/"), F.coalesce(F.col(f"doc.`{lang}`").cast("string"), F.lit("?")))
-    rows = written(rows.select("doc", "good", "fold", F.coalesce("host", name).alias("host"), F.coalesce("path", section).alias("path"), F.when(F.col("fold") == 0, F.col("half1")).when(F.col("fold") == 1, F.col("half0")).otherwise(F.col("both")).alias("evidence")), "evidence")
+    rows = written(rows.select("doc", "id", "good", "fold", F.coalesce("host", name).alias("host"), F.coalesce("path", section).alias("path"), F.when(F.col("fold") == 0, F.col("half1")).when(F.col("fold") == 1, F.col("half0")).otherwise(F.col("both")).alias("evidence")), "evidence")
     judged = rows.where("good is not null")
-    whole = judged.agg(F.count("*"), F.sum("good")).first()
+    # a document has one label in a site, however often its row repeats
+    votes = judged.select("host", "path", "id", "good").distinct()
+    whole = votes.agg(F.count("*"), F.sum("good")).first()
     n, good = whole[0], whole[1] or 0
     rate = (good + 1.0) / (n + 2.0)
-    paths = written(judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good")), "paths")
+    paths = written(votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good")), "paths")
     hosts = written(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good")), "hosts")
     for_host = _strength(hosts.select(F.col("host_n").alias("n"), F.col("host_good").alias("good")), rate)
     for_path = _strength(paths, rate)
-    crossed = judged.where("fold is not null")
+    crossed = judged.where("fold is not null").select("id", "good", "evidence").distinct()
     cuts = crossed.agg(F.percentile_approx("evidence", F.array(*[F.lit(i / BINS) for i in range(1, BINS)]), 2000)).first()[0] or []
     bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array(F.lit(0.0))
     bin_of = F.size(F.filter(bounds, lambda c: c < F.col("evidence")))
