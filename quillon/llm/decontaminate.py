@@ -29,6 +29,8 @@ from quillon.llm.tables import table, written
 WIDTH = 10
 #: Pairs of window and item of one broadcast: about 100 bytes each, words included.
 MOST_WINDOWS = 1_000_000
+#: A character of a word, in a text that is not lower-cased yet.
+A_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def _split(text: bytes) -> list[bytes]:
@@ -94,12 +96,49 @@ class _Set:
                         yield i, n, int(ids[k])
 
 
+def _hits(known: _Set, data: np.ndarray, offsets: np.ndarray) -> tuple:
+    """Of texts in one buffer: rows, starts and ends of their words, which words are hit, and the windows of each row that has any."""
+    part = tc.LOWER[data]
+    words, starts, ends, rows = tc.word_hashes(part, offsets, tc.NON_WORD)
+    raw = part.tobytes()
+    change = np.zeros(len(words) + 1, np.int64)
+    by_row: dict[int, set] = {}
+    spelled = lambda k, n: b" ".join(raw[s:e] for s, e in zip(starts[k : k + n].tolist(), ends[k : k + n].tolist(), strict=True)).decode("utf-8", "replace")
+    for k, n, w in known.find(words, rows, spelled):
+        change[k] += 1
+        change[k + n] -= 1
+        by_row.setdefault(int(rows[k]), set()).add(w)
+    return rows, starts, ends, np.cumsum(change[:-1]) > 0, by_row
+
+
+def _edges(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last words of the runs of hit words."""
+    edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+
+
+def _without(whole: bytes, firsts: np.ndarray, lasts: np.ndarray) -> bytes:
+    cuts = [0, *(x for s in zip(firsts.tolist(), lasts.tolist(), strict=True) for x in s), len(whole)]
+    return b"".join(whole[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True))
+
+
+def _settled(known: _Set, whole: bytes) -> bytes:
+    """What is left of a text once nothing in it is hit: cutting joins words, which can make a new window."""
+    while True:
+        _, starts, ends, hit, by_row = _hits(known, np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))
+        if not by_row:
+            return whole
+        first, last = _edges(hit)
+        whole = _without(whole, starts[first], ends[last])
+
+
 _STATE = "n_words long, hits binary, spans array<struct<first:bigint,last:bigint>>, items array<string>, rest string"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def _scan(docs: DataFrame, found: _Set, text: str) -> DataFrame:
-    """docs (doc: a row's columns; hits, items: of earlier scans, null at first) with what the set adds, spans of all hits, and the rest of a text that has any."""
+    """docs (doc: a row's columns; hits, items: of earlier scans, null at first) with what the set adds, spans of all hits, and the rest of a text that has any,
+    in which the set hits nothing."""
     shared = docs.sparkSession.sparkContext.broadcast(found)
     at_text = docs.schema["doc"].dataType.names.index(text)
 
@@ -110,17 +149,8 @@ def _scan(docs: DataFrame, found: _Set, text: str) -> DataFrame:
             before, listed = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             n_words, hits, spans, items, rest = [], [], [], [], []
             for i, j in tc.slices(offsets):
-                part, o = tc.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-                words, starts, ends, rows = tc.word_hashes(part, o, tc.NON_WORD)
-                raw = part.tobytes()
-                change = np.zeros(len(words) + 1, np.int64)
-                by_row: dict[int, set] = {}
-                spelled = lambda k, n: b" ".join(raw[s:e] for s, e in zip(starts[k : k + n].tolist(), ends[k : k + n].tolist(), strict=True)).decode("utf-8", "replace")  # noqa: E731, B023
-                for k, n, w in known.find(words, rows, spelled):
-                    change[k] += 1
-                    change[k + n] -= 1
-                    by_row.setdefault(int(rows[k]), set()).add(w)
-                hit = np.cumsum(change[:-1]) > 0
+                o = offsets[i : j + 1] - offsets[i]
+                rows, starts, ends, hit, by_row = _hits(known, data[offsets[i] : offsets[j]], o)
                 firsts = np.searchsorted(rows, np.arange(j - i + 1))
                 for r in range(j - i):
                     a, b = firsts[r], firsts[r + 1]
@@ -136,13 +166,12 @@ def _scan(docs: DataFrame, found: _Set, text: str) -> DataFrame:
                     if old is not None:
                         own = own | np.unpackbits(np.frombuffer(old, np.uint8), count=b - a).astype(bool)
                     hits.append(np.packbits(own).tobytes())
-                    edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
-                    first, last = np.flatnonzero(edge == 1) + a, np.flatnonzero(edge == -1) + a - 1
-                    spans.append([{"first": int(s - o[r]), "last": int(e - o[r])} for s, e in zip(starts[first], ends[last], strict=True)])
+                    first, last = _edges(own)
+                    begin, end = starts[first + a] - o[r], ends[last + a] - o[r]
+                    spans.append([{"first": s, "last": e} for s, e in zip(begin.tolist(), end.tolist(), strict=True)])
                     items.append(sorted({x for w in by_row.get(r, ()) for x in known.items[w] if x is not None}.union(listed[i + r] or ())))
-                    whole = data[offsets[i + r] : offsets[i + r + 1]].tobytes()
-                    cuts = [0, *(x for s in spans[-1] for x in (s["first"], s["last"])), len(whole)]
-                    rest.append(b"".join(whole[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)).decode("utf-8", "replace"))
+                    left = _without(data[offsets[i + r] : offsets[i + r + 1]].tobytes(), begin, end)
+                    rest.append(_settled(known, left).decode("utf-8", "replace"))
             arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(rest, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_words", "hits", "spans", "items", "rest"])
 
@@ -150,10 +179,11 @@ def _scan(docs: DataFrame, found: _Set, text: str) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", width: int = WIDTH, most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """docs' columns under `doc`, with n_words, n_hit, spans (bytes of hit words), items (sorted) and rest, the text without the spans, null where there are none."""
+    """docs' columns under `doc`, with n_words, n_hit, spans (bytes of hit words), items (sorted) and rest, the text without the
+    spans, and without what is hit in it again, by windows of the last block where they go in several; null where there are no spans."""
     windows = benchmark_windows(benchmark, width=width)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    blocks = max(1, -(-windows.count() // most_windows))
+    blocks = _n_blocks(windows, most_windows)
     if blocks > 1:
         windows = written(windows, "windows")
     for b in range(blocks):
@@ -175,11 +205,24 @@ def _n_bits(column: str):
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """docs without their hit spans; a document of which no word is left goes."""
-    d = contamination(docs, benchmark, text=text, **options)
-    left = F.when(F.col("n_hit") > 0, F.col("rest")).otherwise(F.col(f"doc.`{text}`"))
-    kept = d.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words")))
-    return kept.select(*[left.alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns])
+    """docs without their hit spans, until no window is left; a document of which no word is left goes.
+
+    Windows in one block settle a text where it is scanned; several blocks take turns over the written rows until none hits anything.
+    """
+    blocks = _n_blocks(benchmark_windows(benchmark, width=options.get("width", WIDTH)), options.get("most_windows", MOST_WINDOWS))
+    while True:
+        d = contamination(docs, benchmark, text=text, **options)
+        if blocks > 1:
+            d = written(d, "hit")
+        left = F.when(F.col("n_hit") > 0, F.col("rest")).otherwise(F.col(f"doc.`{text}`"))
+        kept = d.where((F.col("n_hit") == 0) | F.col("rest").rlike(A_WORD))
+        docs = kept.select(*[left.alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns])
+        if blocks == 1 or d.where("n_hit > 0").isEmpty():
+            return docs
+
+
+def _n_blocks(windows: DataFrame, most_windows: int) -> int:
+    return max(1, -(-windows.count() // most_windows))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
