@@ -1,7 +1,7 @@
 """Chunks of documents that ask about keys, and parts of the key space that answer.
 
 Finding repeats needs every window of a corpus to meet its equals, but a row per window is far
-more than the corpus itself. Here documents are dealt to chunks of some MB by a hash of id and text.
+more than the corpus itself. Here documents are dealt to chunks of some MB by a hash of the whole row.
 A task sees a whole chunk, forms its keys and removes repeats, which also settles the repeats
 within the chunk, so that no key, however frequent, is sent more than once by a chunk. The keys
 go, packed as binary, to the parts that own them; a part sees all chunks' keys of its range and
@@ -14,7 +14,9 @@ tells which keys no other chunk has. Only what passes is sent whole and compared
 fingerprint that two keys share costs a little and changes nothing.
 
 Neither ids nor their order matter for the dealing: null, equal or outlying ids do not fill a
-chunk. Chunks and parts grow with the input once there are MOST of them, up to 16 times their first size.
+chunk, and rows that repeat as a whole are dealt apart by the partition that they come from and by their number
+among its equal rows. Neither depends on the order of a partition's rows, so a task that is run
+again deals the same way (a map or variant is not part of what makes rows equal). Chunks and parts grow with the input once there are MOST of them, up to 16 times their first size.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,19 +57,36 @@ def chunked(docs: DataFrame, *, text: str, doc_id: str, chunk_bytes: int = CHUNK
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
     n_chunks = max(1, ceil(total / grown(chunk_bytes, total)))
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID))
-    chunk = F.pmod(F.xxhash64(ident, F.col(f"`{text}`")), F.lit(n_chunks)).cast("long")
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not _has_map(f.dataType)])
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
-    rows = docs.select(chunk.alias("chunk"), ident.alias("ident"), F.col(f"`{text}`").cast("binary").alias("body"), doc.alias("doc"))
+    rows = docs.select(whole.alias("chunk"), ident.alias("ident"), F.col(f"`{text}`").cast("binary").alias("body"), doc.alias("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
+        seen: dict[int, int] = {}
+        here = TaskContext.get().partitionId()
         for batch in batches:
             packed = [None if x is None else z.compress(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), batch.column(3)], ["chunk", "ident", "body", "doc"])
+            dealt = _dealt(batch.column(0).to_numpy(), seen, here, n_chunks)
+            yield pa.RecordBatch.from_arrays([pa.array(dealt), batch.column(1), pa.array(packed, pa.binary()), batch.column(3)], ["chunk", "ident", "body", "doc"])
 
     return rows.mapInArrow(tc.tidied_batches(run), rows.schema), max(1, ceil(total / grown(part_bytes, total)))
 
 
+def _has_map(kind: T.DataType) -> bool:
+    """Types of which Spark takes no hashes."""
+    return any(x in kind.simpleString() for x in ("map<", "variant"))
+
+
+def _dealt(hashes: np.ndarray, seen: dict[int, int], partition: int, n_chunks: int) -> np.ndarray:
+    """Chunk numbers of rows, from their hashes, the partition and how many equal rows of it came before (`seen`, updated)."""
+    nth = np.empty(len(hashes), np.uint64)
+    for i, h in enumerate(hashes.tolist()):
+        nth[i] = seen[h] = seen.get(h, -1) + 1
+    mixed = tc.mix(tc.mix(hashes.view(np.uint64) + np.uint64(partition)) + nth)
+    return (mixed % np.uint64(n_chunks)).astype(np.int64)
+
+
 def texts(rows: pa.Table, gap: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, row offsets, validity) of a chunk's bodies, each followed by `gap`; null rows are empty."""
     z = zstandard.ZstdDecompressor()
@@ -163,5 +183,7 @@ def passed(keys: np.ndarray, bits: dict[int, bytes]) -> np.ndarray:
     """Those of a chunk's distinct ascending screen keys that another chunk has."""
     out = np.zeros(len(keys), bool)
     for p, a, b in pieces((keys >> _HALF).astype(np.int32)):
+        if len(bits[p]) != (b - a + 7) // 8:
+            raise ValueError("a chunk has other keys than those that it asked about")
         out[a:b] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=b - a)
     return out

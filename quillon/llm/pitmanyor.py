@@ -278,6 +278,8 @@ def score(docs: DataFrame, train: str, *, text: str = "text", doc_id: str = "doc
     """doc (all columns but the text), n_tokens, n_known, train_tokens, base_score and score, learning from rows whose column `train` is true."""
     at_train = [c for c in docs.columns if c != text].index(train)
     chunks, n_parts = ex.chunked(docs, text=text, doc_id=doc_id)
+    # several jobs read the chunks, so what is in which must be settled
+    chunks = written(chunks, "chunks")
     by_chunk = chunks.groupBy("chunk")
 
     def chunk(rows: pa.Table) -> _Chunk:
