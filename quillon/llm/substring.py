@@ -7,7 +7,7 @@ words are `[^\x20\x09-\x0D]+`. Three steps, all over chunks of documents and par
 2. The partition: a suffix belongs to the group of its prefix, and prefixes are of variable length, the
    fewest words that leave a group small enough for memory. Sizes are measured on documents picked by hash
    (they steer only where suffixes meet, never which); a prefix over the bound is
-   lengthened word by word. Small groups share a part.
+   lengthened word by word (the MOST_HOT most frequent ones, if there are more). Small groups share a part.
 3. The subtrees: a part has its suffixes' words whole. Its trees grow from the roots by digit
    passes (radix.tied): a pass splits each node by its next bytes, and leaves that are alone drop out. What is
    still together after `width` words is a deep internal node. A node with leaves of two documents is a repeat;
@@ -43,6 +43,10 @@ WIDTH = 13
 PIPELINE_WIDTH = 50
 #: Bytes of text on which sizes of prefix groups are measured, about; fewer only if there are no more.
 MEASURED = 64 << 20
+#: Suffixes that a group too large for a part shows at least among the measured ones.
+LEAST_SEEN = 64
+#: Prefixes that are lengthened at most: 2 MB of hashes in a task. The groups of others stay as they are, whole.
+MOST_HOT = 1 << 18
 #: Bytes of a suffix's word, about.
 WORD_BYTES = 7
 
@@ -69,12 +73,16 @@ def _prefixes(words: np.ndarray, at: np.ndarray, width: int) -> Iterator[np.ndar
         yield h
 
 
-def hot_prefixes(docs: DataFrame, *, text: str, doc_id: str, width: int, group_bytes: int, measured: int = MEASURED) -> np.ndarray:
-    """Prefixes whose groups would exceed group_bytes, ascending. There are at most `width` times as many as such groups fit into the input."""
+def hot_prefixes(docs: DataFrame, *, text: str, doc_id: str, width: int, group_bytes: int, measured: int = MEASURED, most: int = MOST_HOT) -> np.ndarray:
+    """Prefixes whose groups would exceed group_bytes (grown with the input as parts are), ascending; of more than `most` the most frequent ones.
+
+    One document of `share` is measured: about `measured` bytes in all, more where a group of that size would
+    show fewer than LEAST_SEEN suffixes among them, so that what counts as large does not depend on the input's size."""
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
-    share = max(1, total // measured)
+    in_group = ex.grown(group_bytes, total) / (WORD_BYTES * width)
+    share = max(1, min(total // measured, int(in_group / LEAST_SEEN)))
     picked = docs.where(F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.lit(11)), F.lit(share)) == 0).select(F.col(f"`{text}`").alias("t"))
-    least = group_bytes / (WORD_BYTES * width) / share
+    least = in_group / share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +99,7 @@ def hot_prefixes(docs: DataFrame, *, text: str, doc_id: str, width: int, group_b
                     yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["h", "n"])
 
     counts = picked.mapInArrow(tc.tidied_batches(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") > least).select("h").collect()
+    found = counts.where(F.col("n") > least).orderBy(F.desc("n"), "h").limit(most).select("h").collect()
     return np.sort(np.array([r.h for r in found], np.int64).view(np.uint64))
 
 
