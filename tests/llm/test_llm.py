@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import components, decontaminate, langid, licenses, media, minhash, mixing, pitmanyor, quality, queries, radix, substring, suffixes
+from quillon.llm import components, decontaminate, exchange, langid, licenses, media, minhash, mixing, pitmanyor, quality, queries, radix, substring, suffixes
 from quillon.llm import textcols as tc
 from tests.compare import assert_same, connection
 
@@ -591,6 +591,44 @@ def test_hot_prefixes_are_lengthened(spark):
     assert substring._lengthened(np.append(w, w), np.array([0]), 5, hot)[0] not in hot
 
 
+def test_prefixes_are_measured_alike_at_every_size(spark):
+    rng = random.Random(8)
+    d = spark.createDataFrame([(i, words(rng, 200, 300)) for i in range(600)], "doc_id long, text string")
+    of = lambda measured, **more: substring.hot_prefixes(d, text="text", doc_id="doc_id", width=5, group_bytes=5 * 7 * 130, measured=measured, **more)
+    # a small measured share, which would make a prefix large that is seen once, does not: 64 suffixes are seen at least
+    few, all_of = of(2000), of(1 << 30)
+    assert len(all_of) >= 300 and set(few.tolist()) <= set(of(1 << 20).tolist()) | set(all_of.tolist()) and len(few) < 2 * len(all_of)
+    assert len(of(1 << 30, most=7)) == 7 and set(of(1 << 30, most=7).tolist()) <= set(all_of.tolist())
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    rng = random.Random(9)
+    rows = [(None, "the same text in every one of these rows")] * 10_000 + [(i, words(rng, 8)) for i in range(10_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    chunks, _ = exchange.chunked(d, text="text", doc_id="doc_id", chunk_bytes=6000, part_bytes=6000)
+    sizes = [r[1] for r in chunks.groupBy("chunk").count().collect()]
+    assert len(sizes) > 100 and sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / len(sizes)
+    # what is dealt does not depend on the order of a partition's rows
+    h = np.array([5, 7, 5, 5, 9], np.int64)
+    one, other = exchange._dealt(h, {}, 3, 1000), exchange._dealt(h[::-1].copy(), {}, 3, 1000)
+    assert sorted(zip(h.tolist(), one.tolist())) == sorted(zip(h[::-1].tolist(), other.tolist())) and len(set(one.tolist())) == 5
+
+
+def test_repeated_rows_in_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(exchange.chunked, "__kwdefaults__", {"chunk_bytes": 500, "part_bytes": 1000})
+    rng = random.Random(10)
+    passage = words(rng, 30)
+    rows = [(None, passage)] * 40 + [(3, passage + " end")] * 40 + [(4, words(rng, 50))] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r.i, r.n_words, r.n_removed) for r in substring.remove_repeats(d).selectExpr("doc.doc_id as i", "n_words", "n_removed").collect())
+    assert got == {(None, 30, 30): 40, (3, 31, 0): 40, (4, 50, 0): 3}
+    texts = [t for _, t in rows]
+    found = Counter((r.n_bytes, r.n_removed) for r in suffixes.repeated_bytes(d, width=60, gram=16).select("n_bytes", "n_removed").collect())
+    assert found == Counter(x[:2] for x in suffixes.brute_force(texts, 60))
+    scored = {(r.i, r.n_tokens, r.train_tokens) for r in pitmanyor.score(d.withColumn("train", F.lit(True)), "train").selectExpr("doc.doc_id as i", "n_tokens", "train_tokens").collect()}
+    assert scored == {(i, n, 40 * 31 + 40 * 32 + 3 * 51) for i, n in ((None, 31), (3, 32), (4, 51))}
+
+
 # 8 Language-model scores
 
 
