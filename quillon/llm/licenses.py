@@ -2,15 +2,17 @@
 
 A block is the run of text around a cue word (license, copyright, ...): the line it stands in, cut at
 sentence ends when the line is long; blocks that meet are one, and a block grows to a notice that
-runs over its edges. Each license has several wordings. The words around a block are compressed with zstandard
-once alone and once with each wording as raw dictionary; a wording that the text quotes makes it
-shrink. Those that save enough of their own size are confirmed by wording: the wording's words are
+runs over its edges. Each license has several wordings. Windows of the words around a block are compressed with zstandard
+once alone and once with each wording as raw dictionary; a wording that the text quotes makes them
+shrink. Wordings are ranked by the bytes that they save, and confirmed from the top: the wording's words are
 aligned with the text's, and the words that differ are counted. None of them may be a distinctive
-word, such as Affero or a version. Wordings below LEAST_BYTES, which are little more than distinctive words, are too short to
-compress and go to the alignment at once.
+word, such as Affero or a version. The first wording of a license that is confirmed names it, and the license's others are not looked at.
+
+Windows hold a wording's rarest word of the block (each place of it) and as many words on both sides as the wording
+has, so that a short name is as large a part of its window as a full text is.
 
 Defined results: null and empty texts have no blocks; a block has one row for each license confirmed
-in it, by its wording with the most equal words; a block that no wording explains is counted and left unnamed;
+in it, by its wording that saves the most bytes; a block that no wording explains is counted and left unnamed;
 Proprietary is the notice that all rights are reserved, wherever it stands; repeated rows repeat; long
 texts are scanned whole; an input column with the result's name is replaced; an empty table gives an empty result.
 """
@@ -93,9 +95,12 @@ SENTENCE = re.compile(rb"[.!?:;]\s")
 REACH = 400
 #: Bytes on each side of a block that are looked at for notices that run over its edges; more than the longest wording.
 AROUND = 3000
-#: A wording must save at least this share of its own compressed size, unless it has too few bytes to compress.
+#: A wording must save at least this share of what it saves of itself, less the bytes that one match may cost. Names that
+#: save no more of themselves than that are ranked last rather than left out, as zstandard cannot tell.
 LEAST_SAVED = 0.2
-LEAST_BYTES = 40
+MATCH_COST = 4
+#: Raw dictionaries are as long as this at least: a wording is repeated until it is.
+DICTIONARY = 64
 #: Share of a wording's words that may differ, one at least; those below SHORT words must be there in full.
 MOST_DIFFERENT = 0.1
 SHORT = 5
@@ -160,30 +165,43 @@ def _distinctive(words: list[str]) -> list[str]:
     return [w for w in words if w in DISTINCTIVE or any(c.isdigit() for c in w)]
 
 
+def _compressor(dictionary: zstandard.ZstdCompressionDict | None = None) -> zstandard.ZstdCompressor:
+    """Short matches count, and equal texts have equal sizes whatever the machine."""
+    how = zstandard.ZstdCompressionParameters(window_log=15, chain_log=13, hash_log=12, search_log=4, min_match=3, target_length=32, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False)
+    return zstandard.ZstdCompressor(compression_params=how, dict_data=dictionary)
+
+
+def _padded(words: list[str]) -> bytes:
+    return f" {' '.join(words)} ".encode()
+
+
 class _Wording:
     def __init__(self, license: str, text: str, plain: zstandard.ZstdCompressor):
         self.license, self.words = license, words_of(text)
         self.distinct, self.keys = frozenset(self.words), _distinctive(self.words)
         self.most = 0 if len(self.words) < SHORT else max(1, int(MOST_DIFFERENT * len(self.words)))
-        own = " ".join(self.words).encode()
-        self.compressible = len(own) >= LEAST_BYTES
-        self.size = len(plain.compress(own))
-        d = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=3)
-        self.given = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False)
-
-    def saved(self, words: list[str], plain: zstandard.ZstdCompressor) -> float:
-        """Most bytes that the wording saves in a window of the words, as a share of its own compressed size."""
-        width, best = max(2 * (len(self.words) + self.most), 60), 0.0
-        for i in range(0, max(len(words) - width // 2, 1), width // 2):
-            window = " ".join(words[i : i + width]).encode()
-            best = max(best, (len(plain.compress(window)) - len(self.given.compress(window))) / self.size)
+        own = _padded(self.words)
+        self.given = _compressor(zstandard.ZstdCompressionDict(own * -(-DICTIONARY // len(own)), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        self.size = max(len(plain.compress(own)) - len(self.given.compress(own)), 1)
+        self.least = LEAST_SAVED * self.size - MATCH_COST
+
+    def saved(self, words: list[str], places: dict[str, list[int]], first: int, end: int, plain: zstandard.ZstdCompressor) -> int:
+        """Most bytes that the wording saves in a window that it may share with the words from first to end; places: where each word stands."""
+        # a window that quotes the wording has all but `most` of its words, so one of any `most` + 1
+        rare = sorted(self.distinct, key=lambda w: (len(places.get(w, ())), w))[: self.most + 1]
+        reach, best, last = len(self.words) + self.most, 0, -1
+        for k in sorted({k for w in rare for k in places.get(w, ())}):
+            if not first - reach <= k < end + reach or (last >= 0 and k - last < reach // 2):
+                continue
+            last = k
+            window = _padded(words[max(k - reach, 0) : k + reach + 1])
+            best = max(best, len(plain.compress(window)) - len(self.given.compress(window)))
         return best
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str | Iterable[str]]):
-        self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
+        self.plain = _compressor()
         self.wordings = [_Wording(name, text, self.plain) for name, texts in sorted(templates.items()) for text in ((texts,) if isinstance(texts, str) else texts)]
         self.wordings = [w for w in self.wordings if w.words]
 
@@ -220,21 +238,21 @@ class Scanner:
             first, end = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(firsts, b, "left"))
             number = {w: i for i, w in enumerate(dict.fromkeys(words))}
             ids = np.array([number[w] for w in words], np.int64)
+            places: dict[str, list[int]] = {}
+            for k, x in enumerate(words):
+                places.setdefault(x, []).append(k)
             named: dict[str, tuple[int, int, float]] = {}
-            for w in self.wordings:
-                if sum(x not in number for x in w.distinct) > w.most:
-                    continue
-                near = words[max(first - len(w.words) - w.most, 0) : end + len(w.words) + w.most]
-                saved = w.saved(near, self.plain)
-                if w.compressible and saved < LEAST_SAVED:
+            ranked = sorted(((-w.saved(words, places, first, end, self.plain), -len(w.words), n) for n, w in enumerate(self.wordings) if sum(x not in number for x in w.distinct) <= w.most))
+            for saved, _, n in ranked:
+                w = self.wordings[n]
+                if -saved < w.least or w.license in named:
                     continue
                 hit = self._confirmed(w, words, ids, number, first, end)
                 if hit:
                     d, i, j = hit
                     a, b = min(a, int(firsts[i])), max(b, int(ends[j - 1]))
-                    better = (d - len(w.words), d, saved)
-                    named[w.license] = min(named.get(w.license, better), better)
-            best = 0.0 if named else max(w.saved(words[first:end], self.plain) for w in self.wordings)
+                    named[w.license] = (saved, d, -saved / w.size)
+            best = 0.0 if named else max((-s / self.wordings[n].size for s, _, n in ranked), default=0.0)
             while found and a < found[-1][1]:
                 a0, b0, more, s = found.pop()
                 a, b, best = min(a, a0), max(b, b0), max(best, s)
@@ -253,7 +271,7 @@ _FOUND = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lice
 
 
 def scan(docs: DataFrame, *, text: str = "text", templates: dict[str, str | Iterable[str]] | None = None, out: str = "licenses") -> DataFrame:
-    """docs with an array of their blocks' licenses: the block's byte span, license or null, share of the wording's size saved, words that differ."""
+    """docs with an array of their blocks' licenses: the block's byte span, license or null, bytes saved as a share of what the wording saves of itself, words that differ."""
     known = {name: (text, *WORDINGS[name]) for name, text in TEMPLATES.items()} if templates is None else dict(templates)
     at = docs.columns.index(text)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
