@@ -21,6 +21,8 @@ from quillon.sources.storage import written
 LARGEST = 1_000_000
 #: Cuts of one group, and buckets of each axis of a rank correlation, at most.
 MOST_CUTS = 2048
+#: Groups up to which a table of one row per group is handed to every task.
+FEW_GROUPS = 10_000
 
 
 def _cut(df: DataFrame, order: str, by: list[str], largest: int) -> DataFrame | None:
@@ -52,10 +54,10 @@ def value_counts(df: DataFrame, column: str, by: Sequence[str] = (), sums: Seque
 
 
 def quantile_edges(counts: DataFrame, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by, total, edges): quantiles by linear interpolation of value_counts, ascending and without repeats."""
+    """(by, total, edges): quantiles by linear interpolation of value_counts, ascending and without repeats; written, as they are read often."""
     by = list(by)
     ranked = prefix_sum(counts.select(*by, "x", "n"), "x", ["n"], by)
-    d = joined_by(ranked, counts.groupBy(*by).agg(F.sum("n").alias("total")), by)
+    d = joined_by(ranked, written(counts.groupBy(*by).agg(F.sum("n").alias("total")), "totals"), by)
     found = []
     for i, q in enumerate(probabilities):
         at = F.lit(float(q)) * (F.col("total") - 1)
@@ -63,7 +65,7 @@ def quantile_edges(counts: DataFrame, probabilities: Sequence[float], by: Sequen
         found += [low.alias(f"low{i}"), high.alias(f"high{i}"), F.first(at - F.floor(at)).alias(f"part{i}")]
     e = d.groupBy(*by).agg(F.first("total").alias("total"), *found)
     edges = F.array(*[F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * F.col(f"part{i}") for i in range(len(probabilities))])
-    return e.select(*by, "total", F.array_sort(F.array_distinct(edges)).alias("edges"))
+    return written(e.select(*by, "total", F.array_sort(F.array_distinct(edges)).alias("edges")), "edges")
 
 
 def steps(n_bins: int) -> list[float]:
@@ -86,8 +88,13 @@ def bin_left_closed(x: Column, edges: Column) -> Column:
 
 
 def joined_by(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """df with the columns of one row per group; of one row in all where there are no groups. Only that one is broadcast whatever its size."""
-    return df.join(small, list(by)) if by else df.join(F.broadcast(small))
+    """df with the columns of one row per group, a written table; of one row in all where there are no groups.
+
+    A shuffle by few groups would put the rows of each in one task, so up to FEW_GROUPS rows are broadcast; more groups are dealt out by key.
+    """
+    if not by:
+        return df.join(F.broadcast(small))
+    return df.join(F.broadcast(small) if small.count() <= FEW_GROUPS else small, list(by))
 
 
 def qcut(df: DataFrame, column: str, n_bins: int, by: Sequence[str] = (), out: str = "bin") -> DataFrame:

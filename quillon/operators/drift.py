@@ -68,7 +68,7 @@ def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: Sequence
     keys = [*by, "feature"]
     counts = _counts(ref, cur, features, by) if counts is None else counts
     edges = _reference_edges(counts, by, n_bins)
-    d = counts.join(edges.select(*keys, "edges"), keys).withColumn("bin", r.bin_left_closed(F.col("x"), F.col("edges")))
+    d = r.joined_by(counts, edges.select(*keys, "edges"), keys).withColumn("bin", r.bin_left_closed(F.col("x"), F.col("edges")))
     bins = d.where("bin is not null").groupBy(*keys, "bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"), F.max(F.size("edges")).alias("n_edges"))
     spine = edges.where("size(edges) > 1").select(*keys, F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
     full = spine.join(bins, [*keys, "bin"], "left").fillna(0, ["n_ref", "n_cur"])
@@ -88,7 +88,7 @@ def csi(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, n_bins: int
     features = [f for f in features if f in numeric(ref) & numeric(cur)]
     counts = _counts(ref, cur, features, [])
     edges = _reference_edges(counts, [], n_bins)
-    d = counts.join(edges.select("feature", "edges"), "feature").withColumn("bin", F.size(F.filter(r.interior(F.col("edges")), lambda e: e <= F.col("x"))))
+    d = r.joined_by(counts, edges.select("feature", "edges"), ["feature"]).withColumn("bin", F.size(F.filter(r.interior(F.col("edges")), lambda e: e <= F.col("x"))))
     bins = d.groupBy("feature", "bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     spine = edges.select("feature", F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
     full = spine.join(bins, ["feature", "bin"], "left").fillna(0, ["n_ref", "n_cur"])
@@ -108,7 +108,7 @@ def ks(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: Sequence[
     counts = _counts(ref, cur, features, by) if counts is None else counts
     run = r.prefix_sum(counts, "x", ["n_ref", "n_cur"], keys)
     sizes = counts.groupBy(*keys).agg(F.sum("n_ref").alias("ref"), F.sum("n_cur").alias("cur"))
-    d = run.join(sizes, keys).groupBy(*keys).agg(F.max(F.abs(_share("cum_n_ref", "ref") - _share("cum_n_cur", "cur"))).alias("d"), F.first("ref").alias("ref"), F.first("cur").alias("cur"))
+    d = r.joined_by(run, written(sizes, "sizes"), keys).groupBy(*keys).agg(F.max(F.abs(_share("cum_n_ref", "ref") - _share("cum_n_cur", "cur"))).alias("d"), F.first("ref").alias("ref"), F.first("cur").alias("cur"))
     p = kolmogorov_sf(F.col("d") * F.sqrt(F.coalesce(F.try_divide(F.col("ref") * F.col("cur"), F.col("ref") + F.col("cur")), F.lit(0.0))))
     enough = (F.col("ref") >= LEAST_ROWS) & (F.col("cur") >= LEAST_ROWS)
     out = d.withColumn("p", F.when(enough, p).otherwise(1.0))
@@ -120,7 +120,7 @@ def ks_distance(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> Data
     counts = _counts(ref, cur, features, [])
     run = r.prefix_sum(counts, "x", ["n_ref", "n_cur"], ["feature"])
     sizes = counts.groupBy("feature").agg(F.sum("n_ref").alias("ref"), F.sum("n_cur").alias("cur"))
-    return run.join(sizes, "feature").groupBy("feature").agg(F.max(F.abs(_share("cum_n_ref", "ref") - _share("cum_n_cur", "cur"))).alias("d"))
+    return r.joined_by(run, written(sizes, "sizes"), ["feature"]).groupBy("feature").agg(F.max(F.abs(_share("cum_n_ref", "ref") - _share("cum_n_cur", "cur"))).alias("d"))
 
 
 def js(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: Sequence[str] = (), n_bins: int = JS_BINS, threshold: float = JS, counts: DataFrame | None = None) -> DataFrame:
@@ -128,10 +128,10 @@ def js(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: Sequence[
     by = list(by)
     keys = [*by, "feature"]
     counts = _counts(ref, cur, features, by) if counts is None else counts
-    ranges = counts.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n_ref").alias("ref"), F.sum("n_cur").alias("cur"))
+    ranges = written(counts.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n_ref").alias("ref"), F.sum("n_cur").alias("cur")), "ranges")
     width = (F.col("hi") - F.col("lo")) / n_bins
     bin_of = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(n_bins - 1))).otherwise(F.lit(n_bins // 2)).cast("int")
-    d = counts.join(ranges, keys).groupBy(*keys, bin_of.alias("bin")).agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    d = r.joined_by(counts, ranges, keys).groupBy(*keys, bin_of.alias("bin")).agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     spine = ranges.select(*keys, "ref", "cur", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     full = spine.join(d, [*keys, "bin"], "left").fillna(0, ["n_ref", "n_cur"])
     p, q = (F.col("n_ref") + 1e-9) / (F.col("ref") + n_bins * 1e-9), (F.col("n_cur") + 1e-9) / (F.col("cur") + n_bins * 1e-9)

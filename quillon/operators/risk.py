@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillon.functions import ranks as r
 from quillon.functions.economics import uniform
 from quillon.functions.special import chi2_sf
+from quillon.sources.storage import written
 
 ZERO_COUNT = 0.5
 FLOOR = 1e-9
@@ -39,7 +40,7 @@ def woe_bins(df: DataFrame, features: Sequence[str], target: str, n_bins: int =
     counts = r.value_counts(long, "x", ["feature"], [F.sum("y").alias("events")])
     edges = r.quantile_edges(counts, r.steps(n_bins), ["feature"]).select("feature", "edges")
     distinct = counts.groupBy("feature").agg(F.count("*").alias("n_values"))
-    d = counts.join(edges.join(distinct, "feature"), "feature")
+    d = r.joined_by(counts, written(edges.join(distinct, "feature"), "edges"), ["feature"])
     few = F.col("n_values") <= n_bins
     d = d.withColumn("bin", F.when(few, F.lit(None)).otherwise(r.bin_right_closed(F.col("x"), F.col("edges")))).withColumn("own", F.when(few, F.col("x")))
     b = d.groupBy("feature", "bin", "own").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("n"), F.sum("events").alias("events"))
@@ -114,7 +115,9 @@ def calibration_summary(df: DataFrame, y: str, p: str, by: Sequence[str] = (), n
     bins = calibration_bins(df, y, p, by, n_bins)
     ece = bins.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("event_rate"))) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
     whole = df.groupBy(*by).agg(F.avg(F.pow(F.col(y) - F.col(p), 2)).alias("brier"), F.avg(p).alias("mean_score"), F.avg(y).alias("event_rate"))
-    out = r.joined_by(r.joined_by(whole, ece, by), hosmer_lemeshow(bins, by, n_bins), by)
+    # one row per group on either side
+    one = lambda d, small: d.join(small, list(by)) if by else d.join(F.broadcast(small))
+    out = one(one(whole, ece), hosmer_lemeshow(bins, by, n_bins))
     return out.where(F.col("n") >= n_bins)
 
 
@@ -134,7 +137,7 @@ def ks(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     counts = r.value_counts(df, p, by, [F.sum(y).alias("events")]).withColumn("others", F.col("n") - F.col("events"))
     d = r.prefix_sum(counts, "x", ["events", "others"], by)
     totals = counts.groupBy(*by).agg(F.sum("events").alias("_e"), F.sum("others").alias("_o"))
-    d = r.joined_by(d, totals, by)
+    d = r.joined_by(d, written(totals, "totals"), by)
     gap = F.abs(F.col("cum_events") / F.col("_e") - F.col("cum_others") / F.col("_o"))
     d = d.withColumn("gap", F.round(gap, 12))
     return d.groupBy(*by).agg(F.max("gap").alias("ks"), F.max_by(-F.col("x"), F.struct("gap", -F.col("x"))).alias("_t")).withColumn("threshold", -F.col("_t")).drop("_t")
