@@ -136,12 +136,16 @@ def stream_decision_outcomes(spark, sf_dir):
     return rounded(_run(spark, joined.select("decision_id", "action", "reward"), "stream-join"), 4)
 
 
-def _sliced(spark, slices):
-    """A stream that gets the frames one after the other, one a batch."""
+def _sliced(spark, slices, start):
+    """Runs a stream that gets the frames one after the other, one a batch; start(stream) starts it with a checkpoint of its own.
+
+    A slice has as many files as tasks wrote it: each is added once the stream is through with the one before,
+    and the stream, started again, takes all files that are new.
+    """
     path = storage.shared_path(spark, "slices")
     for d in slices:
-        d.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+        d.write.mode("append").parquet(path)
+        start(spark.readStream.schema(d.schema).parquet(path)).awaitTermination()
 
 
 LATE = "event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-05'"
@@ -153,8 +157,10 @@ def stream_late_events(spark, sf_dir):
     e = a.table(spark, sf_dir, "events")
     late = F.expr(LATE.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
     last = F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")
-    stream = a.events_as_transactions(_sliced(spark, [e.where(~late & ~last), e.where(last), e.where(late)]))
-    return rounded(_plain(_run(spark, views.view_5m(live.watermarked(stream)), "stream-late")))
+    path, mark = storage.shared_path(spark, "stream-late"), storage.shared_path(spark, "stream-late-checkpoint")
+    view = lambda stream: views.view_5m(live.watermarked(a.events_as_transactions(stream)))
+    _sliced(spark, [e.where(~late & ~last), e.where(last), e.where(late)], lambda stream: live.start(view(stream), path, mark))
+    return rounded(_plain(spark.read.schema(view(e).schema).parquet(path)))
 
 
 STREAM_WATCHED = ["amount", "mcc"]
@@ -166,9 +172,9 @@ def stream_drift_monitor(spark, sf_dir):
     tx = a.transactions(spark, sf_dir).select("event_id", "event_time", *STREAM_WATCHED)
     cut = lambda x: F.lit(x).cast("timestamp_ntz")
     at = F.col("event_time")
-    stream = _sliced(spark, [tx.where(at < cut("2024-01-10")), tx.where((at >= cut("2024-01-10")) & (at < cut("2024-01-20"))), tx.where(at >= cut("2024-01-20"))])
-    path = storage.shared_path(spark, "drift-monitor")
-    live.start_drift_monitor(stream, STREAM_WATCHED, ["event_time", "event_id"], path, storage.shared_path(spark, "drift-checkpoint")).awaitTermination()
+    slices = [tx.where(at < cut("2024-01-10")), tx.where((at >= cut("2024-01-10")) & (at < cut("2024-01-20"))), tx.where(at >= cut("2024-01-20"))]
+    path, mark = storage.shared_path(spark, "drift-monitor"), storage.shared_path(spark, "drift-checkpoint")
+    _sliced(spark, slices, lambda stream: live.start_drift_monitor(stream, STREAM_WATCHED, ["event_time", "event_id"], path, mark))
     return rounded(spark.read.parquet(f"{path}/events").drop("batch"), 5)
 
 
@@ -188,9 +194,8 @@ def _fairness_report(d):
 def stream_fairness_monitor(spark, sf_dir):
     """The report on the 5000 newest decisions with outcomes, after a stream's last batch."""
     d = a.decisions(spark, sf_dir).select("decision_id", "segment_id", (F.col("reward") > 5000).cast("int").alias("y"), F.col("fraud_score").alias("p"), F.col("mu_new").alias("score"), "ts")
-    stream = _sliced(spark, [d.where(F.col("decision_id") % 3 == k) for k in range(3)])
-    path = storage.shared_path(spark, "fairness-monitor")
-    live.start_monitor(stream, _fairness_report, path, storage.shared_path(spark, "fairness-checkpoint"), at="ts", key="decision_id").awaitTermination()
+    path, mark = storage.shared_path(spark, "fairness-monitor"), storage.shared_path(spark, "fairness-checkpoint")
+    _sliced(spark, [d.where(F.col("decision_id") % 3 == k) for k in range(3)], lambda stream: live.start_monitor(stream, _fairness_report, path, mark, at="ts", key="decision_id"))
     last = storage.batches_before(spark, f"{path}/report", 1 << 62)
     return rounded(spark.read.parquet(f"{path}/report/batch={last}"))
 
@@ -209,8 +214,7 @@ def _code_sql(f: str) -> str:
 def stream_notices(spark, sf_dir):
     """Coded reasons of the denied decisions of a stream."""
     d = a.decisions(spark, sf_dir).select("decision_id", "customer_id", F.when(F.col("alias") != "champion", F.col("alias")).alias("acted_on_alias"), F.struct((F.col("action") == 0).alias("adverse_action_eligible")).alias("regulatory_flags"), *NOTICE_FEATURES)
-    stream = _sliced(spark, [d.where(F.col("decision_id") % 2 == k) for k in range(2)])
     score = lambda x: x.withColumn("profit", sum((F.lit(w) * F.col(f) for f, w in _WEIGHTS.items()), F.lit(0.0)))
-    path = storage.shared_path(spark, "notices")
-    live.start_notices(stream, list(NOTICE_FEATURES), score, _NEUTRAL, path, storage.shared_path(spark, "notices-checkpoint")).awaitTermination()
+    path, mark = storage.shared_path(spark, "notices"), storage.shared_path(spark, "notices-checkpoint")
+    _sliced(spark, [d.where(F.col("decision_id") % 2 == k) for k in range(2)], lambda stream: live.start_notices(stream, list(NOTICE_FEATURES), score, _NEUTRAL, path, mark))
     return spark.read.parquet(path).select("decision_id", "customer_id", "acted_on_alias", F.array_join("reason_codes", "; ").alias("reason_codes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import ranks
 from quillon.operators import models
+from quillon.plans import catalog, streams  # noqa: F401
 
 
 @pytest.fixture
@@ -48,3 +49,16 @@ def test_preconditions_shuffle_values_not_rows(spark, no_broadcast):
     d = spark.range(1000).select((F.col("id") % 50).cast("double").alias("x"), (F.col("id") % 2).alias("y"))
     plan = _plan(models.preconditions(d, "y", {"x": 1}))
     assert "BroadcastHashJoin [feature" in plan
+
+
+def test_slices_are_whole_batches_of_many_files(spark, tmp_path, monkeypatch):
+    """A slice is one batch, however many tasks write it, and none gathers it."""
+    monkeypatch.setattr(streams.storage, "shared_path", lambda _, label: f"{tmp_path}/{label}")
+    batches, d = [], spark.range(0, 1000, 1, 4)
+
+    def start(stream):
+        note = lambda df, n: batches.append((n, df.count(), df.agg(F.min("id")).first()[0], len(list(tmp_path.glob("slices/*.parquet")))))
+        return stream.writeStream.option("checkpointLocation", f"{tmp_path}/mark").trigger(availableNow=True).foreachBatch(note).start()
+
+    streams._sliced(spark, [d.where("id % 2 = 0"), d.where("id % 2 = 1")], start)
+    assert batches == [(0, 500, 0, 4), (1, 500, 1, 8)]
