@@ -241,9 +241,9 @@ def decision_outcomes(spark, sf_dir):
     return rounded(decide.decision_outcomes(d, decide.outcomes(d, a.parameters(spark, sf_dir))))
 
 
-def _training(spark, sf_dir):
-    """The labelled frame, from features as they would be stored, with six decimals."""
-    return decide.labels(rounded(_frame(spark, sf_dir), 6, "geo_variance_7d"), a.parameters(spark, sf_dir))
+def _training(spark, sf_dir, *horizons):
+    """The labelled frame, from features as they would be stored, with six decimals; with horizons, those views' features only."""
+    return decide.labels(rounded(_frame(spark, sf_dir, *horizons), 6, "geo_variance_7d"), a.parameters(spark, sf_dir))
 
 
 LABELS_SQL = f"""{TRAINING_SQL}, {a.PARAMETERS_SQL},
@@ -307,8 +307,9 @@ def monotonicity_verdict(spark, sf_dir):
     return rounded(gate.monotonicity(gate.buckets(a.scored_accounts(spark, sf_dir), "price", "y")))
 
 
-def _frame(spark, sf_dir):
-    return asof.assemble(views.all_views(a.transactions(spark, sf_dir), a.transactions_with_attributes(spark, sf_dir)), events=a.transactions(spark, sf_dir))
+def _frame(spark, sf_dir, *horizons):
+    every = views.all_views(a.transactions(spark, sf_dir), a.transactions_with_attributes(spark, sf_dir))
+    return asof.assemble({h: v for h, v in every.items() if not horizons or h in horizons}, events=a.transactions(spark, sf_dir))
 
 
 @register("rate_heterogeneity", f"WITH {TRAINING_SQL}, s AS (SELECT stddev_samp(velocity_24h) / avg(velocity_24h) AS v FROM training) SELECT 'rate_heterogeneity' AS criterion, round(v, 6) AS value, v > 0.7 AS passed, 'cv of velocity_24h' AS note FROM s")
@@ -400,23 +401,35 @@ def monotone_linear_pd(spark, sf_dir):
 
 
 UPLIFT = ["utilization", "velocity_24h", "paydown_rate_30d", "credit_score"]
+#: The views that UPLIFT and the labels' outcomes come from.
+UPLIFT_VIEWS = ("5m", "24h", "30d", "attributes")
+
+
+def _learned(df, *columns):
+    """The columns that a model reads, written: fits and splits read their frame many times, and each reading would make all views again."""
+    return storage.written(df.select(*dict.fromkeys(columns)), "training")
 
 
 @register("t_learner_uplift")
 def t_learner_uplift(spark, sf_dir):
-    d = _training(spark, sf_dir)
+    d = _learned(_training(spark, sf_dir, *UPLIFT_VIEWS), "customer_id", "as_of", *UPLIFT, "T", "profit")
     return models.uplift(models.t_learner(d, UPLIFT, "T", "profit"), d, UPLIFT).select("customer_id", "as_of", "uplift", (F.col("uplift") > 0).cast("int").alias("action"))
 
 
 @register("segment_importance")
 def segment_importance(spark, sf_dir):
-    d = _training(spark, sf_dir)
-    f = ["credit_score", "annual_income", "account_tenure_months", "total_spend_30d"]
-    return models.importances(models.forest(d, f, "segment_id", trees=10, depth=5), f, spark)
+    return models.importances(models.forest(_segments(spark, sf_dir), SEPARATING, "segment_id", trees=10, depth=5), SEPARATING, spark)
+
+
+SEPARATING = ["credit_score", "annual_income", "account_tenure_months", "total_spend_30d"]
+
+
+def _segments(spark, sf_dir):
+    return _learned(_training(spark, sf_dir, *UPLIFT_VIEWS), "customer_id", *SEPARATING, "segment_id")
 
 
 def _separable(spark, sf_dir):
-    return models.separability(_training(spark, sf_dir), "customer_id", ["credit_score", "annual_income", "account_tenure_months", "total_spend_30d"], "segment_id")
+    return models.separability(_segments(spark, sf_dir), "customer_id", SEPARATING, "segment_id")
 
 
 @register("segment_separability")
@@ -514,8 +527,8 @@ def _true_uplift(d):
 
 def _with_truth(spark, sf_dir):
     p = a.parameters(spark, sf_dir).drop("segment_id").withColumnRenamed("credit_limit", "own_limit")
-    d = _training(spark, sf_dir).join(p, "customer_id")
-    return d.withColumn("truth", _true_uplift(d))
+    d = _training(spark, sf_dir, *UPLIFT_VIEWS).join(p, "customer_id")
+    return _learned(d.withColumn("truth", _true_uplift(d)), "customer_id", "segment_id", *UPLIFT, "T", "accepted", "spend_delta", "defaulted", "profit", "truth")
 
 
 @register("per_segment_uplift")
@@ -527,7 +540,7 @@ def per_segment_uplift(spark, sf_dir):
 @register("baseline_report")
 def baseline_report(spark, sf_dir):
     """Always, never, random and the linear T-learner, on customers that the learner has not seen."""
-    train, test = models.group_split(storage.written(_with_truth(spark, sf_dir), "truth"), "customer_id", 0.2)
+    train, test = models.group_split(_with_truth(spark, sf_dir), "customer_id", 0.2)
     d = models.uplift(models.t_learner(train, UPLIFT, "T", "profit"), test, UPLIFT)
     d = d.withColumns({**decide.baselines("customer_id"), "t_learner": (F.col("uplift") > 0).cast("int"), "optimal": (F.col("truth") > 0).cast("int")})
     return rounded(decide.policy_report(d, ["always", "never", "random", "t_learner"], "truth", "optimal"))
