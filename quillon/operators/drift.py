@@ -22,6 +22,8 @@ EPSILON = 1e-6
 PSI, KS_P, JS, GAP, MISSING = 0.2, 0.05, 0.1, 0.15, 0.05
 LEAST_ROWS = 30
 JS_BINS = 20
+#: Rows of a window and the one before that one task may hold.
+MOST_IN_TASK = 1_000_000
 
 
 def _long(ref: DataFrame, cur: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -178,11 +180,79 @@ def windowed_monitor(df: DataFrame, features: Sequence[str], order: Sequence[str
     last = w.agg(F.max("win")).first()[0]
     cur = w.where("win > 0")
     ref = w.withColumn("win", F.col("win") + 1).where(F.col("win") <= F.lit(last if last is not None else 0))
-    return signals(ref, cur, features, by="win")
+    return signals(ref, cur, features, by="win", size=size)
 
 
-def signals(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: str = "win") -> DataFrame:
-    """(by, detector, feature, statistic, threshold, is_drifting) of the four detectors, from one count of the values."""
+def _window_statistics(ref: DataFrame, cur: DataFrame, features: Sequence[str], by: str) -> DataFrame:
+    """(by, feature, psi, d, js, n_ref, n_cur, rise) of windows that one task holds: rows go to their windows in one shuffle."""
+    import numpy as np
+    import pyarrow as pa
+
+    features, steps = list(features), np.array(r.steps(10))
+    schema = f"{by} long, feature string, psi double, d double, js double, n_ref long, n_cur long, rise double"
+
+    def psi_of(a: np.ndarray, b: np.ndarray) -> float | None:
+        if not len(a):
+            return None
+        at = steps * (len(a) - 1)
+        low, high = a[np.floor(at).astype(int)], a[np.ceil(at).astype(int)]
+        edges = np.unique(low + (high - low) * (at - np.floor(at)))
+        if not len(b) or len(edges) < 2:
+            return 0.0
+        inside = lambda v: v[(v >= edges[0]) & (v <= edges[-1])]
+        n = [np.bincount(np.searchsorted(edges[1:-1], inside(v), "right"), minlength=len(edges) - 1) for v in (a, b)]
+        p, q = (k / max(k.sum(), 1) + EPSILON for k in n)
+        return float(((q - p) * np.log(q / p)).sum())
+
+    def distances(a: np.ndarray, b: np.ndarray) -> tuple[float | None, float | None]:
+        both = np.concatenate([a, b])
+        if not len(both):
+            return None, None
+        cdf = lambda v: np.searchsorted(v, both, "right") / max(len(v), 1)
+        lo, hi = both.min(), both.max()
+        bins = lambda v: np.minimum(np.floor((v - lo) / ((hi - lo) / JS_BINS)), JS_BINS - 1).astype(int) if hi > lo else np.full(len(v), JS_BINS // 2)
+        p, q = ((np.bincount(bins(v), minlength=JS_BINS) + 1e-9) / (len(v) + JS_BINS * 1e-9) for v in (a, b))
+        m = (p + q) / 2
+        return float(np.abs(cdf(a) - cdf(b)).max()), float(np.sqrt(max((p * np.log(p / m) + q * np.log(q / m)).sum() / 2, 0.0)))
+
+    def run(table: pa.Table) -> pa.Table:
+        key, late, out = table.column(by)[0].as_py(), table.column("in_cur").to_numpy() == 1, []
+        for f in features:
+            x = table.column(f).to_numpy()
+            gone = np.isnan(x)
+            a, b = np.sort(x[~late & ~gone]), np.sort(x[late & ~gone])
+            rise = (gone[late].mean() if late.any() else 0.0) - (gone[~late].mean() if not late.all() else 0.0)
+            out.append((key, f, psi_of(a, b), *distances(a, b), len(a), len(b), float(rise)))
+        kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], [c.split(" ")[0] for c in schema.split(", ")])
+
+    side = lambda d, v: d.select(F.col(by).cast("long").alias(by), *[F.col(f).cast("double").alias(f) for f in features], F.lit(v).alias("in_cur"))
+    return side(ref, 0).unionByName(side(cur, 1)).groupBy(by).applyInArrow(run, schema)
+
+
+def _window_signals(found: DataFrame, by: str) -> DataFrame:
+    """The four detectors' rows of _window_statistics; a detector that no value reaches has none."""
+    a, b = F.col("n_ref"), F.col("n_cur")
+    enough = (a >= LEAST_ROWS) & (b >= LEAST_ROWS)
+    p = kolmogorov_sf(F.col("d") * F.sqrt(F.coalesce(F.try_divide(a * b, a + b), F.lit(0.0))))
+    rows = (
+        ("psi", a > 0, F.col("psi"), PSI, None),
+        ("ks", a + b > 0, F.when(enough, p).otherwise(1.0), KS_P, lambda v: v < KS_P),
+        ("js_divergence", a + b > 0, F.when(enough, F.col("js")).otherwise(0.0), JS, None),
+        ("schema", F.lit(True), F.col("rise"), MISSING, None),
+    )
+    one = [F.when(there, F.struct(F.lit(name).alias("detector"), v.alias("statistic"), F.lit(bound).alias("threshold"), F.coalesce(hit(v) if hit else v > bound, F.lit(False)).alias("is_drifting"))) for name, there, v, bound, hit in rows]
+    d = found.select(by, "feature", F.explode(F.filter(F.array(*one), lambda s: s.isNotNull())).alias("s"))
+    return d.select(by, "s.detector", "feature", "s.statistic", "s.threshold", "s.is_drifting")
+
+
+def signals(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: str = "win", size: int | None = None) -> DataFrame:
+    """(by, detector, feature, statistic, threshold, is_drifting) of the four detectors.
+
+    size: rows of a window at most, if known; windows that fit in a task are dealt out whole, others go by one count of the values.
+    """
+    if size is not None and 2 * size <= MOST_IN_TASK:
+        return _window_signals(_window_statistics(ref, cur, features, by), by)
     counts = _counts(ref, cur, features, [by])
     parts = [*(f(ref, cur, features, by=[by], counts=counts) for f in (psi, ks, js)), missingness(ref, cur, features, by=[by])]
     out = parts[0]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import ranks
-from quillon.operators import models
+from quillon.operators import drift, models
 from quillon.plans import catalog, streams  # noqa: F401
 
 
@@ -62,3 +62,18 @@ def test_slices_are_whole_batches_of_many_files(spark, tmp_path, monkeypatch):
 
     streams._sliced(spark, [d.where("id % 2 = 0"), d.where("id % 2 = 1")], start)
     assert batches == [(0, 500, 0, 4), (1, 500, 1, 8)]
+
+
+def test_windows_in_a_task_give_the_signals_of_counts(spark):
+    """Ties, gaps, a constant, a window without a feature's values: both ways agree, and windows take one shuffle."""
+    i = F.col("i")
+    d = spark.range(800).select(F.col("id").alias("i")).select("i", (i * 37 % 11).alias("x"), F.when(i % 9 > 0, i * 7919 % 101 / 7.0).alias("y"), F.lit(3.0).alias("z"), F.when((i >= 300) | (i < 100), i % 5 / 2.0).alias("gap"))
+    w = d.withColumn("win", F.floor(i / 100).cast("long"))
+    ref, cur, names = w.withColumn("win", F.col("win") + 1).where("win < 8"), w.where("win > 0"), ["x", "y", "z", "gap"]
+    quick = drift.signals(ref, cur, names, size=100)
+    assert _plan(quick).count("Exchange") == 1
+    key = lambda r: (r.win, r.feature, r.detector)
+    got, want = ({key(r): r for r in f.collect()} for f in (quick, drift.signals(ref, cur, names)))
+    assert set(got) == set(want) and len(got) > 100
+    for k, r in want.items():
+        assert got[k].statistic == pytest.approx(r.statistic, abs=1e-9) and (got[k].threshold, got[k].is_drifting) == (r.threshold, r.is_drifting), k
