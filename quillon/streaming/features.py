@@ -110,7 +110,7 @@ def start_drift_monitor(stream: DataFrame, features: list[str], order: list[str]
         w = rows.withColumn("win", F.floor(F.col("_nth") / size).cast("long")).where(F.col("win") < full).drop("_nth", *[c for c in order if c not in features])
         ref, cur = w.withColumn("win", F.col("win") + 1), w
         new_windows = lambda d: d.where((F.col("win") >= max(1, done)) & (F.col("win") < full))
-        found = drift.signals(new_windows(ref), new_windows(cur), features, by="win").where("is_drifting")
+        found = drift.signals(new_windows(ref), new_windows(cur), features, by="win", size=size).where("is_drifting")
         write_batch(found.withColumn("window_size", F.lit(size)), f"{path}/events", number)
 
     return _started(stream, batch, checkpoint, every)
