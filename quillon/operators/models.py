@@ -263,7 +263,9 @@ def select_columns(df: DataFrame, *, exclude: Sequence[str] = (), least: float =
 
 
 def forest(df: DataFrame, features: Sequence[str], label: str, *, trees: int = 50, depth: int = 8, seed: int = 42):
-    return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(vectors(df, features))
+    # a level's work is rows times trees, so small files are dealt to all cores
+    rows = vectors(df.select(*features, label), features).select("features", label).repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+    return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
 def importances(model, features: Sequence[str], spark) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import ranks
 from quillon.operators import drift, models
-from quillon.plans import catalog, streams  # noqa: F401
+from quillon.plans import catalog, policy, streams  # noqa: F401
 
 
 @pytest.fixture
@@ -77,3 +77,11 @@ def test_windows_in_a_task_give_the_signals_of_counts(spark):
     assert set(got) == set(want) and len(got) > 100
     for k, r in want.items():
         assert got[k].statistic == pytest.approx(r.statistic, abs=1e-9) and (got[k].threshold, got[k].is_drifting) == (r.threshold, r.is_drifting), k
+
+
+def test_models_read_a_written_frame(spark, sf_dir):
+    """What fits and splits read again and again is files, with the rows of the whole frame."""
+    d = policy._segments(spark, sf_dir)
+    assert "Exchange" not in _plan(d) and "FileScan" in _plan(d)
+    whole = policy._training(spark, sf_dir).select(*d.columns)
+    assert d.exceptAll(whole).count() == 0 and d.count() == whole.count()
