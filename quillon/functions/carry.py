@@ -27,10 +27,10 @@ def pieces_of(df: DataFrame) -> int:
     return max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def cuts(source: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
+def cuts(source: DataFrame, columns: Sequence[str], n: int, per_piece: int = PER_PIECE) -> DataFrame:
     """One row: _cuts, fewer than n + 1 ascending structs of the columns, between which rows are about as many."""
     at = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    share = F.least(F.lit(1.0), F.lit(float(PER_PIECE * n)) / F.greatest(F.col("_rows"), F.lit(1)))
+    share = F.least(F.lit(1.0), F.lit(float(per_piece * n)) / F.greatest(F.col("_rows"), F.lit(1)))
     part = F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = source.select(*columns).join(F.broadcast(source.agg(F.count("*").alias("_rows"))), part < share)
     found = sample.agg(F.array_sort(F.collect_list(at)).alias("_all"))
@@ -39,13 +39,22 @@ def cuts(source: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
     return found.select(F.when(size > 0, F.array_distinct(F.transform(places, lambda i: F.get("_all", i)))).otherwise(F.slice("_all", 1, 0)).alias("_cuts"))
 
 
+def in_pieces(df: DataFrame, columns: Sequence[str], n: int, bounds: DataFrame) -> DataFrame:
+    """df with _piece, how many cuts are at or below the row: by bisection, a column a step, as Spark compiles columns and interprets lambdas."""
+    return _pieces(df, columns, n, bounds).drop("_x", "_cuts")
+
+
+def _pieces(df: DataFrame, columns: Sequence[str], n: int, bounds: DataFrame) -> DataFrame:
+    d = df.withColumn("_x", F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])).join(F.broadcast(bounds)).withColumn("_piece", F.lit(0))
+    for bit in range(n.bit_length() - 1, -1, -1):
+        p, step = F.col("_piece"), 1 << bit
+        d = d.withColumn("_piece", p + F.when(F.get("_cuts", p + (step - 1)) <= F.col("_x"), step).otherwise(0))
+    return d
+
+
 def _cut(df: DataFrame, bounds: DataFrame, key: int, columns: Sequence[str], n: int) -> DataFrame:
     """df with _piece and _shared: may its key, the first `key` of columns, have rows in other pieces?"""
-    d = df.withColumn("_x", F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])).join(F.broadcast(bounds))
-    # how many cuts are at or below the row, by bisection
-    digits = F.array(*[F.lit(1 << bit) for bit in range(n.bit_length() - 1, -1, -1)])
-    piece = F.reduce(digits, F.lit(0), lambda p, step: F.when(F.get("_cuts", p + step - 1) <= F.col("_x"), p + step).otherwise(p))
-    d = d.withColumn("_piece", piece)
+    d = _pieces(df, columns, n, bounds)
     low, high = F.get("_cuts", F.col("_piece") - 1), F.get("_cuts", F.col("_piece"))
     same = lambda c: c.isNotNull() & _all([c[f"_{i}"].eqNullSafe(F.col(f"_x._{i}")) for i in range(key)])
     return d.withColumn("_shared", same(low) | same(high)).drop("_x", "_cuts")
@@ -82,7 +91,8 @@ def running(
     found = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_{out}") for out, c in last.items()]
     found += [F.sum(c).alias(f"_{out}") for out, c in sums.items()] + [F.max(c).alias(f"_{out}") for out, c in most.items()]
     outs = [*last, *sums, *most]
-    totals = _cut(shared, bounds, len(by), columns, n).where("_shared").groupBy(*by, "_piece").agg(*found)
+    # every piece of a key that a cut runs through is shared
+    totals = _cut(shared, bounds, len(by), columns, n).groupBy(*by, "_piece").agg(*found)
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     before = part.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     over = {out: F.last(f"_{out}", ignorenulls=True) for out in last} | {out: F.sum(f"_{out}") for out in sums} | {out: F.max(f"_{out}") for out in most}

@@ -6,15 +6,17 @@ partitions of all groups together. The axes of a rank correlation are cut at the
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from math import ceil
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.carry import running
+from quillon.functions.carry import cuts, in_pieces, pieces_of, running
 from quillon.sources.storage import written
 
 #: Points of an axis that one bucket holds.
@@ -23,6 +25,8 @@ LARGEST = 1_000_000
 MOST_CUTS = 2048
 #: Groups up to which a table of one row per group is handed to every task.
 FEW_GROUPS = 10_000
+#: Pieces in which places are looked for, as a multiple of those of running sums, and sampled rows of each.
+FINER, PER_PIECE = 8, 4
 
 
 def _cut(df: DataFrame, order: str, by: list[str], largest: int) -> DataFrame | None:
@@ -56,15 +60,23 @@ def value_counts(df: DataFrame, column: str, by: Sequence[str] = (), sums: Seque
 def quantile_edges(counts: DataFrame, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, total, edges): quantiles by linear interpolation of value_counts, ascending and without repeats; written, as they are read often."""
     by = list(by)
-    ranked = prefix_sum(counts.select(*by, "x", "n"), "x", ["n"], by)
-    d = joined_by(ranked, written(counts.groupBy(*by).agg(F.sum("n").alias("total")), "totals"), by)
-    found = []
-    for i, q in enumerate(probabilities):
-        at = F.lit(float(q)) * (F.col("total") - 1)
-        low, high = F.min(F.when(F.col("cum_n") > F.floor(at), F.col("x"))), F.min(F.when(F.col("cum_n") > F.ceil(at), F.col("x")))
-        found += [low.alias(f"low{i}"), high.alias(f"high{i}"), F.first(at - F.floor(at)).alias(f"part{i}")]
-    e = d.groupBy(*by).agg(F.first("total").alias("total"), *found)
-    edges = F.array(*[F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * F.col(f"part{i}") for i in range(len(probabilities))])
+    keys, n = [*by, "_piece"], FINER * pieces_of(counts)
+    counts = counts.select(*by, "x", "n")
+    cut = in_pieces(counts, [*by, "x"], n, cuts(counts, [*by, "x"], n, PER_PIECE))
+    at = [F.lit(float(q)) * (F.col("total") - 1) for q in probabilities]
+    places = {f"{end}{i}": rounded(a) for i, a in enumerate(at) for end, rounded in (("low", F.floor), ("high", F.ceil))}
+    there = lambda after, size: {c: (after > F.col(f"at_{c}")) & (after - size <= F.col(f"at_{c}")) for c in places}
+    # only pieces that hold a place are put in order
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    sizes = cut.groupBy(*keys).agg(F.sum("n").alias("size"))
+    sizes = sizes.withColumns({"total": F.sum("size").over(group), "after": F.sum("size").over(group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0))})
+    sizes = sizes.withColumns({f"at_{c}": place for c, place in places.items()})
+    held = written(sizes.where(reduce(or_, there(F.col("after"), F.col("size")).values())), "pieces")
+    run = F.sum("n").over(Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    d = joined_by(cut, held, keys).withColumn("cum_n", F.col("after") - F.col("size") + run)
+    there = there(F.col("cum_n"), F.col("n"))
+    e = d.groupBy(*by).agg(F.first("total").alias("total"), *[F.min(F.when(here, F.col("x"))).alias(c) for c, here in there.items()])
+    edges = F.array(*[F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (a - F.floor(a)) for i, a in enumerate(at)])
     return written(e.select(*by, "total", F.array_sort(F.array_distinct(edges)).alias("edges")), "edges")
 
 
@@ -72,19 +84,33 @@ def steps(n_bins: int) -> list[float]:
     return [i / n_bins for i in range(n_bins + 1)]
 
 
-def interior(edges: Column) -> Column:
-    return F.when(F.size(edges) > 2, F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(1)))).otherwise(F.array().cast("array<double>"))
+def _passed(edges: Column, n_bins: int, passes: Callable[[Column], Column]) -> Column:
+    """How many of the interior edges `passes` holds for: the first so many, of at most n_bins - 1. A tree of conditions, as Spark interprets lambdas."""
 
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        inside = F.size(edges) - 1 > mid + 1
+        return F.when(inside & passes(F.get(edges, F.lit(mid + 1))), among(mid + 1, high)).otherwise(among(low, mid))
 
-def bin_right_closed(x: Column, edges: Column) -> Column:
-    """Bin of (a, b] intervals, the lowest edge included: how many interior edges are below x."""
-    return F.size(F.filter(interior(edges), lambda e: e < x))
+    return among(0, n_bins - 1)
 
 
-def bin_left_closed(x: Column, edges: Column) -> Column:
+def bin_right_closed(x: Column, edges: Column, n_bins: int) -> Column:
+    """Bin of (a, b] intervals, the lowest edge included: how many interior edges are below x. At most n_bins + 1 edges."""
+    return _passed(edges, n_bins, lambda e: e < x)
+
+
+def bin_open(x: Column, edges: Column, n_bins: int) -> Column:
+    """Bin of [a, b) intervals, the first and the last open outwards."""
+    return _passed(edges, n_bins, lambda e: e <= x)
+
+
+def bin_left_closed(x: Column, edges: Column, n_bins: int) -> Column:
     """Bin of [a, b) intervals, the last closed; null outside."""
     inside = (x >= F.element_at(edges, 1)) & (x <= F.element_at(edges, -1))
-    return F.when(inside, F.size(F.filter(interior(edges), lambda e: e <= x)))
+    return F.when(inside, bin_open(x, edges, n_bins))
 
 
 def joined_by(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -102,7 +128,7 @@ def qcut(df: DataFrame, column: str, n_bins: int, by: Sequence[str] = (), out: s
     counts = value_counts(df, column, by)
     edges = quantile_edges(counts, steps(n_bins), by).select(*by, "edges")
     x = F.col(column).cast("double")
-    return joined_by(df.where(x.isNotNull() & ~F.isnan(x)), edges, by).withColumn(out, bin_right_closed(x, F.col("edges"))).drop("edges")
+    return joined_by(df.where(x.isNotNull() & ~F.isnan(x)), edges, by).withColumn(out, bin_right_closed(x, F.col("edges"), n_bins)).drop("edges")
 
 
 def average_ranks(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

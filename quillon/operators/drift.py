@@ -70,7 +70,7 @@ def psi(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, by: Sequence
     keys = [*by, "feature"]
     counts = _counts(ref, cur, features, by) if counts is None else counts
     edges = _reference_edges(counts, by, n_bins)
-    d = r.joined_by(counts, edges.select(*keys, "edges"), keys).withColumn("bin", r.bin_left_closed(F.col("x"), F.col("edges")))
+    d = r.joined_by(counts, edges.select(*keys, "edges"), keys).withColumn("bin", r.bin_left_closed(F.col("x"), F.col("edges"), n_bins))
     bins = d.where("bin is not null").groupBy(*keys, "bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"), F.max(F.size("edges")).alias("n_edges"))
     spine = edges.where("size(edges) > 1").select(*keys, F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
     full = spine.join(bins, [*keys, "bin"], "left").fillna(0, ["n_ref", "n_cur"])
@@ -90,7 +90,7 @@ def csi(ref: DataFrame, cur: DataFrame, features: Sequence[str], *, n_bins: int
     features = [f for f in features if f in numeric(ref) & numeric(cur)]
     counts = _counts(ref, cur, features, [])
     edges = _reference_edges(counts, [], n_bins)
-    d = r.joined_by(counts, edges.select("feature", "edges"), ["feature"]).withColumn("bin", F.size(F.filter(r.interior(F.col("edges")), lambda e: e <= F.col("x"))))
+    d = r.joined_by(counts, edges.select("feature", "edges"), ["feature"]).withColumn("bin", r.bin_open(F.col("x"), F.col("edges"), n_bins))
     bins = d.groupBy("feature", "bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
     spine = edges.select("feature", F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))).alias("bin"))
     full = spine.join(bins, ["feature", "bin"], "left").fillna(0, ["n_ref", "n_cur"])

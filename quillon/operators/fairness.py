@@ -62,4 +62,4 @@ def score_buckets(df: DataFrame, column: str, n: int = 5, out: str = "bucket") -
     counts = r.value_counts(df, column)
     edges = r.quantile_edges(counts, r.steps(n)).select("edges")
     d = r.joined_by(df, edges, ())
-    return d.withColumn(out, F.when(x.isNull() | F.isnan(x), -1).otherwise(r.bin_right_closed(x, F.col("edges")))).drop("edges")
+    return d.withColumn(out, F.when(x.isNull() | F.isnan(x), -1).otherwise(r.bin_right_closed(x, F.col("edges"), n))).drop("edges")

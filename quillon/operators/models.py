@@ -147,7 +147,7 @@ def preconditions(df: DataFrame, target: str, constraints: dict[str, int], *, n_
     long = unpivot(df, have, [F.col(target).cast("double").alias("y")])
     counts = r.value_counts(long, "x", ["feature"], [F.sum("y").alias("y"), F.count("y").alias("n_y")])
     edges = r.quantile_edges(counts, r.steps(n_bins), ["feature"]).select("feature", "edges")
-    binned = r.joined_by(counts, edges, ["feature"]).withColumn("bin", r.bin_right_closed(F.col("x"), F.col("edges")))
+    binned = r.joined_by(counts, edges, ["feature"]).withColumn("bin", r.bin_right_closed(F.col("x"), F.col("edges"), n_bins))
     d = binned.groupBy("feature", "bin").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean_x"), F.try_divide(F.sum("y"), F.sum("n_y")).alias("mean_y"))
     rho = r.spearman(d, "mean_x", "mean_y", ["feature"]).join(d.groupBy("feature").agg(F.count("*").alias("n_bins")), "feature")
     sign = F.coalesce(*[F.when(F.col("feature") == f, F.lit(s)) for f, s in constraints.items()])

@@ -42,7 +42,7 @@ def woe_bins(df: DataFrame, features: Sequence[str], target: str, n_bins: int =
     distinct = counts.groupBy("feature").agg(F.count("*").alias("n_values"))
     d = r.joined_by(counts, written(edges.join(distinct, "feature"), "edges"), ["feature"])
     few = F.col("n_values") <= n_bins
-    d = d.withColumn("bin", F.when(few, F.lit(None)).otherwise(r.bin_right_closed(F.col("x"), F.col("edges")))).withColumn("own", F.when(few, F.col("x")))
+    d = d.withColumn("bin", F.when(few, F.lit(None)).otherwise(r.bin_right_closed(F.col("x"), F.col("edges"), n_bins))).withColumn("own", F.when(few, F.col("x")))
     b = d.groupBy("feature", "bin", "own").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("n"), F.sum("events").alias("events"))
     total = Window.partitionBy("feature")
     share = lambda c, t: F.greatest(F.when(c > 0, c).otherwise(ZERO_COUNT), F.lit(0.0)) / F.when(t > 0, t).otherwise(ZERO_COUNT)
@@ -94,7 +94,7 @@ def calibration_bins(df: DataFrame, y: str, p: str, by: Sequence[str] = (), n_bi
     """One row for each bin of the score: n, mean score, event rate, sums."""
     counts = r.value_counts(df, p, by, [F.sum(y).alias("events")])
     edges = r.quantile_edges(counts, r.steps(n_bins), by).select(*by, "edges")
-    d = r.joined_by(counts, edges, by).withColumn("bin", r.bin_right_closed(F.col("x"), F.col("edges")))
+    d = r.joined_by(counts, edges, by).withColumn("bin", r.bin_right_closed(F.col("x"), F.col("edges"), n_bins))
     n = F.sum("n")
     return d.groupBy(*by, "bin").agg(n.alias("n"), (F.sum(F.col("x") * F.col("n")) / n).alias("mean_score"), (F.sum("events") / n).alias("event_rate"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("events").alias("observed"), F.sum(F.col("x") * F.col("n")).alias("expected"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import ranks
+from quillon.functions import carry, ranks
 from quillon.operators import drift, models
 from quillon.plans import catalog, policy, streams  # noqa: F401
 
@@ -85,3 +88,47 @@ def test_models_read_a_written_frame(spark, sf_dir):
     assert "Exchange" not in _plan(d) and "FileScan" in _plan(d)
     whole = policy._training(spark, sf_dir).select(*d.columns)
     assert d.exceptAll(whole).count() == 0 and d.count() == whole.count()
+
+
+def test_no_lambda_runs_on_each_row(spark):
+    """Pieces and bins of rows are compiled conditions; they equal a bisection of the cuts and edges."""
+    d = spark.range(600).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 50 > 0, F.col("id") * 7919 % 601 / 4.0).alias("x"))
+    bounds = ranks.written(carry.cuts(d, ["g", "x"], 13), "bounds")
+    cut = carry._cut(d, bounds, 1, ["g", "x"], 13)
+    assert "lambdafunction" not in _plan(cut)
+    place = lambda g, x: (g, x is not None, x or 0.0)
+    at = [place(*c) for c in bounds.first()[0]]
+    rows = cut.collect()
+    assert len(at) > 10 and all(r._piece == bisect_right(at, place(r.g, r.x)) for r in rows)
+    # every piece of a key that a cut runs through is shared, so that totals need no filter
+    assert {r._shared for r in rows if any(c[0] == r.g for c in at)} == {True}
+    edges = [[1.0], [1.0, 2.0], [0.0, 1.0, 2.5, 2.75], [float(i) for i in range(11)]]
+    b = spark.createDataFrame([(e, x / 4.0) for e in edges for x in range(-2, 46)], "edges array<double>, x double")
+    x, e = F.col("x"), F.col("edges")
+    b = b.select("*", ranks.bin_right_closed(x, e, 10).alias("right"), ranks.bin_open(x, e, 10).alias("open"), ranks.bin_left_closed(x, e, 10).alias("left"))
+    assert "lambdafunction" not in _plan(b)
+    for r in b.collect():
+        inner = r.edges[1:-1]
+        want = bisect_right(inner, r.x)
+        assert (r.right, r.open, r.left) == (bisect_left(inner, r.x), want, want if r.edges[0] <= r.x <= r.edges[-1] else None)
+
+
+def test_drift_bins_without_lambdas(spark):
+    d = spark.range(400).select((F.col("id") % 4).alias("g"), (F.col("id") % 37).cast("double").alias("x"))
+    assert "lambdafunction" not in _plan(drift.psi(d.where("x < 30"), d, ["x"], by=["g"]))
+
+
+@pytest.mark.parametrize("few", [3, 10_000])
+def test_quantiles_order_only_the_pieces_that_hold_them(spark, monkeypatch, few):
+    """Heavy ties, a group of one value, a large group: edges are those of numpy; of the large group's pieces only those with a place go on."""
+    tables, write = {}, ranks.written
+    monkeypatch.setattr(ranks, "written", lambda df, label: tables.setdefault(label, write(df, label)))
+    monkeypatch.setattr(ranks, "FEW_GROUPS", few)
+    values = {"one": [3.5], "two": [1.0, 1.0, 9.0], "ties": [float(i % 7 if i % 3 else 2) for i in range(500)], "large": [i * 7919 % 20011 / 8.0 for i in range(20000)]}
+    d = spark.createDataFrame([(g, x) for g, xs in values.items() for x in xs], "g string, x double")
+    got = {r.g: r for r in ranks.quantile_edges(ranks.value_counts(d, "x", ["g"]), ranks.steps(4), ["g"]).collect()}
+    assert set(got) == set(values)
+    for g, xs in values.items():
+        assert got[g].total == len(xs) and got[g].edges == pytest.approx(sorted(set(np.quantile(xs, ranks.steps(4)).tolist()))), g
+    large = tables["pieces"].where("g = 'large'")
+    assert large.count() <= 10 and large.agg(F.sum("size")).first()[0] < 5000
