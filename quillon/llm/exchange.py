@@ -118,13 +118,16 @@ def asked(chunk: int, blobs: list[tuple[int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([p for p, _ in blobs], pa.int32()), pa.array([chunk] * len(blobs), pa.int64()), pa.array([b for _, b in blobs], pa.binary())], schema=_ASKED)
 
 
+def answered(table: pa.Table, bits: list[bytes], kind: int) -> pa.Table:
+    """A part's answers, one to each row of what it was asked."""
+    return pa.Table.from_arrays([table.column("chunk").combine_chunks(), table.column("part").combine_chunks(), pa.array([kind] * len(bits), pa.int32()), pa.array(bits, pa.binary())], schema=_ANSWERED)
+
+
 def answer(questions: DataFrame, decide: Callable[[list[bytes]], list[bytes]], *, kind: int) -> DataFrame:
     """For each part: decide(all chunks' data) gives each chunk's answer."""
 
     def run(table: pa.Table) -> pa.Table:
-        bits = decide(table.column("data").to_pylist())
-        n = len(bits)
-        return pa.Table.from_arrays([table.column("chunk").combine_chunks(), table.column("part").combine_chunks(), pa.array([kind] * n, pa.int32()), pa.array(bits, pa.binary())], schema=_ANSWERED)
+        return answered(table, decide(table.column("data").to_pylist()), kind)
 
     return questions.groupBy("part").applyInArrow(tc.tidied(run), ANSWERED)
 
@@ -161,7 +164,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u4").reshape(-1), dtype=np.uint32)
 
 
-def _in_two(blobs: list[bytes]) -> list[bytes]:
+def in_two(blobs: list[bytes]) -> list[bytes]:
     """For each chunk's fingerprints: does another chunk have it?"""
     keys = [_unpacked(b) for b in blobs]
     every = np.sort(np.concatenate(keys))
@@ -176,7 +179,7 @@ def _in_two(blobs: list[bytes]) -> list[bytes]:
 
 def screened(questions: DataFrame) -> DataFrame:
     """Answers of kind 0: which fingerprints another chunk has too."""
-    return answer(questions, _in_two, kind=0)
+    return answer(questions, in_two, kind=0)
 
 
 def passed(keys: np.ndarray, bits: dict[int, bytes]) -> np.ndarray:

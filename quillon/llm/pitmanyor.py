@@ -13,10 +13,12 @@ times P(dish)**t, for any number of customers (windows around the mode hold all
 
 Counts come from all training documents. Chunks of documents screen their pairs of words first (see exchange): a pair that
 occurs once in training sits at one table, and only its word's and context's sums are sent. All other pairs go, once a
-chunk, to the part that owns the word, which keeps their tables. A sweep is two exchanges: parts send the tables of
-their pairs, added up by context, to the owners of the contexts; owners answer with each context's tables over all
-parts; then every part draws all its pairs, and the parent's tables of its words. So every draw knows the
-totals of the whole corpus as of the sweep before, whatever the number of parts. The model's probability is averaged over the sweeps after `burn`:
+chunk, to the part that owns the word, which keeps their tables. The pairs of hot words, those with more than 1/SPLIT of what a part has on average,
+are dealt to all parts by context instead, as a word in every chunk would send one part some pairs of every chunk; such a word is a guest of those parts.
+A sweep is two exchanges: parts send the tables of their pairs, added up by context and by guest, to the owners of the contexts and guests; owners
+draw the parent's tables of their words and answer with each context's tables over all parts and each guest's place in the parent; then every part
+draws all its pairs. So every draw knows the totals of the whole corpus as of the sweep before, whatever the number of parts and whichever words are hot.
+The model's probability is averaged over the sweeps after `burn`:
 
     P(w)     = (C_w - s_w / 2 + (h + S / 2) / (V + 1)) / (h + T)
     P(w | k) = (c_kw - t_kw / 2 + (h + t_k / 2) P(w)) / (h + c_k)
@@ -48,9 +50,13 @@ STRENGTH = 1.0
 BURN, SWEEPS = 1, 3
 #: Customers up to which all numbers of tables are weighed; beyond, those around the mode.
 SMALL = 64
+#: A word is hot if its distinct pairs, chunk by chunk, are more than 1/SPLIT of a part's average. Chunks name their candidates to one part in so many.
+SPLIT, NAMED_BY = 4, 64
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Kinds of messages between parts.
-STATE, NAMES, ROUTE, SUBS, UP, BOUND, BASE, DOWN, TABLES, DRAWN = range(10)
+STATE, NAMES, ROUTE, SUBS, UP, BOUND, BASE, DOWN, TABLES, DRAWN, OWN, ROOT = range(12)
+#: Kind of the answers with hot words, beside those of the screen.
+HOT = 2
 _MESSAGE = "part int, kind int, other long, data binary, totals array<double>"
 _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("other", pa.int64()), ("data", pa.binary()), ("totals", pa.list_(pa.float64()))])
 
@@ -68,7 +74,8 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     at, out = 8 * (n + 1), []
     for size in struct.unpack_from(f"<{n}q", raw, 8):
         planes = np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view("<i8"))
+        # a copy always, which can be written to
+        out.append(np.array(planes.T, order="C").reshape(-1).view("<i8"))
         at += 8 * size
     return out
 
@@ -102,62 +109,103 @@ class _Chunk:
         self.w, self.k = pairs // n, pairs % n
         weight = train[self.owner].astype(float) if self.n_rows else np.zeros(0)
         self.c, self.c_w = _counted(self.pair, weight, len(pairs)), _counted(self.word, weight, n)
-        name = tc.mix(tc.mix(self.words[self.k]) * np.uint64(tc._MULT) + self.words[self.w])
-        self.keys, self.key = np.unique(ex.screen_keys(name, n_parts), return_inverse=True)
-        self.parts = list(ex.pieces(ex.parts_of(self.words, n_parts)))
-
-    def screened(self, bits: dict[int, bytes]) -> None:
-        """Pairs that are to be sent: those that another chunk has too, or that occur twice here."""
+        self.name = tc.mix(tc.mix(self.words[self.k]) * np.uint64(tc._MULT) + self.words[self.w])
+        self.keys, self.key = np.unique(ex.screen_keys(self.name, n_parts), return_inverse=True)
+
+    def candidates(self) -> list[tuple[int, bytes]]:
+        """For the parts beyond n_parts that count them: the words that may be hot with their pairs here, and the number of all pairs here."""
+        n_k = _counted(self.w, None, len(self.words))
+        found = np.flatnonzero(n_k * (2 * SPLIT * self.n_parts) > len(self.w))
+        n_counting = -(-self.n_parts // NAMED_BY)
+        cuts = np.searchsorted(ex.parts_of(self.words[found], n_counting), np.arange(n_counting + 1))
+        return [(self.n_parts + i, packed(self.words[found[a:b]], n_k[found[a:b]], np.array([len(self.w)]))) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+
+    def screened(self, bits: dict[int, bytes], hot: np.ndarray) -> None:
+        """Pairs that are to be sent, by part, those of guests last: those that another chunk has too, or that occur twice here. parts: (part, its first word, end, its first pair, end)."""
         sent = ex.passed(self.keys, bits)[self.key] | (self.c > 1)
-        self.sent, self.once = np.flatnonzero(sent), ~sent & (self.c == 1)
-        self.cuts = np.searchsorted(self.w[self.sent], [a for _, a, _ in self.parts] + [len(self.words)])
+        self.once = ~sent & (self.c == 1)
+        self.sent, self.place = np.flatnonzero(sent), np.searchsorted(hot, self.words)
+        owners = ex.parts_of(self.words, self.n_parts)
+        own = owners[self.w[self.sent]]
+        to = np.where(np.isin(self.words, hot)[self.w[self.sent]], ex.parts_of(self.name[self.sent], self.n_parts), own)
+        order = np.lexsort((to != own, to))
+        self.sent, to = self.sent[order], to[order]
+        every = np.union1d(owners, to)
+        ends = [np.searchsorted(x, every, side).tolist() for x in (owners, to) for side in ("left", "right")]
+        self.parts = list(zip(every.tolist(), *ends, strict=True))
 
     def blobs(self) -> list[tuple[int, bytes]]:
+        """For each part: its words with their sums, the number of pairs of each and of each guest, the pairs, and the guests as places among the hot words, which take less than hashes."""
         n = len(self.words)
         once_w, once_k = _counted(self.w[self.once], None, n), _counted(self.k[self.once], None, n)
         out = []
-        for (p, a, b), i, j in zip(self.parts, self.cuts[:-1], self.cuts[1:], strict=True):
-            own = self.sent[i:j]
-            out.append((p, packed(self.words[a:b], self.c_w[a:b], once_w[a:b], once_k[a:b], _counted(self.w[own] - a, None, b - a), self.words[self.k[own]], self.c[own])))
+        for p, a, b, i, j in self.parts:
+            sent = self.sent[i:j]
+            w = self.w[sent]
+            own = (w >= a) & (w < b)
+            guests, pairs = np.unique(w[~own], return_counts=True)
+            numbers = np.append(_counted(w[own] - a, None, b - a), pairs)
+            out.append((p, packed(self.words[a:b], self.c_w[a:b], once_w[a:b], once_k[a:b], numbers, self.words[self.k[sent]], self.c[sent], np.diff(self.place[guests], prepend=0))))
         return out
 
 
+def _hot(blobs: list[bytes], n_parts: int) -> np.ndarray:
+    """Of the chunks' candidates, those whose pairs are more than 1/SPLIT of a part's average."""
+    asked = [unpacked(x) for x in blobs]
+    words, of = np.unique(np.concatenate([x[0] for x in asked]).view(np.uint64), return_inverse=True)
+    n = _counted(of, np.concatenate([x[1] for x in asked]), len(words))
+    return words[n * (SPLIT * n_parts) > sum(int(x[2][0]) for x in asked)] if n_parts > 1 else words[:0]
+
+
+def _answered(table: pa.Table, n_parts: int) -> pa.Table:
+    """Answers to the screen's questions; of the parts that count candidates, the hot words."""
+    part, blobs = table.column("part")[0].as_py(), table.column("data").to_pylist()
+    if part < n_parts:
+        return ex.answered(table, ex.in_two(blobs), 0)
+    return ex.answered(table.slice(0, 1), [packed(_hot(blobs, n_parts))], HOT)
+
+
 def _rows(part: int, made: list[tuple]) -> pa.Table:
     """Messages (part, kind, other, data); the totals of the part, if any, last."""
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _gathered(table: pa.Table, n_parts: int) -> pa.Table:
-    """What a part learns from the chunks: its words and pairs, where each chunk's are among them, and what it asks the contexts' owners."""
+def _gathered(table: pa.Table, n_parts: int, hot: np.ndarray) -> pa.Table:
+    """What a part learns from the chunks: its words, guests and pairs, where each chunk's are among them, and what it asks the owners of contexts and guests."""
     part, chunks = table.column("part")[0].as_py(), table.column("chunk").to_pylist()
     asked = [unpacked(x) for x in table.column("data").to_pylist()]
     every = lambda i, kind=np.int64: np.concatenate([x[i] for x in asked]).view(kind)
-    words, word = np.unique(every(0, np.uint64), return_inverse=True)
-    n = len(words)
-    c_w, once_w, once_k = (_counted(word, every(i), n) for i in (1, 2, 3))
+    names = [np.append(x[0].view(np.uint64), hot[np.cumsum(x[7])]) for x in asked]
+    words, word = np.unique(np.concatenate(names), return_inverse=True)
+    n, own = len(words), word[np.concatenate([np.arange(len(a)) < len(x[0]) for a, x in zip(names, asked, strict=True)])]
+    c_w, once_w, once_k = (_counted(own, every(i), n) for i in (1, 2, 3))
     contexts, context = np.unique(every(5, np.uint64), return_inverse=True)
     pairs, pair = np.unique(np.repeat(word, every(4)) * max(len(contexts), 1) + context, return_inverse=True)
     c, w, k = _counted(pair, every(6), len(pairs)), pairs // max(len(contexts), 1), pairs % max(len(contexts), 1)
+    owned = ex.parts_of(words, n_parts) == part
+    guests = np.flatnonzero(~owned)
     made, at, e = [], 0, 0
     for chunk, x in zip(chunks, asked, strict=True):
-        made.append((part, ROUTE, chunk, packed(np.diff(word[at : at + len(x[0])], prepend=0), np.diff(pair[e : e + len(x[5])], prepend=0)), None))
+        made.append((part, ROUTE, chunk, packed(np.diff(own[at : at + len(x[0])], prepend=0), np.diff(pair[e : e + len(x[5])], prepend=0)), None))
         at, e = at + len(x[0]), e + len(x[5])
     many, single = np.flatnonzero(c > 1), c == 1
     once_w += _counted(w[single], None, n)
     moving, of = np.unique(k[many], return_inverse=True)
     tables, settled = _counted(of, None, len(moving)), _counted(k[single], None, len(contexts))
-    made.append((part, STATE, part, packed(c_w, once_w, c, w[many], of), None))
+    made.append((part, STATE, part, packed(c_w, once_w, c, w[many], of, guests), [float(c_w.sum()), float((c_w > 0).sum())]))
     made.append((part, NAMES, part, packed(words, once_k), None))
+    root = once_w + _counted(w[many], None, n)
     none, asks = np.zeros(0, np.int64), {}
     for owner, a, b in ex.pieces(ex.parts_of(contexts[moving], n_parts)):
-        asks[owner] = [contexts[moving][a:b], none, none, tables[a:b]]
+        asks.setdefault(owner, [none] * 6)[0:5:4] = contexts[moving][a:b], tables[a:b]
     still = np.flatnonzero(settled)
     for owner, a, b in ex.pieces(ex.parts_of(contexts[still], n_parts)):
-        asks.setdefault(owner, [none, none, none, none])[1:3] = contexts[still][a:b], settled[still][a:b]
-    for owner, (names, quiet, count, up) in asks.items():
-        made += [(owner, SUBS, part, packed(names, quiet, count), None), (owner, UP, part, packed(up), None)]
-    c_root = once_w + _counted(w[many], None, n)
-    made.append((part, DRAWN, part, packed(np.ones(len(many), np.int64), np.minimum(c_root, 1)), [float(c_w.sum()), float((c_w > 0).sum()), float(c_root.sum()), float((c_root > 0).sum())]))
+        asks.setdefault(owner, [none] * 6)[1:3] = contexts[still][a:b], settled[still][a:b]
+    for owner, a, b in ex.pieces(ex.parts_of(words[guests], n_parts)):
+        asks.setdefault(owner, [none] * 6)[3:6:2] = words[guests][a:b], root[guests][a:b]
+    for owner, (names, quiet, count, visiting, up, up_root) in asks.items():
+        made += [(owner, SUBS, part, packed(names, quiet, count, visiting), None), (owner, UP, part, packed(up, up_root), None)]
+    made += [(part, OWN, part, packed(root * owned), None), (part, DRAWN, part, packed(np.ones(len(many), np.int64)), None)]
     return _rows(part, made)
 
 
@@ -170,26 +218,34 @@ def _by_kind(table: pa.Table) -> dict[int, list[tuple[int, list[np.ndarray]]]]:
 
 
 def _bound(table: pa.Table) -> pa.Table:
-    """An owner's answer to what it is asked about: places among its words; and the tables of each context that never move."""
+    """An owner's answer to what it is asked about: places among its words of contexts and of guests; and the tables of each context that never move."""
     part, got = table.column("part")[0].as_py(), _by_kind(table)
     ((_, (words, base)),) = got[NAMES]
     words, made = words.view(np.uint64), []
-    for other, (names, quiet, count) in got.get(SUBS, ()):
-        made.append((part, BOUND, other, packed(np.searchsorted(words, names.view(np.uint64))), None))
-        np.add.at(base, np.searchsorted(words, quiet.view(np.uint64)), count)
+    place = lambda names: np.searchsorted(words, names.view(np.uint64))
+    for other, (names, quiet, count, visiting) in got.get(SUBS, ()):
+        made.append((part, BOUND, other, packed(place(names), place(visiting)), None))
+        np.add.at(base, place(quiet), count)
     made.append((part, BASE, part, packed(base), None))
     return _rows(part, made)
 
 
-def _told(table: pa.Table) -> pa.Table:
-    """An owner's contexts' tables in all parts, and the answers to those that asked about them."""
+def _told(table: pa.Table, n_words: float, n_tables: float, seed: list[int]) -> pa.Table:
+    """An owner's contexts' tables in all parts, its words' customers and new tables in the parent, and the answers to those that asked about them."""
     part, got = table.column("part")[0].as_py(), _by_kind(table)
-    ((_, (tables,)),) = got[BASE]
-    places = {other: x[0] for other, x in got.get(BOUND, ())}
-    for other, (up,) in got.get(UP, ()):
-        np.add.at(tables, places[other], up)
-    made = [(other, DOWN, part, packed(tables[at]), None) for other, at in places.items() if len(at)]
-    return _rows(part, [*made, (part, TABLES, part, packed(tables), None)])
+    ((_, (tables,)),), ((_, (root,)),) = got[BASE], got[OWN]
+    places = dict(got.get(BOUND, ()))
+    for other, (up, up_root) in got.get(UP, ()):
+        at, visiting = places[other]
+        np.add.at(tables, at, up)
+        np.add.at(root, visiting, up_root)
+    if ROOT in got:
+        ((_, (_, s_w)),) = got[ROOT]
+        s_w = seat(root, n_tables - s_w, np.full(len(root), 1.0 / (n_words + 1)), np.random.default_rng([*seed, part]))
+    else:
+        s_w = np.minimum(root, 1)
+    made = [(other, DOWN, part, packed(tables[at], root[visiting], s_w[visiting]), None) for other, (at, visiting) in places.items() if len(at) + len(visiting)]
+    return _rows(part, [*made, (part, TABLES, part, packed(tables), None), (part, ROOT, part, packed(root, s_w), [float(root.sum()), float(s_w.sum())])])
 
 
 def _ratio(c, t, rest, p):
@@ -227,37 +283,34 @@ def parent(c_root: np.ndarray, s_w: np.ndarray, n_tables: float, n_root: float,
     return (c_root - DISCOUNT * s_w + (STRENGTH + DISCOUNT * n_tables) / (n_words + 1)) / (STRENGTH + n_root)
 
 
-def _drawn(table: pa.Table, n_parts: int, totals: list[float], seed: list[int]) -> pa.Table:
-    """One sweep of a part: new tables of its pairs, and of its words in the parent."""
+def _drawn(table: pa.Table, totals: list[float], seed: list[int]) -> pa.Table:
+    """One sweep of a part: new tables of its pairs, added up for the owners of their contexts and words."""
     part, got = table.column("part")[0].as_py(), _by_kind(table)
-    ((_, (c_w, once_w, c, w, of)),), ((_, (t, s_w)),) = got[STATE], got[DRAWN]
-    _, n_words, n_root, n_tables = totals
-    t_k = np.concatenate([x[0] for _, x in got.get(DOWN, ())]) if DOWN in got else np.zeros(0, np.int64)
-    rng = np.random.default_rng([*seed, part])
-    n = len(c_w)
+    ((_, (c_w, once_w, c, w, of, guests)),), ((_, (t,)),), ((_, (c_root, s_w)),) = got[STATE], got[DRAWN], got[ROOT]
+    n_words, n_root, n_tables = totals
+    down = got.get(DOWN, ())
+    t_k, c_root[guests], s_w[guests] = (np.concatenate([np.zeros(0, np.int64), *(x[i] for _, x in down)]) for i in range(3))
     # the parent without the pair's own tables
-    others = (once_w + _counted(w, t, n))[w] - t
+    others = c_root[w] - t
     p = parent(others, np.minimum(s_w[w], others), n_tables, n_root - t, n_words)
-    t = seat(c[c > 1], (t_k[of] - t).astype(float), p, rng)
-    c_root = once_w + _counted(w, t, n)
-    s_w = seat(c_root, n_tables - s_w, np.full(n, 1.0 / (n_words + 1)), rng)
-    made, up, at = [], _counted(of, t, len(t_k)), 0
-    for owner, x in got.get(DOWN, ()):
-        made.append((owner, UP, part, packed(up[at : at + len(x[0])]), None))
-        at += len(x[0])
-    return _rows(part, [*made, (part, DRAWN, part, packed(t, s_w), [float(c_w.sum()), float((c_w > 0).sum()), float(c_root.sum()), float(s_w.sum())])])
+    t = seat(c[c > 1], (t_k[of] - t).astype(float), p, np.random.default_rng([*seed, part]))
+    root = once_w + _counted(w, t, len(c_w))
+    made, up, up_root, at, e = [], _counted(of, t, len(t_k)), root[guests], 0, 0
+    for owner, (k, visiting, _) in down:
+        made.append((owner, UP, part, packed(up[at : at + len(k)], up_root[e : e + len(visiting)]), None))
+        at, e = at + len(k), e + len(visiting)
+    root[guests] = 0
+    return _rows(part, [*made, (part, OWN, part, packed(root), None), (part, DRAWN, part, packed(t), None)])
 
 
 def _replied(table: pa.Table, n_sweeps: int) -> pa.Table:
     """For each chunk, of its words: the counts, and for each sweep the parent's customers and tables and the tables as a context; of its pairs: counts and tables of all sweeps together."""
     part, got = table.column("part")[0].as_py(), _by_kind(table)
-    ((_, (c_w, once_w, c, w, _)),) = got[STATE]
-    n, tables, total = len(c_w), [x[0] for _, x in got[TABLES]], (c == 1).astype(np.int64) * n_sweeps
-    roots, seats = [], []
-    for _, (t, s_w) in got[DRAWN]:
+    ((_, (c_w, _, c, _, _, _)),) = got[STATE]
+    tables, total = [x[0] for _, x in got[TABLES]], (c == 1).astype(np.int64) * n_sweeps
+    roots, seats = zip(*(x for _, x in got[ROOT]), strict=True)
+    for _, (t,) in got[DRAWN]:
         total[c > 1] += t
-        roots.append(once_w + _counted(w, t, n))
-        seats.append(s_w)
     chunks, replies = [], []
     for chunk, (word, pair) in got[ROUTE]:
         word, pair = np.cumsum(word), np.cumsum(pair)
@@ -268,10 +321,10 @@ def _replied(table: pa.Table, n_sweeps: int) -> pa.Table:
 
 
 def _summed(messages: DataFrame) -> list[float]:
-    """The parts' totals, added up: training tokens, known words, the parent's customers and tables."""
+    """The parts' two totals, added up: training tokens and known words, or the parent's customers and tables."""
     found = messages.where(F.col("totals").isNotNull()).select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("v")).collect()
     by_place = {r.pos: r.v for r in found}
-    return [by_place.get(i, 0.0) for i in range(4)]
+    return [by_place.get(i, 0.0) for i in range(2)]
 
 
 def score(docs: DataFrame, train: str, *, text: str = "text", doc_id: str = "doc_id", burn: int = BURN, sweeps: int = SWEEPS, seed: int = 1) -> DataFrame:
@@ -288,41 +341,50 @@ def score(docs: DataFrame, train: str, *, text: str = "text", doc_id: str = "doc
         return _Chunk(rows, n_parts, np.array([bool(x) for x in flags.to_pylist()], bool))
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
-        return ex.asked(key[0].as_py(), ex.screen_blobs(chunk(rows).keys))
+        c = chunk(rows)
+        return ex.asked(key[0].as_py(), ex.screen_blobs(c.keys) + c.candidates())
 
     def send(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         c = chunk(rows)
-        c.screened(ex.replies(answers, 0))
+        c.screened(ex.replies(answers, 0), hot)
         return ex.asked(key[0].as_py(), c.blobs())
 
-    screen = written(ex.screened(by_chunk.applyInArrow(tc.tidied(ask), ex.ASKED)), "screen")
+    answers = by_chunk.applyInArrow(tc.tidied(ask), ex.ASKED).groupBy("part").applyInArrow(tc.tidied(lambda t: _answered(t, n_parts)), ex.ANSWERED)
+    screen = written(answers, "screen")
+    # fewer than SPLIT a part
+    hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpacked(r.bits)[0].view(np.uint64) for r in screen.where(F.col("kind") == HOT).collect())]))
+    screen = screen.where(F.col("kind") == 0)
     sent = by_chunk.cogroup(screen.groupBy("chunk")).applyInArrow(tc.tidied(send), ex.ASKED)
-    known = written(sent.groupBy("part").applyInArrow(tc.tidied(lambda t: _gathered(t, n_parts)), _MESSAGE), "known", by="kind")
+    known = sent.groupBy("part").applyInArrow(tc.tidied(lambda t: _gathered(t, n_parts, hot)), _MESSAGE)
+    # as few files as the later readings allow: each costs the executors some processes, too
+    known = written(known.withColumn("read", F.when(F.col("kind") == STATE, 0).when(F.col("kind") == ROUTE, 1).otherwise(2)), "known", by="read")
+    states, routes, first = (known.where(F.col("read") == i) for i in range(3))
     of = lambda d, *kinds: d.where(F.col("kind").isin(*kinds)).select("part", "kind", "other", "data", "totals")
     meet = lambda f, *tables: _union(tables).groupBy("part").applyInArrow(tc.tidied(f), _MESSAGE)
-    sweep_of = lambda totals, numbers: lambda t: _drawn(t, n_parts, totals, numbers)
-    bound = written(meet(_bound, of(known, NAMES, SUBS)), "bound")
-    drawn, totals, kept, all_totals = known, _summed(known), [], []
+    told_by = lambda *totals: lambda t: _told(t, *totals)
+    drawn_by = lambda *totals: lambda t: _drawn(t, *totals)
+    bound = written(meet(_bound, of(first, NAMES, SUBS)), "bound")
+    n_all, n_words = _summed(states)
+    drawn, n_tables, roots, kept, all_totals = first, 0.0, [], [], []
     for sweep in range(burn + sweeps + 1):
-        told = written(meet(_told, bound, of(drawn, UP)), "told", by="kind")
+        told = written(meet(told_by(n_words, n_tables, [seed, sweep, 1]), bound, of(drawn, UP, OWN), *roots), "told")
+        roots, (n_root, n_tables) = [of(told, ROOT)], _summed(told)
         if sweep > burn:
-            kept += [of(drawn, DRAWN).withColumn("other", F.lit(sweep).cast("long")), of(told, TABLES).withColumn("other", F.lit(sweep).cast("long"))]
-            all_totals.append(totals)
+            kept += [d.withColumn("other", F.lit(sweep).cast("long")) for d in (of(drawn, DRAWN), of(told, TABLES, ROOT))]
+            all_totals.append((n_root, n_tables))
         if sweep < burn + sweeps:
-            drawn = written(meet(sweep_of(totals, [seed, sweep]), of(known, STATE), of(told, DOWN), of(drawn, DRAWN)), "drawn", by="kind")
-            totals = _summed(drawn)
-    replies = _union([of(known, STATE, ROUTE), *kept]).groupBy("part").applyInArrow(tc.tidied(lambda t: _replied(t, sweeps)), ex.ANSWERED)
-    n_all, n_words = totals[0], totals[1]
+            drawn = written(meet(drawn_by([n_words, n_root, n_tables], [seed, sweep, 0]), of(states, STATE), of(told, DOWN, ROOT), of(drawn, DRAWN)), "drawn")
+    replies = _union([of(states, STATE), of(routes, ROUTE), *kept]).groupBy("part").applyInArrow(tc.tidied(lambda t: _replied(t, sweeps)), ex.ANSWERED)
 
     def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
         d = chunk(rows)
-        d.screened(ex.replies(answers, 0))
+        d.screened(ex.replies(answers, 0), hot)
         by_part = ex.replies(answers, 1)
         n = len(d.words)
         c_w, roots, tables, seats = np.zeros(n, np.int64), np.zeros((sweeps, n)), np.zeros((sweeps, n)), np.zeros((sweeps, n))
         # pairs that were not sent have one customer at one table, or none
         fixed = d.c * (1.0 - DISCOUNT)
-        for (p, a, b), i, j in zip(d.parts, d.cuts[:-1], d.cuts[1:], strict=True):
+        for p, a, b, i, j in d.parts:
             x = unpacked(by_part[p])
             c_w[a:b], roots[0, a:b], tables[0, a:b] = x[:3]
             for s in range(1, sweeps):
@@ -334,7 +396,7 @@ def score(docs: DataFrame, train: str, *, text: str = "text", doc_id: str = "doc
         c_k[d.start] = c_w[d.end]
         c_k[d.end] = 0
         fresh = np.zeros(len(d.w))
-        for s, (_, _, n_root, n_tables) in enumerate(all_totals):
+        for s, (n_root, n_tables) in enumerate(all_totals):
             fresh += (STRENGTH + DISCOUNT * tables[s, d.k]) * parent(roots[s], seats[s], n_tables, n_root, n_words)[d.w] / sweeps
         p = np.log10((fixed + fresh) / (STRENGTH + c_k[d.k]))
         base = np.log10((c_w + 0.5) / (n_all + 0.5 * (n_words + 1)))

@@ -793,6 +793,41 @@ def test_scores_do_not_depend_on_chunks_and_parts(spark, monkeypatch, sizes):
     assert sum(r.score for r in cut.values()) == pytest.approx(sum(r.score for r in whole.values()), rel=0.01)
 
 
+def test_pairs_of_a_hot_word_are_dealt_to_all_parts(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"{w} the" for w in rng.choices([f"w{k}" for k in range(400)], k=30)), i % 4 > 0) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    whole = {r.doc.doc_id: r for r in pitmanyor.score(d, "train").collect()}
+    monkeypatch.setattr(pitmanyor.ex.chunked, "__kwdefaults__", {"chunk_bytes": 2000, "part_bytes": 2000})
+    made, write = {}, pitmanyor.written
+    monkeypatch.setattr(pitmanyor, "written", lambda df, label, by=None: made.setdefault(label, []).append(write(df, label, by)) or made[label][-1])
+    cut = {r.doc.doc_id: r for r in pitmanyor.score(d, "train").collect()}
+    pairs: Counter = Counter()
+    for r in made["known"][0].where(F.col("kind") == pitmanyor.ROUTE).collect():
+        pairs[r.part] += len(pitmanyor.unpacked(r.data)[1])
+    # half of all pairs end in one word
+    assert len(pairs) > 15 and max(pairs.values()) < 3 * sum(pairs.values()) / len(pairs)
+    assert all(cut[i][1:4] == r[1:4] and cut[i].base_score == pytest.approx(r.base_score) and abs(cut[i].score - r.score) < 0.05 * r.n_tokens for i, r in whole.items())
+    assert sum(r.score for r in cut.values()) == pytest.approx(sum(r.score for r in whole.values()), rel=0.01)
+
+
+def test_scores_with_hot_words_agree_with_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pitmanyor.ex.chunked, "__kwdefaults__", {"chunk_bytes": 40, "part_bytes": 20})
+    test_scores_agree_with_brute_force(spark)
+
+
+def test_hot_words_are_those_over_a_share_of_a_part():
+    w = np.array([1, 2**63, 5], np.uint64)
+    blobs = [pitmanyor.packed(w, np.array([30, 3, 9]), np.array([100])), pitmanyor.packed(w[:1], np.array([20]), np.array([60])), pitmanyor.packed(w[:0], np.zeros(0, np.int64), np.array([40]))]
+    assert pitmanyor._hot(blobs, 2).tolist() == [1] and pitmanyor._hot(blobs, 6).tolist() == [1, 5] and pitmanyor._hot(blobs, 1).tolist() == []
+
+
+def test_a_single_number_can_be_written_to():
+    (x,) = pitmanyor.unpacked(pitmanyor.packed(np.array([3])))
+    np.add.at(x, np.array([0]), 4)
+    assert x.tolist() == [7]
+
+
 def test_model_beats_its_base(spark, sf_dir):
     r = pitmanyor.op8_pitman_yor(spark, sf_dir).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
